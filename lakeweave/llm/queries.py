@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality_rules
+from . import quality_rules, url_filter
 from .common import table
 
 
@@ -12,14 +12,20 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.scored(table(spark, sf_dir, "documents"))
 
 
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = url_filter.fit(url_filter.seed_urls(spark))
+    return model.judged(table(spark, sf_dir, "pages").select("page_id", "url")).select("page_id", "host", "path", "rule", "verdict", "block_score")
+
+
 QUERIES = {
     "op7_quality_rules": op7_quality_rules,
+    "op10_url_filter": op10_url_filter,
 }
 
 ORACLE_SQL = {
     "op7_quality_rules": r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws,
-    list_filter(string_split(coalesce(text, ''), chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM documents),
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM documents),
 w AS (SELECT doc_id, unnest(range(1, greatest(len(ws) - 6, 1))) AS i, ws FROM d),
 g AS (SELECT doc_id, i, array_to_string(ws[i:i + 7], ' ') AS g FROM w),
 r AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS n FROM g) WHERE n > 1),
@@ -27,9 +33,9 @@ c AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i,
 m AS (SELECT d.doc_id, len(ws)::BIGINT AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g'))::BIGINT AS word_chars,
     len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols, len(ls)::BIGINT AS n_lines,
     (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(c.n, 0)::BIGINT AS n_repeat_words,
-    len(list_filter(ws, x -> x = upper(x) AND x <> lower(x)))::BIGINT AS n_caps_words,
+    len(list_filter(ws, lambda x: x = upper(x) AND x <> lower(x)))::BIGINT AS n_caps_words,
     len(regexp_extract_all(t, '!'))::BIGINT AS n_exclaims,
-    coalesce(len(list_filter(range(1, len(ws)), j -> ws[j] = ws[j + 1])), 0)::BIGINT AS n_same_next
+    coalesce(len(list_filter(range(1, len(ws)), lambda j: ws[j] = ws[j + 1])), 0)::BIGINT AS n_same_next
     FROM d LEFT JOIN c USING (doc_id)),
 f AS (SELECT *, (CASE WHEN n_words < 20 THEN 1 ELSE 0 END + CASE WHEN 100 * n_repeat_words > 30 * n_words THEN 2 ELSE 0 END
     + CASE WHEN 10 * n_symbols > 2 * n_words THEN 4 ELSE 0 END + CASE WHEN n_lines >= 4 AND 100 * n_dup_lines > 40 * n_lines THEN 8 ELSE 0 END
