@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shipping import ship_package
+
 #: Code points that part words: the six ASCII white-space characters.
 SPACES = " \t\n\x0b\f\r"
 WORD_BREAK = "[\\x20\\x09-\\x0D]+"
@@ -34,7 +36,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession, size: str = "8m") -> None:
-    """Arrow batches for Python are held to ``size`` bytes, so that very long texts can't fill a worker's memory."""
+    """Readies a session for Python over texts: the code is on the executors, and Arrow batches are held to ``size``
+    bytes, so that very long texts can't fill a worker's memory."""
+    ship_package(spark)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4000")
 

@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import quality_rules, url_filter
+from . import packing, plane_format, quality_rules, url_filter
 from .common import table
 
 
+def tokenizer() -> str:
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.scored(table(spark, sf_dir, "documents"))
 
@@ -17,9 +23,20 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return model.judged(table(spark, sf_dir, "pages").select("page_id", "url")).select("page_id", "host", "path", "rule", "verdict", "block_score")
 
 
+def op8_plane_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = plane_format.write_tokens(table(spark, sf_dir, "documents"), tokenizer(), end_id=2)
+    return plane_format.read_tokens(manifest).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer()).drop("ids")
+
+
 QUERIES = {
     "op7_quality_rules": op7_quality_rules,
     "op10_url_filter": op10_url_filter,
+    "op8_plane_tokens": op8_plane_tokens,
+    "op4_best_fit_packing": op4_best_fit_packing,
 }
 
 ORACLE_SQL = {
