@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, plane_format, quality_rules, url_filter
+from . import html_extract, packing, plane_format, quality_rules, url_filter
 from .common import table
 
 
@@ -32,9 +32,14 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer()).drop("ids")
 
 
+def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
 QUERIES = {
     "op7_quality_rules": op7_quality_rules,
     "op10_url_filter": op10_url_filter,
+    "op2_html_extraction": op2_html_extraction,
     "op8_plane_tokens": op8_plane_tokens,
     "op4_best_fit_packing": op4_best_fit_packing,
 }
