@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_extract, packing, plane_format, quality_rules, url_filter
-from .common import table
+from . import html_extract, kneser_ney, packing, plane_format, quality_rules, url_filter
+from .common import crc_remainder, table
 
 
 def tokenizer() -> str:
@@ -36,7 +36,12 @@ def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
 
 
+def op1_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kneser_ney.held_out_scores(table(spark, sf_dir, "documents"), crc_remainder(F.col("doc_id"), 10) == 0)
+
+
 QUERIES = {
+    "op1_kneser_ney": op1_kneser_ney,
     "op7_quality_rules": op7_quality_rules,
     "op10_url_filter": op10_url_filter,
     "op2_html_extraction": op2_html_extraction,
