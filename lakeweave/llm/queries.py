@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_extract, kneser_ney, packing, plane_format, quality_rules, url_filter
+from . import html_extract, kneser_ney, packing, plane_format, quality_classifier, quality_rules, toxicity, url_filter
 from .common import crc_remainder, table
 
 
@@ -40,8 +40,22 @@ def op1_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kneser_ney.held_out_scores(table(spark, sf_dir, "documents"), crc_remainder(F.col("doc_id"), 10) == 0)
 
 
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = table(spark, sf_dir, "documents"), crc_remainder(F.col("doc_id"), 4) == 2
+    model = quality_classifier.train(docs, table(spark, sf_dir, "labels"), ~held_out)
+    return quality_classifier.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = table(spark, sf_dir, "documents"), crc_remainder(F.col("doc_id"), 5) == 0
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"), ~held_out)
+    return toxicity.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 QUERIES = {
     "op1_kneser_ney": op1_kneser_ney,
+    "op5_quality_classifier": op5_quality_classifier,
+    "op6_toxicity": op6_toxicity,
     "op7_quality_rules": op7_quality_rules,
     "op10_url_filter": op10_url_filter,
     "op2_html_extraction": op2_html_extraction,
