@@ -129,22 +129,26 @@ def fit_network(p: np.ndarray, u: np.ndarray, prior: float | None, epochs: int =
                 m += 0.1 * grad
                 q *= 0.999
                 q += 0.001 * grad * grad
-                net.weights[k] -= 0.01 * ((m / (1 - 0.9**t)) / (np.sqrt(q / (1 - 0.999**t)) + 1e-8) + 1e-3 * net.weights[k])
+                net.weights[k] -= 0.01 * ((m / (1 - 0.9**t)) / (np.sqrt(q / (1 - 0.999**t)) + 1e-8) + 0.05 * net.weights[k])
     return net
 
 
-def estimated_prior(p: np.ndarray, u: np.ndarray) -> float:
-    """Share of positives among unlabelled rows: the best bin of a P-against-U order over held-back halves."""
-    net = fit_network(p[::2], u[::2], None, epochs=60)
+def _best_bin(p: np.ndarray, u: np.ndarray, seed: int) -> float:
+    rng = np.random.default_rng(seed)
+    p, u = p[rng.permutation(len(p))], u[rng.permutation(len(u))]
+    net = fit_network(p[::2], u[::2], None, epochs=40, seed=seed)
     fp, fu = np.sort(net(p[1::2])), np.sort(net(u[1::2]))
-    if not len(fp) or not len(fu):
-        return 0.5
     cuts = np.quantile(fp, np.linspace(0, 0.95, 96))
     share_p = 1 - np.searchsorted(fp, cuts, side="left") / len(fp)
     share_u = 1 - np.searchsorted(fu, cuts, side="left") / len(fu)
     slack = np.sqrt(np.log(40) / (2 * len(fp))) + np.sqrt(np.log(40) / (2 * len(fu)))
     best = np.argmin((share_u + slack) / share_p)
-    return float(np.clip(share_u[best] / share_p[best], 0.05, 0.99))
+    return share_u[best] / share_p[best]
+
+
+def estimated_prior(p: np.ndarray, u: np.ndarray, splits: int = 7) -> float:
+    """Share of positives among unlabelled rows: the best bin of a P-against-U order over held-back halves; median of several splits."""
+    return float(np.clip(np.median([_best_bin(p, u, seed) for seed in range(splits)]), 0.05, 0.99))
 
 
 @dataclass
