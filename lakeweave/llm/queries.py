@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_extract, kneser_ney, packing, plane_format, quality_classifier, quality_rules, toxicity, url_filter
+from . import html_extract, kneser_ney, ngram_join, packing, plane_format, quality_classifier, quality_rules, toxicity, url_filter
 from .common import crc_remainder, table
 
 
@@ -52,10 +52,15 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
+def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_join(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_kneser_ney": op1_kneser_ney,
     "op5_quality_classifier": op5_quality_classifier,
     "op6_toxicity": op6_toxicity,
+    "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
     "op7_quality_rules": op7_quality_rules,
     "op10_url_filter": op10_url_filter,
     "op2_html_extraction": op2_html_extraction,
