@@ -46,3 +46,14 @@ def small_batches(spark: SparkSession, size: str = "8m") -> None:
 def crc_remainder(column, n: int):
     """crc32 of the id written as text, modulo ``n``: the folds of the labelled queries."""
     return F.crc32(column.cast("string").cast("binary")) % F.lit(n)
+
+
+#: Ids up to this number (about 16 MB) are broadcast; more are joined by shuffle.
+BROADCAST_IDS = 1_000_000
+
+
+def without_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose doc_id isn't among ``ids`` (doc_id); rows without an id stay."""
+    gone = written(ids.where("doc_id IS NOT NULL").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
+    few = gone.count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(gone) if few else gone, docs["doc_id"] == gone["_gone"], "left_anti")

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, written
+from .common import small_batches, without_ids, written
 from .components import connected_components
 from .kneser_ney import tokens
 
@@ -211,8 +211,7 @@ def jaccard_join(docs: DataFrame, threshold: float = 0.8, n: int = 5, recall: fl
 def one_of_each(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     """The rows of ``docs`` whose document is the least of its class, one row for each; all columns kept."""
     joined = jaccard_join(docs, threshold)
-    gone = joined.where("class_id <> doc_id").select(F.col("doc_id").alias("_gone")).distinct()
-    kept = docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    kept = without_ids(docs, joined.where("class_id <> doc_id").select("doc_id"))
     twice = written(docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("doc_id").alias("_twice")), "repeated-ids")
     if twice.isEmpty():
         return kept

@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import small_batches
 from .kneser_ney import tokens
@@ -196,11 +197,17 @@ def train(docs: DataFrame, labels: DataFrame, use: Column, per_side: int = 4_000
 def score(docs: DataFrame, model: Model, threshold: float = 0.7, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The kept columns, score and predicted for every row of ``docs``."""
     small_batches(docs.sparkSession)
-    spec = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
+    out = T.StructType([docs.schema[c] for c in keep] + [T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
 
     def run(batches):
         for batch in batches:
             p = model.score(batch.column(len(keep)).cast(pa.binary()).to_pylist())
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(keep))), pa.array(p), pa.array((p >= threshold).astype(np.int32))], names=[*keep, "score", "predicted"])
 
-    return docs.select(*keep, F.col("text").cast("string").alias("text")).mapInArrow(run, f"{spec}, score double, predicted int")
+    return docs.select(*keep, F.col("text").cast("string").alias("_text")).mapInArrow(run, out)
+
+
+def kept_documents(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
+    """The rows of ``docs`` with a score of at least ``threshold``, with their own columns."""
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), "text")
+    return score(rows, model, threshold, keep=("row",)).where("predicted = 1").select("row.*")

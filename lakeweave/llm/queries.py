@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_extract, kneser_ney, ngram_join, packing, plane_format, quality_classifier, quality_rules, toxicity, url_filter
+from . import decontamination, html_extract, kneser_ney, ngram_join, packing, plane_format, quality_classifier, quality_rules, toxicity, url_filter
 from .common import crc_remainder, table
 
 
@@ -56,12 +56,17 @@ def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_join(table(spark, sf_dir, "documents"))
 
 
+def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_kneser_ney": op1_kneser_ney,
     "op5_quality_classifier": op5_quality_classifier,
     "op6_toxicity": op6_toxicity,
     "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
     "op7_quality_rules": op7_quality_rules,
+    "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op10_url_filter": op10_url_filter,
     "op2_html_extraction": op2_html_extraction,
     "op8_plane_tokens": op8_plane_tokens,
