@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import audit, market, relational, usage
+
 FLAGSHIP = "agg_usage_daily"
-_MODULES: tuple = ()
+_MODULES = (usage, market, audit, relational)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
