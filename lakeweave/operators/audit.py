@@ -21,7 +21,7 @@ def action_risk(critical: Column, high: Column, failed: Column, anonymous: Colum
 def report(access: DataFrame, key: str, fingerprint: str, risk: str) -> DataFrame:
     """Accesses, different queries, mean risk (none counts as 0), accesses over 0.7, and the compliance label."""
     r = F.coalesce(F.col(risk), F.lit(0.0))
-    out = access.groupBy(key).agg(F.count(F.lit(1)).alias("accesses"), F.countDistinct(fingerprint).alias("different_queries"), F.round(F.avg(r), 6).alias("mean_risk"), F.count_if(r > 0.7).alias("high_risk"))
+    out = access.groupBy(key).agg(F.count(F.lit(1)).alias("accesses"), F.countDistinct(fingerprint).alias("different_queries"), F.round(F.avg(r), 9).alias("mean_risk"), F.count_if(r > 0.7).alias("high_risk"))
     return out.withColumn("status", F.when(F.col("high_risk") == 0, "compliant").when(F.col("high_risk") <= 2, "minor_issues").otherwise("non_compliant"))
 
 

@@ -90,7 +90,7 @@ _GAPS = "SELECT *, (epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id
 ORACLE_SQL = {
     "risk_score": f"SELECT event_id, round(risk, 6) AS risk, {_LEVEL.format('(risk + 1e-9)')} AS level FROM {_LOG}",
     "audit_report": f"""
-WITH g AS (SELECT user_id, count(*) AS accesses, count(DISTINCT props) AS different_queries, round(avg(risk), 6) AS mean_risk, CAST(count(*) FILTER (risk > 0.7) AS BIGINT) AS high_risk FROM {_LOG} GROUP BY 1)
+WITH g AS (SELECT user_id, count(*) AS accesses, count(DISTINCT props) AS different_queries, round(avg(risk), 9) AS mean_risk, CAST(count(*) FILTER (risk > 0.7) AS BIGINT) AS high_risk FROM {_LOG} GROUP BY 1)
 SELECT *, CASE WHEN high_risk = 0 THEN 'compliant' WHEN high_risk <= 2 THEN 'minor_issues' ELSE 'non_compliant' END AS status FROM g""",
     "user_activity": f"""
 WITH g AS (SELECT user_id, count(*) AS total, CAST(count(*) FILTER (event_type = 'error') AS BIGINT) AS failures, CAST(count(*) FILTER (risk >= 0.5) AS BIGINT) AS risky FROM {_LOG} GROUP BY 1)
