@@ -131,7 +131,7 @@ def asset_price(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = lineage.base_value(pick(kinds, F.col("p_partkey") % n), F.col("p_size") * 1000, F.col("p_retailprice") * 1e6)
     total = lineage.price(base, F.col("p_size") / 50, market.scarcity(F.col("n_same")), F.lit(1.0), F.array(F.lit("view"), F.lit("derivative")), F.lit(1.0), pick(levels, F.col("p_partkey") % 4), pick(methods, F.col("p_partkey") % 5))
     priced = p.join(same, ["p_brand", "p_size"]).select("p_partkey", total.alias("price"))
-    return priced.select("p_partkey", F.round("price", 2).alias("price"), F.round(0.8 * F.col("price"), 2).alias("low"), F.round(1.3 * F.col("price"), 2).alias("high"))
+    return priced.select("p_partkey", F.round("price", 7).alias("price"), F.round(0.8 * F.col("price"), 7).alias("low"), F.round(1.3 * F.col("price"), 7).alias("high"))
 
 
 QUERIES = {f.__name__: f for f in (khop, lineage_downstream, lineage_upstream, impact_report, typed_paths, graph_statistics, sanitize_edges, detach_nation, neighbours, entity_merge, relation_cardinality, network_value, topology_features, lineage_hash_verify, lineage_step_hashes, asset_price)}
@@ -184,5 +184,5 @@ WITH n AS (SELECT p_brand, p_size, count(*) AS n_same FROM part GROUP BY 1, 2),
 f AS (SELECT p_partkey, [5000, 2000, 8000, 1000, 3000, 10000][p_partkey % 6 + 1]::DOUBLE * least(2, 1 + p_size * 1000 / 1e5) * least(1.5, 1 + p_retailprice * 1e6 / 1e9 / 10) AS base, p_size / 50 AS q,
 CASE WHEN n_same <= 1 THEN 2.0::DOUBLE WHEN n_same <= 5 THEN 1.5 WHEN n_same <= 20 THEN 1.2 ELSE 1 END AS s, [1.0, 0.9, 0.7, 0.5][p_partkey % 4 + 1]::DOUBLE AS sens, [0.1, 0.5, 1.0, 0.0, 0.3][p_partkey % 5 + 1]::DOUBLE AS comp FROM part JOIN n USING (p_brand, p_size)),
 p AS (SELECT p_partkey, base * (0.5 + 1.5 * q) * s * 2.1::DOUBLE * sens + base * comp AS price FROM f)
-SELECT p_partkey, round(price, 2) AS price, round(0.8::DOUBLE * price, 2) AS low, round(1.3::DOUBLE * price, 2) AS high FROM p""",
+SELECT p_partkey, round(price, 7) AS price, round(0.8::DOUBLE * price, 7) AS low, round(1.3::DOUBLE * price, 7) AS high FROM p""",
 }

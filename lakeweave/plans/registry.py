@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import audit, graph, market, relational, retrieval, text, usage
+from . import audit, features, governance, graph, market, relational, retrieval, stateful, text, usage
 
 FLAGSHIP = "agg_usage_daily"
-_MODULES = (usage, market, audit, relational, text, retrieval, graph)
+_MODULES = (usage, market, audit, relational, text, retrieval, graph, governance, stateful, features)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
