@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, without_ids
+from .common import small_batches, tidied, without_ids
 from .kneser_ney import tokens
 
 ITEMS = 50_000
@@ -231,7 +231,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = 0.2, recal
                 columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=[x.split()[0] for x in spec.split(", ")])
 
-        return plain.mapInArrow(run, spec)
+        return plain.mapInArrow(tidied(run), spec)
 
     out, ids, items = None, [], []
 

@@ -20,7 +20,7 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import DataFrame
 
-from .common import small_batches
+from .common import small_batches, tidied
 
 # Fixed values of HTML: elements by role.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -223,4 +223,4 @@ def extract(pages: DataFrame, html: str = "html", keep: tuple[str, ...] = ("page
             texts = [main_text(h) for h in batch.column(len(keep)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(keep))), pa.array(texts, pa.string())], names=[*keep, "text"])
 
-    return pages.select(*keep, html).mapInArrow(run, spec)
+    return pages.select(*keep, html).mapInArrow(tidied(run), spec)

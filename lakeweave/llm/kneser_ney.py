@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared_dir, small_batches, written
+from .common import shared_dir, small_batches, tidied, written
 
 #: Text bytes to a shard of pairs, and to a shard of words.
 PAIR_SHARD, WORD_SHARD = 16 << 20, 64 << 20
@@ -54,6 +54,10 @@ def _hashes(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(_known.__getitem__, words), np.uint64, len(words))
 
 
+def forget_words() -> None:
+    _known.clear()
+
+
 def pair_hash(v: np.ndarray, w: np.ndarray) -> np.ndarray:
     x = (v ^ (v >> np.uint64(31))) * _MIX + w
     return (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -362,7 +366,7 @@ def train(docs: DataFrame, sample: int = 400) -> Model:
         kinds = (pa.int32(), pa.string(), pa.list_(pa.int64()), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
         yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=[c.split()[0] for c in MERGED.split(", ")])
 
-    blocks = texts.mapInArrow(count, "shard int, block binary")
+    blocks = texts.mapInArrow(tidied(count), "shard int, block binary")
     merged = written(blocks.groupBy("shard").applyInArrow(merge_pairs, MERGED), "kneser-ney-words")
     heads = merged.where("path IS NOT NULL").select("shard", "path", "counts", "n_pairs", "n_tokens", "n_texts").collect()
     ns = [sum(r["counts"][i] for r in heads) for i in range(4)]
@@ -417,7 +421,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(got[k]) for k in ("n_tokens", "n_known", "base_score", "score")), pa.array(perplexity)], names=["doc_id", "n_tokens", "n_known", "base_score", "score", "perplexity"])
 
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return plain.mapInArrow(run, "doc_id long, n_tokens long, n_known long, base_score double, score double, perplexity double")
+    return plain.mapInArrow(tidied(run), "doc_id long, n_tokens long, n_known long, base_score double, score double, perplexity double")
 
 
 def held_out_scores(docs: DataFrame, held_out: Column) -> DataFrame:

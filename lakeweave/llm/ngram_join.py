@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, without_ids, written
+from .common import small_batches, tidied, without_ids, written
 from .components import connected_components
 from .kneser_ney import tokens
 
@@ -93,7 +93,7 @@ def signatures(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "set_key", "n_grams", "bands"])
 
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return plain.mapInArrow(run, "doc_id long, set_key long, n_grams long, bands array<long>")
+    return plain.mapInArrow(tidied(run), "doc_id long, set_key long, n_grams long, bands array<long>")
 
 
 def _candidates(classes: DataFrame) -> DataFrame:
@@ -171,7 +171,7 @@ def _verified(blocks: DataFrame, threshold: float, n: int) -> DataFrame:
         if held and (out := finish()):
             yield out
 
-    return blocks.mapInArrow(run, "set_key long, root long, n_links long, n_text_links long")
+    return blocks.mapInArrow(tidied(run), "set_key long, root long, n_links long, n_text_links long")
 
 
 def jaccard_join(docs: DataFrame, threshold: float = 0.8, n: int = 5, recall: float = 0.9999) -> DataFrame:

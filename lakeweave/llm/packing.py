@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import small_batches, written
+from .common import small_batches, tidied, written
 
 PIECES = "doc_id long, piece int, start long, length long, ids binary, task int, place long"
 
@@ -223,7 +223,7 @@ def cut_documents(docs: DataFrame, tokenizer: str, capacity: int, end_id: int) -
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=names)
 
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return plain.mapInArrow(cut, PIECES)
+    return plain.mapInArrow(tidied(cut), PIECES)
 
 
 def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0) -> DataFrame:

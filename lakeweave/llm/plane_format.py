@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import shared_dir, small_batches, written
+from .common import shared_dir, small_batches, tidied, written
 
 MAGIC, END = b"LWPL", b"LWPE"
 HEAD, FOOT = struct.Struct("<4sHHI"), struct.Struct("<QQQQ4s")
@@ -171,7 +171,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int, block: int = 1 <<
 
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     order = ("doc_id", F.xxhash64("text"))
-    manifest = written(ordered.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(write, MANIFEST), "planes-manifest")
+    manifest = written(ordered.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(tidied(write), MANIFEST), "planes-manifest")
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # one row for each shard
     return manifest.withColumn("start", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))
 
@@ -198,4 +198,4 @@ def read_tokens(manifest: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
 
     shards = manifest.select("path", "start")
-    return shards.repartition(max(1, manifest.count())).mapInArrow(read, "doc_id long, start long, n_tokens long, ids binary")
+    return shards.repartition(max(1, manifest.count())).mapInArrow(tidied(read), "doc_id long, start long, n_tokens long, ids binary")

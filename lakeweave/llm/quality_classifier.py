@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import small_batches
+from .common import small_batches, tidied
 from .kneser_ney import tokens
 
 CLASSES = {"upper": b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", "lower": b"abcdefghijklmnopqrstuvwxyz", "digit": b"0123456789", "symbol": b"#*$%&<>", "bar": b"|", "mark": b"!", "stop": b".,;:?", "space": b" \t\n\x0b\f\r"}
@@ -189,7 +189,7 @@ def train(docs: DataFrame, labels: DataFrame, use: Column, per_side: int = 4_000
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("side"), pa.array(rows, pa.list_(pa.float64()))], names=["doc_id", "side", "x"])
 
     sample = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(known), "doc_id").select("doc_id", "side", "text")
-    got = sample.mapInArrow(measured, "doc_id long, side int, x array<double>").toArrow().sort_by("doc_id")
+    got = sample.mapInArrow(tidied(measured), "doc_id long, side int, x array<double>").toArrow().sort_by("doc_id")
     x, side = np.array(got["x"].to_pylist(), float).reshape(-1, N_FEATURES), np.array(got["side"].to_pylist(), int)
     return fit(x[side == 1], x[side == 0])
 
@@ -204,7 +204,7 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.7, keep: tuple[str
             p = model.score(batch.column(len(keep)).cast(pa.binary()).to_pylist())
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(keep))), pa.array(p), pa.array((p >= threshold).astype(np.int32))], names=[*keep, "score", "predicted"])
 
-    return docs.select(*keep, F.col("text").cast("string").alias("_text")).mapInArrow(run, out)
+    return docs.select(*keep, F.col("text").cast("string").alias("_text")).mapInArrow(tidied(run), out)
 
 
 def kept_documents(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:

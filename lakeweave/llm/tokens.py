@@ -12,8 +12,8 @@ import os
 
 import numpy as np
 
-#: Words kept by one Python worker before its dictionary is emptied: about 150 MB.
-KEPT_WORDS = 800_000
+#: Words kept by one Python worker before its dictionary is emptied: about 100 MB.
+KEPT_WORDS = 500_000
 
 _encoders: dict[str, Encoder] = {}
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import small_batches, tidied
 from .kneser_ney import START, discounts, pair_hash, tokens
 
 WINDOWS = (4, 16, 64)
@@ -219,7 +219,7 @@ def train(docs: DataFrame, labels: DataFrame, use: Column, per_class: int = 3_00
             parts = [p.tobytes() for p in np.split(w, np.cumsum(n)[:-1])] if len(n) else []
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), pa.array(parts, pa.binary())], names=["doc_id", "y", "w"])
 
-    got = sample.select("doc_id", "text", "y").mapInArrow(hashed, "doc_id long, y int, w binary").toArrow().sort_by("doc_id")
+    got = sample.select("doc_id", "text", "y").mapInArrow(tidied(hashed), "doc_id long, y int, w binary").toArrow().sort_by("doc_id")
     return fit([np.frombuffer(b, np.uint64) for b in got["w"].to_pylist()], np.array(got["y"].to_pylist(), bool), share)
 
 
@@ -235,4 +235,4 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(p), pa.array((p >= threshold).astype(np.int32))], names=["doc_id", "score", "predicted"])
 
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return plain.mapInArrow(run, "doc_id long, score double, predicted int")
+    return plain.mapInArrow(tidied(run), "doc_id long, score double, predicted int")
