@@ -45,12 +45,14 @@ def analysed_plan(spark: SparkSession, query: str) -> str:
 def governed_sql(spark: SparkSession, query: str, policy: str) -> DataFrame:
     """The query's rows under a policy: reads only, aggregates where the policy asks for them, at most its rows.
 
-    What the query does is read off its analysed plan, not its text. A least group size can't be added to finished SQL:
+    What the query does is read off its analysed plan; its first word must be a read's as well. A least group size can't be added to finished SQL:
     policies that have one need ``governed_aggregate``.
     """
     rules = POLICIES.get(policy, POLICIES["read_only"])
     plan = analysed_plan(spark, query)
-    if not plan or re.search(r"^(\w*Command|InsertInto|CreateTable|DropTable|DeleteFrom|UpdateTable|MergeInto)", plan.split("\n", 1)[-1].lstrip(), re.M):
+    bare = re.sub(r"--[^\n]*|/\*.*?\*/", " ", query, flags=re.S).lstrip(" \t\r\n(").upper()
+    writes = re.search(r"^[\s:+-]*(\w*Command|InsertInto|Create|Drop|Delete|Update|Merge|Replace|Alter)", plan.split("\n", 1)[-1], re.M)
+    if not plan or writes or not bare.startswith(("SELECT", "WITH", "FROM", "VALUES", "TABLE")):
         raise AccessDenied("only SELECT is allowed")
     if rules.aggregates_only and not re.search(r"^[\s:+-]*Aggregate ", plan, re.M):
         raise AccessDenied("this policy allows aggregates only")
