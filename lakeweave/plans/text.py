@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..operators import convert
 from ..sources.tables import table
 
 
@@ -87,7 +88,11 @@ def chunk_text_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _docs(spark, sf_dir).agg(F.round(F.avg(F.length("text")), 4).alias("mean"), F.round(F.stddev_samp(F.length("text")), 4).alias("std"), F.min(F.length("text")).cast("long").alias("least"), F.max(F.length("text")).cast("long").alias("most"))
 
 
-QUERIES = {f.__name__: f for f in (redact_pii, redact_listing, review_checks, content_hash, duplicate_contents, token_estimate, markdown_detect, html_text, mask_names, safe_filenames, quality_profile, conversion_scores, similar_pairs_jaccard, chunk_text_stats)}
+def html_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return convert.converted(table(spark, sf_dir, "pages"), "page_id", "html", "html")
+
+
+QUERIES = {f.__name__: f for f in (html_markdown, redact_pii, redact_listing, review_checks, content_hash, duplicate_contents, token_estimate, markdown_detect, html_text, mask_names, safe_filenames, quality_profile, conversion_scores, similar_pairs_jaccard, chunk_text_stats)}
 
 
 def _sql_redacted(column: str, patterns: dict[str, str], label: str) -> str:
