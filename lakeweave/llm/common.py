@@ -39,7 +39,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_batches(spark: SparkSession, size: str = "8m") -> None:
+def small_batches(spark: SparkSession, size: str = "4m") -> None:
     """Readies a session for Python over texts: the code is on the executors, and Arrow batches are held to ``size``
     bytes, so that very long texts can't fill a worker's memory."""
     ship_package(spark)

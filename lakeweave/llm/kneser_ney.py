@@ -35,7 +35,7 @@ PAIR_SHARD, WORD_SHARD = 16 << 20, 64 << 20
 #: A first word with over this share of the sampled pairs is dealt by both words.
 HOT_SHARE = 0.002
 #: Pairs that a task holds before it adds them up.
-HELD = 3_000_000
+HELD = 2_000_000
 #: Words kept by one worker with their hashes.
 KEPT_WORDS = 800_000
 

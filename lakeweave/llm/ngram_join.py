@@ -183,10 +183,11 @@ def jaccard_join(docs: DataFrame, threshold: float = 0.8, n: int = 5, recall: fl
     classes = written(classes, "text-classes")
     tree = _candidates(classes)
     member = tree.select(F.col("node").alias("set_key"), F.col("root").alias("comp")).unionByName(tree.select(F.col("root").alias("set_key"), F.col("root").alias("comp")).distinct())
-    sizes = member.groupBy("comp").agg(F.count(F.lit(1)).alias("size"))
+    large = written(member.groupBy("comp").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > BLOCK), "large-components")
     # a class's part of its component is a hash of it: no window over a component is needed
-    parts = F.ceil(F.col("size") / F.lit(BLOCK)).cast("int")
-    found = member.join(sizes, "comp").join(classes.select("set_key", "rep", "copies"), "set_key").withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("set_key"), F.col("parts")).cast("int"))
+    parts = F.ceil(F.coalesce("size", F.lit(1)) / F.lit(BLOCK)).cast("int")
+    sized = member.join(F.broadcast(large) if large.count() <= BROADCAST_ROWS else large, "comp", "left")
+    found = sized.join(classes.select("set_key", "rep", "copies"), "set_key").withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("set_key"), F.col("parts")).cast("int"))
     found = written(found.select("set_key", "comp", "rep", "copies", "parts", "part"), "candidates")
     keep = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string").alias("text"))
     few = found.count() <= BROADCAST_ROWS

@@ -30,6 +30,8 @@ from .common import shared_dir, small_batches, tidied, written
 
 MAGIC, END = b"LWPL", b"LWPE"
 HEAD, FOOT = struct.Struct("<4sHHI"), struct.Struct("<QQQQ4s")
+#: Shards that one reading task goes through, one after another.
+SHARDS_TO_TASK = 4
 MANIFEST = "shard int, path string, n_docs long, n_ids long"
 
 
@@ -177,7 +179,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int, block: int = 1 <<
 
 
 def read_tokens(manifest: DataFrame) -> DataFrame:
-    """(doc_id, start, n_tokens, ids) of every document, read from the shards of a manifest, a task for each shard."""
+    """(doc_id, start, n_tokens, ids) of every document, read from the shards of a manifest, a task for every few shards."""
 
     def read(batches):
         import pyarrow as pa
@@ -198,4 +200,4 @@ def read_tokens(manifest: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
 
     shards = manifest.select("path", "start")
-    return shards.repartition(max(1, manifest.count())).mapInArrow(tidied(read), "doc_id long, start long, n_tokens long, ids binary")
+    return shards.repartition(max(1, -(-manifest.count() // SHARDS_TO_TASK))).mapInArrow(tidied(read), "doc_id long, start long, n_tokens long, ids binary")
