@@ -391,3 +391,18 @@ def test_pipeline_stages(spark, sf_dir):
     packed = cp.STAGES[-1][1](spark, kept, sf_dir)
     assert {r["doc_id"] for r in packed.select("doc_id").collect()} == {r["doc_id"] for r in kept.collect()}
     assert packed.count() == cp.run(spark, sf_dir).count()
+
+
+def test_words_with_unusual_letters_are_encoded_exactly():
+    """Runs of Latin letters take a short path; near misses of it (marks, case, signs, contractions) must not differ."""
+    import random
+
+    from tokenizers import Tokenizer
+
+    bpe, draw = Tokenizer.from_file(WORD_BPE), random.Random(7)
+    letters = "abzéèßÿøÀÖØÞµªKÅẞİſŉ'’.,!\"-_0 9²\t́αΣςж日"
+    texts = ["".join(draw.choice(letters) for _ in range(draw.randint(1, 9))) for _ in range(3000)]
+    texts += ["don't it's! x'll ''s '…' é'é 're", "á é. ﬁne º × ÷ ½ Ⅷ 12é é12", "x<|endoftext|>y", "", " \n"]
+    got = tokens.encoder(WORD_BPE).encode([t.encode() for t in texts])
+    for t, g in zip(texts, got, strict=True):
+        assert np.frombuffer(g, "<u4").tolist() == bpe.encode(t, add_special_tokens=False).ids, repr(t)
