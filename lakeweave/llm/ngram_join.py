@@ -4,7 +4,8 @@
    rows are chosen so that a pair at the threshold is met with the target recall.
 2. Documents with equal sets are one text class. Classes that share a band hash are joined to the least of their bucket
    (stars, not pairs), and the components of those edges hold every candidate pair.
-3. Only classes in components of two or more are read again. A component's classes meet in blocks of at most ``BLOCK``
+3. Only classes in components of two or more are read again, by the rows with their least id whose set key, computed
+   anew, is theirs: an id may stand on several texts, or be null. A component's classes meet in blocks of at most ``BLOCK``
    by ``BLOCK``; a block counts the links of each class by products of membership matrices and passes on one row for
    each class: its links there and the least class that it hangs together with. No pair leaves a task.
 4. Components of those rows give the class ids.
@@ -22,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .common import small_batches, tidied, without_ids, written
 from .components import connected_components
@@ -136,22 +138,36 @@ def _roots(linked: np.ndarray) -> np.ndarray:
         root = least
 
 
+def _keyed(docs: DataFrame, n: int, once: bool = False) -> DataFrame:
+    """``docs`` with the set key of each row; with ``once``, a task passes on one row of each (doc_id, set_key)."""
+    small_batches(docs.sparkSession)
+
+    def run(batches):
+        seen = set()
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = [_set_key(s) for s in ngram_sets(batch.column("text").cast(pa.binary()).to_pylist(), n)]
+            out = pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.int64())], names=[*batch.schema.names, "set_key"])
+            if once:
+                pairs = list(zip(batch.column("doc_id").to_pylist(), keys, strict=True))
+                new = [pair not in seen and not seen.add(pair) for pair in pairs]
+                out = out.filter(pa.array(new, pa.bool_()))
+            yield out
+
+    return docs.mapInArrow(tidied(run), StructType([*docs.schema.fields, StructField("set_key", LongType())]))
+
+
 def _verified(blocks: DataFrame, threshold: float, n: int) -> DataFrame:
     """From rows sorted by block: of each class of a block, its links there and its root there."""
 
     def run(batches):
-        held: list[tuple] = []
+        held: dict[int, tuple] = {}
 
         def finish():
-            here = {}
-            for key, copies, side, text in held:  # a class may be there from several rows
-                here.setdefault(key, (copies, side, text))
-            pairs = [(key, s) for key, s in zip(here, ngram_sets([x[2] for x in here.values()], n), strict=True) if _set_key(s) == key]
-            pairs.sort(key=lambda x: x[0])
-            if not pairs:
-                return None
+            pairs = sorted(zip(held, ngram_sets([x[2] for x in held.values()], n), strict=True), key=lambda x: x[0])
             keys = [k for k, _ in pairs]
-            copies, side = np.array([here[k][0] for k in keys]), np.array([here[k][1] for k in keys])
+            copies, side = np.array([held[k][0] for k in keys]), np.array([held[k][1] for k in keys])
             linked = _links([s for _, s in pairs], threshold)
             if (side == 1).any():
                 linked &= side[:, None] != side[None, :]
@@ -163,20 +179,20 @@ def _verified(blocks: DataFrame, threshold: float, n: int) -> DataFrame:
             columns = [batch.column(c).to_pylist() for c in ("comp", "one", "two", "set_key", "copies", "side")]
             for comp, one, two, key, copies, side, text in zip(*columns, batch.column("text").cast(pa.binary()).to_pylist(), strict=True):
                 if (comp, one, two) != at:
-                    if held and (out := finish()):
-                        yield out
+                    if held:
+                        yield finish()
                     held.clear()
                     at = (comp, one, two)
-                held.append((key, copies, side, text))
-        if held and (out := finish()):
-            yield out
+                held.setdefault(key, (copies, side, text))  # a class may be there from several rows
+        if held:
+            yield finish()
 
     return blocks.mapInArrow(tidied(run), "set_key long, root long, n_links long, n_text_links long")
 
 
-def jaccard_join(docs: DataFrame, threshold: float = 0.8, n: int = 5, recall: float = 0.9999) -> DataFrame:
-    """Of every row: doc_id, class_id (the least doc_id of all documents that hang together by links), n_links (linked
-    documents), n_text_links (linked different texts), n_grams."""
+def _joined(docs: DataFrame, threshold: float, n: int, recall: float) -> DataFrame:
+    """What ``jaccard_join`` returns, and of every row its set_key and head (whether its class of equal sets is the one
+    that stands for all that hang together: it has the least doc_id, then the least set_key)."""
     bands, rows = choose_bands(threshold, recall)
     signed = written(signatures(docs, n, bands, rows), "signatures")
     classes = signed.where("set_key IS NOT NULL").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands"))
@@ -189,9 +205,12 @@ def jaccard_join(docs: DataFrame, threshold: float = 0.8, n: int = 5, recall: fl
     sized = member.join(F.broadcast(large) if large.count() <= BROADCAST_ROWS else large, "comp", "left")
     found = sized.join(classes.select("set_key", "rep", "copies"), "set_key").withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("set_key"), F.col("parts")).cast("int"))
     found = written(found.select("set_key", "comp", "rep", "copies", "parts", "part"), "candidates")
-    keep = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string").alias("text"))
+    keep = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     few = found.count() <= BROADCAST_ROWS
-    texts = keep.join(F.broadcast(found) if few else found, keep["rep"].eqNullSafe(found["rep"])).drop(keep["rep"])
+    reps = found.select(F.col("rep").alias("doc_id")).distinct()
+    read = keep.join(F.broadcast(reps) if few else reps, keep["doc_id"].eqNullSafe(reps["doc_id"]), "left_semi")
+    read = _keyed(read, n, once=True)
+    texts = read.join(F.broadcast(found) if few else found, (read["set_key"] == found["set_key"]) & read["doc_id"].eqNullSafe(found["rep"])).drop(read["set_key"])
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
     paired = texts.select("comp", "part", "set_key", "copies", "text", other)
     blocks = paired.select("comp", F.least("part", "other").alias("one"), F.greatest("part", "other").alias("two"), "set_key", "copies", (F.col("part") > F.col("other")).cast("int").alias("side"), "text")
@@ -202,21 +221,35 @@ def jaccard_join(docs: DataFrame, threshold: float = 0.8, n: int = 5, recall: fl
     rooted = classes.select("set_key", "rep", "copies").join(tree.withColumnRenamed("node", "set_key"), "set_key", "left").join(counted, "set_key", "left")
     rooted = rooted.select("set_key", "rep", "copies", F.coalesce("root", "set_key").alias("root"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("n_text_links", F.lit(0)).alias("n_text_links"))
     rooted = written(rooted, "rooted")
-    least = rooted.groupBy("root").agg(F.min("rep").alias("class_id"))
-    known = rooted.join(least, "root").select("set_key", "class_id", (F.col("n_links") + F.col("copies") - 1).alias("n_links"), "n_text_links")
+    first = F.min_by("set_key", F.struct(F.col("rep").isNull(), "rep", "set_key"))
+    least = rooted.groupBy("root").agg(F.min("rep").alias("class_id"), first.alias("head"))
+    known = rooted.join(least, "root").select("set_key", "class_id", (F.col("set_key") == F.col("head")).alias("head"), (F.col("n_links") + F.col("copies") - 1).alias("n_links"), "n_text_links")
     return signed.select("doc_id", "set_key", "n_grams").join(known, "set_key", "left").select(
-        "doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), F.coalesce("n_text_links", F.lit(0).cast("long")).alias("n_text_links"), "n_grams"
+        "doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), F.coalesce("n_text_links", F.lit(0).cast("long")).alias("n_text_links"), "n_grams", "set_key", "head"
     )
 
 
-def one_of_each(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
+def jaccard_join(docs: DataFrame, threshold: float = 0.8, n: int = 5, recall: float = 0.9999) -> DataFrame:
+    """Of every row: doc_id, class_id (the least doc_id of all documents that hang together by links), n_links (linked
+    documents), n_text_links (linked different texts), n_grams."""
+    return _joined(docs, threshold, n, recall).drop("set_key", "head")
+
+
+def one_of_each(docs: DataFrame, threshold: float = 0.8, n: int = 5, recall: float = 0.9999) -> DataFrame:
     """The rows of ``docs`` whose document is the least of its class, one row for each; all columns kept."""
-    joined = jaccard_join(docs, threshold)
-    kept = without_ids(docs, joined.where("class_id <> doc_id").select("doc_id"))
-    twice = written(docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("doc_id").alias("_twice")), "repeated-ids")
-    if twice.isEmpty():
-        return kept
-    # ids that stand on several rows: those rows alone are compared once more
-    again = kept.join(twice, kept["doc_id"].eqNullSafe(twice["_twice"]), "left_semi").dropDuplicates(["doc_id", "text"])
-    once = kept.join(twice, kept["doc_id"].eqNullSafe(twice["_twice"]), "left_anti")
-    return once.unionByName(again)
+    joined = _joined(docs, threshold, n, recall)
+    odd = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 OR doc_id IS NULL")
+    odd = written(odd.select(F.col("doc_id").alias("_odd")), "odd-ids")
+    if odd.isEmpty():
+        return without_ids(docs, joined.where("class_id <> doc_id").select("doc_id"))
+    # null ids and ids on several rows don't say which row is meant: those rows are told apart by set key as well
+    once = without_ids(docs.join(odd, docs["doc_id"].eqNullSafe(odd["_odd"]), "left_anti"), joined.where("class_id <> doc_id").select("doc_id"))
+    heads = joined.where("head AND doc_id <=> class_id").select(F.col("doc_id").alias("_rep"), F.col("set_key").alias("_head"))
+    heads = written(heads.join(odd, F.col("_rep").eqNullSafe(F.col("_odd")), "left_semi").distinct(), "heads")
+    several = _keyed(docs.join(odd, docs["doc_id"].eqNullSafe(odd["_odd"]), "left_semi"), n)
+    key = several["set_key"]
+    stay = several.join(heads, (key == heads["_head"]) & several["doc_id"].cast("long").eqNullSafe(heads["_rep"]), "left_semi").unionByName(several.where("set_key IS NULL"))
+    # an empty text is its own class: only rows with the same id and text are one
+    alone = F.when(F.col("set_key").isNull(), F.col("text")).alias("_alone")
+    row = F.min_by(F.struct(*docs.columns), F.coalesce("text", F.lit("")))
+    return once.unionByName(stay.groupBy("doc_id", "set_key", alone).agg(row.alias("_row")).select("_row.*"))

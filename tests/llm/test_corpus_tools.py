@@ -168,6 +168,43 @@ def test_one_of_each_and_repeated_rows(spark):
     assert out.columns == docs.columns and sorted(r["doc_id"] for r in out.collect()) == [0, 2, 3]
 
 
+def unclear_ids():
+    """Rows (id, text): near copies with null ids, ids that stand on two texts, and texts without a near copy beside them."""
+    base = [[f"{g}{i}" for i in range(60)] for g in "abcdef"]
+    text = lambda g, last: " ".join([*base[g][:-1], last])
+    return [
+        (5, text(0, "u")), (5, text(1, "u")), (7, text(1, "v")), (8, text(0, "v")),
+        (None, text(2, "u")), (None, text(2, "v")), (None, text(3, "u")), (None, text(3, "u")), (3, text(3, "v")),
+        (9, text(4, "u")), (9, text(5, "u")), (None, text(5, "v")), (None, None), (11, ""),
+    ]
+
+
+@pytest.mark.parametrize(("block", "broadcast"), [(256, 1_000_000), (3, 0)])
+def test_join_with_null_ids_and_one_id_on_two_texts(spark, monkeypatch, block, broadcast):
+    monkeypatch.setattr(ngram_join, "BLOCK", block)
+    monkeypatch.setattr(ngram_join, "BROADCAST_ROWS", broadcast)
+    rows = unclear_ids()
+    roots, links = join_by_hand([t for _, t in rows])
+    ids = defaultdict(list)
+    for (i, _), r in zip(rows, roots, strict=True):
+        ids[r].append(i)
+    want = [(i, min((x for x in ids[r] if x is not None), default=None), links[k]) for k, ((i, _), r) in enumerate(zip(rows, roots, strict=True))]
+    got = ngram_join.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    assert Counter((r["doc_id"], r["class_id"], r["n_links"]) for r in got.collect()) == Counter(want)
+
+
+def test_one_of_each_with_null_ids_and_one_id_on_two_texts(spark):
+    rows = unclear_ids()
+    docs = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, kept string")
+    got = [(r["doc_id"], r["text"]) for r in ngram_join.one_of_each(docs).collect()]
+    roots, _ = join_by_hand([t for _, t in rows])
+    class_of = {row: root for row, root in zip(rows, roots, strict=True)}
+    assert sorted(class_of[row] for row in got) == sorted(set(roots))
+    for row in got:
+        mates = [i for (i, _), r in zip(rows, roots, strict=True) if r == class_of[row] and i is not None]
+        assert row[0] == min(mates, default=None)
+
+
 def test_bands_reach_the_recall():
     bands, rows = ngram_join.choose_bands(0.8, 0.9999)
     assert 1 - (1 - 0.8**rows) ** bands >= 0.9999 and bands * rows <= 128
