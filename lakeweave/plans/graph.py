@@ -94,7 +94,7 @@ def relation_cardinality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def network_value(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = graph.network_value(table(spark, sf_dir, "lineitem").where("l_partkey <= 200"), "l_partkey", "l_suppkey")
+    out = graph.network_value(table(spark, sf_dir, "lineitem"), "l_partkey", "l_suppkey")
     return out.select("l_partkey", "entities", "shared", F.round("value", 6).alias("value"))
 
 
@@ -107,7 +107,7 @@ def topology_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def lineage_hash_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = table(spark, sf_dir, "lineitem").where("l_orderkey <= 3000")
+    items = table(spark, sf_dir, "lineitem")
     content = lineage.canonical_json({"part": F.col("l_partkey"), "line": F.col("l_linenumber"), "supplier": F.col("l_suppkey")})
     chained = lineage.chain(items, "l_orderkey", ["l_linenumber", "l_partkey", "l_suppkey"], content)
     ends = chained.groupBy("l_orderkey").agg(F.max_by("hash", "step_index").alias("last_hash"))
@@ -117,7 +117,7 @@ def lineage_hash_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
 def lineage_step_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stand-alone step hashes, which SQL can recompute."""
     content = lineage.canonical_json({"part": F.col("l_partkey"), "line": F.col("l_linenumber")})
-    return table(spark, sf_dir, "lineitem").where("l_orderkey <= 3000").select("l_orderkey", F.sha2(F.concat(F.lit("0|"), content), 256).alias("hash"))
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", F.sha2(F.concat(F.lit("0|"), content), 256).alias("hash"))
 
 
 def asset_price(spark: SparkSession, sf_dir: str) -> DataFrame:
