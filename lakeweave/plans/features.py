@@ -30,7 +30,8 @@ def _nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _links(spark: SparkSession, sf_dir: str) -> DataFrame:
     ids = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("src"))
-    return ids.select("src", F.explode(F.array((F.col("src") * 7 + 1) % 500, (F.col("src") * 3 + 2) % 500)).alias("dst")).where("src <> dst").distinct()
+    ids = ids.crossJoin(F.broadcast(ids.agg(F.count(F.lit(1)).alias("n"))))
+    return ids.select("src", F.explode(F.array((F.col("src") * 7 + 1) % F.col("n"), (F.col("src") * 3 + 2) % F.col("n"))).alias("dst")).where("src <> dst").distinct()
 
 
 def sage_layer(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,7 +40,7 @@ def sage_layer(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def link_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = features.link_scores(_links(spark, sf_dir).where("src < 100"), _nodes(spark, sf_dir))
+    out = features.link_scores(_links(spark, sf_dir), _nodes(spark, sf_dir))
     return out.select("src", "dst", F.round("score", 6).alias("score"))
 
 

@@ -33,7 +33,7 @@ def _regions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def khop(spark: SparkSession, sf_dir: str) -> DataFrame:
-    seeds = table(spark, sf_dir, "supplier").where("s_suppkey <= 5").select(F.concat(F.lit("s"), F.col("s_suppkey")).alias("seed"))
+    seeds = table(spark, sf_dir, "supplier").select(F.concat(F.lit("s"), F.col("s_suppkey")).alias("seed"))
     both = graph.undirected(_edges(spark, sf_dir).select("src", "dst"))
     return graph.k_hop(both, seeds, 3).groupBy("seed", "hop").agg(F.count(F.lit(1)).alias("n"))
 
@@ -45,7 +45,7 @@ def lineage_downstream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def lineage_upstream(spark: SparkSession, sf_dir: str) -> DataFrame:
     back = _edges(spark, sf_dir).select(F.col("dst").alias("src"), F.col("src").alias("dst"), "confidence")
-    seeds = table(spark, sf_dir, "customer").where("c_custkey % 10 = 0").select(F.concat(F.lit("c"), F.col("c_custkey")).alias("seed"))
+    seeds = table(spark, sf_dir, "customer").select(F.concat(F.lit("c"), F.col("c_custkey")).alias("seed"))
     paths = graph.simple_paths(back, seeds, 5)
     return paths.select("seed", "node", "depth", F.round("confidence", 4).alias("confidence"))
 

@@ -58,7 +58,7 @@ def last_writes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def presence_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.when(F.col("event_type").isin("view", "signup"), "join").when(F.col("event_type") == "error", "leave").otherwise("edit")
-    e = table(spark, sf_dir, "events").where("user_id < 30").select((F.col("event_id") % 20).alias("resource"), "user_id", "ts", "event_id", kind.alias("kind"))
+    e = table(spark, sf_dir, "events").select((F.col("event_id") % 20).alias("resource"), "user_id", "ts", "event_id", kind.alias("kind"))
     out = collaboration.presence(e, "resource", "user_id", ["ts", "event_id"], "kind")
     return out.select("resource", F.array_join("users", ",").alias("users"), "n")
 

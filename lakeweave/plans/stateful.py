@@ -64,7 +64,7 @@ def trajectory(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _clocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events").where("user_id < 20").groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("n"))
+    e = table(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("n"))
     return e.groupBy("user_id").agg(F.map_from_entries(F.collect_list(F.struct("event_type", "n"))).alias("clock"))
 
 

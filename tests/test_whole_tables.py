@@ -15,6 +15,13 @@ WHOLE = {
     "network_value": [(" WHERE l_partkey <= 200", "")],
     "lineage_step_hashes": [(" WHERE l_orderkey <= 3000", "")],
     "lineage_hash_verify": [(" WHERE l_orderkey <= 3000", "")],
+    "khop": [(" WHERE s_suppkey <= 5", "")],
+    "lineage_upstream": [(" WHERE c_custkey % 10 = 0", "")],
+    "sage_layer": [("% 500", "% (SELECT count(*) FROM embeddings)")],
+    "link_score": [("% 500", "% (SELECT count(*) FROM embeddings)"), (" AND src < 100", "")],
+    "clock_merge": [(" WHERE user_id < 20", "")],
+    "clock_compare": [(" WHERE user_id < 20", "")],
+    "presence_list": [("user_id < 30 AND ", "")],
 }
 
 
