@@ -190,7 +190,7 @@ def sensitivity_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def context_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "conversations")
-    block = prompting.context_block(F.col("turn"), F.col("role"), F.lit(None).cast("string"), F.col("turn") / 8, F.substring("text", 1, 40), F.lit("note"))
+    block = prompting.context_block(F.col("turn"), F.col("role"), F.lit(None).cast("string"), F.col("turn") / 8, F.col("text"), F.lit("note"))
     return c.select("conv_id", F.col("turn").alias("t"), block.alias("b")).groupBy("conv_id").agg(F.md5(prompting.context_text(F.col("t"), F.col("b"))).alias("hash"))
 
 

@@ -34,7 +34,7 @@ def listing_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def query_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "benchmark").select("item_id", F.array_join(safety.query_terms(F.substring("text", 1, 60)), ",").alias("terms"))
+    return table(spark, sf_dir, "benchmark").select("item_id", F.array_join(safety.query_terms(F.col("text")), ",").alias("terms"))
 
 
 def endpoint_limits(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,6 +22,7 @@ WHOLE = {
     "clock_merge": [(" WHERE user_id < 20", "")],
     "clock_compare": [(" WHERE user_id < 20", "")],
     "presence_list": [("user_id < 30 AND ", "")],
+    "context_texts": [("substring(text, 1, 40)", "text")],
 }
 
 
@@ -47,3 +48,8 @@ def test_whole_table(spark, wide, name):
     for cut, whole in WHOLE[name]:
         sql = sql.replace(cut, whole)
     same(QUERIES[name](spark, wide), connection(wide).sql(sql))
+
+
+def test_query_terms_read_the_whole_text(spark, tmp_path):
+    spark.createDataFrame([(1, "- " * 40 + "late words"), (2, "short")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert {r["item_id"]: r["terms"] for r in QUERIES["query_terms"](spark, str(tmp_path)).collect()} == {1: "late,words", 2: "short"}
