@@ -81,7 +81,7 @@ def similar_pairs_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = b.select("item_id", F.size("s").alias("n_item"), F.explode("s").alias("g"))
     docs = d.select("doc_id", F.size("s").alias("n_doc"), F.explode("s").alias("g"))
     shared = docs.join(items, "g").groupBy("doc_id", "item_id").agg(F.count(F.lit(1)).alias("both"), F.first("n_item").alias("n_item"), F.first("n_doc").alias("n_doc"))
-    return shared.where("both >= 5").select("doc_id", "item_id", F.round(F.col("both") / (F.col("n_item") + F.col("n_doc") - F.col("both")), 6).alias("jaccard"))
+    return shared.select("doc_id", "item_id", F.round(F.col("both") / (F.col("n_item") + F.col("n_doc") - F.col("both")), 6).alias("jaccard"))
 
 
 def chunk_text_stats(spark: SparkSession, sf_dir: str) -> DataFrame:

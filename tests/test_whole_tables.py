@@ -23,6 +23,7 @@ WHOLE = {
     "clock_compare": [(" WHERE user_id < 20", "")],
     "presence_list": [("user_id < 30 AND ", "")],
     "context_texts": [("substring(text, 1, 40)", "text")],
+    "similar_pairs_jaccard": [(" HAVING count(*) >= 5", "")],
 }
 
 
@@ -53,3 +54,9 @@ def test_whole_table(spark, wide, name):
 def test_query_terms_read_the_whole_text(spark, tmp_path):
     spark.createDataFrame([(1, "- " * 40 + "late words"), (2, "short")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert {r["item_id"]: r["terms"] for r in QUERIES["query_terms"](spark, str(tmp_path)).collect()} == {1: "late,words", 2: "short"}
+
+
+def test_a_pair_that_shares_one_trigram_is_reported(spark, tmp_path):
+    spark.createDataFrame([(1, "one two three")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(8, "one two three"), (9, "four five six")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert [tuple(r) for r in QUERIES["similar_pairs_jaccard"](spark, str(tmp_path)).collect()] == [(8, 1, 1.0)]
