@@ -1,4 +1,4 @@
-"""Vector clocks as maps from agent to sequence number."""
+"""Vector clocks as maps from actor to sequence number."""
 
 from __future__ import annotations
 
@@ -6,14 +6,14 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def increment(clock: Column, agent: Column) -> Column:
-    """One more at the agent's key."""
-    now = F.coalesce(F.try_element_at(clock, agent), F.lit(0).cast("long"))
-    return F.map_concat(F.map_filter(clock, lambda k, v: k != agent), F.create_map(agent, now + 1))
+def increment(clock: Column, actor: Column) -> Column:
+    """One more at the actor's key."""
+    now = F.coalesce(F.try_element_at(clock, actor), F.lit(0).cast("long"))
+    return F.map_concat(F.map_filter(clock, lambda k, v: k != actor), F.create_map(actor, now + 1))
 
 
 def merge(a: Column, b: Column) -> Column:
-    """The greater number of each agent."""
+    """The greater number of each actor."""
     return F.map_zip_with(a, b, lambda k, x, y: F.greatest(F.coalesce(x, F.lit(0).cast("long")), F.coalesce(y, F.lit(0).cast("long"))))
 
 

@@ -94,10 +94,10 @@ def blended(vectors: DataFrame, graph: DataFrame, key: str, graph_weight: float)
 
 
 def event_graph(events: DataFrame, order: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Agents as vertices (session, agent, events, first) and one edge for every event, to the agent before it in its session."""
-    agents = events.groupBy("session", "agent").agg(F.count(F.lit(1)).alias("events"), F.min(order[0]).alias("first"))
-    before = F.lag("agent").over(Window.partitionBy("session").orderBy(*order))
-    return agents, events.select("session", F.col("agent").alias("src"), before.alias("dst"), "kind", *order)
+    """Actors as vertices (session, actor, events, first) and one edge for every event, to the actor before it in its session."""
+    actors = events.groupBy("session", "actor").agg(F.count(F.lit(1)).alias("events"), F.min(order[0]).alias("first"))
+    before = F.lag("actor").over(Window.partitionBy("session").orderBy(*order))
+    return actors, events.select("session", F.col("actor").alias("src"), before.alias("dst"), "kind", *order)
 
 
 _ITEM = "source:string,source_name:string,src:string,target:string,target_name:string,dst:string,name:string,fact:string,confidence:double"

@@ -1,4 +1,4 @@
-"""Agent memory as tables: preferences, memories with expiry, sessions and their cleaning, step checkpoints, recall."""
+"""Memory of a participant as tables: preferences, memories with expiry, sessions and their cleaning, step checkpoints, recall."""
 
 from __future__ import annotations
 

@@ -111,12 +111,12 @@ def debits(rows: DataFrame, account: str, order: list[str], cents: str, start: i
     return ordered_fold(rows, account, order, lambda: {"balance": start}, step, [cents], "accepted boolean, balance long")
 
 
-def auction(bids: DataFrame, session: str, order: list[str], price: str, agent: str) -> DataFrame:
+def auction(bids: DataFrame, session: str, order: list[str], price: str, actor: str) -> DataFrame:
     """Of each session: bids, those that raised the highest, the highest price and who first offered it."""
     w = Window.partitionBy(session).orderBy(*order)
     before = F.max(price).over(w.rowsBetween(Window.unboundedPreceding, -1))
     raised = bids.withColumn("_raise", (F.col(price) > F.coalesce(before, F.lit(float("-inf")))).cast("long"))
-    top = F.max_by(agent, F.when(F.col("_raise") == 1, F.struct(price)))
+    top = F.max_by(actor, F.when(F.col("_raise") == 1, F.struct(price)))
     return raised.groupBy(session).agg(F.count(F.lit(1)).alias("bids"), F.sum("_raise").alias("raises"), F.max(price).alias("highest"), top.alias("winner"))
 
 

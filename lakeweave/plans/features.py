@@ -92,14 +92,14 @@ def html_to_text_parser(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (node_features, zscore, sage_layer, link_score, train_split, chunk_section_pack, chunk_fixed_overlap, chunk_sliding, chunk_routed, stream_window_counts, stream_token_bucket, html_to_text_parser)}
 
 _COS = "(list_sum(list_transform(range(1, 65), lambda i: a.embedding[i]::DOUBLE * b.embedding[i]::DOUBLE)) / (sqrt(list_sum(list_transform(a.embedding, lambda x: x::DOUBLE * x::DOUBLE))) * sqrt(list_sum(list_transform(b.embedding, lambda x: x::DOUBLE * x::DOUBLE)))))"
-_LINKS = "l AS (SELECT DISTINCT vec_id AS src, unnest([(vec_id * 7 + 1) % 500, (vec_id * 3 + 2) % 500]) AS dst FROM embeddings)"
+_LINKS = "l AS (SELECT DISTINCT vec_id AS src, unnest([(vec_id * 7 + 1) % (SELECT count(*) FROM embeddings), (vec_id * 3 + 2) % (SELECT count(*) FROM embeddings)]) AS dst FROM embeddings)"
 ORACLE_SQL = {
     "node_features": f"""
 WITH p AS (SELECT [{', '.join(f"(event_type = '{t}')::INT::DOUBLE" for t in TYPES)}, value,
 {', '.join(f'{f}(2 * pi() * {p})' for p in ('(month(ts) - 1) / 12', '(day(ts) - 1) / 31', 'hour(ts) / 24') for f in ('sin', 'cos'))}] AS x FROM events),
 u AS (SELECT unnest(range(0, 12)) AS k, unnest(x) AS x FROM p) SELECT CAST(k AS INTEGER) AS k, round(avg(x), 6) AS mean FROM u GROUP BY 1""",
     "zscore": "SELECT p_partkey, round((p_size - avg(p_size) OVER ()) / stddev_pop(p_size) OVER (), 6) AS p_size_z, round((p_retailprice - avg(p_retailprice) OVER ()) / stddev_pop(p_retailprice) OVER (), 6) AS p_retailprice_z FROM part",
-    "link_score": f"WITH {_LINKS} SELECT src, dst, round(({_COS} + 1) / 2, 6) AS score FROM l JOIN embeddings a ON a.vec_id = src JOIN embeddings b ON b.vec_id = dst WHERE src <> dst AND src < 100",
+    "link_score": f"WITH {_LINKS} SELECT src, dst, round(({_COS} + 1) / 2, 6) AS score FROM l JOIN embeddings a ON a.vec_id = src JOIN embeddings b ON b.vec_id = dst WHERE src <> dst",
     "sage_layer": f"""
 WITH {_LINKS}, s AS (SELECT dst, k, avg(x) AS m FROM (SELECT dst, unnest(range(1, 65)) AS k, unnest(embedding)::DOUBLE AS x FROM l JOIN embeddings ON vec_id = src WHERE src <> dst) GROUP BY 1, 2),
 n AS (SELECT vec_id, unnest(range(1, 65)) AS k, unnest(embedding)::DOUBLE AS x FROM embeddings),

@@ -144,11 +144,11 @@ UNION ALL SELECT p.seed, e.dst, p.depth + 1, list_append(p.path, e.dst), p.c * e
 ORACLE_SQL = {
     "khop": f"""
 WITH RECURSIVE {_EDGES}, u AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e),
-h AS (SELECT 's' || s_suppkey AS seed, 's' || s_suppkey AS node, 0 AS hop FROM supplier WHERE s_suppkey <= 5 UNION SELECT seed, dst, hop + 1 FROM h JOIN u ON node = src WHERE hop < 3),
+h AS (SELECT 's' || s_suppkey AS seed, 's' || s_suppkey AS node, 0 AS hop FROM supplier UNION SELECT seed, dst, hop + 1 FROM h JOIN u ON node = src WHERE hop < 3),
 m AS (SELECT seed, node, min(hop) AS hop FROM h GROUP BY 1, 2) SELECT seed, hop, count(*) AS n FROM m GROUP BY 1, 2""",
     "lineage_downstream": f"WITH RECURSIVE {_EDGES}, {_PATHS.format(0.6, 5)} SELECT seed, node, depth, array_to_string(path, '>') AS path, round(c, 4) AS confidence FROM p WHERE depth > 0",
     "lineage_upstream": f"""
-WITH RECURSIVE {_EDGES}, p AS (SELECT 'c' || c_custkey AS seed, 'c' || c_custkey AS node, 0 AS depth, 1.0::DOUBLE AS c FROM customer WHERE c_custkey % 10 = 0
+WITH RECURSIVE {_EDGES}, p AS (SELECT 'c' || c_custkey AS seed, 'c' || c_custkey AS node, 0 AS depth, 1.0::DOUBLE AS c FROM customer
 UNION ALL SELECT p.seed, e.src, p.depth + 1, p.c * e.c FROM p JOIN e ON p.node = e.dst WHERE p.depth < 5) SELECT seed, node, depth, round(c, 4) AS confidence FROM p WHERE depth > 0""",
     "impact_report": f"""
 WITH RECURSIVE {_EDGES}, {_PATHS.format(0, 5)}, g AS (SELECT seed, count(DISTINCT node) AS affected, CAST(count(*) FILTER (c >= 0.8) AS BIGINT) AS critical, avg(c) AS m FROM p WHERE depth > 0 GROUP BY 1),
@@ -164,7 +164,7 @@ SELECT seed, affected, critical, round(x, 6) AS risk, CASE WHEN x > 0.7 THEN 'hi
 WITH e AS (SELECT user_id, event_type, json_extract_string(props, '$.k') AS k FROM events), n AS (SELECT user_id, event_type, count(DISTINCT k) AS t FROM e GROUP BY 1, 2)
 SELECT CASE WHEN t > 1 THEN 'many' ELSE 'one' END AS cardinality, count(*) AS n FROM e JOIN n USING (user_id, event_type) GROUP BY 1""",
     "network_value": """
-WITH p AS (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem WHERE l_partkey <= 200), h AS (SELECT l_suppkey, count(*) AS h FROM p GROUP BY 1),
+WITH p AS (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem), h AS (SELECT l_suppkey, count(*) AS h FROM p GROUP BY 1),
 g AS (SELECT l_partkey, count(*) AS entities, CAST(sum(h - 1) AS BIGINT) AS shared FROM p JOIN h USING (l_suppkey) GROUP BY 1)
 SELECT *, round(entities * 10 / (1 + 0.1::DOUBLE * shared), 6) AS value FROM g""",
     "topology_features": """
@@ -173,10 +173,10 @@ p AS (SELECT DISTINCT a.user_id AS a, b.user_id AS b FROM e a JOIN e b ON a.k =
 d AS (SELECT a AS id, count(*) AS degree FROM u GROUP BY 1),
 t AS (SELECT x.a AS id, count(*) // 2 AS triangles FROM u x JOIN u y ON x.b = y.a JOIN u z ON y.b = z.a AND z.b = x.a GROUP BY 1)
 SELECT id, degree, coalesce(triangles, 0) AS triangles, round(CASE WHEN degree > 1 THEN 2 * coalesce(triangles, 0) / (degree * (degree - 1)) ELSE 0 END, 6) AS clustering FROM d LEFT JOIN t USING (id)""",
-    "lineage_step_hashes": """SELECT l_orderkey, sha256('0|{"line":"' || l_linenumber || '","part":"' || l_partkey || '"}') AS hash FROM lineitem WHERE l_orderkey <= 3000""",
+    "lineage_step_hashes": """SELECT l_orderkey, sha256('0|{"line":"' || l_linenumber || '","part":"' || l_partkey || '"}') AS hash FROM lineitem""",
     "lineage_hash_verify": """
 WITH RECURSIVE i AS (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS k,
-'{"line":"' || l_linenumber || '","part":"' || l_partkey || '","supplier":"' || l_suppkey || '"}' AS c FROM lineitem WHERE l_orderkey <= 3000),
+'{"line":"' || l_linenumber || '","part":"' || l_partkey || '","supplier":"' || l_suppkey || '"}' AS c FROM lineitem),
 h AS (SELECT l_orderkey, k, sha256('0|' || c) AS hash FROM i WHERE k = 1 UNION ALL SELECT i.l_orderkey, i.k, sha256(h.hash || '|' || c) FROM h JOIN i ON i.l_orderkey = h.l_orderkey AND i.k = h.k + 1)
 SELECT l_orderkey, count(*) AS steps, true AS intact, max_by(hash, k) AS last_hash FROM h GROUP BY 1""",
     "asset_price": """

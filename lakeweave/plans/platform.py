@@ -140,7 +140,7 @@ def blended_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def event_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("session"), F.col("event_type").alias("agent"), F.lit("event").alias("kind"), "ts", "event_id")
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("session"), F.col("event_type").alias("actor"), F.lit("event").alias("kind"), "ts", "event_id")
     _, edges = communities.event_graph(e, ["ts", "event_id"])
     return edges.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
 
@@ -283,7 +283,7 @@ SELECT p_partkey, CASE WHEN k = 2 THEN 'high' WHEN k = 1 OR price / market > 2 O
     "sensitivity_levels": """
 SELECT n_nationkey, ['low', 'medium', 'high', 'critical'][greatest([3, 2, 1, 0][n_nationkey % 4 + 1], CASE WHEN n_nationkey % 2 = 0 THEN 1 ELSE 0 END, CASE WHEN n_nationkey % 3 = 0 THEN 2 ELSE 0 END) + 1] AS level FROM nation""",
     "context_texts": """
-WITH b AS (SELECT conv_id, turn, printf('[%d] %s | section=- | score=%.4f', turn, role, turn / 8.0::DOUBLE) || chr(10) || substring(text, 1, 40) || CASE WHEN contains(substring(text, 1, 40), 'note') THEN '' ELSE chr(10) || 'Evidence: note' END AS b FROM conversations WHERE turn <= 12)
+WITH b AS (SELECT conv_id, turn, printf('[%d] %s | section=- | score=%.4f', turn, role, turn / 8.0::DOUBLE) || chr(10) || text || CASE WHEN contains(text, 'note') THEN '' ELSE chr(10) || 'Evidence: note' END AS b FROM conversations WHERE turn <= 12)
 SELECT conv_id, md5(string_agg(b, chr(10) || chr(10) ORDER BY turn)) AS hash FROM b GROUP BY 1""",
     "rerank_texts": "SELECT p_partkey, 'Document: ' || p_name || CASE WHEN p_size > 25 THEN chr(10) || 'Section: ' || p_type ELSE '' END || chr(10) || 'Body:' || chr(10) || p_brand || chr(10) || 'Channels: vector, graph' AS text FROM part",
     "redacted_payloads": """SELECT event_id, '{"id": ' || event_id || ', "user": {"Email_1": "***REDACTED***", "n": [{"token": "***REDACTED***"}]}, "note": "email"}' AS payload FROM events""",

@@ -71,7 +71,7 @@ def _clocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def clock_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = _clocks(spark, sf_dir)
     b = a.select((F.col("user_id") - 1).alias("user_id"), F.col("clock").alias("other"))
-    merged = a.join(b, "user_id").select("user_id", F.explode(clock.merge(F.col("clock"), F.col("other"))).alias("agent", "n"))
+    merged = a.join(b, "user_id").select("user_id", F.explode(clock.merge(F.col("clock"), F.col("other"))).alias("actor", "n"))
     return merged
 
 
@@ -83,7 +83,7 @@ def clock_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (token_bucket, rate_limit_sliding, circuit_breaker, adaptive_rate, ledger_debits, auction_state, negotiation_fold, memory_recent, memory_context, trajectory, clock_merge, clock_compare)}
 
-_CLOCKS = "c AS (SELECT user_id, event_type, count(*) AS n FROM events WHERE user_id < 20 GROUP BY 1, 2)"
+_CLOCKS = "c AS (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY 1, 2)"
 ORACLE_SQL = {
     "auction_state": """
 WITH b AS (SELECT event_id % 40 AS session, value, user_id, value > coalesce(max(value) OVER (PARTITION BY event_id % 40 ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '-inf'::DOUBLE) AS up FROM events)
@@ -98,6 +98,6 @@ SELECT *, CASE WHEN ended_by = 'ACCEPT' THEN 'accepted' WHEN ended_by IS NOT NUL
     "memory_context": "SELECT conv_id, count(*) AS messages, CAST(sum(length(text) // 2) AS BIGINT) AS tokens, sum(length(text) // 2) > 500 AS overflow FROM conversations GROUP BY 1",
     "trajectory": "SELECT conv_id, string_agg(role, ',' ORDER BY turn) AS roles FROM conversations GROUP BY 1",
     "clock_merge": f"""WITH {_CLOCKS}, p AS (SELECT user_id, event_type, n FROM c WHERE user_id + 1 IN (SELECT user_id FROM c) UNION ALL SELECT user_id - 1, event_type, n FROM c WHERE user_id - 1 IN (SELECT user_id FROM c))
-SELECT user_id, event_type AS agent, max(n) AS n FROM p GROUP BY 1, 2""",
+SELECT user_id, event_type AS actor, max(n) AS n FROM p GROUP BY 1, 2""",
     "clock_compare": f"WITH {_CLOCKS} SELECT DISTINCT user_id, -1 AS before, 1 AS after, 'concurrent' AS same FROM c",
 }

@@ -128,6 +128,6 @@ SELECT round(c, 6) AS completeness, round(u, 6) AS uniqueness, round(0.25::DOUBL
     "similar_pairs_jaccard": f"""
 WITH b AS {_SHINGLES.format('item_id', 'benchmark')}, d AS {_SHINGLES.format('doc_id', 'documents')},
 x AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM d), y AS (SELECT item_id, len(s) AS n, unnest(s) AS g FROM b)
-SELECT doc_id, item_id, round(count(*) / (any_value(x.n) + any_value(y.n) - count(*)), 6) AS jaccard FROM x JOIN y USING (g) GROUP BY 1, 2 HAVING count(*) >= 5""",
+SELECT doc_id, item_id, round(count(*) / (any_value(x.n) + any_value(y.n) - count(*)), 6) AS jaccard FROM x JOIN y USING (g) GROUP BY 1, 2""",
     "chunk_text_stats": "SELECT round(avg(length(text)), 4) AS mean, round(stddev_samp(length(text)), 4) AS std, min(length(text)) AS least, max(length(text)) AS most FROM documents",
 }
