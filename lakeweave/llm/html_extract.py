@@ -1,13 +1,19 @@
 """Main-text extraction by tag-path ratios.
 
-A page becomes text blocks, each under its root-to-leaf path of block elements. For each path of a page, text length
-and punctuation are summed over its blocks and divided by the number of blocks; both ratios are smoothed over the
-blocks in page order and fused by their product, less the share of link text. Paths over a threshold relative to the
-page's spread are content; a path that shares its parent with a content path and isn't mostly links belongs to the same
-text. Elements that by name, role, class or id are menus, headers, footers, sidebars, notices, adverts, forms, scripts,
-styles or reader comments have no weight.
-
-Null or empty HTML gives an empty text. Every row of the input gives one row, repeated rows too.
+A page becomes text blocks, each under its root-to-leaf path of block elements. For each path of a page:
+
+1. Text length (without link text) and punctuation are summed over its blocks; the two sums, one of them divided by the
+   number of blocks, are fused by their product. A path of many long, punctuated blocks gets a high ratio, a menu none.
+2. Ratios are smoothed over the neighbouring paths in page order. A path takes from those in the same container element;
+   what lies further out counts less by ``OUTWARD`` a level, and nothing is taken across the element that holds all blocks.
+   So headings and lists rise with the paragraphs around them, and a footer doesn't.
+3. The smoothed ratio is multiplied by the share of text outside links, squared, and by a prior weight of the path's
+   names, roles and classes (menus, headers, footers, sidebars, notices, adverts, forms, reader comments: less; article
+   and main: more). The prior of an element fades when it holds most of the page's text.
+4. Paths whose value is at least ``threshold`` of the page's mean (over characters, by prior) are content.
+
+Elements that no reader sees (scripts, styles, hidden ones) have no text. Null or empty HTML gives an empty text. Every
+row of the input gives one row, repeated rows too; an empty table gives none; columns not named in ``keep`` are dropped.
 """
 
 from __future__ import annotations
@@ -17,7 +23,6 @@ import re
 from collections import Counter, defaultdict
 from dataclasses import dataclass
 
-import numpy as np
 from pyspark.sql import DataFrame
 
 from .common import small_batches, tidied
@@ -33,7 +38,8 @@ CLOSES_P = frozenset(
 )
 SAME_LEVEL = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 SCOPES = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table", "tbody", "thead", "tfoot"), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select",)}
-WITHOUT_WEIGHT = frozenset("head nav header footer aside form menu select button dialog template svg canvas object audio video math datalist figcaption".split())
+#: Elements, roles, and words of classes and ids that lessen the prior of what they hold.
+SELDOM_TEXT = frozenset("nav header footer aside form menu select button dialog datalist".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar toolbar alertdialog".split())
 MARKS = frozenset(
     "ad ads advert adverts advertisement advertising adbox sponsor sponsored promo promotion banner cookie cookies consent notice notices gdpr popup modal overlay"
@@ -41,45 +47,62 @@ MARKS = frozenset(
     " disqus reply replies respond share sharing social related recommended newsletter subscribe subscription signup login pagination pager toolbar skip form".split()
 )
 MAIN_TEXT = frozenset("article main articlebody maincontent".split())
+#: Elements without text of their own for a reader.
+UNSEEN = frozenset("head template svg canvas object audio video math".split())
+#: Elements that hold text, or parts of lists and tables: no containers of the smoothing.
+TEXT_LEVEL = frozenset("p h1 h2 h3 h4 h5 h6 hgroup ul ol li dl dt dd table thead tbody tfoot tr td th caption blockquote pre figure figcaption address details summary center".split())
+#: Prior weights of an element that seldom holds main text, and of one that mostly does.
+SELDOM, MOSTLY = 0.002, 3.0
+#: Weights of the runs at each distance.
+KERNEL = (1.0, 0.95, 0.8, 0.61, 0.41)
+OUTWARD = 0.6
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*+)(?:>|[^>]*(?:>|\Z))", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/\"']+)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _NAME_PARTS = re.compile(r"[^a-z0-9]+")
-_PUNCTUATION = re.compile(r"[.,;:!?…。，；：！？、]")
+#: A mark that ends a clause: dots within names and numbers don't count.
+_PUNCTUATION = re.compile(r"[.,;:!?…](?=[\s\"'”’»)\]]|$)|[。，；：！？、]")
 
 
 @dataclass
 class Block:
+    """A text block: its path, the elements around it (numbers, outermost first), and the containers among them."""
+
     path: tuple[str, ...]
     text: str
     link_chars: int
-    dead: bool
-    in_main: bool
+    inside: tuple[int, ...]
+    containers: tuple[int, ...]
 
 
 @dataclass
 class _Element:
     name: str
     step: str
-    dead: bool
+    number: int
+    seen: bool
     in_main: bool
 
 
-def _open(name: str, raw: str, parent: _Element | None) -> _Element:
+def _open(name: str, raw: str, parent: _Element | None, priors: list[tuple[float, str]]) -> _Element:
     found = {m[1].lower(): entities.unescape(m[2] or m[3] or m[4] or "") for m in _ATTRIBUTE.finditer(raw)} if raw.strip(" /") else {}
-    label = f"{found.get('class', '')} {found.get('id', '')}".lower()
-    parts = [p for p in _NAME_PARTS.split(label) if p]
-    main_here = name in ("article", "main") or "".join(found.get("itemprop", "").lower().split()) in MAIN_TEXT or found.get("role", "").lower() == "main"
-    in_main = bool(parent and parent.in_main) or main_here
-    dead = bool(parent and parent.dead) or (name in WITHOUT_WEIGHT and not (name == "header" and parent is not None and parent.in_main)) or found.get("role", "").lower() in ROLES
-    dead |= "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "").lower()
-    dead |= name not in ("html", "body") and any(p in MARKS for p in parts)
-    return _Element(name, ".".join([name, *parts]), dead, in_main)
-
-
-def blocks(page: str) -> list[Block]:
-    """The text blocks of a page in page order."""
+    role = found.get("role", "").lower()
+    parts = [p for p in _NAME_PARTS.split(f"{found.get('class', '')} {found.get('id', '')}".lower()) if p]
+    seen = name not in UNSEEN and "hidden" not in found and found.get("aria-hidden") != "true" and "display:none" not in found.get("style", "").replace(" ", "").lower()
+    prior, in_main = 1.0, parent is not None and parent.in_main
+    if name not in ("html", "body", *INLINE):
+        if name in ("article", "main") or "".join(found.get("itemprop", "").lower().split()) in MAIN_TEXT or role == "main":
+            prior = MOSTLY
+        elif name != "header" and name in SELDOM_TEXT or role in ROLES or any(p in MARKS and p != "header" for p in parts) or (not in_main and "header" in (name, *parts)):
+            prior = SELDOM
+    priors.append((prior, name))
+    return _Element(name, ".".join([name, *parts]), len(priors) - 1, seen and (parent is None or parent.seen), in_main or prior > 1)
+
+
+def blocks(page: str) -> tuple[list[Block], list[tuple[float, str]]]:
+    """The text blocks of a page in page order, and the prior weight and name of each element by number."""
     out: list[Block] = []
+    priors: list[tuple[float, str]] = []
     stack: list[_Element] = []
     text: list[str] = []
     opened: Counter[str] = Counter()
@@ -90,19 +113,18 @@ def blocks(page: str) -> list[Block]:
         if text:
             joined = " ".join(entities.unescape("".join(text)).split())
             if joined:
-                path = tuple(e.step for e in stack if e.name not in INLINE)
-                top = stack[-1] if stack else None
-                out.append(Block(path, joined, links, bool(top and top.dead), bool(top and top.in_main)))
+                around = [e for e in stack if e.name not in INLINE]
+                boxes = tuple(e.number for e in around if e.name not in TEXT_LEVEL)
+                out.append(Block(tuple(e.step for e in around), joined, min(links, len(joined)), tuple(e.number for e in around), boxes))
             text.clear()
         links = 0
 
     def said(piece: str) -> None:
         nonlocal links
-        top = stack[-1] if stack else None
-        if not (top and top.dead and top.name in INLINE and any(not e.dead for e in stack if e.name not in INLINE)):
+        if not stack or stack[-1].seen:
             text.append(piece)
             if opened["a"]:
-                links += len(piece.strip())
+                links += len(" ".join(piece.split()))
 
     def close(k: int) -> None:
         if any(e.name not in INLINE for e in stack[k:]):
@@ -162,53 +184,81 @@ def blocks(page: str) -> list[Block]:
         if name not in INLINE:
             end_block()
         if not m[3].rstrip().endswith("/") or name not in ("svg", "path"):
-            stack.append(_open(name, m[3], stack[-1] if stack else None))
+            stack.append(_open(name, m[3], stack[-1] if stack else None, priors))
             opened[name] += 1
     end_block()
-    return out
-
-
-def _smooth(values: np.ndarray) -> np.ndarray:
-    kernel = np.array([0.05, 0.25, 0.4, 0.25, 0.05])
-    padded = np.pad(values, 2, mode="edge")
-    return np.convolve(padded, kernel, mode="valid")
-
-
-def content_paths(found: list[Block], spread: float = 0.2) -> set[tuple[str, ...]]:
-    """Paths whose fused ratio is over ``spread`` standard deviations of the page's, and their siblings."""
-    live = [b for b in found if not b.dead]
-    if any(b.in_main for b in live):
-        live = [b for b in live if b.in_main]
-    if not live:
-        return set()
-    chars, marks, links, number = defaultdict(int), defaultdict(int), defaultdict(int), defaultdict(int)
-    for b in live:
+    return out, priors
+
+
+def _prior_weights(found: list[Block], priors: list[tuple[float, str]]) -> list[float]:
+    """The prior of each block: the least and the greatest of its elements. A low one fades where its element holds over
+    three quarters of the text of the page's articles (of its main elements, of the page, where there are none)."""
+    kinds = [{priors[e][1] for e in b.inside if priors[e][0] > 1} for b in found]
+    anchor = next((k for k in ("article", "main") if any(k in x for x in kinds)), None)
+    held: Counter[int] = Counter()
+    total = 0
+    for b, x in zip(found, kinds, strict=True):
+        if anchor is None or anchor in x:
+            total += len(b.text) - b.link_chars
+            for e in b.inside:
+                held[e] += len(b.text) - b.link_chars
+    weight = [p ** min(1.0, 4 * (1 - held[e] / max(total, 1))) if p < 1 else p for e, (p, _) in enumerate(priors)]
+    return [min([1.0, *(weight[e] for e in b.inside)]) * max([1.0, *(weight[e] for e in b.inside)]) for b in found]
+
+
+def path_ratios(found: list[Block]) -> dict[tuple[str, ...], tuple[float, float]]:
+    """Of each path: the fused ratio of its text length and punctuation, and its share of text outside links."""
+    chars, links, marks, number = Counter(), Counter(), Counter(), Counter()
+    for b in found:
         chars[b.path] += len(b.text)
-        marks[b.path] += 1 + len(_PUNCTUATION.findall(b.text))
         links[b.path] += b.link_chars
+        marks[b.path] += len(_PUNCTUATION.findall(b.text))
         number[b.path] += 1
-    length = _smooth(np.array([chars[b.path] / number[b.path] for b in live]))
-    points = _smooth(np.array([marks[b.path] / number[b.path] for b in live]))
-    own = np.array([1 - min(1.0, links[b.path] / chars[b.path]) for b in live])
-    fused = np.log1p(length * points * own)
-    by_path: dict[tuple[str, ...], float] = {}
-    for b, f in zip(live, fused.tolist(), strict=True):
-        by_path[b.path] = max(by_path.get(b.path, 0.0), f)
-    values = np.array(list(by_path.values()))
-    threshold = min(spread * fused.std() + 0.5 * fused.mean(), values.max())
-    chosen = {p for p, f in by_path.items() if f >= threshold and links[p] <= 0.6 * chars[p]}
-    parents = {p[:-1] for p in chosen} | {p for p in chosen}
-    beside = {p for p in by_path if any(p[:n] in parents for n in range(max(1, len(p) - 3), len(p) + 1)) and links[p] <= 0.6 * chars[p]}
-    return chosen | beside
+    return {p: ((chars[p] - links[p]) * (1 + marks[p] / number[p]), 1 - links[p] / chars[p]) for p in chars}
+
+
+def _smoothed(found: list[Block], ratios: dict[tuple[str, ...], tuple[float, float]]) -> dict[tuple[str, ...], float]:
+    """The greatest smoothed ratio of each path over its runs in page order."""
+    runs = [b for k, b in enumerate(found) if not k or b.path != found[k - 1].path or b.containers != found[k - 1].containers]
+    depth = 0  # containers that hold every block
+    while all(len(b.containers) > depth and b.containers[depth] == runs[0].containers[depth] for b in runs):
+        depth += 1
+    out: dict[tuple[str, ...], float] = {}
+    for i, b in enumerate(runs):
+        total = weight = 0.0
+        for j in range(max(0, i - len(KERNEL) + 1), min(len(runs), i + len(KERNEL))):
+            common = 0
+            for x, y in zip(b.containers, runs[j].containers, strict=False):
+                if x != y:
+                    break
+                common += 1
+            levels = len(b.containers) - common
+            if levels and common <= depth:
+                continue
+            kernel = KERNEL[abs(i - j)]
+            total += kernel * OUTWARD**levels * ratios[runs[j].path][0]
+            weight += kernel
+        out[b.path] = max(out.get(b.path, 0.0), total / weight)
+    return out
+
+
+def content_blocks(found: list[Block], priors: list[tuple[float, str]], threshold: float = 0.25) -> list[bool]:
+    """Whether each block is content: its path's smoothed ratio, by link share and prior, against the page's mean."""
+    if not found:
+        return []
+    ratios = path_ratios(found)
+    smooth, weights = _smoothed(found, ratios), _prior_weights(found, priors)
+    value = [smooth[b.path] * ratios[b.path][1] ** 2 * w for b, w in zip(found, weights, strict=True)]
+    share = [len(b.text) * min(1.0, w) for b, w in zip(found, weights, strict=True)]
+    mean = sum(v * s for v, s in zip(value, share, strict=True)) / sum(share)
+    return [v > 0 and v >= threshold * mean for v in value]
 
 
 def main_text(page: str | None) -> str:
     if not page:
         return ""
-    found = blocks(page)
-    live_main = any(b.in_main and not b.dead for b in found)
-    kept = content_paths(found)
-    return "\n".join(b.text for b in found if not b.dead and b.path in kept and (b.in_main or not live_main))
+    found, priors = blocks(page)
+    return "\n".join(b.text for b, kept in zip(found, content_blocks(found, priors), strict=True) if kept)
 
 
 def extract(pages: DataFrame, html: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
