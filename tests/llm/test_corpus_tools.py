@@ -402,9 +402,64 @@ def test_hosts_paths_and_rules(spark, urls_model):
     assert urls_model.judged(pages.where("false")).count() == 0
 
 
-def test_trees_tell_unwanted_hosts(spark, urls_model):
-    pages = spark.createDataFrame([("https://cheap-casino.example.org/en/1",), ("https://riverschool.example.org/en/1",)], "url string")
-    assert [r["verdict"] for r in urls_model.judged(pages, rules=()).orderBy("url").collect()] == ["block", "allow"]
+def test_trees_learn_from_labelled_urls(spark):
+    rows = url_filter.seed_urls(spark).withColumn("fold", F.pmod(F.xxhash64("url"), F.lit(5))).cache()
+    model = url_filter.fit(rows.where("fold > 0"))
+    held = model.judged(rows.where("fold = 0"), rules=())
+    right = held.select(F.avg(F.when((F.col("verdict") == "block") == (F.col("label") == 1), 1.0).otherwise(0.0))).first()[0]
+    assert right >= 0.9
+    weights = model.importances()
+    assert max(weights.values()) < 0.5 and sum(w > 0 for w in weights.values()) >= 10
+    rows.unpersist()
+
+
+def test_both_verdicts_come_from_the_trees(urls_model, spark):
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
+    found = {r["verdict"]: r["count"] for r in urls_model.judged(pages).where("rule IS NULL").groupBy("verdict").count().collect()}
+    assert 0 < found["block"] < 0.1 * found["allow"]
+
+
+def features_by_hand(url, odds):
+    from math import log2
+
+    host = path = ""
+    url = url or ""
+    if "://" in url:
+        m = re.match(r"([^/?#]*)([^?#]*)", url.split("://", 1)[1])
+        host, path = "".join(c.lower() if "A" <= c <= "Z" else c for c in m[1]), m[2]
+    m = re.search(r"\?([^#]*)", url)
+    query = m[1] if m else ""
+    labels = host.split(".")
+    words = [w for w in re.split(r"[.\-]", host) if w not in ("", "www", "m")]
+    names = [w for w in re.split(r"[.\-0-9]", re.sub(r"\.[^.]*$", "", host)) if w not in ("", "www", "example")]
+    longest = max(names, key=lambda w: (len(w), w)) if names else ""
+    digits = lambda s: sum(c in "0123456789" for c in s)
+    share = [host.count(c) / len(host) for c in set(host)]
+    file = re.search(r"\.[A-Za-z0-9]{1,5}$", path)
+    keys = {"top": labels[-1], "domain": ".".join(labels[-2:]), "ending": longest[-2:], "file": file[0] if file else ""}
+    value = [
+        len(url), len(host), len(path), len(labels), sum(x != "" for x in path.split("/")), digits(url) / max(len(url), 1), digits(host), host.count("-"), path.count("-"),
+        -sum(p * log2(p) for p in share), sum(x != "" for x in query.split("&")), len(query), max(map(len, labels)), min(map(len, words), default=0), int(bool(re.fullmatch(r"\d+(\.\d+){3}", host))),
+    ]
+    return dict(zip(url_filter.FEATURES, [*value, *(dict(odds[s]).get(k, 0.0) for s, k in keys.items())], strict=True))
+
+
+def test_features_by_hand(spark, urls_model):
+    urls = [u for _, u, *_ in URLS] + ["http://A-b.Example.org/x/y-z.php?a=1&&b=22#q?z", "https://10.2.3.4/", "http://www.thea12.xyz/p//q.html?", "ü://hö.com/é", "http://a.b/" + "x/" * 5000]
+    rows = url_filter.with_host_and_path(spark.createDataFrame([(u,) for u in urls], "url string"))
+    got = rows.select("url", *(c.alias(f) for f, c in url_filter.feature_columns(F.col("url"), F.col("host"), F.col("path"), urls_model.odds).items())).collect()
+    for r in got:
+        for f, want in features_by_hand(r["url"], urls_model.odds).items():
+            assert r[f] == pytest.approx(want, abs=1e-9), (r["url"], f)
+
+
+def test_clashing_names_ties_and_repeated_rows(spark, urls_model):
+    names = "page_id url host path rule verdict block_score features probability rawPrediction prediction entropy page".split()
+    df = spark.createDataFrame([(1, "http://a.b.org/c/d", *["mine"] * 11)] * 2, "page_id long, " + ", ".join(f"{c} string" for c in names[1:]))
+    rules = [("allow", "org", "/c/d"), ("block", "b.org", "/c"), ("allow", "b.org", "/c")]
+    out = urls_model.judged(df, rules=rules)
+    assert sorted(out.columns) == sorted(names) and len(set(out.columns)) == len(names)
+    assert [(r["host"], r["rule"], r["verdict"], r["entropy"], r["features"]) for r in out.collect()] == [("a.b.org", "b.org/c", "block", "mine", "mine")] * 2
 
 
 # pipeline
