@@ -331,18 +331,20 @@ def edit_distance(a, b):
     return row[-1]
 
 
-def test_decontamination_finds_edited_passages(spark):
+@pytest.mark.parametrize("part", [(0, 1), (0, 0.5), (0.5, 1)])
+def test_decontamination_finds_edited_passages(spark, part):
     rng = random.Random(4)
     common = [f"c{i}" for i in range(30)]
     items = [[rng.choice(common) if rng.random() < 0.5 else f"r{rng.randrange(400)}" for _ in range(rng.randrange(12, 40))] for _ in range(30)]
     texts, want = [], {}
-    for d in range(120):
+    for d in range(160):
         host = [rng.choice(common) if rng.random() < 0.5 else f"h{rng.randrange(5000)}" for _ in range(rng.randrange(0, 200))]
         if d % 2:
             k = rng.randrange(len(items))
             passage = list(items[k])
-            for _ in range(int(0.1 * len(passage))):
-                passage[rng.randrange(len(passage))] = "zz%d" % rng.randrange(999)
+            for _ in range(int(0.2 * len(passage))):
+                at, kind = rng.randrange(int(part[0] * len(passage)), max(1, int(part[1] * len(passage)))), rng.randrange(3)
+                passage[at : at + (kind > 0)] = ["zz%d" % rng.randrange(999)] if kind < 2 else []
             at = rng.randrange(len(host) + 1)
             host[at:at] = passage
             want[d] = k
@@ -360,6 +362,45 @@ def test_decontamination_finds_edited_passages(spark):
     assert decontamination.clean_documents(docs, bench.where("false")).count() == docs.count()
 
 
+def test_near_embeddings_of_near_words():
+    """CGK: walks of two sequences a few edits apart read the same word at most steps; those of unlike ones don't."""
+    rng = np.random.default_rng(1)
+    a = rng.integers(1 << 63, size=60, dtype=np.uint64)
+    for other, low, high in ((np.delete(a, [20, 41]), 0.0, 0.5), (rng.integers(1 << 63, size=60, dtype=np.uint64), 0.6, 1.0)):
+        apart = []
+        for r in range(20):
+            both = np.concatenate((a, other))
+            reads = np.zeros((64, 2), np.uint64)
+            for step, going, read, _ in decontamination.walk(both, np.array([0, 60]), np.array([60, len(both)]), r, np.array([64, 64])):
+                reads[step, going] = read
+            apart.append((reads[:, 0] != reads[:, 1]).mean())
+        assert low <= np.mean(apart) <= high
+
+
+def test_items_missed_by_the_index_are_held_exactly(spark):
+    items = [["a", "b", "c"] * 5, ["x"] * 12, ["q", "r"]]
+    words = [decontamination.tokens([" ".join(i).encode()])[1][:-1] for i in items]
+    index = decontamination.build_index([1, 2, 3], words, 0.4, recall=1.5, most=2, trials=200)  # a recall that can't be reached
+    index.scanned, index.keys = [0, 1, 2], index.keys + np.uint64(1)
+    texts = [" ".join(["a", "b", "z", "y"] + ["a", "b", "c"] * 4), "q r", "", None, "x " * 8, "no match here"]
+    got = {(t, i): d for t, i, d, *_ in decontamination.matches(index, [None if t is None else t.encode() for t in texts])}
+    want = {}
+    for t, text in enumerate(texts):
+        w = (text or "").split()
+        for i, item in enumerate(items, 1):
+            best = min((edit_distance(item, w[a:b]) for a in range(len(w)) for b in range(a, len(w) + 1)), default=99)
+            if best <= int(0.4 * len(item)):
+                want[t, i] = best
+    assert got == want
+
+
+def test_rows_are_kept_by_their_own_text(spark):
+    bench = spark.createDataFrame([(1, "one two three four five six seven")], "item_id long, text string")
+    rows = [(1, "say one two three four five six seven now", "a"), (1, "nothing of it", "b"), (None, "one two three four five six seven", "c"), (None, "else", "d"), (2, None, "e")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _gone string")
+    assert sorted(r["_gone"] for r in decontamination.clean_documents(docs, bench).collect()) == ["b", "d", "e"]
+
+
 def test_exact_passages_are_all_found(spark, sf_dir):
     docs, bench = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
     found = {(r["doc_id"], r["item_id"]) for r in decontamination.contaminated(docs, bench).where("distance = 0").collect()}
