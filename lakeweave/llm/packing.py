@@ -110,12 +110,8 @@ def reduce_instance(histogram: dict[int, int], capacity: int) -> tuple[list[Grou
                 need: dict[int, int] = {}
                 for n in found:
                     need[n] = need.get(n, 0) + 1
-                exact = sum(found) == capacity or len(found) == 1
-                times = min(counts[n] // k for n, k in need.items()) if exact else 1
-                if not exact and len(found) == 2 and j != found[1]:
-                    # while both are left, the same argument holds again unless the smallest pieces change
-                    low = _smallest(lengths, counts, {j: 1}, 2)
-                    times = min(counts[j], counts[found[1]]) if found[1] not in low and j not in low else 1
+                # what is left holds no feasible set that wasn't there before, so the same set dominates while its pieces last
+                times = min(counts[n] // k for n, k in need.items())
                 _take(lengths, counts, need, times)
                 fixed.append(Group(times, sorted(need.items(), reverse=True)))
                 changed = True

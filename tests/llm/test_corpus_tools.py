@@ -263,6 +263,24 @@ def test_reduction_loses_no_bin(lengths):
     assert sum(g.count for g in fixed) + exact_bins(left, 12) == exact_bins(lengths, 12)
 
 
+def test_plans_of_hot_lengths_stay_small():
+    import time
+
+    draw = random.Random(5)
+    for histogram in ({1000: 10**7}, {700: 10**9, 1: 3}, {680: 10**8, 690: 10**7 + 1, 5: 2}, {n: draw.randrange(1, 10**7) for n in range(1, 2049)}):
+        began = time.perf_counter()
+        fixed, rest = packing.reduce_instance(histogram, 2048)
+        slots, bins = packing.plan(histogram, 2048)
+        assert time.perf_counter() - began < (2 if len(histogram) < 9 else 20)
+        assert len(fixed) <= 4 * len(histogram) and sum(len(s.first) for s in slots.values()) <= 12 * len(histogram) + 50
+        assert bins >= -(-sum(n * c for n, c in histogram.items()) // 2048)
+        placed = Counter()
+        for g in fixed:
+            for n, k in g.items:
+                placed[n] += k * g.count
+        assert placed + Counter(rest) == Counter(histogram)
+
+
 def test_packing_matches_the_tokenizer(spark):
     from tokenizers import Tokenizer
 
