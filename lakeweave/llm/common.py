@@ -72,7 +72,7 @@ def tidied(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]])
         finally:
             hashing = sys.modules.get(f"{__package__}.kneser_ney")
             if hashing:
-                hashing.forget_words()
+                hashing.forget()
             pa.default_memory_pool().release_unused()
             try:
                 ctypes.CDLL("libc.so.6").malloc_trim(0)

@@ -1,13 +1,16 @@
 """Interpolated modified Kneser-Ney bigram model: counted in Spark, kept as sorted hash arrays, memory-mapped to score.
 
-Training is one pass over the texts. Each task counts its word pairs and sends them, sorted, to shards by the first
-word's hash; a first word that alone makes up a large share of a sample of pairs is dealt by both words instead, so no
-shard grows with one word. A shard adds its pairs up, writes them as a model file (sorted 64-bit pair hashes with their
-counts), and passes on what it knows of each word: N1, N2 and N3+ of it as a context, its count and how many different
-words it follows. A second exchange by word adds these up and writes the word files.
-
-Scoring is a map over documents: each worker maps the model files into memory and looks up a batch's distinct words and
-pairs, in sorted order. Nothing of the model passes through the driver but discounts and totals.
+Training is two passes over the texts. The first counts frequent first words over all of them: a task reports the words
+with over half the share that counts as hot, so none that is hot over all tasks is missed. In the second, each task counts
+its word pairs and sends them, sorted, to shards by the first word's hash. The pairs of a hot word (over a quarter of a
+mean shard) are parted by the second word into as many parts as it has quarters, so no shard grows with one word. A shard
+adds its pairs up, writes them as a model file (sorted 64-bit pair hashes with their counts), and passes on what it knows
+of each word: N1, N2 and N3+ of it as a context, its count and how many different words it follows. A second exchange by
+word adds these up and writes the word files.
+
+Scoring is a map over documents: a worker looks up a batch's distinct words and pairs in sorted order, shard by shard. A
+model file is mapped into memory when it is first needed and stays mapped for the rest of the task, ``KEPT_FILES`` at
+most. Through the driver pass totals, the hot words, and four bytes for each file.
 
 Tokens are the ASCII-lower-cased words of a text and one end token. Null texts are empty (one end token). Repeated
 rows count and are scored once for each row. With no training text every token has probability 1 / (V + 1) = 1.
@@ -17,9 +20,8 @@ from __future__ import annotations
 
 import io
 import math
-import os
-import tempfile
 import uuid
+from collections import OrderedDict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -32,8 +34,10 @@ from .common import shared_dir, small_batches, tidied, written
 
 #: Text bytes to a shard of pairs, and to a shard of words.
 PAIR_SHARD, WORD_SHARD = 16 << 20, 64 << 20
-#: A first word with over this share of the sampled pairs is dealt by both words.
-HOT_SHARE = 0.002
+#: A first word is hot with over this part of a mean shard's pairs.
+HOT_PART = 0.25
+#: Model files that a task keeps mapped, and bytes of those that it had to fetch because their store can't be mapped.
+KEPT_FILES, FETCHED = 4096, 256 << 20
 #: Pairs that a task holds before it adds them up.
 HELD = 2_000_000
 #: Words kept by one worker with their hashes.
@@ -54,8 +58,10 @@ def _hashes(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(_known.__getitem__, words), np.uint64, len(words))
 
 
-def forget_words() -> None:
+def forget() -> None:
+    """Drops what a worker keeps for a task: word hashes and mapped files."""
     _known.clear()
+    _open_files.clear()
 
 
 def pair_hash(v: np.ndarray, w: np.ndarray) -> np.ndarray:
@@ -82,16 +88,20 @@ def tokens(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarra
 
 @dataclass(frozen=True)
 class Dealing:
-    """Which shard a pair and a word belong to. ``hot``: first words that are dealt by both words."""
+    """Which shard a pair and a word belong to. ``hot``: first words, sorted, that are dealt in ``parts`` each."""
 
     pair_shards: int
     word_shards: int
-    hot: tuple[int, ...]
+    hot: np.ndarray
+    parts: np.ndarray
 
     def of_pairs(self, v: np.ndarray, w: np.ndarray) -> np.ndarray:
         key = v >> np.uint64(20)
-        if self.hot:
-            key = np.where(np.isin(v, np.array(self.hot, np.uint64)), pair_hash(v, w) >> np.uint64(20), key)
+        if len(self.hot) and len(v):
+            at = np.minimum(np.searchsorted(self.hot, v), len(self.hot) - 1)
+            rows = np.flatnonzero(self.hot[at] == v)
+            part = (pair_hash(v[rows], w[rows]) >> np.uint64(20)) % self.parts[at[rows]]
+            key[rows] += part * np.uint64(0x9E3779B97F4A7)
         return (key % np.uint64(self.pair_shards)).astype(np.int32)
 
     def of_words(self, w: np.ndarray) -> np.ndarray:
@@ -142,39 +152,51 @@ def _filesystem(path: str):
     return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
 
 
-def _save(folder: str, name: str, *arrays: np.ndarray) -> str:
-    """Writes arrays one after another, each behind a 64-byte line with its type and length; a fresh name for each attempt."""
+def _file(folder: str, kind: str, shard: int, mark: int) -> str:
+    return f"{folder}/{kind}-{shard:06d}-{mark:08x}.bin"
+
+
+def _save(folder: str, kind: str, shard: int, *arrays: np.ndarray) -> int:
+    """Writes arrays one after another, each behind a 64-byte line with its type and length. Returns the mark in the file's
+    name, new for each attempt of a task."""
     files, path = _filesystem(folder)
     files.create_dir(path, recursive=True)
-    name = f"{name}-{uuid.uuid4().hex[:8]}.bin"
-    with files.open_output_stream(f"{path}/{name}") as out:
+    mark = uuid.uuid4().int & 0x7FFFFFFF
+    with files.open_output_stream(_file(path, kind, shard, mark)) as out:
         for a in arrays:
             out.write(f"{a.dtype.str} {len(a)}".encode().ljust(64))
             out.write(a.tobytes())
             out.write(b"\0" * (-a.nbytes % 64))
-    return f"{folder}/{name}"
+    return mark
+
+
+#: A task's open model files: their arrays and how many bytes were fetched for them; the latest used come last.
+_open_files: OrderedDict[str, tuple[list[np.ndarray], int]] = OrderedDict()
 
 
 def _mapped(path: str) -> list[np.ndarray]:
-    """The arrays of a file, memory-mapped; a file of a remote store is first copied to a temporary one that goes with the worker."""
+    """The arrays of a file, memory-mapped (a file of a store that can't be mapped is read as a whole)."""
     from pyarrow import fs
 
+    if path in _open_files:
+        _open_files.move_to_end(path)
+        return _open_files[path][0]
     files, name = _filesystem(path)
-    local = name
-    if not isinstance(files, fs.LocalFileSystem):
-        with tempfile.NamedTemporaryFile(delete=False) as out, files.open_input_stream(name) as src:
-            while block := src.read(8 << 20):
-                out.write(block)
-        local = out.name
-    data = np.memmap(local, np.uint8, "r")
-    if local != name:
-        os.unlink(local)
+    if isinstance(files, fs.LocalFileSystem):
+        data, fetched = np.memmap(name, np.uint8, "r"), 0
+    else:
+        with files.open_input_stream(name) as src:
+            data = np.frombuffer(src.read(), np.uint8)
+        fetched = len(data)
     out, at = [], 0
     while at < len(data):
         kind, n = data[at : at + 64].tobytes().split()
         size = int(n) * np.dtype(kind.decode()).itemsize
         out.append(data[at + 64 : at + 64 + size].view(kind.decode()))
         at += 64 + size + -size % 64
+    while _open_files and (len(_open_files) >= KEPT_FILES or fetched + sum(f for _, f in _open_files.values()) > FETCHED):
+        _open_files.popitem(last=False)
+    _open_files[path] = out, fetched
     return out
 
 
@@ -188,7 +210,7 @@ def _look_up(keys: np.ndarray, queries: np.ndarray) -> np.ndarray:
 
 
 def discounts(n: list[int]) -> tuple[float, float, float]:
-    """Chen and Goodman's D1, D2, D3+ from counts of counts n1..n4; 0.5, 1, 1.5 at most where those are too few."""
+    """Chen and Goodman's D1, D2, D3+ from counts of counts n1..n4; 0.5, 0.75 and 0.9 where one of those is zero."""
     if min(n) <= 0:
         return 0.5, 0.75, 0.9
     y = n[0] / (n[0] + 2 * n[1])
@@ -202,8 +224,9 @@ def _discounted(count: np.ndarray, d: tuple[float, float, float]) -> np.ndarray:
 @dataclass(frozen=True)
 class Model:
     dealing: Dealing
-    pair_files: dict[int, str]
-    word_files: dict[int, str]
+    folder: str
+    pair_marks: np.ndarray  # by shard, what the file's name ends in; -1: no file
+    word_marks: np.ndarray
     pair_discounts: tuple[float, float, float]
     word_discounts: tuple[float, float, float]
     n_tokens: int
@@ -221,17 +244,20 @@ class Scorer:
 
     def __init__(self, model: Model):
         self.m = model
-        self.pairs = {k: _mapped(p) for k, p in model.pair_files.items()}
-        self.words = {k: _mapped(p) for k, p in model.word_files.items()}
+
+    def _arrays(self, kind: str, shard: int) -> list[np.ndarray] | None:
+        mark = int((self.m.pair_marks if kind == "pairs" else self.m.word_marks)[shard])
+        return _mapped(_file(self.m.folder, kind, shard, mark)) if mark >= 0 else None
 
     def _words(self, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Count, number of words it follows, and context mass of each word of a sorted array."""
         out = np.zeros((3, len(w)))
         shard = self.m.dealing.of_words(w)
-        for k in np.unique(shard):
-            if k in self.words:
-                rows = np.flatnonzero(shard == k)
-                keys, *columns = self.words[k]
+        order = np.argsort(shard, kind="stable")
+        for rows in np.split(order, np.flatnonzero(np.diff(shard[order])) + 1):
+            found = self._arrays("words", int(shard[rows[0]])) if len(rows) else None
+            if found:
+                keys, *columns = found
                 at = _look_up(keys, w[rows])
                 rows, at = rows[at >= 0], at[at >= 0]
                 for i, c in enumerate(columns):
@@ -243,8 +269,9 @@ class Scorer:
         order = np.lexsort((key, shard))
         cuts = np.flatnonzero(np.diff(shard[order])) + 1
         for rows in np.split(order, cuts):
-            if len(rows) and (k := int(shard[rows[0]])) in self.pairs:
-                keys, counts, large, large_counts = self.pairs[k]
+            found = self._arrays("pairs", int(shard[rows[0]])) if len(rows) else None
+            if found:
+                keys, counts, large, large_counts = found
                 at = _look_up(keys, key[rows])
                 rows, at = rows[at >= 0], at[at >= 0]
                 got = counts[at].astype(np.float64)
@@ -274,22 +301,47 @@ class Scorer:
         return {"n_tokens": n, "n_known": np.add.reduceat((count > 0)[wi].astype(np.int64), at), "base_score": np.add.reduceat(base, at), "score": np.add.reduceat(np.log10(p), at)}
 
 
-def _hot_words(texts: DataFrame, sample: int) -> tuple[int, ...]:
-    """First words with over HOT_SHARE of the pairs of a few texts; only how pairs are dealt depends on it."""
-    rows = texts.where("text IS NOT NULL").limit(sample).selectExpr("substring(text, 1, 2000) AS text").collect()
-    v, _, _ = tokens([r["text"].encode() for r in rows]) if rows else (np.zeros(0, np.uint64),) * 3
-    found, n = np.unique(v, return_counts=True)
-    return tuple(int(x) for x in found[n > HOT_SHARE * max(len(v), 1)])
-
+def _hot_words(texts: DataFrame, shards: int) -> tuple[np.ndarray, np.ndarray]:
+    """First words that have over ``HOT_PART`` of a mean shard's pairs, sorted, and the parts to deal each in."""
+    share = HOT_PART / shards
 
-def train(docs: DataFrame, sample: int = 400) -> Model:
-    """A model of every text of ``docs`` (column ``text``). ``sample`` texts show how to deal frequent first words."""
+    def often(batches):
+        words, numbers, total = [], [], 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            found, n = np.unique(tokens(batch.column("text").cast(pa.binary()).to_pylist())[0], return_counts=True)
+            words.append(found)
+            numbers.append(n)
+            total += int(n.sum())
+            if len(words) == 16:
+                (found,), n = _added([np.concatenate(words)], np.concatenate(numbers)[:, None])
+                words, numbers = [found], [n[:, 0]]
+        if words:
+            (found,), n = _added([np.concatenate(words)], np.concatenate(numbers)[:, None])
+            rows = np.flatnonzero(n[:, 0] > share / 2 * total)
+            out = [np.append(found[rows].view(np.int64), 0), np.append(n[rows, 0], total), np.append(np.zeros(len(rows), bool), True)]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], names=["word", "n", "all"])
+
+    found = texts.mapInArrow(tidied(often), "word long, n long, all boolean").groupBy("word", "all").agg(F.sum("n").alias("n"))
+    found = written(found, "first-words")
+    total = found.where("all").agg(F.sum("n")).first()[0] or 0
+    hot = found.where(~F.col("all") & (F.col("n") > share / 2 * total)).select("word", "n").orderBy("word").collect()
+    word = np.array([r["word"] for r in hot], np.int64).view(np.uint64)
+    parts = np.ceil((np.array([r["n"] for r in hot], np.float64) / max(total, 1) + share / 2) / share).astype(np.uint64)
+    order = np.argsort(word)
+    return word[order], np.maximum(parts[order], 1)
+
+
+def train(docs: DataFrame) -> Model:
+    """A model of every text of ``docs`` (column ``text``)."""
     spark = docs.sparkSession
     small_batches(spark)
     folder = shared_dir(spark, "kneser-ney")
     texts = docs.select(F.col("text").cast("string").alias("text"))
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    dealing = Dealing(max(16, math.ceil(size / PAIR_SHARD)), max(4, math.ceil(size / WORD_SHARD)), _hot_words(texts, sample))
+    shards = max(16, math.ceil(size / PAIR_SHARD))
+    dealing = Dealing(shards, max(4, math.ceil(size / WORD_SHARD)), *_hot_words(texts, shards))
 
     def count(batches):
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
@@ -351,7 +403,7 @@ def train(docs: DataFrame, sample: int = 400) -> Model:
         c = np.add.reduceat(c[order], at)
         v, w, k = v[order[at]], w[order[at]], k[at]
         large = c >= 255
-        path = _save(folder, f"pairs-{shard:06d}", k, np.minimum(c, 255).astype(np.uint8), k[large], c[large].astype(np.uint64))
+        mark = _save(folder, "pairs", shard, k, np.minimum(c, 255).astype(np.uint8), k[large], c[large].astype(np.uint64))
         # of each word: N1, N2, N3+ as a context; its count and the number of words before it
         (word, ), value = _added([np.concatenate((v, w))], np.concatenate((
             np.stack((c == 1, c == 2, c > 2, 0 * c, 0 * c), axis=1).astype(np.int64),
@@ -359,17 +411,18 @@ def train(docs: DataFrame, sample: int = 400) -> Model:
         )))
         to = dealing.of_words(word)
         n = [int((c == i).sum()) for i in (1, 2, 3, 4)]
-        rows = [(shard, path, n, len(c), int(c.sum()), int(c[v == START].sum()), None, None)]
+        rows = [(shard, mark, n, len(c), int(c.sum()), int(c[v == START].sum()), None, None)]
         for s in np.unique(to):
             mine = to == s
             rows.append((None, None, None, 0, 0, 0, int(s), _packed(word[mine], *(_narrow(x) for x in value[mine].T))))
-        kinds = (pa.int32(), pa.string(), pa.list_(pa.int64()), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
+        kinds = (pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
         yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=[c.split()[0] for c in MERGED.split(", ")])
 
     blocks = texts.mapInArrow(tidied(count), "shard int, block binary")
     merged = written(blocks.groupBy("shard").applyInArrow(merge_pairs, MERGED), "kneser-ney-words")
-    heads = merged.where("path IS NOT NULL").select("shard", "path", "counts", "n_pairs", "n_tokens", "n_texts").collect()
-    ns = [sum(r["counts"][i] for r in heads) for i in range(4)]
+    heads = merged.where("mark IS NOT NULL")
+    sums = heads.agg(*(F.sum(F.col("counts")[i]) for i in range(4)), F.sum("n_pairs"), F.sum("n_tokens"), F.sum("n_texts")).first()
+    *ns, n_pairs, n_tokens, n_texts = (int(x or 0) for x in sums)
     pair_d = discounts(ns)
 
     def merge_words(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -380,30 +433,39 @@ def train(docs: DataFrame, sample: int = 400) -> Model:
         (word,), value = _added([word], value)
         mass = value[:, :3] @ np.array(pair_d)
         count, follows = value[:, 3], value[:, 4]
-        path = _save(folder, f"words-{shard:06d}", word, _narrow(count), _narrow(follows), mass)
+        mark = _save(folder, "words", shard, word, _narrow(count), _narrow(follows), mass)
         n = [int((follows == i).sum()) for i in (1, 2, 3, 4)]
-        row = {"shard": [shard], "path": [path], "counts": [[*n, int((follows > 2).sum())]], "n_words": [int((count > 0).sum())]}
-        yield pa.RecordBatch.from_pydict(row, schema=pa.schema([("shard", pa.int32()), ("path", pa.string()), ("counts", pa.list_(pa.int64())), ("n_words", pa.int64())]))
+        row = {"shard": [shard], "mark": [mark], "counts": [[*n, int((follows > 2).sum())]], "n_words": [int((count > 0).sum())]}
+        yield pa.RecordBatch.from_pydict(row, schema=pa.schema([("shard", pa.int32()), ("mark", pa.int64()), ("counts", pa.list_(pa.int64())), ("n_words", pa.int64())]))
 
     words = merged.where("block IS NOT NULL").select("word_shard", "block")
-    word_heads = words.groupBy("word_shard").applyInArrow(merge_words, "shard int, path string, counts array<long>, n_words long").collect()
-    n1 = [sum(r["counts"][i] for r in word_heads) for i in range(5)]
+    word_heads = written(words.groupBy("word_shard").applyInArrow(merge_words, "shard int, mark long, counts array<long>, n_words long"), "kneser-ney-heads")
+    sums = word_heads.agg(*(F.sum(F.col("counts")[i]) for i in range(5)), F.sum("n_words")).first()
+    *n1, n_words = (int(x or 0) for x in sums)
     word_d = discounts(n1[:4])
+
+    def marks(rows: DataFrame, number: int) -> np.ndarray:
+        out = np.full(number, -1, np.int32)
+        for r in rows.select("shard", "mark").toLocalIterator():
+            out[r["shard"]] = r["mark"]
+        return out
+
     return Model(
         dealing,
-        {r["shard"]: r["path"] for r in heads},
-        {r["shard"]: r["path"] for r in word_heads},
+        folder,
+        marks(heads, dealing.pair_shards),
+        marks(word_heads, dealing.word_shards),
         pair_d,
         word_d,
-        n_tokens=sum(r["n_tokens"] for r in heads),
-        n_texts=sum(r["n_texts"] for r in heads),
-        n_words=sum(r["n_words"] for r in word_heads),
-        n_pairs=sum(r["n_pairs"] for r in heads),
+        n_tokens=n_tokens,
+        n_texts=n_texts,
+        n_words=n_words,
+        n_pairs=n_pairs,
         word_rest=word_d[0] * n1[0] + word_d[1] * n1[1] + word_d[2] * n1[4],
     )
 
 
-MERGED = "shard int, path string, counts array<long>, n_pairs long, n_tokens long, n_texts long, word_shard int, block binary"
+MERGED = "shard int, mark long, counts array<long>, n_pairs long, n_tokens long, n_texts long, word_shard int, block binary"
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -425,6 +487,8 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def held_out_scores(docs: DataFrame, held_out: Column) -> DataFrame:
-    """Trains on the rows for which ``held_out`` is false and scores every row."""
+    """Trains on the rows for which ``held_out`` is false and scores every row; where it is null (a null id), a row counts
+    as not held out."""
+    held_out = F.coalesce(held_out, F.lit(False))
     model = train(docs.where(~held_out))
     return score(docs, model).select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(model.n_tokens).cast("long").alias("train_tokens"), "base_score", "score", "perplexity")

@@ -154,3 +154,27 @@ def test_models_without_labels(spark, corpus):
     none = labels.where("false")
     assert {r["score"] for r in quality_classifier.score(docs.limit(3), quality_classifier.train(docs, none, F.lit(True))).collect()} == {0.5}
     assert {r["score"] for r in toxicity.score(docs.limit(3), toxicity.train(docs, none, F.lit(True))).collect()} == {0.0}
+
+
+def test_hot_words_are_found_in_all_texts_and_parted(spark):
+    """A word that only the last partition's texts repeat is hot, and its pairs don't meet in one shard."""
+    rng = random.Random(2)
+    texts = [" ".join(f"w{rng.randrange(3000)}" for _ in range(60)) for _ in range(200)] + [" ".join(f"the w{rng.randrange(3000)}" for _ in range(60)) for _ in range(100)]
+    df = documents(spark, [(i, t, "") for i, t in enumerate(texts)]).coalesce(1).repartitionByRange(6, "doc_id").select("text")
+    for shards in (16, 64):
+        hot, parts = kneser_ney._hot_words(df, shards)
+        v, w, _ = kneser_ney.tokens([t.encode() for t in texts])
+        found, n = np.unique(v, return_counts=True)
+        assert set(found[n > kneser_ney.HOT_PART / shards * len(v)].tolist()) <= set(hot.tolist())
+        assert kneser_ney.tokens([b"the"])[1][0] in hot and kneser_ney.START in hot
+        pairs = np.unique(np.stack((v, w)), axis=1)
+        number = np.bincount(kneser_ney.Dealing(shards, 4, hot, parts).of_pairs(*pairs), minlength=shards)
+        assert number.max() < 3 * number.mean()
+
+
+def test_null_ids_and_clashing_names(spark):
+    df = spark.createDataFrame([(None, "a b", "x"), (1, "a b", "y"), (1, "a b", "y"), (2, None, "z")], "doc_id long, text string, score string")
+    got = kneser_ney.held_out_scores(df, crc_remainder(F.col("doc_id"), 10) == 0)
+    assert got.count() == 4 and {r["held_out"] for r in got.where("doc_id IS NULL").collect()} == {False}
+    empty = kneser_ney.held_out_scores(df.where("false"), F.lit(False))
+    assert empty.count() == 0 and kneser_ney.train(df.where("false")).n_pairs == 0
