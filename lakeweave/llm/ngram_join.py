@@ -5,9 +5,12 @@
 2. Documents with equal sets are one text class. Classes that share a band hash are joined to the least of their bucket
    (stars, not pairs), and the components of those edges hold every candidate pair.
 3. Only classes in components of two or more are read again, by the rows with their least id whose set key, computed
-   anew, is theirs: an id may stand on several texts, or be null. A component's classes meet in blocks of at most ``BLOCK``
-   by ``BLOCK``; a block counts the links of each class by products of membership matrices and passes on one row for
-   each class: its links there and the least class that it hangs together with. No pair leaves a task.
+   anew, is theirs: an id may stand on several texts, or be null. A component of at most ``BLOCK`` classes meets in one
+   block. A larger one meets as a whole, in blocks of ``BLOCK`` by ``BLOCK``, or bucket by bucket, whichever takes fewer
+   blocks: texts that only hang together through chains of chance collisions needn't all meet. A pair that shares several
+   buckets is counted in the one of its first band; buckets of the same classes are one. A block counts the links of each
+   class by products of membership matrices and passes on one row for each class: its links there and the least class that
+   it hangs together with. No pair leaves a task.
 4. Components of those rows give the class ids.
 
 A text of fewer than five words has one n-gram, all its words; an empty or null text has none, links to nothing and is
@@ -30,8 +33,8 @@ from .components import connected_components
 from .kneser_ney import tokens
 
 BLOCK = 256
-#: Candidate classes up to this number (about 30 bytes each) are broadcast to the texts; more are joined by shuffle.
-BROADCAST_ROWS = 1_000_000
+#: Candidate rows up to this number (about 300 bytes each at most) are broadcast to the texts; more are joined by shuffle.
+BROADCAST_ROWS = 200_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -160,36 +163,60 @@ def _keyed(docs: DataFrame, n: int, once: bool = False) -> DataFrame:
 
 def _verified(blocks: DataFrame, threshold: float, n: int) -> DataFrame:
     """From rows sorted by block: of each class of a block, its links there and its root there."""
+    key = ("comp", "band", "hash", "one", "two")
 
     def run(batches):
         held: dict[int, tuple] = {}
 
-        def finish():
-            pairs = sorted(zip(held, ngram_sets([x[2] for x in held.values()], n), strict=True), key=lambda x: x[0])
+        def finish(band: int):
+            pairs = sorted(zip(held, ngram_sets([x[3] for x in held.values()], n), strict=True), key=lambda x: x[0])
             keys = [k for k, _ in pairs]
             copies, side = np.array([held[k][0] for k in keys]), np.array([held[k][1] for k in keys])
             linked = _links([s for _, s in pairs], threshold)
             if (side == 1).any():
                 linked &= side[:, None] != side[None, :]
+            for earlier in np.array([held[k][2][: max(band, 0)] for k in keys], np.int64).T:
+                linked &= earlier[:, None] != earlier[None, :]  # counted in the bucket of that band
             roots = [keys[r] for r in _roots(linked)]
             return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(roots), pa.array(linked @ copies), pa.array(linked.sum(axis=1))], names=["set_key", "root", "n_links", "n_text_links"])
 
         at = None
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("comp", "one", "two", "set_key", "copies", "side")]
-            for comp, one, two, key, copies, side, text in zip(*columns, batch.column("text").cast(pa.binary()).to_pylist(), strict=True):
-                if (comp, one, two) != at:
+            columns = [batch.column(c).to_pylist() for c in (*key, "set_key", "copies", "side", "bands")]
+            for *block, set_key, copies, side, bands, text in zip(*columns, batch.column("text").cast(pa.binary()).to_pylist(), strict=True):
+                if block != at:
                     if held:
-                        yield finish()
+                        yield finish(at[1])
                     held.clear()
-                    at = (comp, one, two)
-                held.setdefault(key, (copies, side, text))  # a class may be there from several rows
+                    at = block
+                held.setdefault(set_key, (copies, side, bands or [], text))  # a class may be there from several rows
         if held:
-            yield finish()
+            yield finish(at[1])
 
     return blocks.mapInArrow(tidied(run), "set_key long, root long, n_links long, n_text_links long")
 
 
+def _groups(member: DataFrame, classes: DataFrame) -> DataFrame:
+    """Which classes meet: set_key, comp, band (-1: the whole component), hash, parts, bands (null for whole components)."""
+    parts = F.ceil(F.col("size") / F.lit(BLOCK)).cast("int")
+    large = written(member.groupBy("comp").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > BLOCK), "large-components")
+    whole = F.lit(-1).alias("band"), F.lit(0).cast("long").alias("hash")
+    number = large.count()
+    sized = member.join(F.broadcast(large) if number <= BROADCAST_ROWS else large, "comp", "left")
+    if not number:
+        return sized.select("set_key", "comp", *whole, F.lit(1).alias("parts"), F.lit(None).cast("array<bigint>").alias("bands"))
+    met = sized.where("size IS NOT NULL").select("set_key", "comp").join(classes.select("set_key", "bands"), "set_key")
+    met = written(met.select("set_key", "comp", "bands", F.posexplode("bands").alias("band", "hash")), "bucket-rows")
+    buckets = met.groupBy("comp", "band", "hash").agg(F.count(F.lit(1)).alias("size"), F.bit_xor(F.xxhash64("set_key")).alias("x"), F.sum(F.xxhash64("set_key", F.lit(1)) % 1_000_000_007).alias("y")).where("size > 1")
+    first = buckets.groupBy("comp", "size", "x", "y").agg(F.min_by(F.struct("band", "hash"), "band").alias("b")).select("comp", "b.band", "b.hash", parts.alias("parts"))
+    first = written(first, "buckets")
+    cost = first.groupBy("comp").agg(F.sum(F.col("parts").cast("double") * F.col("parts")).alias("cost"))
+    split = written(large.join(cost, "comp").where(F.col("cost") < parts.cast("double") * parts).select("comp"), "split-components")
+    in_buckets = met.join(first.join(split, "comp", "left_semi"), ["comp", "band", "hash"]).select("set_key", "comp", "band", "hash", "parts", "bands")
+    rest = sized.join(split, "comp", "left_anti").select("set_key", "comp", *whole, F.coalesce(parts, F.lit(1)).alias("parts"), F.lit(None).cast("array<bigint>").alias("bands"))
+    return rest.unionByName(in_buckets)
+
+
 def _joined(docs: DataFrame, threshold: float, n: int, recall: float) -> DataFrame:
     """What ``jaccard_join`` returns, and of every row its set_key and head (whether its class of equal sets is the one
     that stands for all that hang together: it has the least doc_id, then the least set_key)."""
@@ -199,12 +226,9 @@ def _joined(docs: DataFrame, threshold: float, n: int, recall: float) -> DataFra
     classes = written(classes, "text-classes")
     tree = _candidates(classes)
     member = tree.select(F.col("node").alias("set_key"), F.col("root").alias("comp")).unionByName(tree.select(F.col("root").alias("set_key"), F.col("root").alias("comp")).distinct())
-    large = written(member.groupBy("comp").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > BLOCK), "large-components")
-    # a class's part of its component is a hash of it: no window over a component is needed
-    parts = F.ceil(F.coalesce("size", F.lit(1)) / F.lit(BLOCK)).cast("int")
-    sized = member.join(F.broadcast(large) if large.count() <= BROADCAST_ROWS else large, "comp", "left")
-    found = sized.join(classes.select("set_key", "rep", "copies"), "set_key").withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("set_key"), F.col("parts")).cast("int"))
-    found = written(found.select("set_key", "comp", "rep", "copies", "parts", "part"), "candidates")
+    # a class's part of its group is a hash of it: no window over a group is needed
+    found = _groups(member, classes).join(classes.select("set_key", "rep", "copies"), "set_key").withColumn("part", F.pmod(F.xxhash64("set_key"), F.col("parts")).cast("int"))
+    found = written(found, "candidates")
     keep = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     few = found.count() <= BROADCAST_ROWS
     reps = found.select(F.col("rep").alias("doc_id")).distinct()
@@ -212,9 +236,10 @@ def _joined(docs: DataFrame, threshold: float, n: int, recall: float) -> DataFra
     read = _keyed(read, n, once=True)
     texts = read.join(F.broadcast(found) if few else found, (read["set_key"] == found["set_key"]) & read["doc_id"].eqNullSafe(found["rep"])).drop(read["set_key"])
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
-    paired = texts.select("comp", "part", "set_key", "copies", "text", other)
-    blocks = paired.select("comp", F.least("part", "other").alias("one"), F.greatest("part", "other").alias("two"), "set_key", "copies", (F.col("part") > F.col("other")).cast("int").alias("side"), "text")
-    blocks = blocks.repartition("comp", "one", "two").sortWithinPartitions("comp", "one", "two")
+    group = ("comp", "band", "hash", "one", "two")
+    paired = texts.select("comp", "band", "hash", "part", "set_key", "copies", "bands", "text", other)
+    blocks = paired.withColumns({"one": F.least("part", "other"), "two": F.greatest("part", "other"), "side": (F.col("part") > F.col("other")).cast("int")}).drop("part", "other")
+    blocks = blocks.repartition(*group).sortWithinPartitions(*group)
     links = written(_verified(blocks, threshold, n), "links")
     tree = connected_components(links.select(F.col("set_key").alias("u"), F.col("root").alias("v")))
     counted = links.groupBy("set_key").agg(F.sum("n_links").alias("n_links"), F.sum("n_text_links").alias("n_text_links"))

@@ -205,6 +205,29 @@ def test_one_of_each_with_null_ids_and_one_id_on_two_texts(spark):
         assert row[0] == min(mates, default=None)
 
 
+def test_chained_groups_meet_by_bucket(spark, monkeypatch):
+    """A long chain of texts that each share half of the next, with near copies in it: classes and links as by hand."""
+    monkeypatch.setattr(ngram_join, "BLOCK", 8)
+    rng = random.Random(9)
+    words = [f"w{i}" for i in range(2600)]
+    texts = [" ".join(words[20 * k : 20 * k + 60]) for k in range(120)]
+    for k in range(0, 120, 7):
+        w = texts[k].split()
+        texts += [" ".join([*w[:50], f"x{k}{j}", *w[51:]]) for j in range(rng.randrange(1, 4))]
+    texts += [" ".join(["same"] * 3 + [f"v{j}"] + [f"s{i}" for i in range(60)]) for j in range(40)]  # a group of near copies
+    rng.shuffle(texts)
+    roots, links = join_by_hand(texts)
+    seen = []
+    real = ngram_join._groups
+    monkeypatch.setattr(ngram_join, "_groups", lambda *a: seen.append(real(*a)) or seen[-1])
+    # bands of one row: nearly everything of the chain collides
+    monkeypatch.setattr(ngram_join, "choose_bands", lambda threshold, recall, most=128: (24, 2))
+    for r in ngram_join.jaccard_join(documents(spark, texts)).collect():
+        assert (r["class_id"], r["n_text_links"]) == (roots[r["doc_id"]], links[r["doc_id"]]), r
+    modes = {r["band"] >= 0: r["n"] for r in seen[0].groupBy("band").agg(F.count("*").alias("n")).collect()}
+    assert modes.get(True)
+
+
 def test_bands_reach_the_recall():
     bands, rows = ngram_join.choose_bands(0.8, 0.9999)
     assert 1 - (1 - 0.8**rows) ** bands >= 0.9999 and bands * rows <= 128
