@@ -20,9 +20,12 @@ WORD_BREAK = "[\\x20\\x09-\\x0D]+"
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A fresh folder under ``spark.checkpoint.dir``; a temporary one only where that is unset (local tests)."""
+    """A fresh folder under ``spark.checkpoint.dir``. Where that is unset a temporary one, in local mode alone: on a
+    cluster its tables would be spread over the executors' own disks, so that raises."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="lakeweave-")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
@@ -39,6 +42,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def free_name(name: str, columns: list[str]) -> str:
+    """``name``, with underscores after it until no column has it (whatever the case)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def small_batches(spark: SparkSession, size: str = "4m") -> None:
     """Readies a session for Python over texts: the code is on the executors, and Arrow batches are held to ``size``
     bytes, so that very long texts can't fill a worker's memory."""

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import small_batches, tidied, without_ids, written
+from .common import free_name, small_batches, tidied, without_ids, written
 from .components import connected_components
 from .kneser_ney import tokens
 
@@ -141,8 +141,8 @@ def _roots(linked: np.ndarray) -> np.ndarray:
         root = least
 
 
-def _keyed(docs: DataFrame, n: int, once: bool = False) -> DataFrame:
-    """``docs`` with the set key of each row; with ``once``, a task passes on one row of each (doc_id, set_key)."""
+def _keyed(docs: DataFrame, n: int, once: bool = False, name: str = "set_key") -> DataFrame:
+    """``docs`` with the set key of each row (column ``name``); with ``once``, a task passes on one row of each (doc_id, set_key)."""
     small_batches(docs.sparkSession)
 
     def run(batches):
@@ -151,14 +151,14 @@ def _keyed(docs: DataFrame, n: int, once: bool = False) -> DataFrame:
             if not batch.num_rows:
                 continue
             keys = [_set_key(s) for s in ngram_sets(batch.column("text").cast(pa.binary()).to_pylist(), n)]
-            out = pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.int64())], names=[*batch.schema.names, "set_key"])
+            out = pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.int64())], names=[*batch.schema.names, name])
             if once:
                 pairs = list(zip(batch.column("doc_id").to_pylist(), keys, strict=True))
                 new = [pair not in seen and not seen.add(pair) for pair in pairs]
                 out = out.filter(pa.array(new, pa.bool_()))
             yield out
 
-    return docs.mapInArrow(tidied(run), StructType([*docs.schema.fields, StructField("set_key", LongType())]))
+    return docs.mapInArrow(tidied(run), StructType([*docs.schema.fields, StructField(name, LongType())]))
 
 
 def _verified(blocks: DataFrame, threshold: float, n: int) -> DataFrame:
@@ -271,10 +271,11 @@ def one_of_each(docs: DataFrame, threshold: float = 0.8, n: int = 5, recall: flo
     once = without_ids(docs.join(odd, docs["doc_id"].eqNullSafe(odd["_odd"]), "left_anti"), joined.where("class_id <> doc_id").select("doc_id"))
     heads = joined.where("head AND doc_id <=> class_id").select(F.col("doc_id").alias("_rep"), F.col("set_key").alias("_head"))
     heads = written(heads.join(odd, F.col("_rep").eqNullSafe(F.col("_odd")), "left_semi").distinct(), "heads")
-    several = _keyed(docs.join(odd, docs["doc_id"].eqNullSafe(odd["_odd"]), "left_semi"), n)
-    key = several["set_key"]
-    stay = several.join(heads, (key == heads["_head"]) & several["doc_id"].cast("long").eqNullSafe(heads["_rep"]), "left_semi").unionByName(several.where("set_key IS NULL"))
+    name = free_name("set_key", docs.columns)
+    several = _keyed(docs.join(odd, docs["doc_id"].eqNullSafe(odd["_odd"]), "left_semi"), n, name=name)
+    key = several[name]
+    stay = several.join(heads, (key == heads["_head"]) & several["doc_id"].cast("long").eqNullSafe(heads["_rep"]), "left_semi").unionByName(several.where(key.isNull()))
     # an empty text is its own class: only rows with the same id and text are one
-    alone = F.when(F.col("set_key").isNull(), F.col("text")).alias("_alone")
-    row = F.min_by(F.struct(*docs.columns), F.coalesce("text", F.lit("")))
-    return once.unionByName(stay.groupBy("doc_id", "set_key", alone).agg(row.alias("_row")).select("_row.*"))
+    alone = F.when(F.col(name).isNull(), F.col("text"))
+    row = F.min_by(F.struct(*(F.col(f"`{c}`") for c in docs.columns)), F.coalesce("text", F.lit("")))
+    return once.unionByName(stay.groupBy(F.col("doc_id").alias("a"), F.col(name).alias("b"), alone.alias("c")).agg(row.alias("d")).select("d.*"))

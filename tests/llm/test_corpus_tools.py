@@ -567,6 +567,28 @@ def test_pipeline_stages(spark, sf_dir):
     assert packed.count() == cp.run(spark, sf_dir).count()
 
 
+def test_pipeline_stages_on_odd_rows(spark, sf_dir):
+    """Nulls, empty and very long texts, repeated ids and rows, an empty table, and columns with the names the stages use."""
+    cp = pytest.importorskip("corpus_pipeline")
+    draw = random.Random(6)
+    prose = [" ".join(draw.choice("river stone garden quiet morning letter under bridge seldom market window answer".split()) + str(draw.randrange(900)) for _ in range(80)) + "." for _ in range(5)]
+    names = "doc_id text lang source n_chars _gone _odd set_key _head _rep _twice failures score page rep comp a d".split()
+    texts = [None, "", " \n", "word " * 200_000, *prose, prose[0], "x" * 300_000, " ".join(prose) * 40]
+    rows = [(k if k % 4 else None, t, "en", "s", 1, *["mine"] * 13) for k, t in enumerate(texts)] + [(5, prose[1], "en", "s", 1, *["mine"] * 13)] * 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in names[5:]))
+    for start in (docs, docs.where("false")):
+        kept = start
+        for name, stage in cp.STAGES[:-1]:
+            after = cp.written(stage(spark, kept if name != "ngram_jaccard_join" else start, sf_dir), name)
+            assert after.columns == docs.columns
+            assert after.exceptAll(start).isEmpty() or name == "ngram_jaccard_join"
+            kept = after
+        texts_left = [r["text"] for r in kept.collect()]
+        assert len([t for t in texts_left if t]) == len({t for t in texts_left if t})
+        packed = cp.STAGES[-1][1](spark, kept, sf_dir)
+        assert packed.select("doc_id").distinct().count() == kept.select("doc_id").distinct().count()
+
+
 def test_words_with_unusual_letters_are_encoded_exactly():
     """Runs of Latin letters take a short path; near misses of it (marks, case, signs, contractions) must not differ."""
     import random
