@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import vector
+from ..functions.text import clamped
+from ..shipping import ship_package
 
 FINAL_MOST, RRF_K, VECTOR_FLOOR = 12, 20, 0.15
 
@@ -18,41 +21,88 @@ def recall_limit(top_k: int, times: int, least: int, most: int) -> int:
     return max(1, min(max(top_k * times, least), most))
 
 
-def top_k(items: DataFrame, query: DataFrame, k: int, item_id: str = "vec_id", column: str = "embedding") -> DataFrame:
-    """The ``k`` items nearest to one query vector by cosine: the query is one broadcast row, the result a top-k."""
-    one = query.select(F.col(column).alias("_query")).limit(1)
-    scored = items.crossJoin(F.broadcast(one)).withColumn("score", vector.cosine(F.col(column), F.col("_query"))).drop("_query")
-    return scored.orderBy(F.desc(F.round("score", 9)), item_id).limit(k)
-
-
-def best_per_document(scored: DataFrame, document: str, k: int) -> DataFrame:
-    """The ``k`` documents with the best chunks, each with its best score."""
-    return scored.groupBy(document).agg(F.max("score").alias("score")).orderBy(F.desc(F.round("score", 9)), document).limit(k)
-
-
-def ranked(items: DataFrame, score: str, *ties: str) -> DataFrame:
-    """Adds the 1-based rank of a candidate list (bounded by its recall limit)."""
-    return items.withColumn("rank", F.row_number().over(Window.orderBy(F.desc(F.round(score, 9)), *ties)))
-
-
-def reciprocal_rank_fusion(a: DataFrame, b: DataFrame, key: str, k: int = 60, weight_a: float = 0.6, weight_b: float = 0.4) -> DataFrame:
+def nearest(items: DataFrame, queries: DataFrame, k: int, item: str = "vec_id", query: str = "query_id", column: str = "embedding", block: int = 2048) -> DataFrame:
+    """Of every query (``query``, ``column``): the ``k`` nearest items by cosine, but for the item with the query's own id.
+
+    Columns: query, item, score, rank (from 1; by score rounded to 9 places, then by id). Queries are taken in blocks of at
+    most ``block``, each held against all items; a task passes on its best ``k`` of each query, so what is shuffled grows
+    with tasks and queries, not with pairs. Null vectors are left out; a vector of length 0 has score 0.
+    """
+    spark = items.sparkSession
+    ship_package(spark)
+    plain = items.where(F.col(column).isNotNull() & F.col(item).isNotNull()).select(F.col(item).cast("long").alias(item), F.col(column).cast("array<double>").alias(column))
+    asked = queries.where(F.col(column).isNotNull() & F.col(query).isNotNull()).select(F.col(query).cast("long").alias(query), F.col(column).cast("array<double>").alias(column))
+    spec = f"{query} long, {item} long, score double"
+    out, ids, vectors = None, [], []
+
+    def held_against(ids: list[int], vectors: list[list[float]]) -> DataFrame:
+        wanted, own = np.array(ids, np.int64), _unit(np.array(vectors, np.float64))
+
+        def run(batches):
+            best_id, best = np.zeros((len(wanted), 0), np.int64), np.zeros((len(wanted), 0))
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                found = np.array(batch.column(0).to_pylist(), np.int64)
+                scores = np.round(own @ _unit(np.array(batch.column(1).to_pylist(), np.float64)).T, 9)
+                scores[wanted[:, None] == found[None, :]] = -np.inf
+                best_id = np.concatenate((best_id, np.broadcast_to(found, scores.shape)), axis=1)
+                best = np.concatenate((best, scores), axis=1)
+                order = np.lexsort((best_id, -best), axis=1)[:, :k]
+                best_id, best = np.take_along_axis(best_id, order, axis=1), np.take_along_axis(best, order, axis=1)
+            row, at = np.nonzero(best > -np.inf)
+            yield pa.RecordBatch.from_arrays([pa.array(wanted[row]), pa.array(best_id[row, at]), pa.array(best[row, at])], names=[query, item, "score"])
+
+        return plain.mapInArrow(run, spec)
+
+    for row in asked.toLocalIterator():
+        ids.append(row[0])
+        vectors.append(row[1])
+        if len(ids) == block:
+            part = held_against(ids, vectors)
+            out, ids, vectors = part if out is None else out.unionByName(part), [], []
+    if ids:
+        part = held_against(ids, vectors)
+        out = part if out is None else out.unionByName(part)
+    if out is None:
+        out = spark.createDataFrame([], spec)
+    return ranked(out, "score", item, by=query).where(F.col("rank") <= k)
+
+
+def _unit(rows: np.ndarray) -> np.ndarray:
+    length = np.linalg.norm(rows, axis=1, keepdims=True)
+    return np.divide(rows, length, out=np.zeros_like(rows), where=length > 0)
+
+
+def best_per_document(scored: DataFrame, document: str, k: int, query: str = "query_id") -> DataFrame:
+    """Of each query: the ``k`` documents with the best chunks, each with its best score and its rank."""
+    best = scored.groupBy(query, document).agg(F.max("score").alias("score"))
+    return ranked(best, "score", document, by=query).where(F.col("rank") <= k)
+
+
+def ranked(items: DataFrame, score: str, *ties: str, by: str = "query_id") -> DataFrame:
+    """Adds the 1-based rank of each query's candidates (bounded by their recall limit)."""
+    return items.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(F.desc(F.round(score, 9)), *ties)))
+
+
+def reciprocal_rank_fusion(a: DataFrame, b: DataFrame, key: list[str], k: int = 60, weight_a: float = 0.6, weight_b: float = 0.4) -> DataFrame:
     """Sum of weight / (k + rank) over two ranked lists (key, rank)."""
-    parts = a.select(key, (weight_a / (k + F.col("rank"))).alias("s")).unionByName(b.select(key, (weight_b / (k + F.col("rank"))).alias("s")))
-    return parts.groupBy(key).agg(F.sum("s").alias("score"))
+    parts = a.select(*key, (weight_a / (k + F.col("rank"))).alias("s")).unionByName(b.select(*key, (weight_b / (k + F.col("rank"))).alias("s")))
+    return parts.groupBy(*key).agg(F.sum("s").alias("score"))
 
 
-def weighted_fusion(a: DataFrame, b: DataFrame, key: str, alpha: float = 0.6) -> DataFrame:
-    joined = a.select(key, F.col("score").alias("_a")).join(b.select(key, F.col("score").alias("_b")), key, "full")
-    return joined.select(key, (alpha * F.coalesce("_a", F.lit(0.0)) + (1 - alpha) * F.coalesce("_b", F.lit(0.0))).alias("score"))
+def weighted_fusion(a: DataFrame, b: DataFrame, key: list[str], alpha: float = 0.6) -> DataFrame:
+    joined = a.select(*key, F.col("score").alias("_a")).join(b.select(*key, F.col("score").alias("_b")), key, "full")
+    return joined.select(*key, (alpha * F.coalesce("_a", F.lit(0.0)) + (1 - alpha) * F.coalesce("_b", F.lit(0.0))).alias("score"))
 
 
-def min_max_fusion(a: DataFrame, b: DataFrame, key: str, weight: float = 0.6) -> DataFrame:
-    """Each list scaled to 0..1 by its own least and greatest score, then weighted."""
+def min_max_fusion(a: DataFrame, b: DataFrame, key: list[str], weight: float = 0.6) -> DataFrame:
+    """Each query's list (key[0]) scaled to 0..1 by its own least and greatest score, then weighted."""
 
     def scaled(rows: DataFrame) -> DataFrame:
-        ends = rows.agg(F.min("score").alias("_low"), F.max("score").alias("_high"))
-        span = F.col("_high") - F.col("_low")
-        return rows.crossJoin(F.broadcast(ends)).select(key, F.when(span == 0, 1.0).otherwise((F.col("score") - F.col("_low")) / span).alias("score"))
+        w = Window.partitionBy(key[0])
+        low, span = F.min("score").over(w), F.max("score").over(w) - F.min("score").over(w)
+        return rows.select(*key, F.when(span == 0, 1.0).otherwise((F.col("score") - low) / span).alias("score"))
 
     return weighted_fusion(scaled(a), scaled(b), key, weight)
 
@@ -65,12 +115,12 @@ def hybrid_score(vector_score: Column, graph_score: Column, vector_rank: Column,
     return F.least(F.lit(1.0), 0.6 * raw + 0.4 * F.least(12 * ranks, F.lit(1.0)) + F.when(has_v & has_g, 0.08).otherwise(0.0))
 
 
-def hybrid_merge(vectors: DataFrame, graph: DataFrame, key: str, k: int) -> DataFrame:
-    """Outer merge of two ranked lists (key, score, rank), scored and cut to ``k``."""
-    v = vectors.select(key, F.col("score").alias("vector_score"), F.col("rank").alias("vector_rank"))
-    g = graph.select(key, F.col("score").alias("graph_score"), F.col("rank").alias("graph_rank"))
+def hybrid_merge(vectors: DataFrame, graph: DataFrame, key: list[str], k: int) -> DataFrame:
+    """Outer merge of two ranked lists (key, score, rank), scored; of each query (key[0]) the best ``k``."""
+    v = vectors.select(*key, F.col("score").alias("vector_score"), F.col("rank").alias("vector_rank"))
+    g = graph.select(*key, F.col("score").alias("graph_score"), F.col("rank").alias("graph_rank"))
     score = hybrid_score(F.col("vector_score"), F.col("graph_score"), F.col("vector_rank"), F.col("graph_rank"))
-    return v.join(g, key, "full").select(key, score.alias("score")).orderBy(F.desc(F.round("score", 9)), key).limit(k)
+    return ranked(v.join(g, key, "full").select(*key, score.alias("score")), "score", *key[1:], by=key[0]).where(F.col("rank") <= k)
 
 
 def graph_match_score(n_terms: Column, confidence: Column, has_fact: Column, has_episode: Column, name_hit: Column) -> Column:
@@ -82,17 +132,69 @@ def confidence(score: Column) -> Column:
     return F.when(score >= 0.7, "high").when(score >= 0.4, "medium").otherwise("low")
 
 
-def metrics(results: DataFrame, relevant: DataFrame, query: str, item: str, k: int) -> DataFrame:
-    """By query: recall, nDCG, reciprocal rank, average precision and hit at ``k``, from (query, item, rank) and (query, item)."""
-    hits = results.where(F.col("rank") <= k).join(relevant.select(query, item, F.lit(1).alias("hit")), [query, item], "left").withColumn("hit", F.coalesce("hit", F.lit(0)))
+def overall_confidence(candidates: DataFrame, query: str) -> DataFrame:
+    """The label of each query's best candidate."""
+    return candidates.groupBy(query).agg(confidence(F.max("score")).alias("confidence"))
+
+
+def candidates(rows: DataFrame, source: str, document: str, chunk: str) -> DataFrame:
+    """Rows with a score as uniform candidates: id, document, chunk (0 where missing), score (0 to 1, 6 places), label."""
+    score = F.round(clamped(F.col("score").cast("double")), 6)
+    at = F.coalesce(F.col(chunk), F.lit(0)).cast("int")
+    key = F.concat_ws(":", F.lit(source), F.col(document).cast("string"), at.cast("string"))
+    return rows.withColumns({"candidate": key, "chunk_index": at, "score": score, "source_type": F.lit(source), "confidence": confidence(score)})
+
+
+def hydrated(refs: DataFrame, chunks: DataFrame, document: str, chunk: str) -> DataFrame:
+    """Candidates with the text of their chunk: references to a chunk that isn't there, or to a negative one, go."""
+    return refs.where(F.col(chunk) >= 0).join(chunks, [document, chunk])
+
+
+def reranked(refs: DataFrame, chunks: DataFrame, document: str, chunk: str, k: int, query: str = "query_id") -> DataFrame:
+    """Of each query: distinct references (the best score of each), hydrated, the best ``k`` by score."""
+    once = refs.groupBy(query, document, chunk).agg(F.max("score").alias("score"))
+    return ranked(hydrated(once, chunks, document, chunk), "score", document, chunk, by=query).where(F.col("rank") <= k)
+
+
+def overlap(a: DataFrame, b: DataFrame, relevant: DataFrame, query: str, item: str, k: int) -> DataFrame:
+    """Of each query's two lists cut to ``k``: how many items in both, in one alone, and how many of each part are relevant."""
+    cut = lambda rows, flag: rows.where(F.col("rank") <= k).select(query, item, F.lit(1).alias(flag))
+    both = cut(a, "_a").join(cut(b, "_b"), [query, item], "full").join(relevant.select(query, item, F.lit(1).alias("_r")), [query, item], "left")
+    in_a, in_b, hit = F.col("_a").isNotNull(), F.col("_b").isNotNull(), F.col("_r").isNotNull()
+    return both.groupBy(query).agg(
+        F.count_if(in_a & in_b).alias("both"), F.count_if(in_a & ~in_b).alias("first_alone"), F.count_if(in_b & ~in_a).alias("second_alone"),
+        F.count_if(in_a & hit).alias("first_hits"), F.count_if(in_b & hit).alias("second_hits"), F.count_if(hit).alias("hits"),
+    )
+
+
+def hop_metrics(results: DataFrame, relevant: DataFrame, query: str, item: str) -> DataFrame:
+    """Of each query with relevant items: recall, hit and reciprocal rank of graph results (query, item, rank, hop), and
+    mean and least hops of the relevant ones (null if none was found)."""
+    hits = results.join(relevant.select(query, item), [query, item]).groupBy(query).agg(F.count(F.lit(1)).alias("n"), F.max(1.0 / F.col("rank")).alias("mrr"), F.avg("hop").alias("mean_hops"), F.min("hop").alias("least_hops"))
+    out = relevant.groupBy(query).agg(F.count(F.lit(1)).alias("relevant")).join(hits, query, "left")
+    return out.select(query, (F.coalesce("n", F.lit(0)) / F.col("relevant")).alias("recall"), F.col("n").isNotNull().cast("int").alias("hit"), F.coalesce("mrr", F.lit(0.0)).alias("mrr"), "mean_hops", "least_hops")
+
+
+def latency(rows: DataFrame, milliseconds: Column, *keys: str) -> DataFrame:
+    """Mean, and the 50th, 95th and 99th percentile with linear interpolation."""
+    named = rows.groupBy(*keys)
+    return named.agg(F.avg(milliseconds).alias("mean"), *(F.percentile(milliseconds, p / 100).alias(f"p{p}") for p in (50, 95, 99)))
+
+
+def metrics(results: DataFrame, totals: DataFrame, query: str, k: int) -> DataFrame:
+    """By query: recall, nDCG, reciprocal rank, average precision and hit at ``k``.
+
+    ``results`` (query, rank, hit as 0 or 1); ``totals`` (query, relevant: how many items are relevant). Queries without
+    relevant items are left out.
+    """
     w = Window.partitionBy(query).orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
-    hits = hits.withColumn("so_far", F.sum("hit").over(w))
+    hits = results.where(F.col("rank") <= k).withColumn("so_far", F.sum("hit").over(w))
     found = hits.groupBy(query).agg(
         F.sum("hit").alias("hits"),
         F.sum(F.col("hit") / F.log2(F.col("rank") + 1.0)).alias("dcg"),
         F.coalesce(F.max(F.when(F.col("hit") == 1, 1.0 / F.col("rank"))), F.lit(0.0)).alias("mrr"),
         F.sum(F.when(F.col("hit") == 1, F.col("so_far") / F.col("rank")).otherwise(0.0)).alias("precisions"),
     )
-    out = relevant.groupBy(query).agg(F.count(F.lit(1)).alias("relevant")).join(found, query, "left").na.fill(0)
+    out = totals.where("relevant > 0").join(found, query, "left").na.fill(0)
     ideal = F.aggregate(F.sequence(F.lit(1), F.least(F.col("relevant"), F.lit(k)).cast("int")), F.lit(0.0), lambda s, i: s + 1.0 / F.log2(i + 1.0))
     return out.select(query, (F.col("hits") / F.col("relevant")).alias("recall"), (F.col("dcg") / ideal).alias("ndcg"), "mrr", (F.col("precisions") / F.col("relevant")).alias("map"), (F.col("hits") > 0).cast("int").alias("hit"))

@@ -184,17 +184,21 @@ def test_chunk_rows(spark):
 
 
 def test_metrics(spark):
-    results = spark.createDataFrame([(1, 10, 1), (1, 11, 2), (1, 12, 3)], "q int, i int, rank int")
-    relevant = spark.createDataFrame([(1, 11), (1, 12), (2, 5)], "q int, i int")
-    got = {r["q"]: r for r in retrieval.metrics(results, relevant, "q", "i", 3).collect()}
+    results = spark.createDataFrame([(1, 1, 0), (1, 2, 1), (1, 3, 1)], "q int, rank int, hit int")
+    totals = spark.createDataFrame([(1, 2), (2, 1), (3, 0)], "q int, relevant int")
+    got = {r["q"]: r for r in retrieval.metrics(results, totals, "q", 3).collect()}
     assert got[1]["recall"] == 1.0 and got[1]["mrr"] == 0.5 and got[1]["map"] == pytest.approx((1 / 2 + 2 / 3) / 2)
-    assert got[2]["recall"] == 0.0 and got[2]["hit"] == 0
+    assert got[2]["recall"] == 0.0 and got[2]["hit"] == 0 and 3 not in got
 
 
-def test_top_k_is_a_top_k(spark, sf_dir):
-    e = tables.table(spark, sf_dir, "embeddings")
-    plan = retrieval.top_k(e.where("vec_id <> 0"), e.where("vec_id = 0"), 10)._jdf.queryExecution().toString()
-    assert "TakeOrderedAndProject" in plan
+def test_nearest_in_blocks_and_over_partitions(spark):
+    rows = [(1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, [0.6, 0.8]), (4, [0.0, 0.0]), (5, None), (None, [1.0, 0.0]), (6, [-1.0, 0.0])]
+    items = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    asked = items.withColumnRenamed("vec_id", "query_id")
+    for block in (1, 2, 100):
+        got = sorted(tuple(r) for r in retrieval.nearest(items, asked, 2, block=block).where("query_id IN (1, 4)").collect())
+        assert got == [(1, 2, 1.0, 1), (1, 3, 0.6, 2), (4, 1, 0.0, 1), (4, 2, 0.0, 2)]
+    assert retrieval.nearest(items, asked.where("false"), 2).count() == 0 and retrieval.nearest(items.where("false"), asked, 2).count() == 0
 
 
 def test_usage_summary_scans_once(spark, sf_dir):
