@@ -90,3 +90,57 @@ def approval(price: Column, budget: Column, trust: Column, first: Column) -> Col
 def anonymized_level(sensitivity: Column) -> Column:
     levels = {"low": "L1", "medium": "L2", "high": "L3", "critical": "L4"}
     return F.try_element_at(F.create_map(*(F.lit(x) for pair in levels.items() for x in pair)), sensitivity)
+
+
+def since(rows: DataFrame, ts: str, as_of: str, days: int) -> DataFrame:
+    """Rows of the ``days`` days that end at ``as_of``."""
+    end = F.lit(as_of).cast("timestamp_ntz")
+    return rows.where((F.col(ts) > end - F.expr(f"INTERVAL {days} DAYS")) & (F.col(ts) <= end))
+
+
+def log_page(logs: DataFrame, order: list[str], limit: int | None = None, offset: int = 0, least_risk: float | None = None, start: str | None = None, end: str | None = None, ts: str = "ts", risk: str = "risk", **equal) -> DataFrame:
+    """Audit rows by any of: columns equal to a value (``user_id=7``; None is no condition), least risk, time from ``start``
+    up to ``end``; newest first by ``order``, a page of ``limit`` rows after ``offset``."""
+    out = logs
+    for column, value in equal.items():
+        if value is not None:
+            out = out.where(F.col(column) == value)
+    if least_risk is not None:
+        out = out.where(F.col(risk) >= least_risk)
+    if start is not None:
+        out = out.where(F.col(ts) >= F.lit(start).cast("timestamp_ntz"))
+    if end is not None:
+        out = out.where(F.col(ts) <= F.lit(end).cast("timestamp_ntz"))
+    out = out.orderBy(*(F.desc(c) for c in order)).offset(offset)
+    return out if limit is None else out.limit(limit)
+
+
+def severities(violations: DataFrame, key: str, severity: str = "severity") -> DataFrame:
+    """Violations of each key in all and by severity; unknown severities count in the total alone."""
+    return violations.groupBy(key).agg(F.count(F.lit(1)).alias("total"), *(F.count_if(F.col(severity) == s).alias(s) for s in ("critical", "high", "medium", "low")))
+
+
+def summary(access: DataFrame, violations: DataFrame, key: str, fingerprint: str, risk: str) -> DataFrame:
+    """Of each key: accesses, different queries, mean risk (3 places), accesses over 0.7, violations, and the pattern."""
+    r = F.coalesce(F.col(risk), F.lit(0.0))
+    out = access.groupBy(key).agg(F.count(F.lit(1)).alias("accesses"), F.countDistinct(fingerprint).alias("different_queries"), F.round(F.avg(r), 9).alias("_mean"), F.count_if(r > 0.7).alias("high_risk"))
+    out = out.join(violations.groupBy(key).agg(F.count(F.lit(1)).alias("violations")), key, "left").withColumn("violations", F.coalesce("violations", F.lit(0)))
+    pattern = F.when(F.col("_mean") > 0.6, "anomalous").when((F.col("_mean") > 0.3) | (F.col("accesses") > 500), "suspicious").otherwise("normal")
+    return out.withColumn("pattern", pattern).withColumn("mean_risk", F.round(F.col("_mean") + 1e-9, 3)).withColumn("level", risk_level(F.col("_mean"))).drop("_mean")
+
+
+def assessed(summaries: DataFrame) -> DataFrame:
+    """Risk factors of summaries, and the state they ask for: suspended, monitored or active."""
+    factors = F.array_compact(F.array(F.when(F.col("high_risk") > 0, "high_risk_access"), F.when(F.col("violations") > 0, "policy_violation"), F.when(F.col("accesses") > 100, "frequent_access")))
+    state = F.when((F.col("level") == "critical") | (F.col("violations") > 5), "suspended").when((F.col("level") == "high") | (F.col("violations") > 0), "monitored").otherwise("active")
+    return summaries.withColumn("factors", factors).withColumn("state", state)
+
+
+def histogram(summaries: DataFrame) -> DataFrame:
+    """How many keys have each risk level, with their violations and high-risk accesses."""
+    return summaries.groupBy("level").agg(F.count(F.lit(1)).alias("keys"), F.sum("violations").alias("violations"), F.sum("high_risk").alias("high_risk"))
+
+
+def integrity_hash(*fields: Column) -> Column:
+    """SHA-256 of an audit row's fields, which can be computed again from the row: no clock is part of it."""
+    return F.sha2(F.concat_ws("|", *(F.coalesce(f.cast("string"), F.lit("")) for f in fields)), 256)

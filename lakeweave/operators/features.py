@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vector
@@ -34,6 +34,89 @@ def z_scores(rows: DataFrame, *columns: str) -> DataFrame:
     return out.drop(*(f"_{k}_{c}" for c in columns for k in "ms"))
 
 
+def inverse_z_scores(rows: DataFrame, stats: DataFrame, *columns: str) -> DataFrame:
+    """Columns ``c_z`` turned back to values by one row of statistics (``mean_c``, ``std_c``)."""
+    out = rows.crossJoin(F.broadcast(stats))
+    return out.withColumns({c: F.col(f"{c}_z") * F.col(f"std_{c}") + F.col(f"mean_{c}") for c in columns}).drop(*stats.columns)
+
+
+def normal_statistics(rows: DataFrame, *columns: str) -> DataFrame:
+    """One row: ``mean_c`` and ``std_c`` (1 for a constant column) of each column."""
+    spread = lambda c: F.stddev_pop(c)
+    return rows.agg(*(F.avg(c).alias(f"mean_{c}") for c in columns), *(F.when(spread(c) == 0, 1.0).otherwise(spread(c)).alias(f"std_{c}") for c in columns))
+
+
+def edge_time(created: Column, used: Column, as_of: str) -> Column:
+    """Age in years (3 at most), recency of use (1 now, 0 after a year), and sine and cosine of the age; 0 where unknown."""
+    days = lambda ts: F.floor((F.unix_seconds(F.lit(as_of).cast("timestamp")) - F.unix_seconds(ts.cast("timestamp"))) / 86400)
+    age = F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(3.0), days(created) / 365)), F.lit(0.0))
+    recency = F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - days(used) / 365)), F.lit(0.0))
+    return F.array(age, recency, F.sin(2 * math.pi * age), F.cos(2 * math.pi * age))
+
+
+def edge_features(kind: Column, kinds: list[str], weight: Column, strength: Column, confidence: Column, frequency: Column, time: Column) -> Column:
+    """One-hot kind (the last place for others), four weights held to 0..1, and the time features."""
+    last = ~F.coalesce(kind.isin(*kinds[:-1]), F.lit(False))
+    hot = F.array(*(F.when(kind == k, 1.0).otherwise(0.0) for k in kinds[:-1]), F.when(last, 1.0).otherwise(0.0))
+    held = lambda c, default: F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(c.cast("double"), F.lit(default))))
+    return F.concat(hot, F.array(held(weight, 1.0), held(strength, 0.5), held(confidence, 0.5), held(frequency / 100, 0.01)), time)
+
+
+def edge_embeddings(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Of each edge (src, dst, features): its ends' vectors and its own features, one after another."""
+    a, b = nodes.select(F.col("id").alias("src"), F.col("x").alias("_a")), nodes.select(F.col("id").alias("dst"), F.col("x").alias("_b"))
+    return edges.join(a, "src").join(b, "dst").select("src", "dst", F.concat("_a", "_b", "features").alias("x"))
+
+
+def contrastive_loss(triples: DataFrame, anchor: str, positive: str, negative: str, temperature: float = 0.5) -> DataFrame:
+    """Mean InfoNCE loss of (anchor, positive, negative) vectors: cross entropy of the positive's cosine against the negative's."""
+    p, n = vector.cosine(F.col(anchor), F.col(positive)) / temperature, vector.cosine(F.col(anchor), F.col(negative)) / temperature
+    return triples.agg(F.avg(F.log1p(F.exp(n - p))).alias("loss"), F.count(F.lit(1)).alias("triples"))
+
+
+def contrastive_triples(nodes: DataFrame, label: str = "label", seed: int = 0) -> DataFrame:
+    """For every node an anchor, a positive (the next node of its label in hash order, the first after the last) and a
+    negative (the node with the same place in another label's order). Labels with one node give none.
+
+    Places come from ranks within labels; the two lookups are equi-joins on (label, place).
+    """
+    w = Window.partitionBy(label).orderBy(F.xxhash64("id", F.lit(seed)), "id")
+    placed = nodes.withColumn("_k", F.row_number().over(w) - 1)
+    sizes = placed.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
+    labels = sizes.withColumn("_l", F.row_number().over(Window.orderBy(label)) - 1)
+    after = labels.select((F.pmod(F.col("_l") - 1, F.lit(labels.count()))).alias("_l"), F.col(label).alias("_other"), F.col("_n").alias("_m"))
+    known = placed.join(F.broadcast(labels.join(after, "_l")), label).where("_n > 1")
+    asked = known.select(F.col("id").alias("anchor"), F.col("x").alias("anchor_x"), F.col(label), "_other", ((F.col("_k") + 1) % F.col("_n")).alias("_p"), (F.col("_k") % F.col("_m")).alias("_q"))
+    pos = placed.select(F.col(label), F.col("_k").alias("_p"), F.col("id").alias("positive"), F.col("x").alias("positive_x"))
+    neg = placed.select(F.col(label).alias("_other"), F.col("_k").alias("_q"), F.col("id").alias("negative"), F.col("x").alias("negative_x"))
+    return asked.join(pos, [label, "_p"]).join(neg, ["_other", "_q"]).select("anchor", "positive", "negative", "anchor_x", "positive_x", "negative_x")
+
+
+def heads(nodes: DataFrame, weights: dict[str, list[list[float]]]) -> DataFrame:
+    """Linear heads over node vectors: of each name, one output for each row of weights."""
+    dot = lambda w: vector.dot(F.col("x"), F.array(*map(F.lit, w)))
+    return nodes.withColumns({name: F.array(*(dot(w) for w in rows)) for name, rows in weights.items()})
+
+
+def multi_task_loss(rows: DataFrame, regression: dict[str, tuple[str, str]], classes: dict[str, tuple[str, str]], task_weights: dict[str, float]) -> DataFrame:
+    """Weighted sum of mean squared errors (prediction, target) and of cross entropies (logits, class number), and each."""
+    losses = {name: F.avg((F.col(p) - F.col(y)) ** 2) for name, (p, y) in regression.items()}
+    for name, (logits, y) in classes.items():
+        total = F.log(F.aggregate(F.transform(logits, F.exp), F.lit(0.0), lambda s, v: s + v))
+        losses[name] = F.avg(total - F.get(F.col(logits), F.col(y)))
+    out = rows.agg(*(c.alias(n) for n, c in losses.items()))
+    weighted = F.lit(0.0)
+    for n in losses:
+        weighted = weighted + task_weights.get(n, 1.0) * F.col(n)
+    return out.withColumn("loss", weighted)
+
+
+def masked_features(nodes: DataFrame, share: float, seed: int = 0) -> DataFrame:
+    """Vectors with a share of their places set to 0, chosen by hash."""
+    keep = lambda i: F.pmod(F.xxhash64(F.col("id"), i, F.lit(seed)), F.lit(1_000_000)) / 1e6 >= share
+    return nodes.withColumn("x", F.transform("x", lambda v, i: F.when(keep(i), v).otherwise(0.0)))
+
+
 def sage_layer(nodes: DataFrame, edges: DataFrame, dimensions: int, own: float = 0.6, near: float = 0.4) -> DataFrame:
     """One mean-aggregation layer with fixed weights: relu(own * x + near * mean of the in-neighbours), length 1.
 

@@ -59,7 +59,13 @@ def governed_sql(spark: SparkSession, query: str, policy: str) -> DataFrame:
     if rules.least_group > 1:
         raise AccessDenied("this policy has a least group size; use governed_aggregate")
     rows = spark.sql(query)
-    return rows.limit(rules.most_rows) if rules.most_rows else rows
+    return first_rows(rows, rules.most_rows) if rules.most_rows else rows
+
+
+def first_rows(rows: DataFrame, most: int, *order: str) -> DataFrame:
+    """The first rows by ``order`` and then by all columns that can be ordered: the same ones on every run."""
+    rest = [f.name for f in rows.schema.fields if f.name not in order and "map<" not in f.dataType.simpleString()]
+    return rows.orderBy(*(F.col(f"`{c}`") for c in (*order, *rest))).limit(most)
 
 
 def governed_aggregate(rows: DataFrame, keys: list[str], aggregates: dict[str, Column], policy: str) -> DataFrame:
@@ -67,7 +73,7 @@ def governed_aggregate(rows: DataFrame, keys: list[str], aggregates: dict[str, C
     rules = POLICIES.get(policy, POLICIES["read_only"])
     out = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_size"), *(c.alias(n) for n, c in aggregates.items()))
     out = out.where(F.col("_size") >= rules.least_group).drop("_size")
-    return out.limit(rules.most_rows) if rules.most_rows else out
+    return first_rows(out, rules.most_rows, *keys) if rules.most_rows else out
 
 
 def watermark(rows: DataFrame, kind: str, transaction: str, buyer: int, as_of: str, unique: str) -> DataFrame:
@@ -99,10 +105,15 @@ def decade(age: Column) -> Column:
     return F.concat((F.floor(age / 10) * 10).cast("string"), F.lit("s"))
 
 
-def laplace(value: Column, epsilon: float, sensitivity: float = 1.0, seed: int = 0) -> Column:
-    """The value with Laplace noise of scale sensitivity / epsilon, by the inverse distribution function."""
-    u = F.rand(seed) - 0.5
-    return value - (sensitivity / epsilon) * F.signum(u) * F.log(1 - 2 * F.abs(u) + 1e-300)
+def laplace(value: Column, epsilon: float, sensitivity: float = 1.0, seed: int = 0, *key: Column) -> Column:
+    """The value with Laplace noise of scale sensitivity / epsilon, by the inverse distribution function.
+
+    The draw comes from a hash of ``key`` (what tells rows apart; the value itself if none) and ``seed``: a row gets the
+    same noise on every run and every number of partitions, so that repeating a query reveals nothing more. The seed must
+    stay secret.
+    """
+    u = (F.shiftrightunsigned(F.xxhash64(*(key or (value,)), F.lit(seed)), 11) + 0.5) / float(1 << 53) - 0.5
+    return value - (sensitivity / epsilon) * F.signum(u) * F.log(1 - 2 * F.abs(u))
 
 
 # Scores of computation methods (privacy, precision, cost, trust; 0 to 1) and what a sensitivity allows.

@@ -77,3 +77,43 @@ def price(base: Column, quality: Column, scarcity: Column, lineage: Column, righ
 
 def price_range(p: Column) -> Column:
     return F.struct((0.8 * p).alias("low"), F.greatest(F.lit(1.0), F.bround(p)).alias("recommended"), (1.3 * p).alias("high"))
+
+
+def automatic_price(n_chars: Column, nodes: Column, edges: Column) -> Column:
+    """20, one for each 180 characters (120 at most), 1.5 a node and 1.2 an edge of its graph; 5 to 500."""
+    return F.greatest(F.lit(5.0), F.least(F.lit(500.0), 20.0 + F.least(n_chars / 180.0, F.lit(120.0)) + nodes * 1.5 + edges * 1.2))
+
+
+def strategy(position: Column) -> Column:
+    """(strategy, adjustment) by market position: leaders ask a premium, followers compete, others penetrate."""
+    leads, follows = position == "leader", position == "follower"
+    return F.struct(F.when(leads, "premium").when(follows, "competitive").otherwise("penetration").alias("strategy"), F.when(leads, 1.2).when(follows, 1.0).otherwise(0.85).alias("adjustment"))
+
+
+def network_label(value: Column) -> Column:
+    return F.when(value >= 50, "high").when(value >= 20, "medium").otherwise("low")
+
+
+def parent_hashes(chained: DataFrame, entity: str, sources: DataFrame) -> DataFrame:
+    """Of each source entity: the hash of its latest step (``0`` where it has none)."""
+    last = chained.groupBy(entity).agg(F.max_by("hash", "step_index").alias("parent_hash"))
+    return sources.join(last, entity, "left").withColumn("parent_hash", F.coalesce("parent_hash", F.lit("0")))
+
+
+def purged(lineage: DataFrame, ts: str, as_of: str, days: int) -> tuple[DataFrame, DataFrame]:
+    """(kept, gone): rows by whether they are older than ``days`` at ``as_of``. A dry run counts the second."""
+    cutoff = F.lit(as_of).cast("timestamp_ntz") - F.expr(f"INTERVAL {days} DAYS")
+    old = F.coalesce(F.col(ts) < cutoff, F.lit(False))
+    return lineage.where(~old), lineage.where(old)
+
+
+def kinds_since(lineage: DataFrame, kind: str, ts: str, as_of: str, days: int) -> DataFrame:
+    """Steps of each kind of entity over the ``days`` days that end at ``as_of``."""
+    end = F.lit(as_of).cast("timestamp_ntz")
+    return lineage.where((F.col(ts) > end - F.expr(f"INTERVAL {days} DAYS")) & (F.col(ts) <= end)).groupBy(kind).agg(F.count(F.lit(1)).alias("n"))
+
+
+def stored_or_profiled(stored: DataFrame, profiled: DataFrame, key: str, metric: str, default: float = 0.5) -> DataFrame:
+    """A metric of each asset: the stored one, else the profiled one, else ``default``."""
+    other = profiled.select(key, F.col(metric).alias("_p"))
+    return stored.join(other, key, "left").select(key, F.coalesce(metric, "_p", F.lit(default)).alias(metric))

@@ -40,7 +40,7 @@ def watermark(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def laplace_noise(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "customer")
-    return rows.select("c_custkey", governance.laplace(F.col("c_acctbal"), 0.5, 1.0, 42).alias("noisy"))
+    return rows.select("c_custkey", governance.laplace(F.col("c_acctbal"), 0.5, 1.0, 42, F.col("c_custkey")).alias("noisy"))
 
 
 def rights_check(spark: SparkSession, sf_dir: str) -> DataFrame:

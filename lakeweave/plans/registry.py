@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import audit, features, governance, graph, market, platform, relational, retrieval, safety, stateful, text, usage
+from . import audit, features, governance, graph, lifecycle, market, platform, relational, retrieval, safety, stateful, text, usage
 
 FLAGSHIP = "agg_usage_daily"
-_MODULES = (usage, market, audit, relational, text, retrieval, graph, governance, stateful, features, safety, platform)
+_MODULES = (usage, market, audit, relational, text, retrieval, graph, governance, stateful, features, safety, platform, lifecycle)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
