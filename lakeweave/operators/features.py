@@ -49,8 +49,8 @@ def normal_statistics(rows: DataFrame, *columns: str) -> DataFrame:
 def edge_time(created: Column, used: Column, as_of: str) -> Column:
     """Age in years (3 at most), recency of use (1 now, 0 after a year), and sine and cosine of the age; 0 where unknown."""
     days = lambda ts: F.floor((F.unix_seconds(F.lit(as_of).cast("timestamp")) - F.unix_seconds(ts.cast("timestamp"))) / 86400)
-    age = F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(3.0), days(created) / 365)), F.lit(0.0))
-    recency = F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - days(used) / 365)), F.lit(0.0))
+    age = F.when(created.isNull(), 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(3.0), days(created) / 365)))
+    recency = F.when(used.isNull(), 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - days(used) / 365)))
     return F.array(age, recency, F.sin(2 * math.pi * age), F.cos(2 * math.pi * age))
 
 
