@@ -38,7 +38,7 @@ def derivative_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _settled(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("buyer"), F.col("l_partkey").alias("listing"), (F.col("l_partkey") % 97).alias("seller"), F.round(F.col("l_extendedprice") * 100).cast("long").alias("cents"), "l_orderkey", "l_linenumber")
-    return trading.purchases(rows, ["l_orderkey", "l_linenumber"], 100_000_000)
+    return trading.purchases(rows, ["l_orderkey", "l_linenumber", "listing", "cents"], 100_000_000)
 
 
 def purchase_status(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -232,7 +232,27 @@ QUERIES = {
 _M = "m AS (SELECT event_id AS memory, user_id, event_type AS kind, event_id % 10 + 1 AS importance, CASE WHEN event_id % 2 = 1 THEN ts + INTERVAL 10 DAY END AS expires_at, ts, value FROM events)"
 _LIVE = f"(expires_at IS NULL OR expires_at > TIMESTAMP '{AS_OF}')"
 
+_SETTLED = """RECURSIVE r AS (SELECT l_suppkey AS buyer, l_partkey AS listing, l_partkey % 97 AS seller, CAST(round(l_extendedprice * 100) AS BIGINT) AS cents, l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, CAST(round(l_extendedprice * 100) AS BIGINT)) AS i FROM lineitem),
+f AS (SELECT DISTINCT buyer, 0::BIGINT AS i, NULL::BIGINT AS l_orderkey, NULL::INT AS l_linenumber, NULL::BIGINT AS listing, NULL::BIGINT AS seller, NULL::BIGINT AS cents, NULL::VARCHAR AS status, 100000000::BIGINT AS balance, []::BIGINT[] AS held FROM r UNION ALL
+SELECT buyer, i, l_orderkey, l_linenumber, listing, seller, cents, s, balance - CASE WHEN s = 'bought' THEN cents ELSE 0 END, CASE WHEN s = 'bought' THEN list_append(held, listing) ELSE held END FROM (
+SELECT f.buyer, r.i, r.l_orderkey, r.l_linenumber, r.listing, r.seller, r.cents, balance, held, CASE WHEN f.buyer = r.seller THEN 'own' WHEN list_contains(held, r.listing) THEN 'held' WHEN r.cents > balance THEN 'short' ELSE 'bought' END AS s FROM f JOIN r ON r.buyer = f.buyer AND r.i = f.i + 1)),
+p AS (SELECT * FROM f WHERE i > 0), b AS (SELECT *, CAST(trunc(cents * 5 / 100) AS BIGINT) AS fee FROM p WHERE status = 'bought')"""
+_REPLAY = """RECURSIVE e AS (SELECT event_id, user_id, ts, ['start', 'finish', 'fail', 'cancel', 'requeue'][event_id % 5 + 1] AS action, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+f AS (SELECT DISTINCT user_id, 0::BIGINT AS i, NULL::BIGINT AS event_id, NULL::TIMESTAMP AS ts, NULL::VARCHAR AS action, NULL::BOOLEAN AS admitted, 'queued' AS state FROM e UNION ALL
+SELECT user_id, i, event_id, ts, action, nxt IS NOT NULL, coalesce(nxt, state) FROM (SELECT f.user_id, e.i, e.event_id, e.ts, e.action, state, CASE WHEN e.action = 'start' AND state IN ('queued', 'pending') THEN 'processing' WHEN e.action = 'finish' AND state = 'processing' THEN 'succeeded'
+WHEN e.action = 'fail' AND state IN ('pending', 'queued', 'processing') THEN 'failed' WHEN e.action = 'cancel' AND state IN ('pending', 'queued', 'processing') THEN 'cancelled' WHEN e.action = 'requeue' AND state IN ('failed', 'cancelled') THEN 'queued' END AS nxt FROM f JOIN e ON e.user_id = f.user_id AND e.i = f.i + 1))"""
 ORACLE_SQL = {
+    "purchase_status": f"WITH {_SETTLED} SELECT l_orderkey, l_linenumber, buyer, listing, seller, cents, status, balance FROM p",
+    "purchase_ledger": f"WITH {_SETTLED} SELECT kind, count(*) AS n, CAST(sum(c) AS BIGINT) AS cents FROM (SELECT 'purchase' AS kind, -cents AS c FROM b UNION ALL SELECT 'sale', cents - fee FROM b UNION ALL SELECT 'fee', fee FROM b) GROUP BY 1",
+    "listing_stats": f"WITH {_SETTLED} SELECT listing, count_if(status = 'bought')::BIGINT AS purchases, CAST(sum(CASE WHEN status = 'bought' THEN cents ELSE 0 END) AS BIGINT) AS revenue FROM p GROUP BY 1",
+    "wallet_stats": f"""WITH {_SETTLED} SELECT account, CAST(sum(x) AS BIGINT) AS purchases, CAST(sum(y) AS BIGINT) AS sales, CAST(sum(s) AS BIGINT) AS spent, CAST(sum(c) AS BIGINT) AS income
+FROM (SELECT buyer AS account, 1 AS x, 0 AS y, cents AS s, 0 AS c FROM b UNION ALL SELECT seller, 0, 1, 0, cents - fee FROM b) GROUP BY 1""",
+    "version_appends": """
+WITH RECURSIVE e AS (SELECT event_id, user_id, ts, event_id % 4 AS expected, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+f AS (SELECT DISTINCT user_id, 0::BIGINT AS i, NULL::BIGINT AS event_id, NULL::TIMESTAMP AS ts, NULL::BIGINT AS expected, NULL::BOOLEAN AS accepted, 0::BIGINT AS version FROM e UNION ALL
+SELECT f.user_id, e.i, e.event_id, e.ts, e.expected, e.expected = version, version + (e.expected = version)::INT FROM f JOIN e ON e.user_id = f.user_id AND e.i = f.i + 1)
+SELECT event_id, user_id, ts, expected, accepted, version FROM f WHERE i > 0""",
+    "job_states": f"WITH {_REPLAY} SELECT event_id, user_id, ts, action, admitted, state FROM f WHERE i > 0",
     "permission_decisions": f"""
 WITH r AS (SELECT c_custkey AS request, c_custkey % 50 AS u, c_nationkey AS space, c_custkey % 20 AS res, ['read', 'write', 'delete', 'share'][c_custkey % 4 + 1] AS p FROM customer),
 e AS (SELECT s_suppkey % 50 AS u, s_suppkey % 20 AS res, CASE WHEN s_suppkey % 2 = 0 THEN ['read'] ELSE ['read', 'write'] END AS ps, s_suppkey % 7 = 0 AS pub FROM supplier WHERE s_suppkey % 3 <> 0),

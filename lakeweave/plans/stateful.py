@@ -84,7 +84,30 @@ def clock_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (token_bucket, rate_limit_sliding, circuit_breaker, adaptive_rate, ledger_debits, auction_state, negotiation_fold, memory_recent, memory_context, trajectory, clock_merge, clock_compare)}
 
 _CLOCKS = "c AS (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY 1, 2)"
+_TIMED = "e AS (SELECT event_id, user_id, event_type, value, epoch_us(ts) / 1e6 AS sec, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events)"
+_SHUT = "name <> 'open' OR e.sec - since >= 86400"
 ORACLE_SQL = {
+    "token_bucket": f"""
+WITH RECURSIVE {_TIMED}, f AS (SELECT DISTINCT user_id, 0::BIGINT AS i, NULL::BIGINT AS event_id, NULL::BOOLEAN AS allowed, 2::DOUBLE AS tokens, NULL::DOUBLE AS sec FROM e UNION ALL
+SELECT user_id, i, event_id, t >= 1, t - (t >= 1)::INT, sec FROM (SELECT f.user_id, e.i, e.event_id, e.sec, CASE WHEN f.sec IS NULL THEN 2::DOUBLE ELSE least(2::DOUBLE, f.tokens + (e.sec - f.sec) / 36000) END AS t FROM f JOIN e ON e.user_id = f.user_id AND e.i = f.i + 1))
+SELECT event_id, allowed, round(tokens, 6) AS tokens FROM f WHERE i > 0""",
+    "rate_limit_sliding": f"""
+WITH RECURSIVE {_TIMED}, f AS (SELECT DISTINCT user_id, 0::BIGINT AS i, NULL::BIGINT AS event_id, NULL::BOOLEAN AS allowed, []::DOUBLE[] AS log FROM e UNION ALL
+SELECT user_id, i, event_id, len(l) < 2, CASE WHEN len(l) < 2 THEN list_append(l, sec) ELSE l END FROM (SELECT f.user_id, e.i, e.event_id, e.sec, list_filter(f.log, lambda x: x > e.sec - 86400) AS l FROM f JOIN e ON e.user_id = f.user_id AND e.i = f.i + 1))
+SELECT event_id, allowed FROM f WHERE i > 0""",
+    "circuit_breaker": f"""
+WITH RECURSIVE {_TIMED}, f AS (SELECT DISTINCT user_id, 0::BIGINT AS i, NULL::BIGINT AS event_id, NULL::BOOLEAN AS allowed, 'closed' AS name, 0 AS bad, 0 AS good, 0::DOUBLE AS since FROM e UNION ALL
+SELECT user_id, i, event_id, n <> 'open', CASE WHEN n <> 'open' AND failed AND (n = 'half_open' OR bad + 1 >= 2) THEN 'open' WHEN n = 'half_open' AND NOT failed AND g + 1 >= 2 THEN 'closed' ELSE n END,
+CASE WHEN n = 'open' THEN bad WHEN NOT failed THEN 0 WHEN n = 'half_open' OR bad + 1 >= 2 THEN 0 ELSE bad + 1 END, CASE WHEN n <> 'open' AND NOT failed THEN g + 1 ELSE g END, CASE WHEN n <> 'open' AND failed AND (n = 'half_open' OR bad + 1 >= 2) THEN sec ELSE since END
+FROM (SELECT f.user_id, e.i, e.event_id, e.sec, e.event_type = 'error' AS failed, bad, since, CASE WHEN {_SHUT} THEN CASE WHEN name = 'open' THEN 'half_open' ELSE name END ELSE 'open' END AS n, CASE WHEN name = 'open' AND e.sec - since >= 86400 THEN 0 ELSE good END AS g FROM f JOIN e ON e.user_id = f.user_id AND e.i = f.i + 1))
+SELECT event_id, allowed, name AS state FROM f WHERE i > 0""",
+    "adaptive_rate": f"""
+WITH RECURSIVE {_TIMED}, f AS (SELECT DISTINCT user_id, 0::BIGINT AS i, NULL::BIGINT AS event_id, 100::DOUBLE AS rate FROM e UNION ALL
+SELECT f.user_id, e.i, e.event_id, least(1000::DOUBLE, greatest(10::DOUBLE, rate * CASE WHEN e.value > 70 THEN 0.9::DOUBLE ELSE 1.1::DOUBLE END)) FROM f JOIN e ON e.user_id = f.user_id AND e.i = f.i + 1) SELECT event_id, round(rate, 6) AS rate FROM f WHERE i > 0""",
+    "ledger_debits": f"""
+WITH RECURSIVE {_TIMED}, f AS (SELECT DISTINCT user_id, 0::BIGINT AS i, NULL::BIGINT AS event_id, NULL::BOOLEAN AS accepted, 10000::BIGINT AS balance FROM e UNION ALL
+SELECT user_id, i, event_id, balance + c >= 0, balance + CASE WHEN balance + c >= 0 THEN c ELSE 0 END FROM (SELECT f.user_id, e.i, e.event_id, balance, CAST(round(e.value * 100) AS BIGINT) * CASE WHEN e.event_type = 'purchase' THEN -3 ELSE 1 END AS c FROM f JOIN e ON e.user_id = f.user_id AND e.i = f.i + 1))
+SELECT event_id, accepted, balance FROM f WHERE i > 0""",
     "auction_state": """
 WITH b AS (SELECT event_id % 40 AS session, value, user_id, value > coalesce(max(value) OVER (PARTITION BY event_id % 40 ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '-inf'::DOUBLE) AS up FROM events)
 SELECT session, count(*) AS bids, CAST(sum(up::INT) AS BIGINT) AS raises, max(value) AS highest, max_by(user_id, value) FILTER (up) AS winner FROM b GROUP BY 1""",

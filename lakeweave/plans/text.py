@@ -105,6 +105,10 @@ def _sql_redacted(column: str, patterns: dict[str, str], label: str) -> str:
 _MD = " OR ".join(f"regexp_matches(left(text, 4000), '{p}')" for p in tx.MARKDOWN_PATTERNS)
 _SHINGLES = "(SELECT {0}, list_distinct(CASE WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' ')) END) AS s FROM (SELECT {0}, list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> '') AS w FROM {1}))"
 ORACLE_SQL = {
+    "conversion_scores": r"""
+WITH s AS (SELECT len(regexp_extract_all(text, '[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]')) / greatest(length(text), 1) AS c, round(CASE WHEN len(regexp_extract_all(text, '```')) % 2 = 0 THEN 0.3::DOUBLE ELSE 0 END + 0.2::DOUBLE + CASE WHEN regexp_matches(text, '(?m)^\|.+\|$') THEN 0.2::DOUBLE ELSE 0.15::DOUBLE END
++ CASE WHEN regexp_matches(text, '(?m)^#{1,6}\s+') THEN 0.15::DOUBLE ELSE 0 END + CASE WHEN regexp_matches(text, '(?m)^[-*+]\s+|^\d+\.\s+') THEN 0.15::DOUBLE ELSE 0 END, 2) AS syntax FROM documents)
+SELECT CASE WHEN c < 0.005 THEN 1.0::DOUBLE WHEN c < 0.01 THEN 0.8::DOUBLE WHEN c < 0.05 THEN 0.5::DOUBLE ELSE 0::DOUBLE END AS clean, syntax, count(*) AS n FROM s GROUP BY 1, 2""",
     "redact_pii": f"WITH r AS (SELECT doc_id, text, {_sql_redacted('text', tx.SENSITIVE, '[{}_REDACTED]')} AS t FROM documents) SELECT doc_id, sha256(t) AS hash, t <> text AS changed FROM r",
     "review_checks": """
 WITH f AS (SELECT doc_id, 1.0::DOUBLE - 0.25::DOUBLE * ((length(text) < 100)::INT + (len(regexp_extract_all(text, '[ \\n\\t\\r]')) / length(text) > 0.3)::INT) AS quality,
