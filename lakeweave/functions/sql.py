@@ -1,10 +1,13 @@
-"""The library's scalar functions as SQL functions of a session, and chunkers as table functions.
+"""The library's scalar functions as SQL functions of a session, chunkers as table functions, and an aggregate.
 
-Scalar functions are SQL bodies: Catalyst inlines them, so a query that calls one stays in generated code.
+Scalar functions are SQL bodies: Catalyst inlines them, so a query that calls one stays in generated code. The aggregate
+sees one group at a time as a whole, in Arrow batches: for groups that fit a task.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,7 +47,13 @@ def register(spark: SparkSession) -> list[str]:
                 yield start, stop, text[start:stop]
 
     spark.udtf.register("lw_chunks", Chunks)
-    return [*SCALARS, "lw_chunks"]
+
+    @F.pandas_udf("double")
+    def geometric_mean(values: pd.Series) -> float:
+        return float(np.exp(np.log(values[values > 0]).mean())) if (values > 0).any() else None
+
+    spark.udf.register("lw_geometric_mean", geometric_mean)
+    return [*SCALARS, "lw_chunks", "lw_geometric_mean"]
 
 
 def catalogue(spark: SparkSession) -> DataFrame:

@@ -10,7 +10,7 @@ import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
@@ -121,7 +121,25 @@ def atomic(text: str) -> list[tuple[int, int, str]]:
     return [(0, len(text), "")] if text.strip() else []
 
 
-STRATEGIES: dict[str, Callable[[str], list[tuple[int, int, str]]]] = {"atomic": atomic, "section_pack": section_pack, "fixed_overlap": fixed_overlap, "sliding": sliding}
+def recursive(text: str, most: int = 3000, overlap: int = 200, marks: tuple[str, ...] = ("\n\n", "\n", " ", "")) -> list[tuple[int, int, str]]:
+    """Spans of at most ``most`` characters for a model's context: cut behind the last paragraph end, else line end, else
+    blank, that lies past the overlap; each span after the first begins up to ``overlap`` characters before the last's
+    end, behind the first blank there."""
+    out, start, n = [], 0, len(text)
+    while n - start > most:
+        end = start + most
+        for m in marks:
+            at = text.rfind(m, start + overlap + 1, end) if m else -1
+            if at >= 0:
+                end = at + len(m)
+                break
+        out.append((start, end, ""))
+        blank = text.find(" ", end - overlap, end)
+        start = max(start + 1, blank + 1 if blank >= 0 else end - overlap)
+    return [*out, (start, n, "")] if text.strip() else []
+
+
+STRATEGIES: dict[str, Callable[[str], list[tuple[int, int, str]]]] = {"atomic": atomic, "section_pack": section_pack, "fixed_overlap": fixed_overlap, "sliding": sliding, "recursive": recursive}
 
 
 def strategy(text: Column, source: Column | None = None) -> Column:
@@ -149,6 +167,24 @@ def chunk(docs: DataFrame, key: str, text: str, how: str | Column) -> DataFrame:
     return rows.mapInPandas(run, f"key {docs.schema[key].dataType.simpleString()}, {SPEC}").withColumnRenamed("key", key)
 
 
+#: Ends of sentences, and the size that chunks should have.
+SENTENCE_ENDS, IDEAL = "。！？.!?；;", 2000
+
+
+def breaks(chunks: DataFrame, key: str, order: str, content: str) -> DataFrame:
+    """Of each document: chunks, breaks between them, how many leave a sentence whole, and how many lie well: after a
+    sentence, or before an empty line, a heading or a list item. Documents with one chunk have no break."""
+    w = Window.partitionBy(key).orderBy(order)
+    after = F.lead(content).over(w)
+    whole = F.right(F.col(content), F.lit(1)).isin(*SENTENCE_ENDS)
+    well = whole | after.rlike(r"^(\n\n| .|#{1,4} |[-*+] |[1-5]\. )")
+    rows = chunks.select(key, after.isNotNull().alias("_b"), (after.isNotNull() & whole).alias("_w"), (after.isNotNull() & (F.length(content) > 0) & well).alias("_g"), F.length(content).alias("_n"))
+    out = rows.groupBy(key).agg(F.count(F.lit(1)).alias("chunks"), F.count_if("_b").alias("breaks"), F.count_if("_w").alias("whole"), F.count_if("_g").alias("good"), F.coalesce(F.stddev_pop("_n"), F.lit(0.0)).alias("std"))
+    share = lambda c: F.when(F.col("breaks") == 0, 1.0).otherwise(F.col(c) / F.greatest(F.col("breaks"), F.lit(1)))
+    size = F.greatest(F.lit(0.0), 1 - F.col("std") / 1000)
+    return out.withColumns({"integrity": share("whole"), "semantic": share("good")}).withColumn("score", 0.3 * size + 0.4 * F.col("semantic") + 0.3 * F.col("integrity"))
+
+
 def quality(chunks: DataFrame) -> DataFrame:
     """Sizes and the share of chunks that end at a sentence, and their weighted score."""
     ends = F.rtrim("content").rlike(r"[.!?。！？]$").cast("double")

@@ -1,14 +1,18 @@
 """Files and pages to Markdown: HTML, plain text tables, clean-up of text taken from PDF pages.
 
-Converters are small functions of one text that run in Arrow batches. Formats that need tools which Spark nodes don't
-have (office files, PDF) are recognised and reported, not converted.
+Converters are small functions of one file that run in Arrow batches. DOCX and ODT are zipped XML and RTF is text with
+control words: both are read with the standard library. What needs a tool that Spark nodes don't have (PDF, old DOC) is
+recognised and reported, not converted; a broken file gives null.
 """
 
 from __future__ import annotations
 
+import io
 import re
+import zipfile
 from collections.abc import Iterator
 from html.parser import HTMLParser
+from xml.etree import ElementTree
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -159,21 +163,169 @@ def joined_hyphens(text: str) -> str:
     return re.sub(r"([^\W\d_]{2,})-\n([a-zà-öø-ÿ][^\W\d_]+)", r"\1\2", text)
 
 
+# Names of sections that stand alone on a line, and what captions begin with.
+SECTION_NAMES = ("abstract", "introduction", "background", "related work", "method", "methods", "methodology", "experiments", "results", "discussion", "conclusion", "conclusions", "references", "acknowledgements", "appendix")
+CAPTIONS = ("table", "figure", "algorithm")
+
+
+def heading(line: str) -> str | None:
+    """A line as a Markdown heading, or None: headings as they are, section names, and numbered titles by their depth."""
+    if line.startswith("#"):
+        return line
+    if line.lower().rstrip(":") in SECTION_NAMES:
+        return f"## {line.title()}"
+    m = re.match(r"(\d{1,2}(?:\.\d{1,2}){0,4}\.?)[ \t]+([^\W\d_][^\n.]{1,78})$", line)
+    return "#" * min(6, 1 + len(m[1].rstrip(".").split("."))) + f" {m[1]} {m[2]}" if m else None
+
+
+def page_title(text: str, most_lines: int = 20) -> str | None:
+    """The first line, of the first twenty, that reads like a title: 21 to 179 characters, a capital first, not all
+    capitals, no heading and no caption."""
+    for line in text.split("\n")[:most_lines]:
+        line = line.strip()
+        plain = line and not heading(line) and not line.lower().startswith(CAPTIONS)
+        if plain and 20 < len(line) < 180 and line[0].isupper() and not line.isupper():
+            return line
+    return None
+
+
+def structured(text: str) -> str:
+    """The title as the first heading, section names and numbered titles as headings."""
+    title, out = page_title(text), []
+    for line in text.split("\n"):
+        bare = line.strip()
+        if title and bare == title:
+            out += [f"# {title}", ""]
+            title = None
+            continue
+        as_heading = heading(bare) if bare else None
+        out += [as_heading, ""] if as_heading else [line]
+    return re.sub(r"\n{3,}", "\n\n", "\n".join(out))
+
+
+def with_tables(text: str) -> str:
+    """Tables set in columns as Markdown tables in their place, behind their captions."""
+    lines, out, k = text.split("\n"), [], 0
+    found = {caption: rows for caption, rows in reversed(text_tables(text))}
+    while k < len(lines):
+        rows = found.pop(lines[k].strip(), None)
+        out.append(lines[k])
+        k += 1
+        if rows:
+            out += ["", table_markdown(rows), ""]
+            k += len(rows)
+    return "\n".join(out)
+
+
 def numbered_headings(text: str) -> str:
     """Short lines such as "2.1 Method" become headings of their depth."""
+    return "\n".join(heading(x) or x if re.match(r"\d", x) else x for x in text.split("\n"))
 
-    def heading(m: re.Match) -> str:
-        return "#" * min(6, 1 + len(m[1].rstrip(".").split("."))) + f" {m[1]} {m[2]}"
 
-    return re.sub(r"(?m)^(\d{1,2}(?:\.\d{1,2}){0,4}\.?)[ \t]+([^\W\d_][^\n.]{1,78})$", heading, text)
+def pdf_text_markdown(text: str | None) -> str:
+    """All clean-up steps: page furniture, hyphens, tables in their places, title and headings."""
+    return structured(with_tables(joined_hyphens(without_page_furniture(text or "")))).strip()
+
+
+_W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
+
+
+def _docx_paragraph(p: ElementTree.Element) -> str:
+    text = "".join({f"{_W}t": n.text or "", f"{_W}tab": "\t", f"{_W}br": "\n"}.get(n.tag, "") for n in p.iter())
+    style = p.find(f"{_W}pPr/{_W}pStyle")
+    name = (style.get(f"{_W}val") or "").lower() if style is not None else ""
+    level = re.search(r"heading\s*(\d)", name)
+    if level and text.strip():
+        return "#" * min(6, int(level[1])) + " " + text.strip()
+    if name == "title" and text.strip():
+        return f"# {text.strip()}"
+    return f"- {text.strip()}" if p.find(f"{_W}pPr/{_W}numPr") is not None and text.strip() else text.strip()
+
+
+def docx_markdown(content: bytes) -> str:
+    """Paragraphs, headings by style, list items and tables of a DOCX file, in their order."""
+    with zipfile.ZipFile(io.BytesIO(content)) as z:
+        body = ElementTree.fromstring(z.read("word/document.xml")).find(f"{_W}body")
+    out = []
+    for part in body if body is not None else ():
+        if part.tag == f"{_W}p":
+            out.append(_docx_paragraph(part))
+        elif part.tag == f"{_W}tbl":
+            rows = [[" ".join(filter(None, (_docx_paragraph(p) for p in cell.iter(f"{_W}p")))) for cell in row.findall(f"{_W}tc")] for row in part.iter(f"{_W}tr")]
+            out += [table_markdown(rows)] if rows else []
+    return "\n\n".join(x for x in out if x)
+
+
+def odt_markdown(content: bytes) -> str:
+    """Paragraphs, headings by outline level, list items and tables of an ODT file, in their order."""
+    with zipfile.ZipFile(io.BytesIO(content)) as z:
+        root = ElementTree.fromstring(z.read("content.xml"))
+    name = lambda e: e.tag.rsplit("}", 1)[-1]
+    text = lambda e: " ".join("".join(e.itertext()).split())
+    out: list[str] = []
+
+    def walk(e: ElementTree.Element, item: bool) -> None:
+        for part in e:
+            kind = name(part)
+            if kind == "h":
+                level = next((int(v) for k, v in part.attrib.items() if k.endswith("}outline-level")), 1)
+                out.append("#" * min(6, level) + " " + text(part))
+            elif kind == "p" and text(part):
+                out.append(("- " if item else "") + text(part))
+            elif kind == "table":
+                rows = [[text(c) for c in row if name(c) == "table-cell"] for row in part.iter() if name(row) == "table-row"]
+                out.extend([table_markdown(rows)] if rows else [])
+            elif kind not in ("p", "h"):
+                walk(part, item or kind == "list-item")
+
+    walk(root, False)
+    return "\n\n".join(x for x in out if x.strip("# -"))
+
+
+_RTF = re.compile(r"\\'([0-9a-fA-F]{2})|\\u(-?\d+) ?\??|\\([a-z]+)(-?\d+)? ?|\\(\*)|\\([{}\\~_-])|([{}])|[\r\n]+|([^\\{}\r\n]+)")
+#: RTF groups without text for a reader, and control words that end a paragraph or a cell.
+RTF_HIDDEN = frozenset("fonttbl colortbl stylesheet info pict header footer footnote themedata datastore listtable listoverridetable generator".split())
+RTF_BREAKS = {"par": "\n", "line": "\n", "row": "\n", "sect": "\n", "page": "\n", "tab": "\t", "cell": "\t"}
+
+
+def rtf_markdown(content: bytes) -> str:
+    """The text of an RTF file, a paragraph a line."""
+    if not content.lstrip().startswith(b"{\\rtf"):
+        raise ValueError("no RTF file")
+    out, hidden, stack = [], False, []
+    for m in _RTF.finditer(content.decode("cp1252", "replace")):
+        byte, code, word, _, star, sign, brace, text = m.groups()
+        if brace == "{":
+            stack.append(hidden)
+        elif brace == "}":
+            hidden = stack.pop() if stack else False
+        elif star or word in RTF_HIDDEN:
+            hidden = True
+        elif not hidden:
+            out.append(bytes.fromhex(byte).decode("cp1252", "replace") if byte else chr(int(code) % 65536) if code else RTF_BREAKS.get(word, "") if word else {"~": "\xa0", "_": "-", "-": ""}.get(sign, sign) if sign else text or "")
+    return re.sub(r"\n{3,}", "\n\n", "\n\n".join(x.strip() for x in "".join(out).split("\n") if x.strip()))
+
+
+OFFICE = {"docx": docx_markdown, "odt": odt_markdown, "rtf": rtf_markdown}
+
+
+def office_markdown(files: DataFrame, key: str, kind: str, content: str) -> DataFrame:
+    """(key, markdown) of files of the kinds docx, odt and rtf; null for other kinds and for files that can't be read."""
+    ship_package(files.sparkSession)
+
+    def one(how: str | None, data: bytes | None) -> str | None:
+        if how not in OFFICE or data is None:
+            return None
+        try:
+            return OFFICE[how](bytes(data))
+        except (ValueError, KeyError, zipfile.BadZipFile, ElementTree.ParseError):
+            return None
 
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            yield pd.DataFrame({key: frame[key], "markdown": [one(*x) for x in zip(frame[kind], frame[content], strict=True)]})
 
-def pdf_text_markdown(text: str | None) -> str:
-    """All clean-up steps, and tables set in columns as Markdown tables behind their captions."""
-    text = joined_hyphens(without_page_furniture(text or ""))
-    for caption, rows in text_tables(text):
-        text = text.replace(caption, caption + "\n\n" + table_markdown(rows) + "\n", 1)
-    return numbered_headings(text).strip()
+    return files.select(key, kind, content).mapInPandas(run, f"{key} {files.schema[key].dataType.simpleString()}, markdown string")
 
 
 CONVERTERS = {"html": html_markdown, "pdf_text": pdf_text_markdown}
@@ -194,7 +346,7 @@ def converted(rows: DataFrame, key: str, text: str, how: str) -> DataFrame:
 def method(name: Column) -> Column:
     """How a file would be converted, by its suffix."""
     s = suffix(name)
-    return F.when(s.isin("docx", "doc", "rtf", "odt", "pdf"), "external").when(s.isin("html", "htm"), "html").when(s.isin("md", "markdown"), "none").otherwise("plain")
+    return F.when(s.isin("doc", "pdf"), "external").when(s.isin(*OFFICE), "office").when(s.isin("html", "htm"), "html").when(s.isin("md", "markdown"), "none").otherwise("plain")
 
 
 def needs_conversion(text: Column) -> Column:
@@ -203,6 +355,11 @@ def needs_conversion(text: Column) -> Column:
 
 
 def file_texts(files: DataFrame) -> DataFrame:
-    """(path, method, text) of scanned files: decoded and normalised; null where a tool from outside is needed."""
+    """(path, method, text) of scanned files: office files converted, others decoded and normalised; null where a tool from
+    outside is needed."""
     how = method(F.col("name"))
-    return files.select("path", how.alias("method"), F.when(how != "external", normalized_markdown(decoded(F.col("content")))).alias("text"))
+    known = files.select("path", how.alias("method"), "suffix", "content")
+    plain = known.where(~F.col("method").isin("external", "office")).select("path", "method", normalized_markdown(decoded(F.col("content"))).alias("text"))
+    office = known.where("method = 'office'")
+    read = office.select("path", "method").join(office_markdown(office, "path", "suffix", "content"), "path").select("path", "method", F.col("markdown").alias("text"))
+    return plain.unionByName(read).unionByName(known.where("method = 'external'").select("path", "method", F.lit(None).cast("string").alias("text")))

@@ -60,6 +60,19 @@ def chunk_sliding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.chunk(table(spark, sf_dir, "documents"), "doc_id", "text", "sliding")
 
 
+def chunk_recursive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans for a model's context; that they cover the text, and how long the longest is."""
+    out = chunking.chunk(table(spark, sf_dir, "documents"), "doc_id", "text", "recursive")
+    return out.groupBy("doc_id").agg(F.max("stop").alias("last"), (F.max(F.col("stop") - F.col("start")) <= 3000).alias("held"))
+
+
+def chunk_breaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as documents and their turns as chunks."""
+    turns = table(spark, sf_dir, "conversations").withColumn("text", F.concat(F.when(F.col("turn") % 3 == 0, "- ").otherwise(""), "text"))
+    out = chunking.breaks(turns, "conv_id", "turn", "text")
+    return out.select("conv_id", "chunks", "breaks", "whole", "good", F.round("score", 6).alias("score"))
+
+
 def chunk_routed(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     chunks = chunking.chunk(docs, "doc_id", "text", chunking.strategy(F.col("text")))
@@ -77,6 +90,18 @@ def stream_window_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.unix_seconds("start").alias("start_s"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
+def stream_sliding_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = stream.read(spark, f"{sf_dir}/events.parquet")
+    out = stream.run_to_table(stream.windowed(rows, "2 days", "1 day", "event_type"), _folder(spark), "sliding", "complete")
+    return out.select(F.unix_seconds("start").alias("start_s"), "event_type", "n")
+
+
+def stream_idle_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = stream.read(spark, f"{sf_dir}/events.parquet")
+    out = stream.run_to_table(stream.idle_sessions(rows, "user_id", "6 hours"), _folder(spark), "sessions", "complete")
+    return out.select("user_id", F.unix_micros("start").alias("start_us"), "n")
+
+
 def stream_token_bucket(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = stream.read(spark, f"{sf_dir}/events.parquet")
     out = stream.run_to_table(stream.token_bucket(rows, "user_id", 2.0, 1 / 36000), _folder(spark), "buckets")
@@ -89,11 +114,24 @@ def html_to_text_parser(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", F.trim(F.regexp_replace(F.regexp_replace(bare, "<[^>]+>", " "), r"\s+", " ")).alias("text"))
 
 
-QUERIES = {f.__name__: f for f in (node_features, zscore, sage_layer, link_score, train_split, chunk_section_pack, chunk_fixed_overlap, chunk_sliding, chunk_routed, stream_window_counts, stream_token_bucket, html_to_text_parser)}
+QUERIES = {f.__name__: f for f in (node_features, zscore, sage_layer, link_score, train_split, chunk_section_pack, chunk_fixed_overlap, chunk_sliding, chunk_routed, stream_window_counts, stream_sliding_counts, stream_idle_sessions, chunk_recursive, chunk_breaks, stream_token_bucket, html_to_text_parser)}
 
 _COS = "(list_sum(list_transform(range(1, 65), lambda i: a.embedding[i]::DOUBLE * b.embedding[i]::DOUBLE)) / (sqrt(list_sum(list_transform(a.embedding, lambda x: x::DOUBLE * x::DOUBLE))) * sqrt(list_sum(list_transform(b.embedding, lambda x: x::DOUBLE * x::DOUBLE)))))"
 _LINKS = "l AS (SELECT DISTINCT vec_id AS src, unnest([(vec_id * 7 + 1) % (SELECT count(*) FROM embeddings), (vec_id * 3 + 2) % (SELECT count(*) FROM embeddings)]) AS dst FROM embeddings)"
 ORACLE_SQL = {
+    "chunk_recursive": "SELECT doc_id, length(text) AS last, true AS held FROM documents WHERE regexp_matches(text, '\\S')",
+    "chunk_breaks": r"""
+WITH c AS (SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN '- ' ELSE '' END || text AS t FROM conversations), n AS (SELECT *, lead(t) OVER (PARTITION BY conv_id ORDER BY turn) AS after, right(t, 1) IN ('。', '！', '？', '.', '!', '?', '；', ';') AS w FROM c),
+s AS (SELECT conv_id, count(*) AS chunks, count(after) AS breaks, count_if(after IS NOT NULL AND w)::BIGINT AS whole, count_if(after IS NOT NULL AND length(t) > 0 AND (w OR regexp_matches(after, '^(\n\n| .|#{1,4} |[-*+] |[1-5]\. )')))::BIGINT AS good, coalesce(stddev_pop(length(t)), 0) AS d FROM n GROUP BY 1)
+SELECT conv_id, chunks, breaks, whole, good, round(0.3::DOUBLE * greatest(0, 1 - d / 1000) + 0.4::DOUBLE * CASE WHEN breaks = 0 THEN 1 ELSE good / breaks END + 0.3::DOUBLE * CASE WHEN breaks = 0 THEN 1 ELSE whole / breaks END, 6) AS score FROM s""",
+    "stream_sliding_counts": "SELECT epoch(d - INTERVAL (k) DAY)::BIGINT AS start_s, event_type, count(*) AS n FROM (SELECT date_trunc('day', ts) AS d, event_type, unnest([0, 1]) AS k FROM events) GROUP BY 1, 2",
+    "stream_idle_sessions": """
+WITH g AS (SELECT user_id, ts, ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) >= INTERVAL 6 HOURS AS new FROM events), s AS (SELECT user_id, ts, sum(coalesce(new, true)::INT) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM g)
+SELECT user_id, epoch_us(min(ts)) AS start_us, count(*) AS n FROM s GROUP BY user_id, k""",
+    "stream_token_bucket": """
+WITH RECURSIVE e AS (SELECT user_id, epoch_us(ts) / 1e6 AS sec, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS i FROM events), f AS (SELECT DISTINCT user_id, 0::BIGINT AS i, NULL::BOOLEAN AS ok, 2::DOUBLE AS tokens, NULL::DOUBLE AS sec FROM e UNION ALL
+SELECT user_id, i, t >= 1, t - (t >= 1)::INT, sec FROM (SELECT f.user_id, e.i, e.sec, CASE WHEN f.sec IS NULL THEN 2::DOUBLE ELSE least(2::DOUBLE, f.tokens + (e.sec - f.sec) / 36000) END AS t FROM f JOIN e ON e.user_id = f.user_id AND e.i = f.i + 1))
+SELECT user_id, count_if(ok)::BIGINT AS admitted, count_if(NOT ok)::BIGINT AS refused FROM f WHERE i > 0 GROUP BY 1""",
     "node_features": f"""
 WITH p AS (SELECT [{', '.join(f"(event_type = '{t}')::INT::DOUBLE" for t in TYPES)}, value,
 {', '.join(f'{f}(2 * pi() * {p})' for p in ('(month(ts) - 1) / 12', '(day(ts) - 1) / 31', 'hour(ts) / 24') for f in ('sin', 'cos'))}] AS x FROM events),

@@ -99,10 +99,11 @@ def network_value(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def topology_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Users linked when they did the same thing with the same key; degree and clustering."""
-    e = table(spark, sf_dir, "events").where("event_type = 'purchase'").select("user_id", F.get_json_object("props", "$.k").alias("k")).distinct()
-    pairs = e.join(e.withColumnRenamed("user_id", "other"), "k").where("user_id < other").select(F.col("user_id").alias("src"), F.col("other").alias("dst")).distinct()
-    out = graph.topology(pairs)
+    """Degree and clustering of orders, parts and suppliers, each linked to the others of its line items."""
+    o, p, s = (F.concat(F.lit(k), c) for k, c in (("o", "l_orderkey"), ("p", "l_partkey"), ("s", "l_suppkey")))
+    ends = F.array(*(F.struct(a.alias("src"), b.alias("dst")) for a, b in ((o, p), (p, s), (s, o))))
+    edges = table(spark, sf_dir, "lineitem").select(F.inline(ends)).distinct()
+    out = graph.topology(edges)
     return out.select("id", "degree", "triangles", F.round("clustering", 6).alias("clustering"))
 
 
@@ -168,11 +169,10 @@ WITH p AS (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem), h AS (SELECT l_s
 g AS (SELECT l_partkey, count(*) AS entities, CAST(sum(h - 1) AS BIGINT) AS shared FROM p JOIN h USING (l_suppkey) GROUP BY 1)
 SELECT *, round(entities * 10 / (1 + 0.1::DOUBLE * shared), 6) AS value FROM g""",
     "topology_features": """
-WITH e AS (SELECT DISTINCT user_id, json_extract_string(props, '$.k') AS k FROM events WHERE event_type = 'purchase'),
-p AS (SELECT DISTINCT a.user_id AS a, b.user_id AS b FROM e a JOIN e b ON a.k = b.k AND a.user_id < b.user_id), u AS (SELECT a, b FROM p UNION SELECT b, a FROM p),
-d AS (SELECT a AS id, count(*) AS degree FROM u GROUP BY 1),
-t AS (SELECT x.a AS id, count(*) // 2 AS triangles FROM u x JOIN u y ON x.b = y.a JOIN u z ON y.b = z.a AND z.b = x.a GROUP BY 1)
-SELECT id, degree, coalesce(triangles, 0) AS triangles, round(CASE WHEN degree > 1 THEN 2 * coalesce(triangles, 0) / (degree * (degree - 1)) ELSE 0 END, 6) AS clustering FROM d LEFT JOIN t USING (id)""",
+WITH op AS (SELECT DISTINCT l_orderkey AS o, l_partkey AS p FROM lineitem), ps AS (SELECT DISTINCT l_partkey AS p, l_suppkey AS s FROM lineitem), so AS (SELECT DISTINCT l_suppkey AS s, l_orderkey AS o FROM lineitem),
+d AS (SELECT id, count(*) AS degree FROM (SELECT 'o' || o AS id FROM op UNION ALL SELECT 'p' || p FROM op UNION ALL SELECT 'p' || p FROM ps UNION ALL SELECT 's' || s FROM ps UNION ALL SELECT 's' || s FROM so UNION ALL SELECT 'o' || o FROM so) GROUP BY 1),
+t AS (SELECT op.o, op.p, ps.s FROM op JOIN ps ON ps.p = op.p JOIN so ON so.s = ps.s AND so.o = op.o), c AS (SELECT id, count(*) AS triangles FROM (SELECT 'o' || o AS id FROM t UNION ALL SELECT 'p' || p FROM t UNION ALL SELECT 's' || s FROM t) GROUP BY 1)
+SELECT id, degree, coalesce(triangles, 0) AS triangles, round(CASE WHEN degree > 1 THEN 2 * coalesce(triangles, 0) / (degree * (degree - 1)) ELSE 0 END, 6) AS clustering FROM d LEFT JOIN c USING (id)""",
     "lineage_step_hashes": """SELECT l_orderkey, sha256('0|{"line":"' || l_linenumber || '","part":"' || l_partkey || '"}') AS hash FROM lineitem""",
     "lineage_hash_verify": """
 WITH RECURSIVE i AS (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS k,

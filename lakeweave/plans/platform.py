@@ -214,6 +214,12 @@ def sql_functions_used(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.selectExpr("c_custkey", "lw_fee(c_custkey * 77) AS fee", "lw_risk_level(c_custkey % 10 / 10D) AS level", "lw_masked(c_name, 3) AS masked", "lw_pseudonym(c_name) AS pseudonym", "round(lw_cosine(array(1D, c_custkey), array(c_custkey, 2D)), 6) AS cosine")
 
 
+def sql_aggregate_used(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sql_functions.register(spark)
+    out = spark.sql("SELECT p_brand, lw_geometric_mean(p_retailprice) AS mean FROM {p} GROUP BY p_brand", p=table(spark, sf_dir, "part"))
+    return out.select("p_brand", F.round("mean", 6).alias("mean"))
+
+
 def table_function_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     sql_functions.register(spark)
     chunks = spark.sql("SELECT d.doc_id, c.* FROM {docs} d, LATERAL lw_chunks(d.text) c", docs=table(spark, sf_dir, "documents"))
@@ -225,7 +231,7 @@ QUERIES = {
     for f in (
         permission_decisions, derivative_violations, purchase_status, purchase_ledger, listing_stats, wallet_stats, transfer_rows, version_appends, preference_upserts, live_memories, memory_summary,
         memory_sessions, workflow_restored, checkpoint_stats, community_stats, entity_facts, query_entities, entity_documents, blended_scores, event_graph, relation_answers, job_states, space_report,
-        policy_compliance, price_levels, sensitivity_levels, context_texts, rerank_texts, compact_texts, redacted_payloads, sql_functions_used, table_function_chunks,
+        policy_compliance, price_levels, sensitivity_levels, context_texts, rerank_texts, compact_texts, redacted_payloads, sql_functions_used, sql_aggregate_used, table_function_chunks,
     )
 }
 
@@ -242,6 +248,7 @@ f AS (SELECT DISTINCT user_id, 0::BIGINT AS i, NULL::BIGINT AS event_id, NULL::T
 SELECT user_id, i, event_id, ts, action, nxt IS NOT NULL, coalesce(nxt, state) FROM (SELECT f.user_id, e.i, e.event_id, e.ts, e.action, state, CASE WHEN e.action = 'start' AND state IN ('queued', 'pending') THEN 'processing' WHEN e.action = 'finish' AND state = 'processing' THEN 'succeeded'
 WHEN e.action = 'fail' AND state IN ('pending', 'queued', 'processing') THEN 'failed' WHEN e.action = 'cancel' AND state IN ('pending', 'queued', 'processing') THEN 'cancelled' WHEN e.action = 'requeue' AND state IN ('failed', 'cancelled') THEN 'queued' END AS nxt FROM f JOIN e ON e.user_id = f.user_id AND e.i = f.i + 1))"""
 ORACLE_SQL = {
+    "sql_aggregate_used": "SELECT p_brand, round(exp(avg(ln(p_retailprice))), 6) AS mean FROM part GROUP BY 1",
     "purchase_status": f"WITH {_SETTLED} SELECT l_orderkey, l_linenumber, buyer, listing, seller, cents, status, balance FROM p",
     "purchase_ledger": f"WITH {_SETTLED} SELECT kind, count(*) AS n, CAST(sum(c) AS BIGINT) AS cents FROM (SELECT 'purchase' AS kind, -cents AS c FROM b UNION ALL SELECT 'sale', cents - fee FROM b UNION ALL SELECT 'fee', fee FROM b) GROUP BY 1",
     "listing_stats": f"WITH {_SETTLED} SELECT listing, count_if(status = 'bought')::BIGINT AS purchases, CAST(sum(CASE WHEN status = 'bought' THEN cents ELSE 0 END) AS BIGINT) AS revenue FROM p GROUP BY 1",
