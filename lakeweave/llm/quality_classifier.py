@@ -171,14 +171,16 @@ def fit(p: np.ndarray, u: np.ndarray) -> Model:
 
 
 def train(docs: DataFrame, labels: DataFrame, use: Column, per_side: int = 4_000) -> Model:
-    """``use``: which labelled rows may be learnt from, over the labels' columns."""
+    """``use``: which labelled rows may be learnt from, over the labels' columns. All other documents count as unlabelled:
+    whether one of them has a label isn't looked at."""
     spark = docs.sparkSession
     small_batches(spark)
+    labels = labels.where(F.coalesce(use, F.lit(False)))
 
     def first(ids: DataFrame) -> DataFrame:
         return ids.select("doc_id").where("doc_id IS NOT NULL").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_side)
 
-    trusted = first(labels.where((F.col("quality") == 1) & use).join(docs.select("doc_id"), "doc_id", "left_semi")).withColumn("side", F.lit(1))
+    trusted = first(labels.where("quality = 1").join(docs.select("doc_id"), "doc_id", "left_semi")).withColumn("side", F.lit(1))
     unlabelled = first(docs.select("doc_id").join(labels.select("doc_id"), "doc_id", "left_anti")).withColumn("side", F.lit(0))
     ids = trusted.unionByName(unlabelled).toPandas()  # 2 * per_side rows at most
     known = spark.createDataFrame([(int(i), int(s)) for i, s in zip(ids["doc_id"], ids["side"], strict=True)], "doc_id long, side int")

@@ -178,3 +178,86 @@ def test_null_ids_and_clashing_names(spark):
     assert got.count() == 4 and {r["held_out"] for r in got.where("doc_id IS NULL").collect()} == {False}
     empty = kneser_ney.held_out_scores(df.where("false"), F.lit(False))
     assert empty.count() == 0 and kneser_ney.train(df.where("false")).n_pairs == 0
+
+
+def risk_by_hand(net, p, u, prior):
+    """The non-negative risk of a network, a row at a time."""
+
+    def log_odds(x):
+        z = [min(8.0, max(-8.0, (a - m) / s)) for a, m, s in zip(x, net.mean, net.scale, strict=True)]
+        h = [math.tanh(sum(a * w for a, w in zip(z, net.weights[0][:, k], strict=True)) + net.weights[1][k]) for k in range(len(net.weights[1]))]
+        return sum(a * w for a, w in zip(h, net.weights[2], strict=True)) + net.weights[3][0]
+
+    mean = lambda xs: sum(xs) / len(xs)
+    fp, fu = [log_odds(x) for x in p], [log_odds(x) for x in u]
+    positive = prior * mean([math.log1p(math.exp(-f)) for f in fp])
+    negative = mean([math.log1p(math.exp(f)) for f in fu]) - prior * mean([math.log1p(math.exp(f)) for f in fp])
+    return positive + max(0.0, negative)
+
+
+def test_positive_unlabelled_risk():
+    rng = np.random.default_rng(8)
+    draw = lambda n, y: rng.normal((1.5 if y else -1.5, 0.5), 1.0, (n, 2))
+    p, u = draw(400, True), np.concatenate((draw(300, True), draw(700, False)))
+    plain = quality_classifier.fit_network(p, u, 0.3, epochs=0)
+    net = quality_classifier.fit_network(p, u, 0.3)
+    odds = [1 / (1 + math.exp(-float(net(x[None, :])[0]))) for x in u[:20]]
+    assert odds == pytest.approx(quality_classifier._sigmoid(net(u[:20])).tolist())
+    assert risk_by_hand(net, p, u, 0.3) < 0.6 * risk_by_hand(plain, p, u, 0.3)
+    assert ((net(u) > 0) == (np.arange(1000) < 300)).mean() > 0.9
+    assert abs(quality_classifier.estimated_prior(p, u) - 0.3) < 0.12
+
+
+def two_classes_by_hand(texts, toxic):
+    """log p(token | toxic) - log p(token | ordinary) by modified Kneser-Ney with a shared backoff, from dicts."""
+
+    def cut(n, d):
+        return d[min(n, 3) - 1] if n else 0.0
+
+    def counts(side):
+        pairs = Counter()
+        for t, y in zip(texts, toxic, strict=True):
+            if y == side:
+                s = ["<s>", *t.split(), "</s>"]
+                pairs.update(zip(s, s[1:], strict=False))
+        return pairs
+
+    def found(values):
+        return [sum(n == i for n in values) for i in (1, 2, 3, 4)]
+
+    sides = {}
+    for side in (True, False):
+        pairs = counts(side)
+        words = Counter(w for _, w in pairs)
+        sides[side] = (pairs, words, kneser_ney.discounts(found(pairs.values())), kneser_ney.discounts(found(words.values())))
+    both = {w: min(sides[True][1][w], sides[False][1][w]) for w in sides[True][1].keys() & sides[False][1].keys()}
+    kinds = len(sides[True][1].keys() | sides[False][1].keys())
+    d = kneser_ney.discounts(found(both.values()))
+    total = max(sum(both.values()), 1)
+
+    def shared(w):
+        n = both.get(w, 0)
+        return (n - cut(n, d)) / total + max(sum(cut(x, d) for x in both.values()) / total, 0.1) / (kinds + 1)
+
+    def log_p(side, v, w):
+        pairs, words, dp, dw = sides[side]
+        p1 = (words[w] - cut(words[w], dw) + sum(cut(n, dw) for n in words.values()) * shared(w)) / sum(words.values())
+        context = sum(n for (a, _), n in pairs.items() if a == v)
+        mass = sum(cut(n, dp) for (a, _), n in pairs.items() if a == v)
+        return math.log((pairs[v, w] - cut(pairs[v, w], dp) + mass * p1) / context if context else p1), math.log(p1)
+
+    return lambda v, w: [a - b for a, b in zip(log_p(True, v, w), log_p(False, v, w), strict=True)]
+
+
+def test_class_models_by_hand():
+    rng = random.Random(6)
+    texts = [" ".join(rng.choices([f"w{i}" for i in range(25)] + (["bad", "worse"] if k % 3 == 0 else []), k=rng.randrange(3, 30))) for k in range(40)]
+    toxic = [k % 3 == 0 for k in range(40)]
+    v, w, n = kneser_ney.tokens([t.encode() for t in texts])
+    evidence = toxicity.Evidence.of(v, w, np.repeat(np.array(toxic), n))
+    ratio = two_classes_by_hand(texts, toxic)
+    for text in [*texts[:6], "bad worse never seen", "w1", ""]:
+        v, w, _ = kneser_ney.tokens([text.encode()])
+        s = ["<s>", *text.split(), "</s>"]
+        want = np.array([ratio(a, b) for a, b in zip(s, s[1:], strict=False)]).T
+        assert evidence.per_token(v, w) == pytest.approx(want)
