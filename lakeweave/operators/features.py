@@ -146,3 +146,44 @@ def split(rows: DataFrame, key: str, share: float, seed: int = 0) -> DataFrame:
 def dropped_edges(edges: DataFrame, share: float, seed: int = 0) -> DataFrame:
     """Edges left after dropping a share of them by hash."""
     return edges.where(F.pmod(F.xxhash64("src", "dst", F.lit(seed)), F.lit(1_000_000)) / 1e6 >= share)
+
+
+def collated(graphs: DataFrame, graph: str, size: str) -> DataFrame:
+    """Graphs (one row each, with their number of nodes) with the first node number of each in one batch of all. Offsets
+    come from running sums over graph rows, which are few next to nodes."""
+    before = Window.orderBy(graph).rowsBetween(Window.unboundedPreceding, -1)
+    return graphs.withColumn("first_node", F.coalesce(F.sum(size).over(before), F.lit(0)))
+
+
+def embedded(asked: DataFrame, nodes: DataFrame, dimensions: int) -> DataFrame:
+    """The vector of each asked node (id); zeros where it has none."""
+    return asked.join(nodes.select("id", "x"), "id", "left").withColumn("x", F.coalesce("x", F.array_repeat(F.lit(0.0), dimensions)))
+
+
+def value_features(nodes: DataFrame, topology: DataFrame) -> DataFrame:
+    """Network value of a node from its vector and its place: 0.4 of its length in percent, 30 of its degree's share of the
+    greatest and 30 of its clustering; 100 at most. One row, the greatest degree, is broadcast."""
+    top = topology.agg(F.max("degree").alias("_top"))
+    out = nodes.join(topology, "id", "left").crossJoin(F.broadcast(top))
+    degree = F.coalesce("degree", F.lit(0)) / F.greatest(F.coalesce("_top", F.lit(0)), F.lit(1))
+    value = 0.4 * F.least(vector.norm(F.col("x")) * 100, F.lit(100.0)) + 30 * degree + 30 * F.coalesce("clustering", F.lit(0.0))
+    return out.select("id", F.least(F.lit(100.0), value).alias("value"))
+
+
+def trained_links(pairs: DataFrame, features: str = "x", label: str = "label", steps: int = 40, penalty: float = 0.01):
+    """A link predictor: logistic regression by Spark ML on edge features, stopped early when steps no longer help."""
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.functions import array_to_vector
+
+    ready = pairs.select(array_to_vector(F.col(features)).alias("features"), F.col(label).cast("double").alias("label"))
+    return LogisticRegression(maxIter=steps, regParam=penalty, tol=1e-6).fit(ready)
+
+
+def validation_loss(model, pairs: DataFrame, features: str = "x", label: str = "label") -> DataFrame:
+    """Mean log loss and accuracy of a trained predictor on other pairs."""
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
+    out = model.transform(pairs.withColumn("features", array_to_vector(F.col(features))))
+    p = F.greatest(F.lit(1e-12), F.least(F.lit(1 - 1e-12), vector_to_array("probability")[1]))
+    y = F.col(label).cast("double")
+    return out.agg(F.avg(-(y * F.log(p) + (1 - y) * F.log(1 - p))).alias("loss"), F.avg(((p >= 0.5).cast("double") == y).cast("double")).alias("accuracy"))

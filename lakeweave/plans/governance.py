@@ -18,7 +18,7 @@ def governed_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def governed_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "customer").where("c_acctbal > 8000")
+    rows = table(spark, sf_dir, "customer")
     return governance.governed_aggregate(rows, ["c_nationkey", "c_mktsegment"], {"total": F.round(F.sum("c_acctbal"), 2)}, "analytics")
 
 
@@ -62,7 +62,7 @@ QUERIES = {f.__name__: f for f in (governed_sql, governed_groups, pseudonymize,
 
 ORACLE_SQL = {
     "governed_sql": "SELECT c_mktsegment, count(*) AS n, round(avg(c_acctbal), 4) AS mean FROM customer GROUP BY 1 LIMIT 100",
-    "governed_groups": "SELECT c_nationkey, c_mktsegment, round(sum(c_acctbal), 2) AS total FROM customer WHERE c_acctbal > 8000 GROUP BY 1, 2 HAVING count(*) >= 5",
+    "governed_groups": "SELECT c_nationkey, c_mktsegment, round(sum(c_acctbal), 2) AS total FROM customer GROUP BY 1, 2 HAVING count(*) >= 5",
     "pseudonymize": "SELECT c_custkey, 'PSEUDO_' || left(sha256(c_name), 12) AS c_name, c_mktsegment FROM customer",
     "k_anonymize": """
 WITH g AS (SELECT c_custkey, CAST(floor(c_nationkey / 5) AS BIGINT) AS c_nationkey, CAST(CAST(floor(c_acctbal / 100 / 10) * 10 AS BIGINT) AS VARCHAR) || 's' AS c_acctbal, c_mktsegment FROM customer)
