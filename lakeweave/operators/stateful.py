@@ -146,3 +146,54 @@ def context(messages: DataFrame, session: str, text: str, most_tokens: int) -> D
     """Messages, estimated tokens (characters over 2) and whether they overflow, of each session."""
     out = messages.groupBy(session).agg(F.count(F.lit(1)).alias("messages"), F.sum(F.floor(F.length(text) / 2)).alias("tokens"))
     return out.withColumn("overflow", F.col("tokens") > most_tokens)
+
+
+def bucket_now(folded: DataFrame, key: str, order: list[str], at: str, as_of: float, capacity: float, per_second: float) -> DataFrame:
+    """Tokens of each bucket at a time, from the last row of its fold; nothing is taken."""
+    last = folded.groupBy(key).agg(F.max_by(F.struct("tokens", F.col(at).alias("_at")), F.struct(*order)).alias("_l"))
+    return last.select(key, F.least(F.lit(capacity), F.col("_l.tokens") + (as_of - F.col("_l._at")) * per_second).alias("tokens"))
+
+
+def window_now(folded: DataFrame, key: str, at: str, as_of: float, window: float) -> DataFrame:
+    """Admitted rows of each key in the window that ends at a time."""
+    return folded.groupBy(key).agg(F.count_if(F.col("allowed") & (F.col(at) > as_of - window) & (F.col(at) <= as_of)).alias("used"))
+
+
+def breaker_now(folded: DataFrame, key: str, order: list[str], at: str, as_of: float, wait: float) -> DataFrame:
+    """State of each breaker after its last row, and the seconds until it may be tried again (null unless open)."""
+    opened = (F.col("state") == "open") & F.col("allowed")  # an admitted row that leaves it open is the one that opened it
+    out = folded.groupBy(key).agg(F.max_by("state", F.struct(*order)).alias("state"), F.max(F.when(opened, F.col(at))).alias("_since"))
+    return out.select(key, "state", F.when(F.col("state") == "open", F.greatest(F.lit(0.0), F.col("_since") + wait - as_of)).alias("retry_s"))
+
+
+# By kind of request, most requests and most rejected ones in a minute, and how long too many of each throttle.
+REQUEST_LIMITS = {"bid": (10, 5), "offer": (5, 3), "message": (20, 10)}
+WINDOW_S, THROTTLE_S, CONFLICT_THROTTLE_S = 60.0, 300.0, 600.0
+
+
+def throttled(rows: DataFrame, key: str, order: list[str], at: str, kind: str, rejected: str, limits: dict[str, tuple[int, int]] | None = None, window: float = WINDOW_S, throttle: float = THROTTLE_S, conflict_throttle: float = CONFLICT_THROTTLE_S) -> DataFrame:
+    """allowed and reason (throttled, rate, conflicts) of each request of an actor (``key``: actor and kind in one).
+
+    A window begins with a request and lasts ``window`` seconds. A request over its limit throttles, and so does one after
+    too many rejected ones; while throttled everything is refused. Kinds without limits are always allowed.
+    """
+    held = limits or REQUEST_LIMITS
+
+    def step(state: dict, values: tuple) -> tuple:
+        now, what, bad = values
+        most, most_bad = held.get(what, (None, None))
+        if most is None:
+            return True, None
+        if now < state["until"]:
+            return False, "throttled"
+        if now - state["start"] >= window:
+            state.update(start=now, n=0, bad=0)
+        if state["n"] >= most or state["bad"] >= most_bad:
+            reason = "rate" if state["n"] >= most else "conflicts"
+            state["until"] = now + (throttle if reason == "rate" else conflict_throttle)
+            return False, reason
+        state["n"] += 1
+        state["bad"] += 1 if bad else 0
+        return True, None
+
+    return ordered_fold(rows, key, order, lambda: {"start": float("-inf"), "n": 0, "bad": 0, "until": float("-inf")}, step, [at, kind, rejected], "allowed boolean, reason string")

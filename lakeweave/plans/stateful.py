@@ -81,11 +81,38 @@ def clock_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
     return more.select("user_id", clock.compare(F.col("clock"), F.col("other")).alias("before"), clock.compare(F.col("other"), F.col("clock")).alias("after"), clock.causality(F.col("clock"), F.col("clock")).alias("same"))
 
 
-QUERIES = {f.__name__: f for f in (token_bucket, rate_limit_sliding, circuit_breaker, adaptive_rate, ledger_debits, auction_state, negotiation_fold, memory_recent, memory_context, trajectory, clock_merge, clock_compare)}
+NOW = 1706659200.0  # 2024-01-31 00:00:00
+
+
+def bucket_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folded = stateful.token_bucket(_timed(spark, sf_dir), "user_id", ["at", "event_id"], "at", 2.0, 1 / 360000)
+    return stateful.bucket_now(folded, "user_id", ["at", "event_id"], "at", NOW, 2.0, 1 / 360000).select("user_id", F.round("tokens", 6).alias("tokens"))
+
+
+def window_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folded = stateful.sliding_window(_timed(spark, sf_dir), "user_id", ["at", "event_id"], "at", 2, 864000.0)
+    return stateful.window_now(folded, "user_id", "at", NOW, 864000.0)
+
+
+def breaker_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _timed(spark, sf_dir).withColumn("failed", F.col("event_type") == "error")
+    folded = stateful.circuit_breaker(rows, "user_id", ["at", "event_id"], "at", "failed", 2, 2, 864000.0)
+    return stateful.breaker_now(folded, "user_id", ["at", "event_id"], "at", NOW, 864000.0).select("user_id", "state", F.round("retry_s", 3).alias("retry_s"))
+
+
+def request_throttles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests of a few actors; windows of ten days, throttles of five and ten."""
+    rows = _timed(spark, sf_dir).withColumn("kind", F.when(F.col("user_id") % 3 == 0, "offer").when(F.col("user_id") % 3 == 1, "bid").otherwise("other")).withColumn("bad", F.col("event_type") == "error")
+    out = stateful.throttled(rows, "user_id", ["at", "event_id"], "at", "kind", "bad", None, 864000.0, 432000.0, 864000.0)
+    return out.select("event_id", "allowed", "reason")
+
+
+QUERIES = {f.__name__: f for f in (token_bucket, rate_limit_sliding, circuit_breaker, adaptive_rate, ledger_debits, auction_state, negotiation_fold, bucket_states, window_states, breaker_states, request_throttles, memory_recent, memory_context, trajectory, clock_merge, clock_compare)}
 
 _CLOCKS = "c AS (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY 1, 2)"
 _TIMED = "e AS (SELECT event_id, user_id, event_type, value, epoch_us(ts) / 1e6 AS sec, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events)"
 _SHUT = "name <> 'open' OR e.sec - since >= 86400"
+_SHUT_LONG = "name <> 'open' OR e.sec - since >= 864000"
 ORACLE_SQL = {
     "token_bucket": f"""
 WITH RECURSIVE {_TIMED}, f AS (SELECT DISTINCT user_id, 0::BIGINT AS i, NULL::BIGINT AS event_id, NULL::BOOLEAN AS allowed, 2::DOUBLE AS tokens, NULL::DOUBLE AS sec FROM e UNION ALL
@@ -101,6 +128,27 @@ SELECT user_id, i, event_id, n <> 'open', CASE WHEN n <> 'open' AND failed AND (
 CASE WHEN n = 'open' THEN bad WHEN NOT failed THEN 0 WHEN n = 'half_open' OR bad + 1 >= 2 THEN 0 ELSE bad + 1 END, CASE WHEN n <> 'open' AND NOT failed THEN g + 1 ELSE g END, CASE WHEN n <> 'open' AND failed AND (n = 'half_open' OR bad + 1 >= 2) THEN sec ELSE since END
 FROM (SELECT f.user_id, e.i, e.event_id, e.sec, e.event_type = 'error' AS failed, bad, since, CASE WHEN {_SHUT} THEN CASE WHEN name = 'open' THEN 'half_open' ELSE name END ELSE 'open' END AS n, CASE WHEN name = 'open' AND e.sec - since >= 86400 THEN 0 ELSE good END AS g FROM f JOIN e ON e.user_id = f.user_id AND e.i = f.i + 1))
 SELECT event_id, allowed, name AS state FROM f WHERE i > 0""",
+    "bucket_states": f"""
+WITH RECURSIVE {_TIMED}, f AS (SELECT DISTINCT user_id, 0::BIGINT AS i, NULL::BIGINT AS event_id, NULL::BOOLEAN AS allowed, 2::DOUBLE AS tokens, NULL::DOUBLE AS sec FROM e UNION ALL
+SELECT user_id, i, event_id, t >= 1, t - (t >= 1)::INT, sec FROM (SELECT f.user_id, e.i, e.event_id, e.sec, CASE WHEN f.sec IS NULL THEN 2::DOUBLE ELSE least(2::DOUBLE, f.tokens + (e.sec - f.sec) / 360000) END AS t FROM f JOIN e ON e.user_id = f.user_id AND e.i = f.i + 1))
+SELECT user_id, round(least(2, arg_max(tokens, i) + ({NOW} - max(sec)) / 360000), 6) AS tokens FROM f WHERE i > 0 GROUP BY 1""",
+    "window_states": f"""
+WITH RECURSIVE {_TIMED}, f AS (SELECT DISTINCT user_id, 0::BIGINT AS i, NULL::BIGINT AS event_id, NULL::BOOLEAN AS allowed, []::DOUBLE[] AS log FROM e UNION ALL
+SELECT user_id, i, event_id, len(l) < 2, CASE WHEN len(l) < 2 THEN list_append(l, sec) ELSE l END FROM (SELECT f.user_id, e.i, e.event_id, e.sec, list_filter(f.log, lambda x: x > e.sec - 864000) AS l FROM f JOIN e ON e.user_id = f.user_id AND e.i = f.i + 1))
+SELECT f.user_id, count_if(allowed AND e.sec > {NOW} - 864000 AND e.sec <= {NOW})::BIGINT AS used FROM f JOIN e USING (event_id) WHERE f.i > 0 GROUP BY 1""",
+    "breaker_states": f"""
+WITH RECURSIVE {_TIMED}, f AS (SELECT DISTINCT user_id, 0::BIGINT AS i, NULL::BIGINT AS event_id, NULL::BOOLEAN AS allowed, 'closed' AS name, 0 AS bad, 0 AS good, 0::DOUBLE AS since FROM e UNION ALL
+SELECT user_id, i, event_id, n <> 'open', CASE WHEN n <> 'open' AND failed AND (n = 'half_open' OR bad + 1 >= 2) THEN 'open' WHEN n = 'half_open' AND NOT failed AND g + 1 >= 2 THEN 'closed' ELSE n END,
+CASE WHEN n = 'open' THEN bad WHEN NOT failed THEN 0 WHEN n = 'half_open' OR bad + 1 >= 2 THEN 0 ELSE bad + 1 END, CASE WHEN n <> 'open' AND NOT failed THEN g + 1 ELSE g END, CASE WHEN n <> 'open' AND failed AND (n = 'half_open' OR bad + 1 >= 2) THEN sec ELSE since END
+FROM (SELECT f.user_id, e.i, e.event_id, e.sec, e.event_type = 'error' AS failed, bad, since, CASE WHEN {_SHUT_LONG} THEN CASE WHEN name = 'open' THEN 'half_open' ELSE name END ELSE 'open' END AS n, CASE WHEN name = 'open' AND e.sec - since >= 864000 THEN 0 ELSE good END AS g FROM f JOIN e ON e.user_id = f.user_id AND e.i = f.i + 1))
+, l AS (SELECT user_id, arg_max(name, i) AS state, arg_max(since, i) AS since FROM f WHERE i > 0 GROUP BY 1) SELECT user_id, state, round(CASE WHEN state = 'open' THEN greatest(0, since + 864000 - {NOW}) END, 3) AS retry_s FROM l""",
+    "request_throttles": f"""
+WITH RECURSIVE {_TIMED}, f AS (SELECT DISTINCT user_id, 0::BIGINT AS i, NULL::BIGINT AS event_id, NULL::BOOLEAN AS allowed, NULL::VARCHAR AS reason, '-inf'::DOUBLE AS start, 0 AS n, 0 AS bad, '-inf'::DOUBLE AS until FROM e UNION ALL
+SELECT user_id, i, event_id, r IS NULL, r, start, CASE WHEN r IS NULL AND most < 1000000 THEN n + 1 ELSE n END, CASE WHEN r IS NULL AND most < 1000000 AND b THEN bad + 1 ELSE bad END, CASE r WHEN 'rate' THEN sec + 432000 WHEN 'conflicts' THEN sec + 864000 ELSE until END
+FROM (SELECT *, CASE WHEN most = 1000000 THEN NULL WHEN sec < until THEN 'throttled' WHEN n >= most THEN 'rate' WHEN bad >= most_bad THEN 'conflicts' END AS r FROM (
+SELECT f.user_id, e.i, e.event_id, e.sec, e.event_type = 'error' AS b, until, CASE WHEN new THEN e.sec ELSE start END AS start, CASE WHEN new THEN 0 ELSE n END AS n, CASE WHEN new THEN 0 ELSE bad END AS bad, most, most_bad
+FROM (SELECT e.*, [5, 10, 1000000][e.user_id % 3 + 1] AS most, [3, 5, 0][e.user_id % 3 + 1] AS most_bad FROM e) e JOIN (SELECT * FROM f) f ON e.user_id = f.user_id AND e.i = f.i + 1, LATERAL (SELECT e.sec >= until AND e.sec - start >= 864000 AND most < 1000000 AS new))))
+SELECT event_id, allowed, reason FROM f WHERE i > 0""",
     "adaptive_rate": f"""
 WITH RECURSIVE {_TIMED}, f AS (SELECT DISTINCT user_id, 0::BIGINT AS i, NULL::BIGINT AS event_id, 100::DOUBLE AS rate FROM e UNION ALL
 SELECT f.user_id, e.i, e.event_id, least(1000::DOUBLE, greatest(10::DOUBLE, rate * CASE WHEN e.value > 70 THEN 0.9::DOUBLE ELSE 1.1::DOUBLE END)) FROM f JOIN e ON e.user_id = f.user_id AND e.i = f.i + 1) SELECT event_id, round(rate, 6) AS rate FROM f WHERE i > 0""",
