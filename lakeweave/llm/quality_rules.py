@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from .common import WORD_BREAK
 
 WINDOW = 8
-SYMBOLS = "#*$%&|<>"
+SYMBOLS = "[#*$%&|<>]"
 
 
 @dataclass(frozen=True)
@@ -60,6 +60,12 @@ def _tail(items: Column) -> Column:
     return F.slice(items, F.lit(2), F.greatest(F.size(items) - 1, F.lit(0)))
 
 
+def _paired(hashes: Column, apart: int) -> Column:
+    """Of every hash that has one ``apart`` places on: the hash of both."""
+    n = F.greatest(F.size(hashes) - apart, F.lit(0))
+    return F.zip_with(F.slice(hashes, F.lit(1), n), F.slice(hashes, F.lit(1 + apart), n), lambda a, b: F.xxhash64(a, b))
+
+
 def _covered(starts: Column) -> Column:
     """Words in windows that begin at the sorted distinct ``starts``."""
     gaps = F.zip_with(starts, _tail(starts), lambda a, b: F.least(F.lit(WINDOW), F.coalesce(b - a, F.lit(WINDOW))))
@@ -75,32 +81,29 @@ def _repeated_starts(windows: Column) -> Column:
 
 def _repeat_words(words: Column) -> Column:
     n = F.size(words)
-    hashes = F.transform(words, lambda w: F.xxhash64(w))
-    windows = _let(hashes, lambda hs: F.transform(F.sequence(F.lit(1), F.size(hs) - (WINDOW - 1)), lambda i: F.xxhash64(F.slice(hs, i, F.lit(WINDOW)))))
+    ones = F.transform(words, lambda w: F.xxhash64(w))
+    # hashes of 2, 4 and then 8 words, each from two that lie side by side
+    windows = _let(_let(_let(ones, lambda hs: _paired(hs, 1)), lambda hs: _paired(hs, 2)), lambda hs: _paired(hs, 4))
     counted = _let(windows, lambda ws: F.when(F.size(F.array_distinct(ws)) == F.size(ws), F.lit(0)).otherwise(_let(_repeated_starts(ws), _covered)))
     return F.when(n <= WINDOW, F.lit(0)).otherwise(counted)
 
 
-def _without(text: Column, chars: str) -> Column:
-    return F.translate(text, chars, "")
-
-
 def measurements(text: Column) -> Column:
     """A struct of all measurements (long) of one text; null counts as empty."""
     text = F.coalesce(text, F.lit(""))
     words = F.filter(F.split(text, WORD_BREAK), lambda w: w != "")
-    lines = F.filter(F.split(text, "\n"), lambda x: _without(x, " \t\x0b\f\r") != "")
+    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]"))
     caps = lambda ws: F.size(F.filter(ws, lambda w: (w == F.upper(w)) & (w != F.lower(w))))
     same = lambda ws: F.size(F.filter(F.zip_with(ws, _tail(ws), lambda a, b: a == b), lambda x: x))
     fields = lambda ws, ls: {
         "n_words": F.size(ws),
-        "word_chars": F.length(_without(text, " \t\n\x0b\f\r")),
-        "n_symbols": F.length(text) - F.length(_without(text, SYMBOLS)),
+        "word_chars": F.aggregate(ws, F.lit(0).cast("long"), lambda s, w: s + F.length(w)),
+        "n_symbols": F.regexp_count(text, F.lit(SYMBOLS)),
         "n_lines": F.size(ls),
         "n_dup_lines": F.size(ls) - F.size(F.array_distinct(ls)),
         "n_repeat_words": _repeat_words(ws),
         "n_caps_words": caps(ws),
-        "n_exclaims": F.length(text) - F.length(_without(text, "!")),
+        "n_exclaims": F.regexp_count(text, F.lit("!")),
         "n_same_next": same(ws),
     }
     return _let(words, lambda ws: _let(lines, lambda ls: F.struct(*(v.cast("long").alias(k) for k, v in fields(ws, ls).items()))))
