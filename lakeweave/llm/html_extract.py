@@ -192,13 +192,16 @@ def blocks(page: str) -> tuple[list[Block], list[tuple[float, str]]]:
 
 def _prior_weights(found: list[Block], priors: list[tuple[float, str]]) -> list[float]:
     """The prior of each block: the least and the greatest of its elements. A low one fades where its element holds over
-    three quarters of the text of the page's articles (of its main elements, of the page, where there are none)."""
+    three quarters of the text of the page's articles (of its main elements, of the page, where there are none); comments
+    that are articles themselves don't count, as they lie in an element of low prior."""
     kinds = [{priors[e][1] for e in b.inside if priors[e][0] > 1} for b in found]
-    anchor = next((k for k in ("article", "main") if any(k in x for x in kinds)), None)
+    clean = [all(priors[e][0] >= 1 for e in b.inside) for b in found]
+    choices = [[k in x and (c or not pure) for x, c in zip(kinds, clean, strict=True)] for pure in (True, False) for k in ("article", "main")]
+    anchored = next((c for c in choices if any(c)), [True] * len(found))
     held: Counter[int] = Counter()
     total = 0
-    for b, x in zip(found, kinds, strict=True):
-        if anchor is None or anchor in x:
+    for b, counts in zip(found, anchored, strict=True):
+        if counts:
             total += len(b.text) - b.link_chars
             for e in b.inside:
                 held[e] += len(b.text) - b.link_chars

@@ -81,6 +81,11 @@ def test_comments_longer_than_the_article():
     assert html_extract.main_text(page).split("\n") == ["T", LONG.strip()]
 
 
+def test_comments_that_are_articles():
+    page = f"<body><main><h1>T</h1><article><p>{LONG}</p></article><section id=comments>{''.join(f'<article class=comment><p>{NOTE * 3}</p></article>' for _ in range(30))}</section></main></body>"
+    assert html_extract.main_text(page).split("\n") == ["T", LONG.strip()]
+
+
 def test_empty_tables_clashing_names_and_repeated_rows(spark):
     rows = [(1, "u", "<p>Some text, here.", "mine"), (1, "u", "<p>Some text, here.", "mine"), (None, None, None, "x"), (3, "v", "", "y")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
