@@ -41,7 +41,7 @@ KEPT_FILES, FETCHED = 4096, 256 << 20
 #: Pairs that a task holds before it adds them up.
 HELD = 2_000_000
 #: Words kept by one worker with their hashes.
-KEPT_WORDS = 800_000
+KEPT_WORDS = 400_000
 
 START, END = np.uint64(0x9AE16A3B2F90404F), np.uint64(0xC3A5C85C97CB3127)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -419,7 +419,7 @@ def train(docs: DataFrame) -> Model:
         yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=[c.split()[0] for c in MERGED.split(", ")])
 
     blocks = texts.mapInArrow(tidied(count), "shard int, block binary")
-    merged = written(blocks.groupBy("shard").applyInArrow(merge_pairs, MERGED), "kneser-ney-words")
+    merged = written(blocks.repartition(shards, "shard").groupBy("shard").applyInArrow(merge_pairs, MERGED), "kneser-ney-words")
     heads = merged.where("mark IS NOT NULL")
     sums = heads.agg(*(F.sum(F.col("counts")[i]) for i in range(4)), F.sum("n_pairs"), F.sum("n_tokens"), F.sum("n_texts")).first()
     *ns, n_pairs, n_tokens, n_texts = (int(x or 0) for x in sums)
@@ -439,7 +439,7 @@ def train(docs: DataFrame) -> Model:
         yield pa.RecordBatch.from_pydict(row, schema=pa.schema([("shard", pa.int32()), ("mark", pa.int64()), ("counts", pa.list_(pa.int64())), ("n_words", pa.int64())]))
 
     words = merged.where("block IS NOT NULL").select("word_shard", "block")
-    word_heads = written(words.groupBy("word_shard").applyInArrow(merge_words, "shard int, mark long, counts array<long>, n_words long"), "kneser-ney-heads")
+    word_heads = written(words.repartition(dealing.word_shards, "word_shard").groupBy("word_shard").applyInArrow(merge_words, "shard int, mark long, counts array<long>, n_words long"), "kneser-ney-heads")
     sums = word_heads.agg(*(F.sum(F.col("counts")[i]) for i in range(5)), F.sum("n_words")).first()
     *n1, n_words = (int(x or 0) for x in sums)
     word_d = discounts(n1[:4])
