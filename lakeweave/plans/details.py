@@ -480,7 +480,9 @@ WITH w AS (SELECT n_nationkey, lower(unnest(list_concat(string_split(n_name, ' '
 n AS (SELECT n_nationkey, ('0x' || left(h, 8))::UBIGINT % 16 AS k, (CASE WHEN ('0x' || h[9:10])::INT % 2 = 0 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END) * (1.0::DOUBLE + ('0x' || h[11:12])::INT / 255.0::DOUBLE) AS x FROM h),
 s AS (SELECT n_nationkey, k, sum(x) AS x FROM n GROUP BY 1, 2)
 SELECT n_nationkey, k::INT AS k, round(x / sqrt(sum(x * x) OVER (PARTITION BY n_nationkey)), 6) AS x FROM s WHERE x <> 0"""
+_KINDS = list(memory.MEMORY_KINDS.values())
 ORACLE_SQL = {
+    "memory_kinds": f"SELECT n_nationkey, ['{_KINDS[0]}', 'fact', '{_KINDS[-1]}'][n_nationkey % 3 + 1] AS kind FROM nation",
     "normalized_texts": r"""
 WITH r AS (SELECT doc_id, replace(text, chr(10), '  ' || chr(10)) || chr(10) || chr(10) || chr(10) || chr(10) || 'end ' || chr(9) AS t FROM documents)
 SELECT doc_id, sha256(t) AS hash, sha256(regexp_replace(regexp_replace(regexp_replace(t, '(?m)[ \t]+$', '', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g')) AS markdown_hash FROM r""",
