@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, html_extract, kneser_ney, ngram_join, packing, plane_format, quality_classifier, quality_rules, toxicity, url_filter
+from . import decontamination, html_extract, kneser_ney, maxscore, ngram_join, packing, plane_format, quality_classifier, quality_rules, toxicity, url_filter
 from .common import crc_remainder, table
 
 
@@ -60,6 +60,10 @@ def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_maxscore_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maxscore.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, 10)
+
+
 QUERIES = {
     "op1_kneser_ney": op1_kneser_ney,
     "op5_quality_classifier": op5_quality_classifier,
@@ -71,6 +75,7 @@ QUERIES = {
     "op2_html_extraction": op2_html_extraction,
     "op8_plane_tokens": op8_plane_tokens,
     "op4_best_fit_packing": op4_best_fit_packing,
+    "op11_maxscore_topk": op11_maxscore_topk,
 }
 
 ORACLE_SQL = {
@@ -94,5 +99,13 @@ f AS (SELECT *, (CASE WHEN n_words < 20 THEN 1 ELSE 0 END + CASE WHEN 100 * n_re
     + CASE WHEN n_words > 0 AND 2 * n_caps_words > n_words THEN 32 ELSE 0 END + CASE WHEN 4 * n_exclaims > n_words THEN 64 ELSE 0 END
     + CASE WHEN 4 * n_same_next > n_words THEN 128 ELSE 0 END)::BIGINT AS failures FROM m)
 SELECT *, (failures & 3) <> 0 AS base_failed, failures = 0 AS kept FROM f
+""",
+    "op11_maxscore_topk": """
+WITH v AS (SELECT row_number() OVER () AS at, vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS w FROM embeddings
+    WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.at AS query_at, q.vec_id AS query_id, v.vec_id,
+    coalesce(list_sum(list_transform(range(1, least(len(q.w), len(v.w)) + 1), lambda i: q.w[i] * v.w[i])), 0)::BIGINT AS score
+    FROM v AS q JOIN v ON q.vec_id % 100 = 0 AND q.at <> v.at)
+SELECT query_id, row_number() OVER (PARTITION BY query_at ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score FROM s QUALIFY rank <= 10
 """,
 }
