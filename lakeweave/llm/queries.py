@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, html_extract, kneser_ney, maxscore, ngram_join, packing, plane_format, quality_classifier, quality_rules, toxicity, url_filter
-from .common import crc_remainder, table
+from . import decontamination, html_extract, importance_resampling, kneser_ney, maxscore, ngram_join, packing, periodic_runs, plane_format, quality_classifier, quality_rules, toxicity, url_filter
+from .common import WORD_BREAK, crc_remainder, table
 
 
 def tokenizer() -> str:
@@ -64,6 +64,35 @@ def op11_maxscore_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maxscore.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, 10)
 
 
+def with_planted_runs(docs: DataFrame) -> DataFrame:
+    """doc_id and text, where a tenth of the texts (by a hash h of the id, h % 10 = 0) go on from some word with repetitions
+    of a period: word i >= a becomes word a + (i - a) % p. A null id leaves its text as it is."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = F.array_remove(F.split("text", WORD_BREAK), "")
+    cut = docs.select("doc_id", F.col("text").cast("string").alias("text")).withColumns({"g": F.floor(h / 10), "words": F.when(h % 10 == 0, words)})
+    n = F.size("words")
+    a = F.when(n > 0, (F.col("g") % n).cast("int"))
+    placed = cut.withColumn("a", a).withColumn("p", F.floor((n - F.col("a")) / (3 + F.col("g") % 8)).cast("int") + 1)
+    left = n - F.col("a")
+    again = F.flatten(F.array_repeat(F.slice("words", F.col("a") + 1, F.col("p")), F.ceil(left / F.col("p")).cast("int")))
+    text = F.array_join(F.concat(F.slice("words", F.lit(1), F.col("a")), F.slice(again, F.lit(1), left)), " ")
+    return placed.select("doc_id", F.when(F.col("a").isNotNull(), text).otherwise(F.col("text")).alias("text"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.find_runs(with_planted_runs(table(spark, sf_dir, "documents")))
+    longest = F.array_min(F.transform("runs", lambda r: F.struct((-r["length"]).alias("less"), r["start"].alias("start"), r["period"].alias("period"))))
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string")))
+    listed = F.concat(F.array_join(lines, "\n"), F.when(F.size("runs") > 0, "\n").otherwise(""))
+    out = found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), longest.alias("best"), F.sha2(listed, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+    length, period = -F.col("best.less"), F.col("best.period")
+    return out.select("doc_id", "n_runs", F.col("best.start").alias("start"), length.alias("length"), period.alias("period"), F.floor(1000 * length / period).alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance_resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_kneser_ney": op1_kneser_ney,
     "op5_quality_classifier": op5_quality_classifier,
@@ -76,6 +105,8 @@ QUERIES = {
     "op8_plane_tokens": op8_plane_tokens,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op11_maxscore_topk": op11_maxscore_topk,
+    "op12_periodic_runs": op12_periodic_runs,
+    "op13_importance_resampling": op13_importance_resampling,
 }
 
 ORACLE_SQL = {
@@ -107,5 +138,25 @@ s AS (SELECT q.at AS query_at, q.vec_id AS query_id, v.vec_id,
     coalesce(list_sum(list_transform(range(1, least(len(q.w), len(v.w)) + 1), lambda i: q.w[i] * v.w[i])), 0)::BIGINT AS score
     FROM v AS q JOIN v ON q.vec_id % 100 = 0 AND q.at <> v.at)
 SELECT query_id, row_number() OVER (PARTITION BY query_at ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score FROM s QUALIFY rank <= 10
+""",
+    "op13_importance_resampling": r"""
+WITH RECURSIVE r(i, c, k) AS (SELECT x, x, 0 FROM (SELECT unnest(range(256))::BIGINT AS x)
+    UNION ALL SELECT i, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM r WHERE k < 8),
+tab AS (SELECT list(c ORDER BY i) AS tab FROM r WHERE k = 8),
+f AS (SELECT 0 AS src, row_number() OVER () AS row_no, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents
+    UNION ALL SELECT 1, row_number() OVER (), NULL, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') FROM benchmark),
+w AS (SELECT src, row_no, unnest(ws) AS word FROM f),
+h AS (SELECT word, list_transform(range(1, len(hx), 2), lambda i: ('0x' || hx[i:i + 1])::BIGINT) AS bytes FROM (SELECT word, hex(word) AS hx FROM w GROUP BY word)),
+b AS (SELECT word, xor(list_reduce([4294967295] || bytes, lambda c, y: xor(c >> 8, tab[(xor(c, y) & 255) + 1])), 4294967295) % 10000 AS bucket FROM h, tab),
+n AS (SELECT src, row_no, bucket FROM w JOIN b USING (word)),
+c AS (SELECT bucket, count_if(src = 0) AS s, count_if(src = 1) AS t FROM n GROUP BY 1),
+a AS (SELECT sum(s)::BIGINT AS all_s, sum(t)::BIGINT AS all_t FROM c),
+g AS (SELECT bucket, floor(1000 * ln(((t + 1) * (all_s + 10000))::DOUBLE / ((s + 1) * (all_t + 10000))::DOUBLE))::BIGINT AS gain FROM c, a),
+m AS (SELECT row_no, sum(gain)::BIGINT AS total FROM n JOIN g USING (bucket) WHERE src = 0 GROUP BY 1),
+d AS (SELECT row_no, doc_id, len(ws)::BIGINT AS n_features, CASE WHEN len(ws) = 0 THEN 0 ELSE floor(total::DOUBLE / len(ws)) END::BIGINT AS weight,
+    ('0x' || substr(sha256('2024:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT::DOUBLE AS u FROM f LEFT JOIN m USING (row_no) WHERE src = 0),
+e AS (SELECT *, weight + floor(-1000 * ln(-ln((u + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score FROM d),
+o AS (SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id NULLS LAST) AS place, count(*) OVER (PARTITION BY n_features >= 20) AS able FROM e)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= 20 AND place <= 10 * able // 100 THEN place END::BIGINT AS rank FROM o
 """,
 }
