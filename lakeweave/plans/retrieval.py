@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import vector
-from ..operators import retrieval
+from ..operators import retrieval, vector_index
 from ..sources.tables import table
 
 KEY = ["query_id", "vec_id"]
@@ -118,6 +118,31 @@ def graph_hop_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("query_id", F.round("recall", 6).alias("recall"), "hit", F.round("mrr", 6).alias("mrr"), F.round("mean_hops", 6).alias("mean_hops"), "least_hops")
 
 
+def indexed_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest found by the inverted file, with exact scores; most of them, not all (see ``indexed_recall``)."""
+    e = table(spark, sf_dir, "embeddings")
+    return vector_index.search(vector_index.build(e), _asked(e), 10).select("query_id", "vec_id", "rank", F.round("score", 6).alias("score"))
+
+
+def indexed_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors filed, and whether the mean recall at ten of all queries, against the exact search, is 0.95 or more."""
+    e = table(spark, sf_dir, "embeddings")
+    index = vector_index.build(e)
+    filed = index.blocks.agg((F.sum("n") / index.copies).cast("long").alias("filed"))
+    recall = vector_index.recall(vector_index.search(index, _asked(e), 10), _nearest(spark, sf_dir, 10))
+    return recall.agg(F.count(F.lit(1)).alias("queries"), (F.avg("recall") >= 0.95).alias("reached")).join(filed)
+
+
+def indexed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five documents (eight vectors each) nearest to each query by their best chunk: every cell is probed, so the
+    search is exact."""
+    e = table(spark, sf_dir, "embeddings")
+    index = vector_index.build(e, cells=8, copies=1, target=1.0)
+    chunks = e.select("vec_id", F.floor(F.col("vec_id") / 8).alias("doc_id"))
+    index.probes = len(index.centroids)
+    return vector_index.relevant_documents(index, _asked(e), chunks, 5).select("query_id", "doc_id", "rank", F.round("score", 6).alias("score"))
+
+
 def search_latency(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = retrieval.latency(table(spark, sf_dir, "events"), F.col("value"), "event_type")
     return out.select("event_type", *(F.round(c, 6).alias(c) for c in ("mean", "p50", "p95", "p99")))
@@ -131,7 +156,7 @@ def label_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     vector_topk, doc_best_chunk, memory_search, rrf, weighted_fuse, minmax_fuse, hybrid_fuse, retrieval_metrics, retrieval_confidence,
-    retrieval_candidates, candidates_by_refs, rerank_fallback, fusion_overlap, graph_hop_metrics, search_latency, label_centroids,
+    retrieval_candidates, candidates_by_refs, rerank_fallback, fusion_overlap, graph_hop_metrics, indexed_topk, indexed_recall, indexed_documents, search_latency, label_centroids,
 )}
 
 
@@ -175,6 +200,9 @@ SELECT query_id, count_if(i AND j)::BIGINT AS both, count_if(i AND NOT j)::BIGIN
     "graph_hop_metrics": f"""WITH {_found('b', 24, 16)}
 SELECT query_id, round(count_if(rank <= 12) / count(*), 6) AS recall, (count_if(rank <= 12) > 0)::INT AS hit, round(coalesce(max(CASE WHEN rank <= 12 THEN 1.0::DOUBLE / rank END), 0), 6) AS mrr,
 round(avg(CASE WHEN rank <= 12 THEN vec_id % 3 + 1 END), 6) AS mean_hops, min(CASE WHEN rank <= 12 THEN vec_id % 3 + 1 END) AS least_hops FROM b WHERE rel GROUP BY 1""",
+    "indexed_recall": "SELECT count_if(vec_id % 100 = 0)::BIGINT AS queries, true AS reached, count(*) AS filed FROM embeddings",
+    "indexed_documents": f"""WITH {_found('a', 50)}, d AS (SELECT query_id, vec_id // 8 AS doc_id, max(score) AS s FROM a GROUP BY 1, 2)
+SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, doc_id) AS rank, round(s, 6) AS score FROM d QUALIFY rank <= 5""",
     "search_latency": "SELECT event_type, round(avg(value), 6) AS mean, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95, round(quantile_cont(value, 0.99), 6) AS p99 FROM events GROUP BY 1",
     "label_centroids": "SELECT label, count(*) AS n, round(avg(sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE)))), 6) AS norm, 64::INT AS dimensions FROM embeddings GROUP BY 1",
 }
