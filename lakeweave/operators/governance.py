@@ -1,8 +1,7 @@
-"""Governed access: policies on SQL, group-size enforcement, watermarks, anonymisation, protocol choice."""
+"""Governed access: policies, group-size enforcement, watermarks, anonymisation, protocol choice."""
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -36,32 +35,6 @@ class AccessDenied(Exception):
     pass
 
 
-def analysed_plan(spark: SparkSession, query: str) -> str:
-    text = spark.sql(f"EXPLAIN EXTENDED {query}").first()[0]
-    found = re.search(r"== Analyzed Logical Plan ==\n(.*?)\n== Optimized", text, re.S)
-    return found[1] if found else ""
-
-
-def governed_sql(spark: SparkSession, query: str, policy: str) -> DataFrame:
-    """The query's rows under a policy: reads only, aggregates where the policy asks for them, at most its rows.
-
-    What the query does is read off its analysed plan; its first word must be a read's as well. A least group size can't be added to finished SQL:
-    policies that have one need ``governed_aggregate``.
-    """
-    rules = POLICIES.get(policy, POLICIES["read_only"])
-    plan = analysed_plan(spark, query)
-    bare = re.sub(r"--[^\n]*|/\*.*?\*/", " ", query, flags=re.S).lstrip(" \t\r\n(").upper()
-    writes = re.search(r"^[\s:+-]*(\w*Command|InsertInto|Create|Drop|Delete|Update|Merge|Replace|Alter)", plan.split("\n", 1)[-1], re.M)
-    if not plan or writes or not bare.startswith(("SELECT", "WITH", "FROM", "VALUES", "TABLE")):
-        raise AccessDenied("only SELECT is allowed")
-    if rules.aggregates_only and not re.search(r"^[\s:+-]*Aggregate ", plan, re.M):
-        raise AccessDenied("this policy allows aggregates only")
-    if rules.least_group > 1:
-        raise AccessDenied("this policy has a least group size; use governed_aggregate")
-    rows = spark.sql(query)
-    return first_rows(rows, rules.most_rows) if rules.most_rows else rows
-
-
 def first_rows(rows: DataFrame, most: int, *order: str) -> DataFrame:
     """The first rows by ``order`` and then by all columns that can be ordered: the same ones on every run."""
     rest = [f.name for f in rows.schema.fields if f.name not in order and "map<" not in f.dataType.simpleString()]

@@ -6,15 +6,31 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import governance
+from ..operators import governed_sql as sql
 from ..sources.tables import table
 
 AS_OF = "2001-12-01 00:00:00"
 
 
 def governed_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
-    table(spark, sf_dir, "customer").createOrReplaceTempView("governed_customer")
-    rows = governance.governed_sql(spark, "SELECT c_mktsegment, count(*) AS n, round(avg(c_acctbal), 4) AS mean FROM governed_customer GROUP BY c_mktsegment", "read_only")
-    return rows
+    relations = {"customer": sql.Relation(table(spark, sf_dir, "customer"), ("c_custkey",))}
+    return sql.governed_sql(spark, "SELECT c_mktsegment, count(*) AS n, round(avg(c_acctbal), 4) AS mean FROM customer GROUP BY c_mktsegment", "read_only", relations)
+
+
+def governed_analytics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups that rest on five customers and five orders at least; the limit within the query doesn't matter."""
+    relations = {"customer": sql.Relation(table(spark, sf_dir, "customer"), ("c_custkey",)), "orders": sql.Relation(table(spark, sf_dir, "orders"), ("o_orderkey",))}
+    query = """WITH joined AS (SELECT c_nationkey, c_mktsegment, o_totalprice FROM customer JOIN orders ON o_custkey = c_custkey)
+    SELECT c_nationkey, c_mktsegment, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM joined GROUP BY c_nationkey, c_mktsegment"""
+    return sql.governed_sql(spark, query, "analytics", relations)
+
+
+def governed_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers of the nations that a buyer holds live grants on, counted by segment."""
+    day = lambda d: F.lit(d).cast("timestamp_ntz")
+    grants = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("asset"), F.lit(7).alias("buyer"), F.when(F.col("n_nationkey") % 3 == 0, "active").otherwise("revoked").alias("status"), day("2000-01-01").alias("valid_from"), F.when(F.col("n_nationkey") % 2 == 0, day("2002-01-01")).otherwise(day("2001-01-01")).alias("valid_until"))
+    relations = {"customer": sql.Relation(table(spark, sf_dir, "customer"), ("c_custkey",), "c_nationkey")}
+    return sql.governed_sql(spark, "SELECT c_mktsegment, count(*) AS n FROM customer GROUP BY c_mktsegment", "analytics", relations, grants, 7, AS_OF)
 
 
 def governed_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,10 +74,13 @@ def protocol_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.select("sensitivity", "method", F.round("score", 6).alias("score"), governance.epsilon(F.col("sensitivity")).alias("epsilon"))
 
 
-QUERIES = {f.__name__: f for f in (governed_sql, governed_groups, pseudonymize, k_anonymize, watermark, laplace_noise, rights_check, protocol_choice)}
+QUERIES = {f.__name__: f for f in (governed_sql, governed_analytics, governed_rows, governed_groups, pseudonymize, k_anonymize, watermark, laplace_noise, rights_check, protocol_choice)}
 
 ORACLE_SQL = {
     "governed_sql": "SELECT c_mktsegment, count(*) AS n, round(avg(c_acctbal), 4) AS mean FROM customer GROUP BY 1 LIMIT 100",
+    "governed_analytics": """SELECT c_nationkey, c_mktsegment, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM customer JOIN orders ON o_custkey = c_custkey
+GROUP BY 1, 2 HAVING count(DISTINCT c_custkey) >= 5 AND count(DISTINCT o_orderkey) >= 5""",
+    "governed_rows": "SELECT c_mktsegment, count(*) AS n FROM customer WHERE c_nationkey % 6 = 0 GROUP BY 1 HAVING count(*) >= 5",
     "governed_groups": "SELECT c_nationkey, c_mktsegment, round(sum(c_acctbal), 2) AS total FROM customer GROUP BY 1, 2 HAVING count(*) >= 5",
     "pseudonymize": "SELECT c_custkey, 'PSEUDO_' || left(sha256(c_name), 12) AS c_name, c_mktsegment FROM customer",
     "k_anonymize": """

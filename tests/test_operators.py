@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lakeweave.functions import clock, vector
 from lakeweave.functions import text as tx
-from lakeweave.operators import chunking, features, governance, graph, joins, lineage, retrieval, stateful, usage
+from lakeweave.operators import chunking, features, governance, governed_sql, graph, joins, lineage, retrieval, stateful, usage
 from lakeweave.sources import tables
 from lakeweave.streaming import events as stream
 
@@ -105,12 +105,12 @@ def test_topology(spark):
 
 
 def test_governed_sql(spark):
-    spark.range(200).withColumn("g", F.col("id") % 3).createOrReplaceTempView("governed_numbers")
-    assert governance.governed_sql(spark, "SELECT * FROM governed_numbers", "read_only").count() == 100
+    numbers = {"numbers": governed_sql.Relation(spark.range(200).withColumn("g", F.col("id") % 3), ("id",))}
+    assert governed_sql.governed_sql(spark, "SELECT * FROM numbers", "read_only", numbers).count() == 100
     with pytest.raises(governance.AccessDenied):
-        governance.governed_sql(spark, "SELECT 'sum(' AS x FROM governed_numbers", "analytics")
+        governed_sql.governed_sql(spark, "SELECT 'sum(' AS x FROM numbers", "analytics", numbers)
     with pytest.raises(governance.AccessDenied):
-        governance.governed_sql(spark, "DROP VIEW governed_numbers", "full_access")
+        governed_sql.governed_sql(spark, "DROP VIEW numbers", "full_access", numbers)
     rows = spark.createDataFrame([(1,)] * 5 + [(2,)] * 4, "g int")
     assert [r["g"] for r in governance.governed_aggregate(rows, ["g"], {"n": F.count(F.lit(1))}, "analytics").collect()] == [1]
 
