@@ -30,7 +30,8 @@ _EXPRESSIONS = "org.apache.spark.sql.catalyst.expressions"
 #: Statements by the plan node they parse to; what isn't here and isn't a query is never allowed.
 WRITES = {"InsertIntoStatement": "INSERT", "UpdateTable": "UPDATE", "DeleteFromTable": "DELETE", "MergeIntoTable": "MERGE"}
 #: Nodes that pass on the rows of their children, above a top aggregate and below it.
-_ABOVE = frozenset("Project Filter Sort GlobalLimit LocalLimit Offset Tail SubqueryAlias View Distinct Deduplicate Window Union Join ResolvedHint Generate".split())
+_ABOVE = frozenset("Project Filter Sort GlobalLimit LocalLimit Offset Tail SubqueryAlias Distinct Deduplicate Window Union Join ResolvedHint Generate".split())
+_LITERALS = frozenset("OneRowRelation LocalRelation Range".split())
 _THROUGH = frozenset("Filter SubqueryAlias Generate ResolvedHint".split())
 
 
@@ -116,9 +117,9 @@ class _Guard:
         if kind == "Aggregate":
             return self.top(node)
         children = _each(node.children())
-        if not children:
-            if kind in ("OneRowRelation", "LocalRelation", "Range"):
-                return node
+        if kind in _LITERALS:
+            return node
+        if kind == "View" or not children:
             raise AccessDenied("this policy allows aggregates only")
         if kind not in _ABOVE:
             raise AccessDenied(f"{kind} is not allowed outside an aggregate")
@@ -147,7 +148,7 @@ class _Guard:
         kind, children = node.nodeName(), _each(node.children())
         if kind == "View":
             return node, [a for a in _each(node.output()) if a.name() == RECORD], True
-        if kind in ("OneRowRelation", "LocalRelation", "Range"):
+        if kind in _LITERALS:
             return node, [], True
         if kind == "Project":
             child, records, plain = self.below(children[0])
@@ -181,7 +182,7 @@ def _named(jvm, name: str):
 
 
 def _literal(plan: JavaObject) -> bool:
-    return all(n.nodeName() != "View" and (_each(n.children()) or n.nodeName() in ("OneRowRelation", "LocalRelation", "Range")) for n in _parts(plan))
+    return all(n.nodeName() != "View" and (_each(n.children()) or n.nodeName() in _LITERALS) for n in _parts(plan))
 
 
 def analysed(session: SparkSession, query: str) -> JavaObject:

@@ -51,6 +51,13 @@ def test_every_relation_needs_its_records(spark, relations):
     assert rows(spark, relations, "SELECT count(*) AS n FROM (SELECT team FROM people WHERE id >= 43 GROUP BY team)") == []
 
 
+def test_tables_of_any_origin_are_data(spark):
+    for rows_ in (spark.range(9), spark.sql("SELECT * FROM VALUES (1), (2) AS t(id)")):
+        with pytest.raises(AccessDenied):
+            rows(spark, {"t": g.Relation(rows_, ("id",))}, "SELECT id FROM t")
+        assert rows(spark, {"t": g.Relation(rows_, ("id",))}, "SELECT id FROM t GROUP BY id") == []
+
+
 @pytest.mark.parametrize(
     "query",
     [
