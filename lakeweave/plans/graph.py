@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import graph, lineage, market
+from ..operators import graph, lineage, market, neighbourhoods
 from ..sources.tables import table
 
 
@@ -35,7 +35,16 @@ def _regions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def khop(spark: SparkSession, sf_dir: str) -> DataFrame:
     seeds = table(spark, sf_dir, "supplier").select(F.concat(F.lit("s"), F.col("s_suppkey")).alias("seed"))
     both = graph.undirected(_edges(spark, sf_dir).select("src", "dst"))
-    return graph.k_hop(both, seeds, 3).groupBy("seed", "hop").agg(F.count(F.lit(1)).alias("n"))
+    return neighbourhoods.counts(neighbourhoods.reach(both, seeds, 3))
+
+
+def supplier_subgraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sizes of every supplier's neighbourhood of two hops, in the graph of parts sold and nations; written by block."""
+    suppliers = table(spark, sf_dir, "supplier").select(F.concat(F.lit("s"), F.col("s_suppkey")).alias("seed"))
+    sold = table(spark, sf_dir, "lineitem").select(F.concat(F.lit("s"), F.col("l_suppkey")).alias("src"), F.concat(F.lit("p"), F.col("l_partkey")).alias("dst"))
+    both = graph.undirected(sold.unionByName(_edges(spark, sf_dir).where("kind = 'n_s'").select("src", "dst")))
+    found = neighbourhoods.reach(both, suppliers, 2)
+    return neighbourhoods.sizes(found, *neighbourhoods.subgraphs(found, both))
 
 
 def lineage_downstream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -135,7 +144,7 @@ def asset_price(spark: SparkSession, sf_dir: str) -> DataFrame:
     return priced.select("p_partkey", F.round("price", 7).alias("price"), F.round(0.8 * F.col("price"), 7).alias("low"), F.round(1.3 * F.col("price"), 7).alias("high"))
 
 
-QUERIES = {f.__name__: f for f in (khop, lineage_downstream, lineage_upstream, impact_report, typed_paths, graph_statistics, sanitize_edges, detach_nation, neighbours, entity_merge, relation_cardinality, network_value, topology_features, lineage_hash_verify, lineage_step_hashes, asset_price)}
+QUERIES = {f.__name__: f for f in (khop, supplier_subgraphs, lineage_downstream, lineage_upstream, impact_report, typed_paths, graph_statistics, sanitize_edges, detach_nation, neighbours, entity_merge, relation_cardinality, network_value, topology_features, lineage_hash_verify, lineage_step_hashes, asset_price)}
 
 _EDGES = """e AS (SELECT 'r' || n_regionkey AS src, 'n' || n_nationkey AS dst, 'r_n' AS kind, 0.5::DOUBLE + (n_nationkey % 5)::DOUBLE / 10 AS c FROM nation
 UNION ALL SELECT 'n' || s_nationkey, 's' || s_suppkey, 'n_s', 0.5::DOUBLE + (s_suppkey % 5)::DOUBLE / 10 FROM supplier UNION ALL SELECT 'n' || c_nationkey, 'c' || c_custkey, 'n_c', 0.5::DOUBLE + (c_custkey % 5)::DOUBLE / 10 FROM customer)"""
@@ -143,6 +152,13 @@ _VERTICES = "v AS (SELECT 'r' || r_regionkey AS id, 'region' AS kind FROM region
 _PATHS = """p AS (SELECT 'r' || r_regionkey AS seed, 'r' || r_regionkey AS node, 0 AS depth, ['r' || r_regionkey] AS path, 1.0::DOUBLE AS c FROM region
 UNION ALL SELECT p.seed, e.dst, p.depth + 1, list_append(p.path, e.dst), p.c * e.c FROM p JOIN e ON p.node = e.src AND e.c >= {0} WHERE p.depth < {1} AND NOT list_contains(p.path, e.dst))"""
 ORACLE_SQL = {
+    "supplier_subgraphs": """
+WITH h AS (SELECT DISTINCT 's' || l_suppkey AS u, 'p' || l_partkey AS v FROM lineitem UNION SELECT 'n' || s_nationkey, 's' || s_suppkey FROM supplier),
+e AS (SELECT u, v FROM h UNION SELECT v, u FROM h), s AS (SELECT 's' || s_suppkey AS seed FROM supplier),
+r AS (SELECT seed, seed AS node FROM s UNION SELECT seed, v FROM s JOIN e ON u = seed UNION SELECT seed, f.v FROM s JOIN e ON e.u = seed JOIN e f ON f.u = e.v),
+n AS (SELECT seed, count(*) AS nodes FROM r GROUP BY 1),
+m AS (SELECT a.seed, count(*) AS edges FROM e JOIN r a ON a.node = u JOIN r b ON b.node = v AND b.seed = a.seed GROUP BY 1)
+SELECT seed, nodes, coalesce(edges, 0) AS edges FROM n LEFT JOIN m USING (seed)""",
     "khop": f"""
 WITH RECURSIVE {_EDGES}, u AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e),
 h AS (SELECT 's' || s_suppkey AS seed, 's' || s_suppkey AS node, 0 AS hop FROM supplier UNION SELECT seed, dst, hop + 1 FROM h JOIN u ON node = src WHERE hop < 3),
