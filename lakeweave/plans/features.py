@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import chunking, features
+from ..operators import chunking, features, sage
+from ..sources.shared import shared_dir, written
 from ..sources.tables import table
 from ..streaming import events as stream
+from ..streaming import sessions
 
 TYPES = ["click", "error", "purchase", "signup", "view"]
 
@@ -80,8 +79,7 @@ def chunk_routed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _folder(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lakeweave-stream-")
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    return shared_dir(spark, "stream")
 
 
 def stream_window_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,13 +106,55 @@ def stream_token_bucket(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.groupBy("user_id").agg(F.sum("admitted").alias("admitted"), F.sum("refused").alias("refused"))
 
 
+def stream_recent_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as messages of their user's session: the newest twenty, gone six hours after the last."""
+    rows = stream.read(spark, f"{sf_dir}/events.parquet", 100_000).select("user_id", F.col("event_id").alias("id"), "ts", F.col("event_type").alias("text"))
+    out = sessions.run_in_batches(sessions.recent_messages(rows, "user_id", 20, 21600.0), _folder(spark), "messages")
+    return sessions.latest(out, "user_id").select("user_id", "n", F.array_join(F.transform("ids", lambda i: i.cast("string")), ",").alias("ids"), "tokens", "expired")
+
+
+def stream_operations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as edits of a resource of five users, each the child of its user's edit before: the edits that the watermark
+    has passed, with their user's count in the clock and the number of edits they conflict with."""
+    before = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    edits = table(spark, sf_dir, "events").select(F.floor(F.col("user_id") / 5).alias("resource"), F.col("event_id").alias("id"), F.col("user_id").alias("user"), F.col("ts").cast("timestamp").alias("ts"), F.array_compact(F.array(F.lag("event_id").over(before))).alias("parents"))
+    held = written(edits, "edits")
+    rows = spark.readStream.schema(held.schema).option("maxFilesPerTrigger", 100_000).parquet(held.inputFiles()[0].rsplit("/", 1)[0])
+    out = sessions.run_in_batches(sessions.live_operations(rows, "resource", 21600.0), _folder(spark), "operations")
+    own = F.try_element_at(F.from_json("clock", "map<string,long>"), F.col("user"))
+    return out.select("resource", "id", own.alias("sequence"), F.size("conflicts").alias("conflicts"))
+
+
+def graphsage_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Embeddings of all nodes by two layers with weights drawn by a seed (held against NumPy in the tests)."""
+    weights = sage.initial_weights(64, 16, 8, 2, seed=1)
+    out = sage.forward(_nodes(spark, sf_dir), _links(spark, sf_dir), weights, 2)
+    return out.select("id", F.transform("x", lambda v: F.round(v, 6)).alias("x"))
+
+
+def graphsage_pooled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One embedding for each label, pooled by attention over its nodes."""
+    members = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").alias("graph"))
+    out = sage.forward(_nodes(spark, sf_dir), _links(spark, sf_dir), sage.initial_weights(64, 16, 8, 2, seed=1), 2, members)
+    return out.select("graph", F.transform("x", lambda v: F.round(v, 6)).alias("x"))
+
+
+def graphsage_training(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Losses by epoch of a model that learns the nodes' labels; a fifth of them, by hash, judges it."""
+    settings = sage.Settings(hidden=16, fan_out=4, classes=10, epochs=6, rate=0.05)
+    targets = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.array(F.pmod(F.col("label"), F.lit(10)).cast("double")).alias("y"))
+    rows = sage.examples(_nodes(spark, sf_dir), _links(spark, sf_dir), features.split(targets, "id", 0.8), 64, settings)
+    losses = sage.history(spark, sage.train(rows, 64, settings, shared_dir(spark, "sage")))
+    return losses.select("epoch", F.round("train_loss", 6).alias("train_loss"), F.round("validation_loss", 6).alias("validation_loss"))
+
+
 def html_to_text_parser(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages without scripts, styles and tags, white space collapsed."""
     bare = F.regexp_replace("html", r"(?is)<(script|style)[^>]*>.*?</\1>|<!--.*?-->", " ")
     return table(spark, sf_dir, "pages").select("page_id", F.trim(F.regexp_replace(F.regexp_replace(bare, "<[^>]+>", " "), r"\s+", " ")).alias("text"))
 
 
-QUERIES = {f.__name__: f for f in (node_features, zscore, sage_layer, link_score, train_split, chunk_section_pack, chunk_fixed_overlap, chunk_sliding, chunk_routed, stream_window_counts, stream_sliding_counts, stream_idle_sessions, chunk_recursive, chunk_breaks, stream_token_bucket, html_to_text_parser)}
+QUERIES = {f.__name__: f for f in (node_features, zscore, sage_layer, link_score, train_split, chunk_section_pack, chunk_fixed_overlap, chunk_sliding, chunk_routed, stream_window_counts, stream_sliding_counts, stream_idle_sessions, chunk_recursive, chunk_breaks, stream_token_bucket, stream_recent_messages, stream_operations, graphsage_embeddings, graphsage_pooled, graphsage_training, html_to_text_parser)}
 
 _COS = "(list_sum(list_transform(range(1, 65), lambda i: a.embedding[i]::DOUBLE * b.embedding[i]::DOUBLE)) / (sqrt(list_sum(list_transform(a.embedding, lambda x: x::DOUBLE * x::DOUBLE))) * sqrt(list_sum(list_transform(b.embedding, lambda x: x::DOUBLE * x::DOUBLE)))))"
 _LINKS = "l AS (SELECT DISTINCT vec_id AS src, unnest([(vec_id * 7 + 1) % (SELECT count(*) FROM embeddings), (vec_id * 3 + 2) % (SELECT count(*) FROM embeddings)]) AS dst FROM embeddings)"
@@ -124,6 +164,17 @@ ORACLE_SQL = {
 WITH c AS (SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN '- ' ELSE '' END || text AS t FROM conversations), n AS (SELECT *, lead(t) OVER (PARTITION BY conv_id ORDER BY turn) AS after, right(t, 1) IN ('。', '！', '？', '.', '!', '?', '；', ';') AS w FROM c),
 s AS (SELECT conv_id, count(*) AS chunks, count(after) AS breaks, count_if(after IS NOT NULL AND w)::BIGINT AS whole, count_if(after IS NOT NULL AND length(t) > 0 AND (w OR regexp_matches(after, '^(\n\n| .|#{1,4} |[-*+] |[1-5]\. )')))::BIGINT AS good, coalesce(stddev_pop(length(t)), 0) AS d FROM n GROUP BY 1)
 SELECT conv_id, chunks, breaks, whole, good, round(0.3::DOUBLE * greatest(0, 1 - d / 1000) + 0.4::DOUBLE * CASE WHEN breaks = 0 THEN 1 ELSE good / breaks END + 0.3::DOUBLE * CASE WHEN breaks = 0 THEN 1 ELSE whole / breaks END, 6) AS score FROM s""",
+    "stream_recent_messages": """
+WITH m AS (SELECT user_id, event_id, ts, length(event_type) AS c, row_number() OVER w AS k, lag(ts) OVER w - ts AS pause FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts DESC, event_id DESC)),
+g AS (SELECT *, max(coalesce(pause, INTERVAL 0 SECONDS)) OVER (PARTITION BY user_id ORDER BY k ROWS UNBOUNDED PRECEDING) AS longest FROM m), l AS (SELECT max(ts) - INTERVAL 10 MINUTES AS passed FROM events),
+s AS (SELECT user_id, max(ts) + INTERVAL 6 HOURS <= passed AS expired, count_if(k <= 20 AND longest <= INTERVAL 6 HOURS) AS n, string_agg(CASE WHEN k <= 20 AND longest <= INTERVAL 6 HOURS THEN event_id::VARCHAR END, ',' ORDER BY ts, event_id) AS ids,
+    sum(CASE WHEN k <= 20 AND longest <= INTERVAL 6 HOURS THEN c ELSE 0 END) // 2 AS tokens FROM g, l GROUP BY user_id, passed)
+SELECT user_id, CASE WHEN expired THEN 0 ELSE n END::BIGINT AS n, CASE WHEN expired THEN '' ELSE ids END AS ids, CASE WHEN expired THEN 0 ELSE tokens END::BIGINT AS tokens, expired FROM s""",
+    "stream_operations": """
+WITH e AS (SELECT user_id // 5 AS resource, event_id, user_id, ts, ts - lag(ts) OVER (PARTITION BY user_id // 5 ORDER BY ts, event_id) > INTERVAL 6 HOURS AS new FROM events),
+c AS (SELECT *, sum(coalesce(new, true)::INT) OVER (PARTITION BY resource ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS chain FROM e),
+r AS (SELECT *, row_number() OVER (PARTITION BY resource, chain ORDER BY ts, event_id) AS k, row_number() OVER (PARTITION BY resource, chain, user_id ORDER BY ts, event_id) AS own FROM c)
+SELECT resource, event_id AS id, own + 1 AS sequence, (k - own)::INT AS conflicts FROM r WHERE ts < (SELECT max(ts) - INTERVAL 10 MINUTES FROM events)""",
     "stream_sliding_counts": "SELECT epoch(d - INTERVAL (k) DAY)::BIGINT AS start_s, event_type, count(*) AS n FROM (SELECT date_trunc('day', ts) AS d, event_type, unnest([0, 1]) AS k FROM events) GROUP BY 1, 2",
     "stream_idle_sessions": """
 WITH g AS (SELECT user_id, ts, ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) >= INTERVAL 6 HOURS AS new FROM events), s AS (SELECT user_id, ts, sum(coalesce(new, true)::INT) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM g)

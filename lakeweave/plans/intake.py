@@ -112,7 +112,7 @@ def link_training(spark: SparkSession, sf_dir: str) -> DataFrame:
     sides = features.split(pairs, "pair", 0.8)
     model = features.trained_links(sides.where("side = 'train'"))
     out = features.validation_loss(model, sides.where("side = 'validation'"))
-    return out.select((F.col("loss") < 0.693).alias("learnt"), (F.col("accuracy") > 0.8).alias("good"))
+    return out.select(F.round("loss", 6).alias("loss"), F.round("accuracy", 6).alias("accuracy"))
 
 
 def model_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
