@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .columns import let
+
 from .text import cleanliness, looks_like_markdown, syntax_score
 
 # Weights of the whole, what Markdown form adds, and the least score of each grade.
@@ -47,10 +49,14 @@ def overall_score(text: Column) -> Column:
 
 def grade(score: Column) -> Column:
     """S to C by the least score of each; D below. Scores are held to nine places, so that sums at a limit reach it."""
-    out = F.lit("D")
-    for name, least in reversed(GRADES):
-        out = F.when(F.round(score, 9) >= least, name).otherwise(out)
-    return out
+
+    def graded(held: Column) -> Column:
+        out = F.lit("D")
+        for name, least in reversed(GRADES):
+            out = F.when(held >= least, name).otherwise(out)
+        return out
+
+    return let(F.round(score, 9), graded)
 
 
 def missing_parts(text: Column, title: Column) -> Column:

@@ -88,10 +88,15 @@ def estimated_tokens(text: Column) -> Column:
     return (han / 1.5 + latin / 4 + (F.length(text) - han - latin) / 2).cast("int")
 
 
+#: What any match of ``SENSITIVE`` holds: a text without it needs one scan in place of seven.
+SENSITIVE_HINT = r"@|\d{11}|(?i:sk-|ak-|api|pass|pwd|secret|token)"
+
+
 def redacted(text: Column, patterns: dict[str, str] | None = None, label: str = "[{}_REDACTED]") -> Column:
+    out = text
     for name, pattern in (patterns or SENSITIVE).items():
-        text = F.regexp_replace(text, pattern, label.format(name))
-    return text
+        out = F.regexp_replace(out, pattern, label.format(name))
+    return out if patterns else F.when(text.rlike(SENSITIVE_HINT), out).otherwise(text)
 
 
 def listing_text(text: Column, limit: int) -> Column:

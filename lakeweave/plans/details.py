@@ -62,8 +62,8 @@ def weighted_qualities(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def compacted_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = F.concat(F.substring("text", 1, 400), F.lit("  \t x\n\n \n\n\ny"))
-    return _docs(spark, sf_dir).select("doc_id", _hash(prompting.compact(raw, 100_000)))
+    raw = F.concat("text", F.lit("  \t x\n\n \n\n\ny"))
+    return _docs(spark, sf_dir).select("doc_id", _hash(prompting.compact(raw, 2**31 - 1)))
 
 
 def listing_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,7 +80,7 @@ def conversion_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def text_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _docs(spark, sf_dir).select("doc_id", tx.review_quality(F.substring("text", 1, 150)).alias("quality"))
+    return _docs(spark, sf_dir).select("doc_id", tx.review_quality(F.col("text")).alias("quality"))
 
 
 # prompts and answers
@@ -203,7 +203,7 @@ def revoked_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
 def space_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     n, s = F.col("n_nationkey").cast("long"), F.col("s_suppkey")
     members = table(spark, sf_dir, "nation").select(n.alias("space"), n.alias("user"), F.lit("viewer").alias("role"), F.lit("active").alias("status"), F.lit(None).cast("array<string>").alias("permissions"))
-    added = table(spark, sf_dir, "supplier").where("s_suppkey < 60").select((s % 30).alias("space"), s.alias("user"), F.lit("editor").alias("role"))
+    added = table(spark, sf_dir, "supplier").select((s % 30).alias("space"), s.alias("user"), F.lit("editor").alias("role"))
     removed = table(spark, sf_dir, "nation").where("n_nationkey % 4 = 0").select(n.alias("space"), n.alias("user"))
     return access.without_members(access.with_members(members, added), removed).select("space", "user", "role", "status")
 
@@ -247,7 +247,7 @@ def step_results(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def steps_left(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = memory.checkpoints(_steps(spark, sf_dir).where("task < 20"), ["ts"], AS_OF).select("task", "step")
+    done = memory.checkpoints(_steps(spark, sf_dir), ["ts"], AS_OF).select("task", "step")
     wanted = _steps(spark, sf_dir).select("task", "step").distinct()
     return memory.steps_to_run(wanted, done)
 
@@ -296,7 +296,8 @@ def episode_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def related_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders")
     k = F.col("o_orderkey")
-    related = o.select(k.alias("src"), (k * 7 % 5000).alias("dst"), F.round(F.col("o_totalprice") % 1, 4).alias("score"))
+    keys = o.agg((F.max(k) + 1).alias("keys"))
+    related = o.crossJoin(F.broadcast(keys)).select(k.alias("src"), (k * 7 % F.col("keys")).alias("dst"), F.round(F.col("o_totalprice") % 1, 4).alias("score"))
     return communities.related_episodes(related, o.where("o_orderkey % 3 > 0").select(k.alias("episode")))
 
 
@@ -494,14 +495,14 @@ len(regexp_extract_all(regexp_replace(text, '[^a-zA-Z0-9 .,!?]', '', 'g'), '[a-z
     "normal_scores": "SELECT event_id, round(CASE WHEN event_id % 5 = 0 OR event_id % 7 = 0 OR event_id % 11 = 0 THEN 0 ELSE greatest(0, least(1, value / 20 - 1)) END, 6) AS score FROM events",
     "weighted_qualities": "SELECT p_partkey, round(0.25::DOUBLE * s + 0.3::DOUBLE * (1 - s) + 0.2::DOUBLE * s * s + 0.075::DOUBLE + 0.1::DOUBLE, 6) AS quality FROM (SELECT p_partkey, p_size / 50 AS s FROM part)",
     "compacted_texts": r"""
-WITH r AS (SELECT doc_id, regexp_replace(replace(replace(left(text, 400) || '  ' || chr(9) || ' x' || e'\n\n \n\n\ny', e'\r\n', e'\n'), e'\r', e'\n'), '[ \t]+', ' ', 'g') AS t FROM documents)
+WITH r AS (SELECT doc_id, regexp_replace(replace(replace(text || '  ' || chr(9) || ' x' || e'\n\n \n\n\ny', e'\r\n', e'\n'), e'\r', e'\n'), '[ \t]+', ' ', 'g') AS t FROM documents)
 SELECT doc_id, sha256(regexp_replace(regexp_replace(t, '\n(?:[ ]*\n){2,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g')) AS hash FROM r""",
     "listing_summaries": "SELECT c_custkey, left(trim(regexp_replace(c_name, '[0-9]{8,}', '[REDACTED_ID]') || ' mail [REDACTED_EMAIL] key [REDACTED_SECRET] at [REDACTED_IP] id [REDACTED_PHONE] ' || repeat('z', (c_custkey % 50)::INT)), 120) AS summary FROM customer",
     "conversion_parts": """
 WITH t AS (SELECT doc_id, (CASE WHEN doc_id % 2 = 0 THEN 4 ELSE 0 END + CASE WHEN doc_id % 3 = 0 THEN 4 ELSE 0 END + CASE WHEN doc_id % 5 = 0 THEN 4 ELSE 0 END + CASE WHEN doc_id % 7 = 0 THEN 4 ELSE 0 END + doc_id % 4 + 9) AS n, doc_id % 4 AS c FROM documents)
 SELECT doc_id, CASE WHEN c / n < 0.005 THEN 1.0 WHEN c / n < 0.01 THEN 0.8 WHEN c / n < 0.05 THEN 0.5 ELSE 0.0 END::DOUBLE AS clean,
 round(CASE WHEN doc_id % 5 = 0 THEN 0 ELSE 0.3::DOUBLE END + 0.2::DOUBLE + CASE WHEN doc_id % 7 = 0 THEN 0.2::DOUBLE ELSE 0.15::DOUBLE END + CASE WHEN doc_id % 2 = 0 THEN 0.15::DOUBLE ELSE 0 END + CASE WHEN doc_id % 3 = 0 THEN 0.15::DOUBLE ELSE 0 END, 6) AS syntax FROM t""",
-    "text_reviews": "SELECT doc_id, 1.0::DOUBLE - 0.25::DOUBLE * ((length(t) < 100)::INT + (length(t) = 0 OR len(regexp_extract_all(t, '[ \\n\\t\\r]')) / length(t) > 0.3)::INT) AS quality FROM (SELECT doc_id, left(text, 150) AS t FROM documents)",
+    "text_reviews": "SELECT doc_id, 1.0::DOUBLE - 0.25::DOUBLE * ((length(t) < 100)::INT + (length(t) = 0 OR len(regexp_extract_all(t, '[ \\n\\t\\r]')) / length(t) > 0.3)::INT) AS quality FROM (SELECT doc_id, text AS t FROM documents)",
     "evidence_lines": """
 WITH l AS (SELECT n_nationkey, n_name, n_name || CASE WHEN n_nationkey % 2 = 0 THEN ' (Country, Place)' ELSE '' END || CASE WHEN n_nationkey % 3 = 0 THEN '; a nation' ELSE '' END || '; ' || CASE WHEN n_nationkey % 4 > 0 THEN 'IN -> ' ELSE '' END || n_regionkey AS line FROM nation)
 SELECT n_nationkey, line, line || chr(10) || 'second' || chr(10) || 'third' AS merged, n_name || ',x,y,z' AS terms FROM l""",
@@ -534,14 +535,14 @@ n_nationkey % 4 IN (0, 3) AS inside, n_name AS decoded FROM nation""",
 UNION ALL SELECT c_custkey + 100000000, c_custkey % 10, 'file', c_custkey % 9 FROM customer WHERE (c_custkey % 6, c_custkey % 9) IN (SELECT (u, r) FROM a)""",
     "revoked_entries": f"WITH {_ADMINS} SELECT s_suppkey AS entry, s_suppkey % 10 AS user, 'file' AS kind, s_suppkey % 7 AS resource FROM supplier WHERE NOT (s_suppkey % 2 = 0 AND (s_suppkey % 6, s_suppkey % 7) IN (SELECT (u, r) FROM a))",
     "space_members": """
-WITH a AS (SELECT s_suppkey % 30 AS space, s_suppkey AS u FROM supplier WHERE s_suppkey < 60), m AS (SELECT n_nationkey AS n, (n_nationkey, n_nationkey) IN (SELECT (space, u) FROM a) AS re FROM nation)
+WITH a AS (SELECT s_suppkey % 30 AS space, s_suppkey AS u FROM supplier), m AS (SELECT n_nationkey AS n, (n_nationkey, n_nationkey) IN (SELECT (space, u) FROM a) AS re FROM nation)
 SELECT n AS space, n AS user, CASE WHEN re THEN 'editor' ELSE 'viewer' END AS role, CASE WHEN n % 4 = 0 THEN 'inactive' ELSE 'active' END AS status FROM m
 UNION ALL SELECT space, u, 'editor', CASE WHEN space = u AND space % 4 = 0 AND space < 25 THEN 'inactive' ELSE 'active' END FROM a WHERE NOT (space = u AND space < 25)""",
     "own_spaces": "SELECT c_custkey FROM customer JOIN nation ON n_nationkey = c_nationkey AND n_regionkey = c_custkey % 5",
     "changed_memories": "WITH d AS (SELECT l_partkey, sum(l_linenumber - 3) AS d FROM lineitem GROUP BY 1) SELECT p_partkey AS memory, greatest(1, least(10, p_size % 10 + 1 + coalesce(d, 0)))::INT AS importance FROM part LEFT JOIN d ON l_partkey = p_partkey",
     "archived_sessions": f"SELECT conv_id AS session, count(*) AS messages FROM conversations WHERE NOT (conv_id % 3 = 0 AND {_END} - INTERVAL (conv_id % 90) DAY < {_END} - INTERVAL 30 DAY) GROUP BY 1",
     "step_results": f"WITH {_STEPS} SELECT task, step, arg_max(result, (ts)) AS result FROM s GROUP BY 1, 2",
-    "steps_left": f"WITH {_STEPS} SELECT DISTINCT user_id % 40 AS task, event_type AS step FROM events WHERE (user_id % 40, event_type) NOT IN (SELECT (task, step) FROM s WHERE task < 20)",
+    "steps_left": f"WITH {_STEPS} SELECT DISTINCT user_id % 40 AS task, event_type AS step FROM events WHERE (user_id % 40, event_type) NOT IN (SELECT (task, step) FROM s)",
     "session_states": "SELECT user_id, event_type AS field, arg_max(value, (ts, event_id)) AS value FROM events GROUP BY 1, 2",
     "working_fields": f"SELECT user_id, event_type AS field, arg_max(value, ts) AS value FROM events GROUP BY 1, 2 HAVING floor(epoch_us(max(ts)) / 1e6) + 20 * 86400 > epoch({_END})",
     "session_expiry": "SELECT event_id, coalesce(epoch_us(ts) / 1e6 < lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) / 1e6 + 86400, false) AS alive FROM events",
@@ -550,7 +551,7 @@ WITH c AS (SELECT conv_id AS session, 't' || turn AS text, turn % 3 AS score, CA
 SELECT session, text, CASE WHEN l = 0 THEN 'short' ELSE 'long' END AS layer, row_number() OVER (PARTITION BY session ORDER BY l, score DESC, text)::INT AS place FROM c QUALIFY place <= 4""",
     "entity_search": "SELECT s_suppkey AS entity FROM supplier WHERE s_suppkey % 2 = 0",
     "episode_mentions": "SELECT s_nationkey::VARCHAR AS community, count(*) AS n FROM (SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem) JOIN orders ON o_orderkey = l_orderkey AND o_orderstatus = 'F' JOIN supplier ON s_suppkey = l_suppkey GROUP BY 1",
-    "related_orders": "SELECT o_orderkey AS src, o_orderkey * 7 % 5000 AS dst, round(o_totalprice % 1, 4) AS score FROM orders WHERE o_orderkey % 3 > 0 AND o_orderkey * 7 % 5000 IN (SELECT o_orderkey FROM orders WHERE o_orderkey % 3 > 0)",
+    "related_orders": "WITH n AS (SELECT max(o_orderkey) + 1 AS keys FROM orders) SELECT o_orderkey AS src, o_orderkey * 7 % keys AS dst, round(o_totalprice % 1, 4) AS score FROM orders, n WHERE o_orderkey % 3 > 0 AND o_orderkey * 7 % keys IN (SELECT o_orderkey FROM orders WHERE o_orderkey % 3 > 0)",
     "moved_episodes": "SELECT c_custkey AS episode, CASE WHEN s_suppkey IS NULL THEN c_nationkey ELSE 99 END::INT AS community FROM customer LEFT JOIN supplier ON s_suppkey = c_custkey",
     "merged_links": "SELECT s_suppkey AS src, s_nationkey AS dst, CASE WHEN s_suppkey % 3 = 0 THEN 'new' ELSE 'old' END AS fact, CASE WHEN s_suppkey % 2 = 0 THEN 1 ELSE 2 END::INT AS created_at FROM supplier WHERE s_suppkey % 2 = 0 OR s_suppkey % 3 = 0",
     "overridden_nodes": "SELECT n_nationkey AS document, CASE WHEN n_nationkey % 2 = 0 THEN 'own' ELSE n_name END AS label, 'd' AS description, CASE WHEN n_nationkey % 4 = 0 THEN 'x' ELSE 't' END AS tags FROM nation",

@@ -29,8 +29,9 @@ def _marked(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def conversion_grades(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text, score = F.col("text"), grading.overall_score(F.col("text"))
-    return _marked(spark, sf_dir).select("doc_id", F.round(grading.content_score(text), 6).alias("content"), F.round(grading.structure_score(text), 6).alias("structure"), F.round(score, 6).alias("score"), grading.grade(score).alias("grade"))
+    text = F.col("text")
+    scores = _marked(spark, sf_dir).select("doc_id", F.round(grading.content_score(text), 6).alias("content"), F.round(grading.structure_score(text), 6).alias("structure"), grading.overall_score(text).alias("score"))
+    return scores.select("doc_id", "content", "structure", F.round("score", 6).alias("score"), grading.grade(F.col("score")).alias("grade"))
 
 
 def review_completeness(spark: SparkSession, sf_dir: str) -> DataFrame:

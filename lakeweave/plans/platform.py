@@ -30,7 +30,7 @@ def permission_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def derivative_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     o, p = table(spark, sf_dir, "orders"), table(spark, sf_dir, "part")
     wanted = o.select((F.col("o_custkey") % 100).alias("user"), (F.col("o_orderkey") % 50).alias("asset")).distinct()
-    assets = p.where("p_partkey < 50").select(F.col("p_partkey").alias("asset"), (F.col("p_partkey") % 100).alias("owner"))
+    assets = p.select(F.col("p_partkey").alias("asset"), (F.col("p_partkey") % 100).alias("owner"))
     rights = F.when(F.col("o_orderkey") % 3 == 0, F.array(F.lit("view"), F.lit("derivative_right"))).otherwise(F.array(F.lit("view")))
     grants = o.select((F.col("o_custkey") % 100).alias("user"), (F.col("o_orderkey") % 50).alias("asset"), F.when(F.col("o_orderstatus") == "O", "active").otherwise("closed").alias("status"), F.col("o_orderdate").alias("valid_from"), (F.col("o_orderdate") + F.expr("INTERVAL 2 YEARS")).alias("valid_until"), rights.alias("rights"))
     return access.derivative_violations(wanted, assets, grants, "2000-01-01 00:00:00")
@@ -124,10 +124,10 @@ def query_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def entity_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers as documents of their nation; nations stand in a ring; two are asked for."""
+    """Customers as documents of their nation; nations stand in a ring; those of a region are asked for."""
     n = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("a"), ((F.col("n_nationkey") + 1) % 25).alias("b"))
     links = n.select(F.col("a").alias("src"), F.col("b").alias("dst")).union(n.select("b", "a"))
-    asked = table(spark, sf_dir, "nation").where("n_nationkey IN (3, 7)").select(F.col("n_nationkey").alias("entity"))
+    asked = table(spark, sf_dir, "nation").where("n_regionkey = 1").select(F.col("n_nationkey").alias("entity"))
     docs = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("document"), F.col("c_nationkey").alias("entity"))
     return communities.by_entities(docs, links, asked, 2).select("document", "hop", F.round("score", 6).alias("score"))
 
@@ -269,7 +269,7 @@ EXISTS (SELECT 1 FROM m WHERE m.space = r.space AND m.u = r.u AND (allp OR role
 EXISTS (SELECT 1 FROM e WHERE pub AND e.res = r.res AND list_contains(ps, p)) AS c FROM r)
 SELECT request, a OR b OR c AS allowed, CASE WHEN a THEN 'entry' WHEN b THEN 'role' WHEN c THEN 'public' END AS by FROM x""",
     "derivative_violations": """
-SELECT DISTINCT o_custkey % 100 AS user, o_orderkey % 50 AS asset FROM orders w WHERE NOT EXISTS (SELECT 1 FROM part WHERE p_partkey < 50 AND p_partkey = w.o_orderkey % 50 AND p_partkey % 100 = w.o_custkey % 100)
+SELECT DISTINCT o_custkey % 100 AS user, o_orderkey % 50 AS asset FROM orders w WHERE NOT EXISTS (SELECT 1 FROM part WHERE p_partkey = w.o_orderkey % 50 AND p_partkey % 100 = w.o_custkey % 100)
 AND NOT EXISTS (SELECT 1 FROM orders g WHERE g.o_custkey % 100 = w.o_custkey % 100 AND g.o_orderkey % 50 = w.o_orderkey % 50 AND g.o_orderstatus = 'O' AND g.o_orderkey % 3 = 0
 AND g.o_orderdate <= TIMESTAMP '2000-01-01' AND g.o_orderdate + INTERVAL 2 YEAR >= TIMESTAMP '2000-01-01')""",
     "transfer_rows": """
@@ -291,7 +291,7 @@ WITH l AS (SELECT DISTINCT 'p' || l_partkey AS s, 's' || l_suppkey AS d, l_retur
     "query_entities": """
 SELECT c_custkey AS query, b.n_nationkey AS entity FROM customer JOIN nation a ON c_nationkey = a.n_nationkey JOIN nation b ON contains(' offers for ' || lower(c_mktsegment) || ' in ' || regexp_replace(lower(a.n_name), '[^a-z0-9]+', ' ', 'g') || ' ', ' ' || regexp_replace(lower(b.n_name), '[^a-z0-9]+', ' ', 'g') || ' ')""",
     "entity_documents": """
-WITH d AS (SELECT c_custkey AS document, least(abs(c_nationkey - 3), 25 - abs(c_nationkey - 3), abs(c_nationkey - 7), 25 - abs(c_nationkey - 7)) AS hop FROM customer)
+WITH d AS (SELECT c_custkey AS document, min(least(abs(c_nationkey - n_nationkey), 25 - abs(c_nationkey - n_nationkey))) AS hop FROM customer, nation WHERE n_regionkey = 1 GROUP BY 1)
 SELECT document, hop, round(CASE WHEN hop = 0 THEN 1.0::DOUBLE ELSE 1.0::DOUBLE / (hop + 1) END, 6) AS score FROM d WHERE hop <= 2""",
     "blended_scores": "SELECT p_partkey, round(0.7::DOUBLE * (p_size / 50.0::DOUBLE) + CASE WHEN p_partkey % 3 = 0 THEN 0.3::DOUBLE * (p_partkey % 10 / 10.0::DOUBLE) ELSE 0 END, 6) AS score FROM part WHERE p_partkey % 2 = 0",
     "event_graph": "SELECT src, dst, count(*) AS n FROM (SELECT event_type AS src, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS dst FROM events) GROUP BY 1, 2",

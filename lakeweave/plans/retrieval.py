@@ -121,13 +121,13 @@ def graph_hop_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 def indexed_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten nearest found by the inverted file, with exact scores; most of them, not all (see ``indexed_recall``)."""
     e = table(spark, sf_dir, "embeddings")
-    return vector_index.search(vector_index.build(e), _asked(e), 10).select("query_id", "vec_id", "rank", F.round("score", 6).alias("score"))
+    return vector_index.search(vector_index.build(e, target=0.99), _asked(e), 10).select("query_id", "vec_id", "rank", F.round("score", 6).alias("score"))
 
 
 def indexed_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vectors filed, and whether the mean recall at ten of all queries, against the exact search, is 0.95 or more."""
     e = table(spark, sf_dir, "embeddings")
-    index = vector_index.build(e)
+    index = vector_index.build(e, target=0.99)
     filed = index.blocks.agg((F.sum("n") / index.copies).cast("long").alias("filed"))
     recall = vector_index.recall(vector_index.search(index, _asked(e), 10), _nearest(spark, sf_dir, 10))
     return recall.agg(F.count(F.lit(1)).alias("queries"), (F.avg("recall") >= 0.95).alias("reached")).join(filed)
