@@ -2,15 +2,18 @@
 
 A page becomes text blocks, each under its root-to-leaf path of block elements. For each path of a page:
 
-1. Text length (without link text) and punctuation are summed over its blocks; the two sums, one of them divided by the
-   number of blocks, are fused by their product. A path of many long, punctuated blocks gets a high ratio, a menu none.
-2. Ratios are smoothed over the neighbouring paths in page order. A path takes from those in the same container element;
-   what lies further out counts less by ``OUTWARD`` a level, and nothing is taken across the element that holds all blocks.
-   So headings and lists rise with the paragraphs around them, and a footer doesn't.
-3. The smoothed ratio is multiplied by the share of text outside links, squared, and by a prior weight of the path's
-   names, roles and classes (menus, headers, footers, sidebars, notices, adverts, forms, reader comments: less; article
-   and main: more). The prior of an element fades when it holds most of the page's text.
-4. Paths whose value is at least ``threshold`` of the page's mean (over characters, by prior) are content.
+1. Text length (without link text) and punctuation are summed over its blocks. The length, taken over the square root of
+   the number of containers that repeat the path (like-shaped siblings, such as comments), and the punctuation of a block
+   are fused by their product. A path of many long, punctuated blocks gets a high ratio, a menu none.
+2. Ratios are smoothed over the neighbouring paths in page order. A path takes from those in the same container
+   element; what lies further out counts less by ``OUTWARD`` a level, and nothing is taken across the element
+   that holds all blocks. So headings and lists rise with the paragraphs around them, and a footer doesn't.
+3. The smoothed ratio is multiplied by the share of text outside links, squared.
+4. Paths whose value, times a prior weight, is at least ``threshold`` of the page's mean value (over characters, low priors
+   counting less) are content. The prior is ``SELDOM`` under elements, roles or whole class names of menus, headers, footers, sidebars, notices,
+   adverts, forms or comments, ``MOSTLY`` in an article or main element, else 1. As ``SELDOM`` isn't below the threshold, a
+   path at the page's mean passes whatever its names; only outside the article of a page that has one is it held to
+   ``OUTSIDE`` times as much. The prior of an element fades when it holds most of the page's text.
 
 Elements that no reader sees (scripts, styles, hidden ones) have no text. Null or empty HTML gives an empty text. Every
 row of the input gives one row, repeated rows too; an empty table gives none; columns not named in ``keep`` are dropped.
@@ -38,21 +41,27 @@ CLOSES_P = frozenset(
 )
 SAME_LEVEL = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 SCOPES = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table", "tbody", "thead", "tfoot"), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select",)}
-#: Elements, roles, and words of classes and ids that lessen the prior of what they hold.
+#: Elements, roles, and whole classes and ids that lessen or raise the prior of what they hold.
 SELDOM_TEXT = frozenset("nav header footer aside form menu select button dialog datalist".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar toolbar alertdialog".split())
-MARKS = frozenset(
-    "ad ads advert adverts advertisement advertising adbox sponsor sponsored promo promotion banner cookie cookies consent notice notices gdpr popup modal overlay"
-    " sidebar side aside rail widget menu nav navbar navigation breadcrumb breadcrumbs header masthead topbar footer foot copyright legal comment comments"
-    " disqus reply replies respond share sharing social related recommended newsletter subscribe subscription signup login pagination pager toolbar skip form".split()
+MARKS = re.compile(
+    r"(?:(?:site|page|global|top|bottom|left|right|post|article|entry|user|reader)[-_])?"
+    r"(?:(?:cookies?|privacy|consent|gdpr)[-_][a-z]+|ad|ads|adverts?|advertisement|advertising|adbox|sponsor|sponsored|promo|promotion|cookies?|consent|gdpr|notices?|overlay|side|aside|rail|masthead|topbar|foot|copyright|legal"
+    r"|comments?|disqus|repl(?:y|ies)|respond|shar(?:e|ing)|social|related|recommended|subscribe|subscription|signup|login|pager|skip)"
+    r"(?:[-_](?:list|area|section|block|box|bar|buttons|container|wrapper|wrap|inner|links|thread|title))?"
+    r"|(?:[a-z0-9]+[-_])?(?:nav|navbar|navigation|menu|sidebar|footer|form|banner|modal|popup|widget|breadcrumbs?|pagination|toolbar|newsletter|comments)(?:[-_](?:list|area|inner|container|wrapper|wrap))?"
 )
+HEADERS = re.compile(r"(?:[a-z0-9]+[-_])?header")
 MAIN_TEXT = frozenset("article main articlebody maincontent".split())
+MAIN_NAMES = frozenset("content maincontent main-content article article-body post-content post-body entry-content story story-body".split())
 #: Elements without text of their own for a reader.
 UNSEEN = frozenset("head template svg canvas object audio video math".split())
 #: Elements that hold text, or parts of lists and tables: no containers of the smoothing.
 TEXT_LEVEL = frozenset("p h1 h2 h3 h4 h5 h6 hgroup ul ol li dl dt dd table thead tbody tfoot tr td th caption blockquote pre figure figcaption address details summary center".split())
 #: Prior weights of an element that seldom holds main text, and of one that mostly does.
-SELDOM, MOSTLY = 0.002, 3.0
+SELDOM, MOSTLY = 0.3, 1.5
+#: What a low prior is multiplied by outside the articles (or main elements) of a page that has any.
+OUTSIDE = 0.01
 #: Weights of the runs at each distance.
 KERNEL = (1.0, 0.95, 0.8, 0.61, 0.41)
 OUTWARD = 0.6
@@ -87,15 +96,18 @@ class _Element:
 def _open(name: str, raw: str, parent: _Element | None, priors: list[tuple[float, str]]) -> _Element:
     found = {m[1].lower(): entities.unescape(m[2] or m[3] or m[4] or "") for m in _ATTRIBUTE.finditer(raw)} if raw.strip(" /") else {}
     role = found.get("role", "").lower()
-    parts = [p for p in _NAME_PARTS.split(f"{found.get('class', '')} {found.get('id', '')}".lower()) if p]
+    names = f"{found.get('class', '')} {found.get('id', '')}".lower().split()
+    parts = [p for n in names for p in _NAME_PARTS.split(n) if p]
     seen = name not in UNSEEN and "hidden" not in found and found.get("aria-hidden") != "true" and "display:none" not in found.get("style", "").replace(" ", "").lower()
-    prior, in_main = 1.0, parent is not None and parent.in_main
+    prior, kind, in_main = 1.0, name, parent is not None and parent.in_main
     if name not in ("html", "body", *INLINE):
         if name in ("article", "main") or "".join(found.get("itemprop", "").lower().split()) in MAIN_TEXT or role == "main":
             prior = MOSTLY
-        elif name != "header" and name in SELDOM_TEXT or role in ROLES or any(p in MARKS and p != "header" for p in parts) or (not in_main and "header" in (name, *parts)):
+        elif name != "header" and name in SELDOM_TEXT or role in ROLES or any(MARKS.fullmatch(n) for n in names) or (not in_main and (name == "header" or any(HEADERS.fullmatch(n) for n in names))):
             prior = SELDOM
-    priors.append((prior, name))
+        elif any(n in MAIN_NAMES for n in names):
+            prior, kind = MOSTLY, "main"
+    priors.append((prior, kind))
     return _Element(name, ".".join([name, *parts]), len(priors) - 1, seen and (parent is None or parent.seen), in_main or prior > 1)
 
 
@@ -191,33 +203,50 @@ def blocks(page: str) -> tuple[list[Block], list[tuple[float, str]]]:
 
 
 def _prior_weights(found: list[Block], priors: list[tuple[float, str]]) -> list[float]:
-    """The prior of each block: the least and the greatest of its elements. A low one fades where its element holds over
-    three quarters of the text of the page's articles (of its main elements, of the page, where there are none); comments
-    that are articles themselves don't count, as they lie in an element of low prior."""
-    kinds = [{priors[e][1] for e in b.inside if priors[e][0] > 1} for b in found]
-    clean = [all(priors[e][0] >= 1 for e in b.inside) for b in found]
-    choices = [[k in x and (c or not pure) for x, c in zip(kinds, clean, strict=True)] for pure in (True, False) for k in ("article", "main")]
-    anchored = next((c for c in choices if any(c)), [True] * len(found))
+    """The prior of each block: the least of its elements if one is low, else the greatest. A low one fades where its
+    element holds over three quarters of the text of the page's articles (of its main elements, of the page, where there are
+    none), and is lessened by ``OUTSIDE`` where it isn't within one of them. Articles within an element of low prior, such
+    as comments, don't count unless there are no others."""
+
+    def within(b: Block, kind: str, pure: bool) -> bool:
+        for e in b.inside:
+            if priors[e] == (MOSTLY, kind):
+                return True
+            if pure and priors[e][0] < 1:
+                return False
+        return False
+
+    choices = ([within(b, kind, pure) for b in found] for pure in (True, False) for kind in ("article", "main"))
+    named = next((c for c in choices if any(c)), None)
     held: Counter[int] = Counter()
     total = 0
-    for b, counts in zip(found, anchored, strict=True):
-        if counts:
+    for k, b in enumerate(found):
+        if named is None or named[k]:
             total += len(b.text) - b.link_chars
             for e in b.inside:
                 held[e] += len(b.text) - b.link_chars
     weight = [p ** min(1.0, 4 * (1 - held[e] / max(total, 1))) if p < 1 else p for e, (p, _) in enumerate(priors)]
-    return [min([1.0, *(weight[e] for e in b.inside)]) * max([1.0, *(weight[e] for e in b.inside)]) for b in found]
+    out = []
+    for k, b in enumerate(found):
+        low = min([1.0, *(weight[e] for e in b.inside)])
+        if low < 1:
+            out.append(low if named is None or named[k] else low * OUTSIDE)
+        else:
+            out.append(max([1.0, *(weight[e] for e in b.inside)]))
+    return out
 
 
 def path_ratios(found: list[Block]) -> dict[tuple[str, ...], tuple[float, float]]:
     """Of each path: the fused ratio of its text length and punctuation, and its share of text outside links."""
     chars, links, marks, number = Counter(), Counter(), Counter(), Counter()
+    boxes: dict[tuple[str, ...], set[int]] = defaultdict(set)
     for b in found:
+        boxes[b.path].add(b.containers[-1] if b.containers else -1)
         chars[b.path] += len(b.text)
         links[b.path] += b.link_chars
         marks[b.path] += len(_PUNCTUATION.findall(b.text))
         number[b.path] += 1
-    return {p: ((chars[p] - links[p]) * (1 + marks[p] / number[p]), 1 - links[p] / chars[p]) for p in chars}
+    return {p: ((chars[p] - links[p]) / len(boxes[p]) ** 0.5 * (1 + marks[p] / number[p]), 1 - links[p] / chars[p]) for p in chars}
 
 
 def _smoothed(found: list[Block], ratios: dict[tuple[str, ...], tuple[float, float]]) -> dict[tuple[str, ...], float]:
@@ -250,11 +279,12 @@ def content_blocks(found: list[Block], priors: list[tuple[float, str]], threshol
     if not found:
         return []
     ratios = path_ratios(found)
-    smooth, weights = _smoothed(found, ratios), _prior_weights(found, priors)
-    value = [smooth[b.path] * ratios[b.path][1] ** 2 * w for b, w in zip(found, weights, strict=True)]
+    smooth = _smoothed(found, ratios)
+    weights = _prior_weights(found, priors)
+    value = [smooth[b.path] * ratios[b.path][1] ** 2 for b in found]
     share = [len(b.text) * min(1.0, w) for b, w in zip(found, weights, strict=True)]
     mean = sum(v * s for v, s in zip(value, share, strict=True)) / sum(share)
-    return [v > 0 and v >= threshold * mean for v in value]
+    return [v > 0 and v * w >= threshold * mean for v, w in zip(value, weights, strict=True)]
 
 
 def main_text(page: str | None) -> str:

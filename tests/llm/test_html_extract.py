@@ -92,3 +92,35 @@ def test_empty_tables_clashing_names_and_repeated_rows(spark):
     got = sorted(tuple(r) for r in html_extract.extract(df).select("url", "text").na.fill("-").collect())
     assert got == [("-", ""), ("u", "Some text, here."), ("u", "Some text, here."), ("v", "")]
     assert html_extract.extract(df.where("false")).count() == 0
+
+
+@pytest.mark.parametrize("name", "share-price side-effects comment-on-law form-and-function ad-hoc legal-basis notice-period story".split())
+def test_classes_that_only_hold_a_mark_lose_no_paragraph(name):
+    page = f'<body><nav><a href=x>Home</a></nav><article><h1>Title</h1><p>{NOTE}</p><div class="{name}"><p>{LONG}</p></div><p>{NOTE}</p></article><footer>All rights.</footer></body>'
+    assert html_extract.main_text(page).split("\n") == ["Title", NOTE.strip(), LONG.strip(), NOTE.strip()]
+
+
+def test_ratios_decide_where_no_article_is_named(pages, monkeypatch):
+    unnamed = [re.sub(r"<(/?)article\b", r"<\1div", p) for p in pages]
+    alone = sum(html_extract.main_text(p).split("\n") == article(q) for p, q in zip(unnamed, pages, strict=True))
+    assert alone >= 0.95 * len(pages)
+    monkeypatch.setattr(html_extract, "path_ratios", lambda found: {b.path: (1.0, 1.0) for b in found})
+    assert sum(html_extract.main_text(p).split("\n") == article(q) for p, q in zip(unnamed, pages, strict=True)) < 0.05 * len(pages)
+
+
+def test_fusion_smoothing_and_threshold_by_hand():
+    """Two containers and a footer: the runs' ratios by definition, one after another."""
+    page = f"<body><div><h1>Head</h1><p>{LONG}</p></div><div><p>{NOTE}</p><ul><li>one</ul></div><footer>Legal, all of it.</footer></body>"
+    found, priors = html_extract.blocks(page)
+    chars, marks = [len(b.text) for b in found], [0, 4, 3, 0, 2]
+    assert [b.path[-1] for b in found] == ["h1", "p", "p", "li", "footer"]
+    of_p = (chars[1] + chars[2]) / 2**0.5 * (1 + (marks[1] + marks[2]) / 2)  # one path, in two containers
+    ratio = [chars[0], of_p, of_p, chars[3], chars[4] * 3]
+    kernel, box = html_extract.KERNEL, [0, 0, 1, 1, 2]
+    smooth = [sum(kernel[abs(i - j)] * ratio[j] for j in range(5) if box[i] == box[j]) / sum(kernel[abs(i - j)] for j in range(5) if box[i] == box[j]) for i in range(5)]
+    smooth[1] = smooth[2] = max(smooth[1], smooth[2])
+    got = html_extract._smoothed(found, html_extract.path_ratios(found))
+    assert [got[b.path] for b in found] == pytest.approx(smooth)
+    prior = [1, 1, 1, 1, 0.3]
+    mean = sum(s * n * p for s, n, p in zip(smooth, chars, prior, strict=True)) / sum(n * p for n, p in zip(chars, prior, strict=True))
+    assert html_extract.content_blocks(found, priors) == [s * p >= 0.25 * mean for s, p in zip(smooth, prior, strict=True)]
