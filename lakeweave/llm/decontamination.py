@@ -11,12 +11,12 @@ it has an anchor word, whatever follows. In every second repetition a window is
 end, in steps of the greatest power of two; in the others it has ``SHORT`` steps, for items with many edits on one side.
 Repetitions are added until, on edits drawn anew each time, the lower bound of recall reaches the target: edits at the
 full rate, of all kinds, half of the trials over the whole item and a quarter each in its first and its last half. If
-``most`` repetitions don't suffice, the items that were missed are held against every text as a whole, exactly. Each
-candidate is verified by exact word edit distance, so no stretch beyond the limit is reported.
+``most`` repetitions don't suffice, every item is tried in each part; those ever missed are held against every text as a
+whole, exactly, and more of them until fresh trials on the others reach the target. Each candidate is verified by exact word edit distance, so no stretch beyond the limit is reported.
 
 The benchmark is read in blocks of ``ITEMS`` items, each held against all documents. Null or empty texts and items match
 nothing; repeated rows are each reported, and each kept or dropped by its own text; items with the same id are separate
-items; an empty benchmark leaves every document clean. Case is folded for A-Z.
+items, and one without an id is an item too; an empty benchmark leaves every document clean. Case is folded for A-Z.
 """
 
 from __future__ import annotations
@@ -150,20 +150,50 @@ def _edited(words: np.ndarray, edits: int, part: int, rng: np.random.Generator)
     return np.array(out, np.uint64)
 
 
-def _missed(index: Index, trials: int, rng: np.random.Generator) -> list[int]:
-    """The items of those trials in which an edited copy of an item between other words isn't a candidate."""
-    picked = rng.integers(len(index.items), size=trials)
-    noise = lambda: rng.integers(1 << 63, size=20, dtype=np.uint64)
-    copies = [np.concatenate((noise(), _edited(index.items[k], index.limits[k], (0, 0, 1, 2)[t % 4], rng), noise())) for t, k in enumerate(picked.tolist())]
-    sizes = np.array([len(c) for c in copies])
-    item, place = _candidates(index, np.concatenate(copies), sizes)
-    text = np.searchsorted(np.cumsum(sizes), np.clip(place, 0, None), side="right")
-    met = {t for t, k in zip(text.tolist(), item.tolist(), strict=True) if t < trials and k == picked[t]}
-    return [int(k) for t, k in enumerate(picked.tolist()) if t not in met]
+#: Parts of an item that a trial edits: the whole, its first and its last half.
+PARTS = (0, 0, 1, 2)
 
 
-def build_index(ids: list[int], items: list[np.ndarray], rate: float, recall: float, most: int = 32, trials: int = 4000) -> Index:
-    """Adds repetitions, two at a time, until the lower 95 % bound of recall on fresh trials reaches ``recall``."""
+def _missed(index: Index, picked: np.ndarray, parts: np.ndarray, rng: np.random.Generator) -> list[int]:
+    """The items of those trials (an item and a part each) in which an edited copy of the item between other words isn't a
+    candidate."""
+    noise = lambda: rng.integers(1 << 63, size=20, dtype=np.uint64)
+    out = []
+    for low in range(0, len(picked), 4000):
+        some = picked[low : low + 4000].tolist()
+        copies = [np.concatenate((noise(), _edited(index.items[k], index.limits[k], part, rng), noise())) for k, part in zip(some, parts[low : low + 4000].tolist(), strict=True)]
+        sizes = np.array([len(c) for c in copies])
+        item, place = _candidates(index, np.concatenate(copies), sizes)
+        text = np.searchsorted(np.cumsum(sizes), np.clip(place, 0, None), side="right")
+        met = {t for t, k in zip(text.tolist(), item.tolist(), strict=True) if t < len(some) and k == some[t]}
+        out += [k for t, k in enumerate(some) if t not in met]
+    return out
+
+
+def _reached(missed: int, trials: int, recall: float) -> bool:
+    """Whether the lower 95 % bound of recall is at the target."""
+    met = 1 - missed / trials
+    return met - 1.65 * math.sqrt(max(met * (1 - met), 1 / trials) / trials) >= recall
+
+
+def _hold_the_rest(index: Index, recall: float, trials: int, each: int, rng: np.random.Generator) -> None:
+    """Puts among the items held exactly: every item missed in any of ``each`` trials on each part, and what fresh trials
+    on the others miss, until these reach the target or none are left."""
+    every = np.repeat(np.arange(len(index.items)), 3 * each)
+    held = set(_missed(index, every, np.tile([0, 1, 2], len(index.items) * each), rng))
+    while len(held) < len(index.items):
+        rest = np.array([k for k in range(len(index.items)) if k not in held])
+        missed = _missed(index, rng.choice(rest, trials), np.resize(PARTS, trials), rng)
+        held |= set(missed)
+        if _reached(len(missed), trials, recall):
+            break
+        if not missed:  # a target that so many trials can't show
+            held = set(range(len(index.items)))
+    index.scanned = sorted(held)
+
+
+def build_index(ids: list[int | None], items: list[np.ndarray], rate: float, recall: float, most: int = 32, trials: int = 4000, each: int = 12) -> Index:
+    """Adds repetitions, two at a time, until fresh trials reach ``recall``; beyond ``most`` the rest is held exactly."""
     where, limits = _anchors(items), [math.floor(rate * len(i)) for i in items]
     anchor_words = np.array([items[k][a] for k, a in where.tolist()], np.uint64)
     words = np.unique(anchor_words)
@@ -180,12 +210,11 @@ def build_index(ids: list[int], items: list[np.ndarray], rate: float, recall: fl
         index.keys, index.entries = np.concatenate(keys), np.concatenate(entries)
         order = np.argsort(index.keys, kind="stable")
         index.keys, index.entries = index.keys[order], index.entries[order]
-        missed = _missed(index, trials, rng)
-        met = 1 - len(missed) / trials
-        if met - 1.65 * math.sqrt(max(met * (1 - met), 1 / trials) / trials) >= recall:
+        missed = _missed(index, rng.integers(len(items), size=trials), np.resize(PARTS, trials), rng)
+        if _reached(len(missed), trials, recall):
             return index
         if len(index.sizes) >= most:
-            index.scanned = sorted(set(missed))
+            _hold_the_rest(index, recall, trials, each, rng)
             return index
 
 
@@ -261,7 +290,7 @@ def matches(index: Index, texts: list[bytes | None]) -> list[tuple[int, int, int
 def _indexes(benchmark: DataFrame, rate: float, recall: float):
     """An index of each block of items."""
     ids, items = [], []
-    for row in benchmark.where("item_id IS NOT NULL AND text IS NOT NULL").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).toLocalIterator():
+    for row in benchmark.where("text IS NOT NULL").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).toLocalIterator():
         words = tokens([row["text"].encode()])[1][:-1]
         if len(words):
             ids.append(row["item_id"])

@@ -435,6 +435,25 @@ def test_items_missed_by_the_index_are_held_exactly(spark):
     assert got == want
 
 
+def test_every_item_is_tried_where_repetitions_do_not_suffice():
+    """Short items of few words at a high rate, two repetitions: what the index misses is held exactly, all of it."""
+    rng = np.random.default_rng(5)
+    items = [rng.integers(1, 8, size=10).astype(np.uint64) if k % 2 else rng.integers(1 << 60, size=30, dtype=np.uint64) for k in range(60)]
+    index = decontamination.build_index(list(range(60)), items, 0.4, recall=0.99, most=2, trials=600)
+    assert len(index.sizes) == 2 and 0 < len(index.scanned)
+    picked, fresh = np.repeat(np.arange(60), 30), np.random.default_rng(77)
+    missed = decontamination._missed(index, picked, np.resize((0, 1, 2), len(picked)), fresh)
+    unheld = [k for k in missed if k not in set(index.scanned)]
+    assert len(missed) > 0.02 * len(picked) and len(unheld) <= 0.01 * len(picked)
+
+
+def test_items_without_an_id_clean_too(spark):
+    docs = documents(spark, ["say one two three four five six seven now", "clean text of other words here"])
+    bench = spark.createDataFrame([(None, "one two three four five six seven")], "item_id long, text string")
+    assert [r["doc_id"] for r in decontamination.clean_documents(docs, bench).collect()] == [1]
+    assert [tuple(r)[:3] for r in decontamination.contaminated(docs, bench).collect()] == [(0, None, 0)]
+
+
 def test_rows_are_kept_by_their_own_text(spark):
     bench = spark.createDataFrame([(1, "one two three four five six seven")], "item_id long, text string")
     rows = [(1, "say one two three four five six seven now", "a"), (1, "nothing of it", "b"), (None, "one two three four five six seven", "c"), (None, "else", "d"), (2, None, "e")]
