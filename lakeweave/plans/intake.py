@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import content_hash
-from ..operators import features, ingest, records
+from ..operators import features, ingest, pdf, records
 from ..sources.tables import table
 
 
@@ -49,6 +49,32 @@ def ingested_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("path", "method", "hash", "n_chars", "status", (F.col("chunks") > 0).alias("chunked"))
 
 
+def pdf_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents set in PDF files, twelve words a line and fifty lines a page, and read back: pages, words, and a hash of all
+    characters but blanks."""
+    cut = lambda xs, n, make: F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.size(xs) / n) - 1, F.lit(0)).cast("int")), lambda k: make(F.slice(xs, k * n + 1, F.lit(n))))
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.array_remove(F.split(F.coalesce("text", F.lit("")), "[\\x20\\x09-\\x0D]+"), "").alias("words"))
+    lines = docs.select("doc_id", cut(F.col("words"), 12, lambda x: F.array_join(x, " ")).alias("lines"))
+    page = lambda x: F.transform(x, lambda t, k: F.struct(F.lit(40.0).alias("x"), (800.0 - 14 * k).alias("y"), t.alias("text")))
+    files = pdf.made_files(lines.select("doc_id", cut(F.col("lines"), 50, page).alias("placed")), "doc_id")
+    read = pdf.read_files(files, "doc_id")
+    return read.select("doc_id", F.size("pages").alias("pages"), F.sha2(F.regexp_replace(F.array_join("pages", ""), "[\\x20\\x09-\\x0D]", ""), 256).alias("hash"), "error")
+
+
+def pdf_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Eight orders to a file, as a table under its caption, read back by the words' places."""
+    k = F.col("o_orderkey")
+    cells = F.array(k.cast("string"), F.col("o_orderstatus"), F.col("o_totalprice").cast("decimal(15,2)").cast("string"))
+    o = table(spark, sf_dir, "orders").select(F.floor(k / 8).alias("file"), F.struct(k.alias("k"), cells.alias("cells")).alias("row"))
+    rows = o.groupBy("file").agg(F.array_sort(F.collect_list("row")).alias("rows"))
+    set_at = lambda y, cs: F.transform(cs, lambda t, i: F.struct((50.0 + 150 * i).alias("x"), y.alias("y"), t.alias("text")))
+    head = F.concat(F.array(F.struct(F.lit(50.0).alias("x"), F.lit(780.0).alias("y"), F.concat(F.lit("Table 1: Orders from "), (F.col("file") * 8).cast("string")).alias("text"))), set_at(F.lit(760.0), F.array(F.lit("Order"), F.lit("State"), F.lit("Total price"))))
+    body = F.flatten(F.transform("rows", lambda r, i: set_at(745.0 - 15 * i, r["cells"])))
+    read = pdf.read_files(pdf.made_files(rows.select("file", F.array(F.concat(head, body)).alias("placed")), "file"), "file")
+    t = read.select("file", F.explode("tables").alias("t"))
+    return t.select("file", "t.caption", F.array_join(F.transform("t.cells", lambda r: F.array_join(r, "|")), ";").alias("cells"))
+
+
 def replaced_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.lit("old").alias("state"))
     new = c.where("conv_id % 3 = 0 AND turn < 3").withColumn("state", F.lit("new"))
@@ -121,7 +147,7 @@ def model_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    upload_checks, upload_rows, file_requests, ingested_documents, replaced_chunks, stored_state, job_documents, next_steps, appended_log,
+    pdf_texts, pdf_tables, upload_checks, upload_rows, file_requests, ingested_documents, replaced_chunks, stored_state, job_documents, next_steps, appended_log,
     collated_graphs, asked_vectors, node_values, link_training, model_candidates,
 )}
 
@@ -129,6 +155,10 @@ _UPLOADS = """u AS (SELECT c_custkey AS k, CASE WHEN c_custkey % 11 = 0 THEN ''
 c AS (SELECT k, CASE WHEN k % 11 = 0 OR k % 13 = 0 THEN 'name' WHEN k % 5 IN (2, 3) THEN 'suffix' WHEN size <= 0 OR size > 524288000 THEN 'size' END AS problem FROM u)"""
 _TEXT = r"regexp_replace(regexp_replace(regexp_replace(replace(replace(text, e'\r\n', e'\n'), e'\r', e'\n'), '(?m)[ \t]+$', '', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g')"
 ORACLE_SQL = {
+    "pdf_texts": r"""WITH w AS (SELECT doc_id, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS n, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS t FROM documents)
+SELECT doc_id, greatest(1, ceil(ceil(n / 12) / 50))::INT AS pages, sha256(t) AS hash, NULL::VARCHAR AS error FROM w""",
+    "pdf_tables": """WITH r AS (SELECT o_orderkey // 8 AS file, string_agg(o_orderkey || '|' || o_orderstatus || '|' || o_totalprice::DECIMAL(15, 2), ';' ORDER BY o_orderkey) AS rows FROM orders GROUP BY 1)
+SELECT file, 'Table 1: Orders from ' || file * 8 AS caption, 'Order|State|Total price;' || rows AS cells FROM r""",
     "upload_checks": f"WITH {_UPLOADS} SELECT k AS upload, problem FROM c",
     "upload_rows": f"WITH {_UPLOADS} SELECT name, n, s::BIGINT AS uploads FROM (SELECT count(*) AS n, sum(k) AS s FROM c WHERE problem IS NULL), (SELECT unnest(['files', 'versions', 'documents', 'jobs']) AS name)",
     "file_requests": "SELECT n_nationkey, ['*.md', '*.json', '*.txt', '**', '*', '*.', '*.txt'][n_nationkey % 7 + 1] AS pattern FROM nation",
