@@ -328,6 +328,23 @@ def office_markdown(files: DataFrame, key: str, kind: str, content: str) -> Data
     return files.select(key, kind, content).mapInPandas(run, f"{key} {files.schema[key].dataType.simpleString()}, markdown string")
 
 
+#: Suffixes of files that are text already.
+TEXTS = frozenset("md markdown txt csv json xml yaml yml".split())
+
+
+def to_markdown(kind: str, content: bytes) -> str | None:
+    """A file's text by its suffix: office and HTML files converted, text files as they are; None for other kinds."""
+    if kind in OFFICE:
+        return OFFICE[kind](content)
+    if kind not in TEXTS and kind not in ("html", "htm"):
+        return None
+    try:
+        text = content.decode("utf-8-sig")
+    except UnicodeDecodeError:
+        text = content.decode("latin-1")
+    return text if kind in TEXTS else html_markdown(text)
+
+
 CONVERTERS = {"html": html_markdown, "pdf_text": pdf_text_markdown}
 
 

@@ -228,6 +228,8 @@ class Font:
     def __init__(self, file: File, entries: dict):
         self.wide = entries.get("Subtype") == "Type0"
         self.map: dict[int, str] = {}
+        self.ranges: list[tuple[int, int, bytes | list[bytes]]] = []
+        self.known: dict[int, tuple[str, float, bool]] = {}
         self.widths: dict[int, float] = {}
         self.default = 500.0
         if isinstance(cmap := file.get(entries.get("ToUnicode")), Stream):
@@ -260,32 +262,38 @@ class Font:
             self.widths = {first + j: float(file.get(w)) for j, w in enumerate(file.get(entries.get("Widths")) or [])}
 
     def _read(self, data: bytes) -> None:
+        """Takes in the single codes and the ranges of a ToUnicode map."""
         text = lambda b: b.decode("utf-16-be", "replace")
         held: list = []
+        inner: list | None = None
         for token, _ in _tokens(data):
             if token in (b"beginbfchar", b"beginbfrange"):
                 held = []
             elif token == b"endbfchar":
                 self.map |= {int.from_bytes(a): text(b) for a, b in zip(held[::2], held[1::2], strict=False)}
             elif token == b"endbfrange":
-                for low, high, to in zip(held[::3], held[1::3], held[2::3], strict=False):
-                    low, high = int.from_bytes(low), min(int.from_bytes(high), 0xFFFF)
-                    self.ranges = [*getattr(self, "ranges", []), (low, high, to)]
+                self.ranges += [(int.from_bytes(a), int.from_bytes(b), to) for a, b, to in zip(held[::3], held[1::3], held[2::3], strict=False)]
             elif token == b"[":
-                held.append([])
+                inner = []
+            elif token == b"]" and inner is not None:
+                held.append(inner)
+                inner = None
             elif isinstance(token, tuple):
-                (held[-1] if held and isinstance(held[-1], list) and not getattr(self, "_closed", True) else held).append(token[1])
-            self._closed = token != b"[" and (getattr(self, "_closed", True) or token == b"]")
+                (held if inner is None else inner).append(token[1])
 
     def read(self, data: bytes) -> list[tuple[str, float, bool]]:
         """(character, width, whether it is the one-byte blank) of each code."""
-        codes = [int.from_bytes(data[k : k + 2]) for k in range(0, len(data) - 1, 2)] if self.wide else list(data)
-        return [(self._char(c), self.widths.get(c, self.default), not self.wide and c == 32) for c in codes]
+        codes = [int.from_bytes(data[k : k + 2]) for k in range(0, len(data) - 1, 2)] if self.wide else data
+        return [self.known.get(c) or self._look_up(c) for c in codes]
+
+    def _look_up(self, code: int) -> tuple[str, float, bool]:
+        self.known[code] = found = (self._char(code), self.widths.get(code, self.default), not self.wide and code == 32)
+        return found
 
     def _char(self, code: int) -> str:
         if code in self.map:
             return self.map[code]
-        for low, high, to in getattr(self, "ranges", ()):
+        for low, high, to in self.ranges:
             if low <= code <= high:
                 if isinstance(to, list):
                     return to[code - low].decode("utf-16-be", "replace") if code - low < len(to) else ""
@@ -316,12 +324,14 @@ def page_words(file: File, number: int, page: dict, resources: dict) -> tuple[li
         font = state["font"]
         if font is None:
             return
+        at, size, scale = _times(text, state["ctm"]), state["size"], state["scale"]
+        x, y, height = at[4] + state["rise"] * at[2], at[5] + state["rise"] * at[3], abs(size * at[3]) + abs(size * at[1])
+        gone, spaced = 0.0, state["chars"] * scale
         for char, width, blank in font.read(data):
-            at = _times((state["size"] * state["scale"], 0, 0, state["size"], 0, state["rise"]), _times(text, state["ctm"]))
-            height = abs(at[3]) + abs(at[1])
-            end = at[4] + width / 1000 * at[0]
-            glyphs.append((at[4], at[5], end, height, char))
-            text = _times((1, 0, 0, 1, (width / 1000 * state["size"] + state["chars"] + (state["words"] if blank else 0)) * state["scale"], 0), text)
+            wide = width / 1000 * size * scale
+            glyphs.append((x + gone * at[0], y + gone * at[1], x + (gone + wide) * at[0], height, char))
+            gone += wide + spaced + (state["words"] * scale if blank else 0.0)
+        text = _times((1, 0, 0, 1, gone, 0), text)
 
     def moved(x: float, y: float) -> None:
         nonlocal line, text

@@ -7,6 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions.text import content_hash
 from ..operators import features, ingest, pdf, records
+from ..shipping import ship_package
+from ..sources import folder_source
+from ..sources.batches import BatchStore
+from ..sources.shared import shared_dir
 from ..sources.tables import table
 
 
@@ -75,6 +79,52 @@ def pdf_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select("file", "t.caption", F.array_join(F.transform("t.cells", lambda r: F.array_join(r, "|")), ";").alias("cells"))
 
 
+def upload_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Completed uploads in three batches of four tables each, every batch tried twice: what the tables hold in the end."""
+    store = BatchStore(spark, shared_dir(spark, "uploads"))
+    for batch in (0, 1, 2, 1, 0, 2):
+        store.write(batch, ingest.upload_rows(_uploads(spark, sf_dir).where(F.col("upload") % 3 == batch)))
+    out = None
+    for name, rows in ingest.upload_rows(_uploads(spark, sf_dir)).items():
+        spec = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields)
+        one = store.read(name, spec).groupBy(F.lit(name).alias("name"), "batch").agg(F.count(F.lit(1)).alias("n"), F.sum("upload").alias("uploads"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def _rtf(text: str) -> bytes:
+    codes = "".join("\\par " if c == "\n" else f"\\u{ord(c)} ?" for c in text)
+    return b"{\\rtf1 " + codes.encode() + b"}"
+
+
+def folder_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents written as Markdown, RTF and PDF files by their tasks, and the folder read as a data source: what each
+    Markdown and RTF file's text holds but for blanks. The filter on the suffix chooses files before they are opened."""
+    ship_package(spark)
+    folder = shared_dir(spark, "files")
+
+    def write(batches):
+        import pyarrow as pa
+        from pyarrow import fs
+
+        store, base = fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder.removeprefix("file:"))
+        store.create_dir(base)
+        for batch in batches:
+            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                kind, words = ("md", "rtf", "pdf")[key % 3], (text or "").split()
+                lines = [" ".join(words[k : k + 12]) for k in range(0, len(words), 12)] or [""]
+                pages = [[(40.0, 800.0 - 14 * k, x) for k, x in enumerate(lines[low : low + 50])] for low in range(0, len(lines), 50)]
+                with store.open_output_stream(f"{base}/d{key}.{kind}") as file:
+                    file.write(pdf.made(pages) if kind == "pdf" else _rtf(text or "") if kind == "rtf" else (text or "").encode())
+            yield pa.RecordBatch.from_arrays([batch.column(0)], names=["doc_id"])
+
+    table(spark, sf_dir, "documents").select("doc_id", "text").mapInArrow(write, "doc_id long").write.format("noop").mode("overwrite").save()
+    folder_source.register(spark)
+    read = spark.read.format("folder").schema("name string, suffix string, text string, error string").load(folder).where(F.col("suffix").isin("md", "rtf"))
+    key = F.regexp_extract("name", r"^d(-?\d+)\.", 1).cast("long")
+    return read.select(key.alias("doc_id"), "suffix", F.sha2(F.regexp_replace("text", "[\\s\\x{a0}]", ""), 256).alias("hash"), "error")
+
+
 def replaced_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.lit("old").alias("state"))
     new = c.where("conv_id % 3 = 0 AND turn < 3").withColumn("state", F.lit("new"))
@@ -147,7 +197,7 @@ def model_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    pdf_texts, pdf_tables, upload_checks, upload_rows, file_requests, ingested_documents, replaced_chunks, stored_state, job_documents, next_steps, appended_log,
+    pdf_texts, pdf_tables, upload_batches, folder_documents, upload_checks, upload_rows, file_requests, ingested_documents, replaced_chunks, stored_state, job_documents, next_steps, appended_log,
     collated_graphs, asked_vectors, node_values, link_training, model_candidates,
 )}
 
@@ -155,6 +205,8 @@ _UPLOADS = """u AS (SELECT c_custkey AS k, CASE WHEN c_custkey % 11 = 0 THEN ''
 c AS (SELECT k, CASE WHEN k % 11 = 0 OR k % 13 = 0 THEN 'name' WHEN k % 5 IN (2, 3) THEN 'suffix' WHEN size <= 0 OR size > 524288000 THEN 'size' END AS problem FROM u)"""
 _TEXT = r"regexp_replace(regexp_replace(regexp_replace(replace(replace(text, e'\r\n', e'\n'), e'\r', e'\n'), '(?m)[ \t]+$', '', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g')"
 ORACLE_SQL = {
+    "upload_batches": f"WITH {_UPLOADS} SELECT name, batch, n, s::BIGINT AS uploads FROM (SELECT k % 3 AS batch, count(*) AS n, sum(k) AS s FROM c WHERE problem IS NULL GROUP BY 1), (SELECT unnest(['files', 'versions', 'documents', 'jobs']) AS name)",
+    "folder_documents": r"SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'md' ELSE 'rtf' END AS suffix, sha256(regexp_replace(coalesce(text, ''), '[\s\x{a0}]', '', 'g')) AS hash, NULL::VARCHAR AS error FROM documents WHERE doc_id % 3 < 2",
     "pdf_texts": r"""WITH w AS (SELECT doc_id, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS n, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS t FROM documents)
 SELECT doc_id, greatest(1, ceil(ceil(n / 12) / 50))::INT AS pages, sha256(t) AS hash, NULL::VARCHAR AS error FROM w""",
     "pdf_tables": """WITH r AS (SELECT o_orderkey // 8 AS file, string_agg(o_orderkey || '|' || o_orderstatus || '|' || o_totalprice::DECIMAL(15, 2), ';' ORDER BY o_orderkey) AS rows FROM orders GROUP BY 1)
