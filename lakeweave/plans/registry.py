@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import audit, details, features, governance, graph, intake, lifecycle, market, platform, relational, retrieval, safety, stateful, text, usage
+from . import accounts, audit, details, features, governance, graph, intake, lifecycle, market, platform, relational, retrieval, safety, stateful, text, usage
 
 FLAGSHIP = "agg_usage_daily"
-_MODULES = (usage, market, audit, relational, text, retrieval, graph, governance, stateful, features, safety, platform, lifecycle, details, intake)
+_MODULES = (usage, market, audit, relational, text, retrieval, graph, governance, stateful, features, safety, platform, lifecycle, details, intake, accounts)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
