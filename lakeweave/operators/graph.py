@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import written
+
 
 def undirected(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     rest = [c for c in edges.columns if c not in (src, dst)]
@@ -105,14 +107,16 @@ def topology(edges: DataFrame) -> DataFrame:
     """Degree and clustering coefficient of every vertex of an undirected simple graph.
 
     Triangles are counted once, from edges directed by degree: no vertex has more than about the square root of twice
-    the edges pointing on, so hubs don't square.
+    the edges pointing on, so hubs don't square. Edges, degrees and directed edges are written, as each is read again.
     """
-    simple = undirected(edges.where("src <> dst").select("src", "dst"))
-    degree = simple.groupBy("src").agg(F.count(F.lit(1)).alias("degree")).withColumnRenamed("src", "id")
-    ranked = simple.join(degree.select(F.col("id").alias("src"), F.col("degree").alias("_ds")), "src").join(degree.select(F.col("id").alias("dst"), F.col("degree").alias("_dd")), "dst")
-    up = ranked.where(F.struct("_ds", "src") < F.struct("_dd", "dst")).select("src", "dst")
-    wedges = up.select("src", F.col("dst").alias("a")).join(up.select("src", F.col("dst").alias("b")), "src").where("a <> b")
-    closing = up.select(F.col("src").alias("a"), F.col("dst").alias("b"))
+    ends = edges.where("src <> dst").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"))
+    once = written(ends.distinct(), "edges")
+    degree = written(once.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("degree")), "degrees")
+    ranked = once.join(degree.select(F.col("id").alias("a"), F.col("degree").alias("_da")), "a").join(degree.select(F.col("id").alias("b"), F.col("degree").alias("_db")), "b")
+    ahead = F.struct("_da", "a") < F.struct("_db", "b")
+    up = written(ranked.select(F.when(ahead, F.col("a")).otherwise(F.col("b")).alias("src"), F.when(ahead, F.col("b")).otherwise(F.col("a")).alias("dst")), "up")
+    wedges = up.select("src", F.col("dst").alias("a")).join(up.select("src", F.col("dst").alias("b")), "src").where("a < b")
+    closing = up.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"))
     triangles = wedges.join(closing, ["a", "b"])
     corners = triangles.select(F.explode(F.array("src", "a", "b")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("triangles"))
     out = degree.join(corners, "id", "left").withColumn("triangles", F.coalesce("triangles", F.lit(0)))
