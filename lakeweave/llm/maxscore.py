@@ -56,6 +56,15 @@ def _written(df: DataFrame, name: str) -> DataFrame:
 
 def _kept(batch: pa.RecordBatch, scale: float) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
     """ids, asked and integer components (as doubles) of the rows that take part."""
+    column = batch.column(2)
+    if batch.num_rows and not batch.column(0).null_count and not column.null_count and not column.flatten().null_count:
+        lengths = column.value_lengths().to_numpy()
+        if (lengths == lengths[0]).all():  # the usual case: one matrix
+            x = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(lengths), lengths[0])
+            with np.errstate(over="ignore", invalid="ignore"):
+                w = np.floor(scale * x)
+            whole = np.isfinite(x).all(axis=1) & np.isfinite(w).all(axis=1)
+            return batch.column(0).to_numpy()[whole], batch.column(1).to_numpy(zero_copy_only=False)[whole], list(w[whole])
     ids, asked, vectors = [], [], []
     for key, wanted, vector in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
         if key is None or not vector.is_valid or vector.values.null_count:
@@ -83,13 +92,16 @@ def shards(vectors: DataFrame, asked: Column, item: str, column: str, scale: flo
 
         def shard() -> pa.RecordBatch:
             dims = max(len(v) for _, _, v in held)
-            postings = np.zeros((dims, len(held)))
-            for k, (_, _, v) in enumerate(held):
-                postings[: len(v), k] = v
+            if all(len(v) == dims for _, _, v in held):
+                postings = np.array([v for _, _, v in held]).T
+            else:
+                postings = np.zeros((dims, len(held)))
+                for k, (_, _, v) in enumerate(held):
+                    postings[: len(v), k] = v
             most = np.abs(postings).max(initial=0)
             kind = 0 if most < 1 << 15 else 1 if most < 1 << 31 else 2
             bounds = np.stack((postings.max(axis=1), postings.min(axis=1))) if dims else np.zeros((2, 0))
-            packed = [np.array([k for k, _, _ in held], "<i8"), np.array([a for _, a, _ in held], np.bool_), postings.astype(_KINDS[kind]), bounds.astype("<f8")]
+            packed = [np.array([k for k, _, _ in held], "<i8"), np.array([a for _, a, _ in held], np.bool_), np.ascontiguousarray(postings, _KINDS[kind]), bounds.astype("<f8")]
             numbers = [pa.array([0], pa.int32()), pa.array([base + n], pa.int64()), *(pa.array([x], pa.int32()) for x in (len(held), dims, kind))]
             return _rows(numbers + [pa.array([x.tobytes()], pa.binary()) for x in packed], _SHARD)
 
