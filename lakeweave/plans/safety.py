@@ -46,8 +46,10 @@ def endpoint_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def edit_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as edits of a resource, each user's clock counting its own: different users' edits are concurrent."""
-    e = table(spark, sf_dir, "events").select("event_id", "ts", (F.col("user_id") % 20).alias("resource"), F.create_map(F.col("user_id").cast("string"), F.col("event_id")).alias("clock"))
+    """Events as edits of a resource, each user's clock counting its own: different users' edits are concurrent. Clocks count
+    from 1, as a clock's 0 is the same as no edit; ids count from 0."""
+    e = table(spark, sf_dir, "events").where("user_id IS NOT NULL")
+    e = e.select("event_id", "ts", (F.col("user_id") % 20).alias("resource"), F.create_map(F.col("user_id").cast("string"), F.col("event_id") + 1).alias("clock"))
     return collaboration.conflicts(e, "resource", "event_id", "ts", 600)
 
 
