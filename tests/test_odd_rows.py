@@ -28,3 +28,31 @@ def events(spark, folder, rows, files: int = 1):
 def test_the_first_event_conflicts_too(spark, tmp_path):
     con = events(spark, tmp_path, [(0, 0, 1, "view"), (1, 5, 21, "view"), (2, 9, 1, "view"), (3, 9, None, "view")])
     same(QUERIES["edit_conflicts"](spark, str(tmp_path)), con.sql(SQL["edit_conflicts"]))
+
+
+def test_titles_keep_their_zeros(spark, tmp_path):
+    texts = ["\n  0 to 100  \nx", "　  wide 　\nx", "ends in 90", "\n\n", "# head"]
+    import duckdb
+
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    same(QUERIES["markdown_detect"](spark, str(tmp_path)), con.sql(SQL["markdown_detect"]))
+
+
+def test_mean_risks_do_not_depend_on_partitions(spark, tmp_path):
+    kinds = ["purchase", "error", "view", "purchase", "purchase", "signup", "error", "click"]
+    rows = [(u * 100 + k, 3 * 3600 * k + u, u, kinds[(u * k + k // 3 + u) % len(kinds)]) for u in range(400) for k in range(3 + u % 17)]
+    con = events(spark, tmp_path, rows, 13)
+    same(QUERIES["risk_histogram"](spark, str(tmp_path)), con.sql(SQL["risk_histogram"]))
+
+
+def test_token_bucket_takes_rows_of_many_files_and_frames_in_order(spark, tmp_path):
+    rows = [(k, 9973 * (k * 37 % 600), k % 2, "view") for k in range(600)]
+    con = events(spark, tmp_path, rows, 130)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        same(QUERIES["stream_token_bucket"](spark, str(tmp_path)), con.sql(SQL["stream_token_bucket"]))
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
