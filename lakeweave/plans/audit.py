@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import audit
@@ -54,7 +54,11 @@ def risk_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def risk_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    per_user = _log(spark, sf_dir).groupBy("user_id").agg(F.avg("risk").alias("mean"))
+    """Each user's risks are added up in the order of their events: sums of tenths differ in the last place by their order,
+    and means that lie on a level's bound would change sides with the partitions."""
+    so_far = Window.partitionBy("user_id").orderBy("event_id", "ts", "risk").rowsBetween(Window.unboundedPreceding, 0)
+    added = _log(spark, sf_dir).select("user_id", F.sum("risk").over(so_far).alias("total"), F.count("risk").over(so_far).alias("n"), F.row_number().over(Window.partitionBy("user_id").orderBy("event_id", "ts", "risk")).alias("k"))
+    per_user = added.groupBy("user_id").agg((F.max_by("total", "k") / F.max_by("n", "k")).alias("mean"))
     return per_user.groupBy(audit.risk_level(F.col("mean")).alias("level")).agg(F.count(F.lit(1)).alias("users"))
 
 
