@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,7 +39,7 @@ def idle_sessions(rows: DataFrame, key: str, gap: str = "30 minutes") -> DataFra
 def token_bucket(rows: DataFrame, key: str, capacity: float, per_second: float) -> DataFrame:
     """Admitted and refused rows of each key and batch; the bucket is state, dropped once event time has filled it up again."""
     ship_package(rows.sparkSession)
-    full_ms = int(1000 * capacity / per_second) + 1
+    full_ms, seconds = int(1000 * capacity / per_second) + 1, 1 / per_second
 
     def step(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -46,14 +47,14 @@ def token_bucket(rows: DataFrame, key: str, capacity: float, per_second: float)
             return
         tokens, at = state.get if state.exists else (capacity, None)
         admitted = refused = 0
-        for frame in frames:
-            for now in sorted(frame["at"].tolist()):
-                tokens = min(capacity, tokens + (now - at) * per_second) if at is not None else capacity
-                at = now
-                if tokens >= 1:
-                    tokens, admitted = tokens - 1, admitted + 1
-                else:
-                    refused += 1
+        # a key's rows may come in several frames, whose times overlap
+        for now in np.sort(np.concatenate([frame["at"].to_numpy() for frame in frames])).tolist():
+            tokens = min(capacity, tokens + (now - at) / seconds) if at is not None else capacity
+            at = now
+            if tokens >= 1:
+                tokens, admitted = tokens - 1, admitted + 1
+            else:
+                refused += 1
         state.update((tokens, at))
         state.setTimeoutTimestamp(max(int(at * 1000), state.getCurrentWatermarkMs()) + full_ms)
         yield pd.DataFrame({key: [k[0]], "admitted": [admitted], "refused": [refused]})
