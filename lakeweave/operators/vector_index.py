@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from ..shipping import ship_package
 from ..sources.shared import shared_dir, written
-from .retrieval import _unit, nearest, ranked
+from .retrieval import STRIPE, _matrix, _unit, nearest, ranked
 
 SAMPLE, BLOCK, PASS_ROWS = 16_384, 2_048, 65_536
 _FILED = "cell int, id long, vector array<double>"
@@ -66,10 +66,11 @@ def _filed(rows: DataFrame, key: str, column: str, centroids: np.ndarray, n: int
 
     def run(batches):
         for batch in batches:
-            if batch.num_rows:
-                cells = _nearest_cells(_unit(np.array(batch.column(1).to_pylist(), np.float64)), centroids, n)
-                at = pa.array(np.repeat(np.arange(batch.num_rows), cells.shape[1]))
-                yield pa.RecordBatch.from_arrays([pa.array(cells.ravel().astype(np.int32)), batch.column(0).take(at), batch.column(1).take(at)], names=["cell", "id", "vector"])
+            for first in range(0, batch.num_rows, STRIPE):
+                part = batch.slice(first, STRIPE)
+                cells = _nearest_cells(_unit(_matrix(part.column(1))), centroids, n)
+                at = pa.array(np.repeat(np.arange(part.num_rows), cells.shape[1]))
+                yield pa.RecordBatch.from_arrays([pa.array(cells.ravel().astype(np.int32)), part.column(0).take(at), part.column(1).take(at)], names=["cell", "id", "vector"])
 
     return written(plain.mapInArrow(run, _FILED), "filed")
 
@@ -158,7 +159,8 @@ def search(index: Index, queries: DataFrame, k: int, probes: int | None = None,
 
     def run(batches):
         for batch in batches:
-            for row in batch.to_pylist():
+            for k_row in range(batch.num_rows):  # a row holds two blocks: one at a time
+                row = batch.slice(k_row, 1).to_pylist()[0]
                 ids, asked = np.frombuffer(row["ids"], "<i8"), np.frombuffer(row["asked_ids"], "<i8")
                 rows, own = (_unit(np.frombuffer(row[c], "<f8").reshape(len(i), -1)) for c, i in (("vectors", ids), ("asked", asked)))
                 scores = np.round(own @ rows.T, 9)
