@@ -61,20 +61,21 @@ def pdf_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = docs.select("doc_id", cut(F.col("words"), 12, lambda x: F.array_join(x, " ")).alias("lines"))
     page = lambda x: F.transform(x, lambda t, k: F.struct(F.lit(40.0).alias("x"), (800.0 - 14 * k).alias("y"), t.alias("text")))
     files = pdf.made_files(lines.select("doc_id", cut(F.col("lines"), 50, page).alias("placed")), "doc_id")
-    read = pdf.read_files(files, "doc_id")
+    read = pdf.read_files(files, "doc_id", parts=("pages",))
     return read.select("doc_id", F.size("pages").alias("pages"), F.sha2(F.regexp_replace(F.array_join("pages", ""), "[\\x20\\x09-\\x0D]", ""), 256).alias("hash"), "error")
 
 
 def pdf_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Eight orders to a file, as a table under its caption, read back by the words' places."""
+    """Eight orders to a file, as a table under its caption, read back by the words' places. Files are dealt over all cores by
+    number: by their bytes, which are few for the work on them, a few tasks would get them all."""
     k = F.col("o_orderkey")
     cells = F.array(k.cast("string"), F.col("o_orderstatus"), F.col("o_totalprice").cast("decimal(15,2)").cast("string"))
     o = table(spark, sf_dir, "orders").select(F.floor(k / 8).alias("file"), F.struct(k.alias("k"), cells.alias("cells")).alias("row"))
-    rows = o.groupBy("file").agg(F.array_sort(F.collect_list("row")).alias("rows"))
+    rows = o.repartition(4 * spark.sparkContext.defaultParallelism, "file").groupBy("file").agg(F.array_sort(F.collect_list("row")).alias("rows"))
     set_at = lambda y, cs: F.transform(cs, lambda t, i: F.struct((50.0 + 150 * i).alias("x"), y.alias("y"), t.alias("text")))
     head = F.concat(F.array(F.struct(F.lit(50.0).alias("x"), F.lit(780.0).alias("y"), F.concat(F.lit("Table 1: Orders from "), (F.col("file") * 8).cast("string")).alias("text"))), set_at(F.lit(760.0), F.array(F.lit("Order"), F.lit("State"), F.lit("Total price"))))
     body = F.flatten(F.transform("rows", lambda r, i: set_at(745.0 - 15 * i, r["cells"])))
-    read = pdf.read_files(pdf.made_files(rows.select("file", F.array(F.concat(head, body)).alias("placed")), "file"), "file")
+    read = pdf.read_files(pdf.made_files(rows.select("file", F.array(F.concat(head, body)).alias("placed")), "file"), "file", parts=("tables",))
     t = read.select("file", F.explode("tables").alias("t"))
     return t.select("file", "t.caption", F.array_join(F.transform("t.cells", lambda r: F.array_join(r, "|")), ";").alias("cells"))
 
