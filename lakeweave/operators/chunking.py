@@ -9,7 +9,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -151,20 +151,46 @@ def strategy(text: Column, source: Column | None = None) -> Column:
     return by_text if source is None else F.when(source == "markdown", "section_pack").when(source.isin("chat", "log"), "fixed_overlap").otherwise(by_text)
 
 
+#: A task passes chunks on when it holds this many characters of them, however many texts a batch has.
+PIECE = 1 << 20
+_KINDS = (pa.int64(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.string())
+
+
+class _Held:
+    """Chunks (row of the batch, and the columns of ``SPEC``) until they are passed on."""
+
+    def __init__(self):
+        self.rows, self.size = [], 0
+
+    def add(self, *row) -> None:
+        self.rows.append(row)
+        self.size += len(row[2])
+
+    def taken(self, keys: pa.Array) -> pa.RecordBatch:
+        at, *columns = (pa.array(c, kind) for c, kind in zip(zip(*self.rows, strict=True), _KINDS, strict=True))
+        self.rows, self.size = [], 0
+        return pa.RecordBatch.from_arrays([keys.take(at), *columns], names=["key", "chunk_index", "content", "start", "stop", "section"])
+
+
 def chunk(docs: DataFrame, key: str, text: str, how: str | Column) -> DataFrame:
     """(key, chunk_index, content, start, stop, section): ``how`` names a strategy, or is a column that does."""
     ship_package(docs.sparkSession)
     chosen = F.lit(how) if isinstance(how, str) else how
     rows = docs.select(F.col(key).alias("key"), F.coalesce(text, F.lit("")).alias("text"), chosen.alias("how"))
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            out = []
-            for k, t, h in frame.itertuples(index=False, name=None):
-                out += [(k, i, t[a:b], a, b, path) for i, (a, b, path) in enumerate(STRATEGIES[h](t))]
-            yield pd.DataFrame(out, columns=["key", "chunk_index", "content", "start", "stop", "section"])
-
-    return rows.mapInPandas(run, f"key {docs.schema[key].dataType.simpleString()}, {SPEC}").withColumnRenamed("key", key)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held = _Held()
+            for at in range(batch.num_rows):
+                t = batch.column(1)[at].as_py()
+                for i, (a, b, path) in enumerate(STRATEGIES[batch.column(2)[at].as_py()](t)):
+                    held.add(at, i, t[a:b], a, b, path)
+                    if held.size >= PIECE:
+                        yield held.taken(batch.column(0))
+            if held.rows:
+                yield held.taken(batch.column(0))
+
+    return rows.mapInArrow(run, f"key {docs.schema[key].dataType.simpleString()}, {SPEC}").withColumnRenamed("key", key)
 
 
 #: Ends of sentences, and the size that chunks should have.

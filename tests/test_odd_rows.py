@@ -56,3 +56,16 @@ def test_token_bucket_takes_rows_of_many_files_and_frames_in_order(spark, tmp_pa
         same(QUERIES["stream_token_bucket"](spark, str(tmp_path)), con.sql(SQL["stream_token_bucket"]))
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
+def test_chunks_are_passed_on_in_pieces():
+    import pyarrow as pa
+
+    from lakeweave.operators import chunking
+
+    held = chunking._Held()
+    held.add(1, 0, "ab", 0, 2, "")
+    held.add(0, 0, "c", 0, 1, "h")
+    assert held.size == 3
+    assert held.taken(pa.array(["x", "y"])).to_pylist()[0] == {"key": "y", "chunk_index": 0, "content": "ab", "start": 0, "stop": 2, "section": ""}
+    assert not held.rows and held.size == 0
