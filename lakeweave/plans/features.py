@@ -121,9 +121,9 @@ def stream_operations(spark: SparkSession, sf_dir: str) -> DataFrame:
     edits = table(spark, sf_dir, "events").select(F.floor(F.col("user_id") / 5).alias("resource"), F.col("event_id").alias("id"), F.col("user_id").alias("user"), F.col("ts").cast("timestamp").alias("ts"), F.array_compact(F.array(F.lag("event_id").over(before))).alias("parents"))
     held = written(edits, "edits")
     rows = spark.readStream.schema(held.schema).option("maxFilesPerTrigger", 100_000).parquet(held.inputFiles()[0].rsplit("/", 1)[0])
-    out = sessions.run_in_batches(sessions.live_operations(rows, "resource", 21600.0), _folder(spark), "operations")
+    out = sessions.run_in_batches(sessions.live_operations(rows, "resource", 21600.0, ids=False), _folder(spark), "operations")
     own = F.try_element_at(F.from_json("clock", "map<string,long>"), F.col("user"))
-    return out.select("resource", "id", own.alias("sequence"), F.size("conflicts").alias("conflicts"))
+    return out.select("resource", "id", own.alias("sequence"), "conflicts")
 
 
 def graphsage_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,8 +7,10 @@ the one of a fold over all rows in order. State lives in RocksDB; timers drop it
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -79,33 +81,73 @@ def recent_messages(rows: DataFrame, key: str, most: int = 20, ttl: float = 3600
 # live edits
 
 
-def applied(known: dict[int, dict], user: str, parents: list[int]) -> tuple[dict[str, int], list[int]]:
-    """The clock of a new operation, merged from its user's start and its known parents and counted up; and the ids of the
-    known operations that it neither follows nor precedes."""
+class Known:
+    """Operations with their clocks, by actor: a new clock meets only the operations that share an actor with it, all of
+    them at once; the others conflict with it."""
+
+    def __init__(self, clocks: Iterable[tuple[int, dict[str, int]]] = ()):
+        self.clocks: dict[int, dict[str, int]] = {}
+        self._row: dict[int, int] = {}
+        self._ids, self._actors = array("q"), array("q")  # of each row: the operation, and its clock's actors (0: replaced)
+        self._by: dict[str, tuple[array, array]] = {}  # of each actor: rows, and its counts there
+        for op, clock in clocks:
+            self.add(op, clock)
+
+    def add(self, op: int, clock: dict[str, int]) -> None:
+        if op in self._row:
+            self._actors[self._row[op]] = 0
+        row = self._row[op] = len(self._ids)
+        self.clocks[op] = clock
+        self._ids.append(op)
+        self._actors.append(len(clock))
+        for actor, n in clock.items():
+            rows, counts = self._by.setdefault(actor, (array("q"), array("q")))
+            rows.append(row)
+            counts.append(n)
+
+    def _ordered(self, clock: dict[str, int]) -> np.ndarray:
+        """Rows that precede or follow a clock; equal ones do neither."""
+        held = [(np.array(self._by[actor][0]), np.array(self._by[actor][1]), n) for actor, n in clock.items() if actor in self._by]
+        if not held:
+            return np.zeros(0, np.int64)
+        rows, at = np.unique(np.concatenate([r for r, *_ in held]), return_inverse=True)
+        actors = np.array(self._actors)[rows]
+        before = np.bincount(at, np.concatenate([c <= n for _, c, n in held])) == actors
+        after = np.bincount(at, np.concatenate([c >= n for _, c, n in held])) == len(clock)
+        return rows[(before != after) & (actors > 0)]
+
+    def n_conflicts(self, clock: dict[str, int]) -> int:
+        return len(self.clocks) - len(self._ordered(clock))
+
+    def conflicts(self, clock: dict[str, int]) -> list[int]:
+        free = np.array(self._actors) > 0
+        free[self._ordered(clock)] = False
+        return np.sort(np.array(self._ids)[free]).tolist()
+
+
+def applied(known: Known | dict[int, dict], user: str, parents: list[int], ids: bool = True) -> tuple[dict[str, int], list[int] | int]:
+    """The clock of a new operation, merged from its user's start and its known parents and counted up; and the ids (else
+    the number) of the known operations that it neither follows nor precedes."""
+    known = known if isinstance(known, Known) else Known(known.items())
     clock = {user: 1}
     for p in parents:
-        for actor, n in known.get(p, {}).items():
+        for actor, n in known.clocks.get(p, {}).items():
             clock[actor] = max(clock.get(actor, 0), n)
     clock[user] += 1
-    conflicts = []
-    for op, other in known.items():
-        low, high = (all(n <= b.get(actor, 0) for actor, n in a.items()) for a, b in ((clock, other), (other, clock)))
-        if low == high:
-            conflicts.append(op)
-    return clock, sorted(conflicts)
+    return clock, known.conflicts(clock) if ids else known.n_conflicts(clock)
 
 
 class Operations(StatefulProcessor):
-    """Operations wait in a list until the watermark passes them, are applied in order, and stay in a map of clocks until
-    their resource has been idle for ``idle`` seconds."""
+    """Operations wait in a list until the watermark passes them, are applied in order, and stay in a list of clocks until
+    their resource has been idle for ``idle`` seconds. Both lists are read and added to once a call."""
 
-    def __init__(self, key: str, idle: float):
-        self.key, self.idle = key, idle
+    def __init__(self, key: str, idle: float, ids: bool = True):
+        self.key, self.idle, self.ids = key, idle, ids
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.waiting = handle.getListState("waiting", "at double, id long, user string, parents string")
-        self.known = handle.getMapState("known", "id long", "clock string")
+        self.known = handle.getListState("known", "id long, clock string")
         self.last = handle.getValueState("last", "at double")
 
     def _wake(self, times: list[float]) -> None:
@@ -121,17 +163,19 @@ class Operations(StatefulProcessor):
         passed = timerValues.getCurrentWatermarkInMs() / 1000
         waiting = sorted(tuple(w) for w in self.waiting.get()) if self.waiting.exists() else []
         due, rest = [w for w in waiting if w[0] < passed], [w for w in waiting if w[0] >= passed]
-        known = {k[0]: json.loads(v[0]) for k, v in self.known.iterator()} if self.known.exists() else {}
-        last, out = self.last.get()[0] if self.last.exists() else None, []
+        known = Known((op, json.loads(clock)) for op, clock in self.known.get()) if due and self.known.exists() else Known()
+        last, out, new = self.last.get()[0] if self.last.exists() else None, [], []
         for at, op, user, parents in due:
             if last is not None and at - last > self.idle:
-                known = {}
+                known, new = Known(), []
                 self.known.clear()
-            clock, conflicts = applied(known, user, json.loads(parents))
-            known[op], last = clock, at
-            self.known.updateValue((op,), (json.dumps(clock),))
+            clock, conflicts = applied(known, user, json.loads(parents), self.ids)
+            known.add(op, clock)
+            new.append((op, json.dumps(clock)))
+            last = at
             out.append((key[0], op, user, json.dumps(clock, sort_keys=True), conflicts))
         if due:
+            self.known.appendList(new)
             self.last.update((last,))
             self.waiting.put(rest) if rest else self.waiting.clear()
         if last is not None and not rest and passed > last + self.idle:
@@ -143,8 +187,8 @@ class Operations(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         for frame in rows:
-            for at, op, user, parents in frame[["at", "id", "user", "parents"]].itertuples(index=False, name=None):
-                self.waiting.appendValue((at, op, user, json.dumps([int(p) for p in parents])))
+            named = frame[["at", "id", "user", "parents"]].itertuples(index=False, name=None)
+            self.waiting.appendList([(at, op, user, json.dumps([int(p) for p in parents])) for at, op, user, parents in named])
         yield from self._applied(key, timerValues)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
@@ -158,15 +202,16 @@ def _operations(rows: DataFrame, key: str) -> DataFrame:
     return rows.select(key, "ts", F.col("id").cast("long").alias("id"), F.col("user").cast("string").alias("user"), F.coalesce(F.col("parents").cast("array<long>"), F.array().cast("array<long>")).alias("parents"), (F.unix_micros("ts") / 1e6).alias("at"))
 
 
-def live_operations(rows: DataFrame, key: str, idle: float = 1800.0, delay: str = "10 minutes") -> DataFrame:
+def live_operations(rows: DataFrame, key: str, idle: float = 1800.0, delay: str = "10 minutes", ids: bool = True) -> DataFrame:
     """A stream of (``key``, id, user, clock as JSON, conflicts) of each operation once the watermark has passed it.
+    Conflicts are the operations' ids, or their number alone: the ids of a busy resource grow with its square.
 
     ``rows``: ``key``, id (long), user, ts, parents (ids of operations of the resource). Operations of one time go by id.
     """
     ship_package(rows.sparkSession)
     kind = rows.schema[key].dataType.simpleString()
     timed = _operations(rows.withWatermark("ts", delay), key)
-    return timed.groupBy(key).transformWithStateInPandas(Operations(key, idle), f"{key} {kind}, id long, user string, clock string, conflicts array<long>", "Append", "EventTime")
+    return timed.groupBy(key).transformWithStateInPandas(Operations(key, idle, ids), f"{key} {kind}, id long, user string, clock string, conflicts {'array<long>' if ids else 'int'}", "Append", "EventTime")
 
 
 def operations_fold(rows: DataFrame, key: str, idle: float = 1800.0) -> DataFrame:
@@ -175,12 +220,13 @@ def operations_fold(rows: DataFrame, key: str, idle: float = 1800.0) -> DataFram
     def step(state: dict, values: tuple) -> tuple:
         at, op, user, parents = values
         if state["last"] is not None and at - state["last"] > idle:
-            state["known"] = {}
+            state["known"] = Known()
         clock, conflicts = applied(state["known"], user, [int(p) for p in parents])
-        state["known"][op], state["last"] = clock, at
+        state["known"].add(op, clock)
+        state["last"] = at
         return json.dumps(clock, sort_keys=True), conflicts
 
-    out = ordered_fold(_operations(rows, key).drop("ts"), key, ["at", "id"], lambda: {"known": {}, "last": None}, step, ["at", "id", "user", "parents"], "clock string, conflicts array<long>")
+    out = ordered_fold(_operations(rows, key).drop("ts"), key, ["at", "id"], lambda: {"known": Known(), "last": None}, step, ["at", "id", "user", "parents"], "clock string, conflicts array<long>")
     return out.select(key, "id", "user", "clock", "conflicts")
 
 

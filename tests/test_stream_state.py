@@ -93,3 +93,30 @@ def test_clocks_and_conflicts():
     assert sessions.applied(known, "a", []) == ({"a": 2}, [1, 2])
     assert sessions.last_chain([(0.0, 1, 1), (10.0, 2, 1), (11.0, 3, 1)], 2, 5.0) == [(10.0, 2, 1), (11.0, 3, 1)]
     assert sessions.last_chain([(0.0, 1, 1), (10.0, 2, 1)], 5, 5.0) == [(10.0, 2, 1)]
+
+
+def test_many_clocks_are_compared_at_once():
+    """Against each pair's comparison, with an operation that comes again; counted alone no id is listed. 3,000 edits in a
+    chain of their user's take well under a second for each user (before: a comparison in Python for each pair)."""
+    rng = random.Random(5)
+    known, plain = sessions.Known(), {}
+    for _ in range(400):
+        clock = {a: rng.randrange(1, 4) for a in rng.sample("abcd", rng.randrange(1, 4))}
+        want = []
+        for op, other in plain.items():
+            low, high = (all(n <= y.get(a, 0) for a, n in x.items()) for x, y in ((clock, other), (other, clock)))
+            want += [op] if low == high else []
+        assert known.conflicts(clock) == sorted(want) and known.n_conflicts(clock) == len(want)
+        op = rng.randrange(150)
+        known.add(op, clock)
+        plain[op] = clock
+    assert known.clocks == plain
+
+    compared = []
+    held = sessions.Known()
+    held._ordered = lambda clock: compared.append(len(clock)) or sessions.Known._ordered(held, clock)
+    for k in range(3000):
+        clock, n = sessions.applied(held, str(k % 5), [k - 5], ids=False)
+        assert n == k - k // 5 and clock == {str(k % 5): k // 5 + 2}
+        held.add(k, clock)
+    assert compared == [1] * 3000
