@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 from ..sources.shared import written
 
 
+#: Ids of vertices that point on to none, up to this number (about 16 MB), are broadcast.
+BROADCAST_SINKS = 1_000_000
+
+
 def undirected(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     rest = [c for c in edges.columns if c not in (src, dst)]
     return edges.unionByName(edges.select(F.col(dst).alias(src), F.col(src).alias(dst), *rest)).distinct()
@@ -107,18 +111,30 @@ def topology(edges: DataFrame) -> DataFrame:
     """Degree and clustering coefficient of every vertex of an undirected simple graph.
 
     Triangles are counted once, from edges directed by degree: no vertex has more than about the square root of twice
-    the edges pointing on, so hubs don't square. Edges, degrees and directed edges are written, as each is read again.
+    the edges pointing on, so hubs don't square. A vertex sends the list of those it points on to, as far as they are
+    higher, to each of them, and what both lists hold are triangles: no wedge is a row. Vertices that point on to none
+    are left out of that where they are few (``BROADCAST_SINKS``). Edges, degrees and lists are written, as each is read
+    again. Ids that are whole numbers take the least room.
     """
     ends = edges.where("src <> dst").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"))
     once = written(ends.distinct(), "edges")
     degree = written(once.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("degree")), "degrees")
     ranked = once.join(degree.select(F.col("id").alias("a"), F.col("degree").alias("_da")), "a").join(degree.select(F.col("id").alias("b"), F.col("degree").alias("_db")), "b")
-    ahead = F.struct("_da", "a") < F.struct("_db", "b")
-    up = written(ranked.select(F.when(ahead, F.col("a")).otherwise(F.col("b")).alias("src"), F.when(ahead, F.col("b")).otherwise(F.col("a")).alias("dst")), "up")
-    wedges = up.select("src", F.col("dst").alias("a")).join(up.select("src", F.col("dst").alias("b")), "src").where("a < b")
-    closing = up.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"))
-    triangles = wedges.join(closing, ["a", "b"])
-    corners = triangles.select(F.explode(F.array("src", "a", "b")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("triangles"))
+    low, high = F.struct(F.col("_da").alias("degree"), F.col("a").alias("id")), F.struct(F.col("_db").alias("degree"), F.col("b").alias("id"))
+    up = ranked.select(F.least(low, high).alias("low"), F.greatest(low, high).alias("high")).select(F.col("low.id").alias("src"), "high")
+    ahead = written(up.groupBy("src").agg(F.array_sort(F.collect_list("high")).alias("ahead")), "ahead")
+    # what lies after a vertex in the list is higher than it
+    rest = F.expr("transform(slice(ahead, k + 2, size(ahead)), x -> x.id)")
+    sent = ahead.select("src", "ahead", F.posexplode("ahead").alias("k", "via")).where("k + 1 < size(ahead)").select("src", F.col("via.id").alias("via"), "ahead", "k")
+    sinks = written(degree.select(F.col("id").alias("via")).join(ahead.select(F.col("src").alias("via")), "via", "left_anti"), "sinks")
+    if sinks.count() <= BROADCAST_SINKS:
+        sent = sent.join(F.broadcast(sinks), "via", "left_anti")
+    sent = sent.select("src", "via", rest.alias("rest"))
+    lists = ahead.select(F.col("src").alias("via"), F.transform("ahead", lambda x: x["id"]).alias("own"))
+    met = sent.join(lists, "via").select("src", "via", F.array_intersect("rest", "own").alias("third")).where("size(third) > 0")
+    n = F.size("third").cast("long")
+    parts = F.concat(F.array(F.struct(F.col("src").alias("id"), n.alias("n")), F.struct(F.col("via").alias("id"), n.alias("n"))), F.transform("third", lambda x: F.struct(x.alias("id"), F.lit(1).cast("long").alias("n"))))
+    corners = met.select(F.inline(parts)).groupBy("id").agg(F.sum("n").alias("triangles"))
     out = degree.join(corners, "id", "left").withColumn("triangles", F.coalesce("triangles", F.lit(0)))
     return out.withColumn("clustering", F.when(F.col("degree") > 1, 2 * F.col("triangles") / (F.col("degree") * (F.col("degree") - 1))).otherwise(0.0))
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lakeweave.functions import clock, vector
 from lakeweave.functions import text as tx
 from lakeweave.operators import chunking, features, governance, governed_sql, graph, joins, lineage, retrieval, stateful, usage
+from lakeweave.plans import graph as graph_plans
 from lakeweave.sources import tables
 from lakeweave.streaming import events as stream
 
@@ -104,6 +105,27 @@ def test_topology(spark):
     assert got == {1: (2, 1, 1.0), 2: (2, 1, 1.0), 3: (3, 1, pytest.approx(1 / 3)), 4: (1, 0, 0.0)}
 
 
+@pytest.mark.parametrize("sinks", [0, 10**6])
+def test_topology_sends_lists(spark, monkeypatch, sinks):
+    """Against all triples; what is joined are lists, not wedges."""
+    monkeypatch.setattr(graph, "BROADCAST_SINKS", sinks)
+    rng = random.Random(4)
+    pairs = {(a, b) for a, b in ((rng.randrange(40), rng.randrange(40)) for _ in range(260)) if a < b} | {(0, k) for k in range(1, 40)}
+    out = graph.topology(spark.createDataFrame([*pairs, *((b, a) for a, b in pairs), (None, 1)], "src long, dst long"))
+    assert "array_intersect" in out._jdf.queryExecution().optimizedPlan().toString()
+    near = {v: {b if a == v else a for a, b in pairs if v in (a, b)} for v in range(40)}
+    want = {v: (len(n), sum((a, b) in pairs for a in n for b in n)) for v, n in near.items()}
+    assert {r["id"]: (r["degree"], r["triangles"]) for r in out.collect()} == want
+
+
+def test_topology_features_of_long_keys(spark, tmp_path):
+    """Keys that leave no room for a kind, and negative ones."""
+    for k, top in enumerate((7, 2**63 - 1)):
+        spark.createDataFrame([(top, -3, -(2**60)), (top, 5, 2), (-1, 5, 2)], "l_orderkey long, l_partkey long, l_suppkey long").write.parquet(f"{tmp_path}/{k}/lineitem.parquet")
+        got = {r["id"]: (r["degree"], r["triangles"]) for r in graph_plans.topology_features(spark, f"{tmp_path}/{k}").collect()}
+        assert got == {f"o{top}": (4, 2), "o-1": (2, 1), "p-3": (2, 1), "p5": (3, 2), f"s{-(2**60)}": (2, 1), "s2": (3, 2)}
+
+
 def test_governed_sql(spark):
     numbers = {"numbers": governed_sql.Relation(spark.range(200).withColumn("g", F.col("id") % 3), ("id",))}
     assert governed_sql.governed_sql(spark, "SELECT * FROM numbers", "read_only", numbers).count() == 100
