@@ -40,8 +40,8 @@ HOT_PART = 0.25
 KEPT_FILES, FETCHED = 4096, 256 << 20
 #: Pairs that a task holds before it adds them up.
 HELD = 2_000_000
-#: Words kept by one worker with their hashes.
-KEPT_WORDS = 400_000
+#: Words kept by one worker with their hashes. More take memory and are no faster: words beyond are rare ones.
+KEPT_WORDS = 50_000
 
 START, END = np.uint64(0x9AE16A3B2F90404F), np.uint64(0xC3A5C85C97CB3127)
 _MIX = np.uint64(0x9E3779B97F4A7C15)

@@ -13,6 +13,7 @@ or unlabelled rows each score is the prior (0.5 if that is unknown too).
 
 from __future__ import annotations
 
+import itertools
 from dataclasses import dataclass
 
 import numpy as np
@@ -27,6 +28,8 @@ from .kneser_ney import tokens
 CLASSES = {"upper": b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", "lower": b"abcdefghijklmnopqrstuvwxyz", "digit": b"0123456789", "symbol": b"#*$%&<>", "bar": b"|", "mark": b"!", "stop": b".,;:?", "space": b" \t\n\x0b\f\r"}
 WINDOWED = ("upper", "symbol", "bar", "mark")
 BYTES, STEP, WORDS = 256, 64, 32
+#: Text bytes measured at once: the arrays over them are many times as large, and Spark keeps the workers' memory beside the JVM.
+PIECE = 1 << 20
 _CLASS_OF = np.full(256, len(CLASSES), np.uint8)
 for _k, _chars in enumerate(CLASSES.values()):
     _CLASS_OF[list(_chars)] = _k
@@ -43,9 +46,14 @@ def _worst(flags: np.ndarray, at: np.ndarray, n: np.ndarray, size: int, step: in
 
 
 def features(texts: list[bytes | None]) -> np.ndarray:
+    """A row of measures for each text; ``PIECE`` bytes are worked on at a time, or one longer text."""
     texts = [t or b"" for t in texts]
-    if not texts:
-        return np.zeros((0, N_FEATURES))
+    piece = np.cumsum([len(t) for t in texts]) // PIECE  # a text is in the piece in which it ends
+    cuts = [0, *(np.flatnonzero(np.diff(piece)) + 1).tolist(), len(texts)] if texts else []
+    return np.concatenate([np.zeros((0, N_FEATURES)), *(_measures(texts[a:b]) for a, b in itertools.pairwise(cuts))])
+
+
+def _measures(texts: list[bytes]) -> np.ndarray:
     n = np.array([len(t) + 1 for t in texts])  # one closing space each, so that no text is empty
     kinds = _CLASS_OF[np.frombuffer(b" ".join(texts) + b" ", np.uint8)]
     at = np.cumsum(n) - n
@@ -210,6 +218,14 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.7, keep: tuple[str
 
 
 def kept_documents(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
-    """The rows of ``docs`` with a score of at least ``threshold``, with their own columns."""
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), "text")
-    return score(rows, model, threshold, keep=("row",)).where("predicted = 1").select("row.*")
+    """The rows of ``docs`` with a score of at least ``threshold``, with their own columns. A row goes to Python and back
+    once, its text in it."""
+    small_batches(docs.sparkSession)
+    at = docs.columns.index("text")
+
+    def run(batches):
+        for batch in batches:
+            p = model.score(batch.column(at).cast(pa.binary()).to_pylist())
+            yield batch.filter(pa.array(p >= threshold, pa.bool_()))
+
+    return docs.mapInArrow(tidied(run), docs.schema)

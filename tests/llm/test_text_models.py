@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import random
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -149,6 +150,32 @@ def test_models_on_odd_texts(spark, corpus):
     assert set(quality_classifier.kept_documents(clash, q).columns) == set(clash.columns)
 
 
+def test_measures_hold_little_memory():
+    """A batch of 8 MB with 600,000 different words is measured a megabyte at a time, each text as if it were alone."""
+    texts = [" ".join(f"w{i}x{k:07d}" for k in range(6000)).encode() for i in range(100)]
+    kneser_ney.forget()
+    tracemalloc.start()
+    got = quality_classifier.features(texts)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 100e6 and len(kneser_ney._known) < 200_000
+    kneser_ney.forget()
+    some = [None, b"", texts[3], b"a b " * 600_000, b"", texts[99]]
+    assert (quality_classifier.features(some) == np.concatenate([quality_classifier.features([t]) for t in some])).all()
+    assert (got[99] == quality_classifier.features(texts[99:])[0]).all()
+
+
+def test_kept_documents_sends_each_text_once(spark, corpus):
+    docs, labels = corpus
+    model = quality_classifier.train(docs, labels, F.lit(True))
+    kept = quality_classifier.kept_documents(docs, model)
+    assert kept.schema == docs.schema
+    good = quality_classifier.score(docs, model).where("predicted = 1").select("doc_id")
+    want = docs.join(good, "doc_id").select(docs.columns)
+    assert 0 < want.count() < docs.count() and sorted(kept.collect(), key=str) == sorted(want.collect(), key=str)
+    assert "Project" not in kept._jdf.queryExecution().optimizedPlan().toString()  # no second copy is made for Python
+
+
 def test_models_without_labels(spark, corpus):
     docs, labels = corpus
     none = labels.where("false")
