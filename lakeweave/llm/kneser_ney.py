@@ -40,30 +40,40 @@ HOT_PART = 0.25
 KEPT_FILES, FETCHED = 4096, 256 << 20
 #: Pairs that a task holds before it adds them up.
 HELD = 2_000_000
-#: Words kept by one worker with their hashes. More take memory and are no faster: words beyond are rare ones.
-KEPT_WORDS = 50_000
 
 START, END = np.uint64(0x9AE16A3B2F90404F), np.uint64(0xC3A5C85C97CB3127)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
+_SPACE = np.isin(np.arange(256), list(b" \t\n\x0b\f\r"))
+#: Hashes of words kept between batches: none, as each batch's distinct words are hashed once.
 _known: dict[bytes, int] = {}
 
 
-def _hashes(words: list[bytes]) -> np.ndarray:
+def _hashes(words: np.ndarray) -> np.ndarray:
     import xxhash
 
-    if len(_known) > KEPT_WORDS:
-        _known.clear()
-    for w in set(words).difference(_known):
-        _known[w] = xxhash.xxh3_64_intdigest(w)
-    return np.fromiter(map(_known.__getitem__, words), np.uint64, len(words))
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words.tolist()), np.uint64, len(words))
 
 
 def forget() -> None:
-    """Drops what a worker keeps for a task: word hashes and mapped files."""
-    _known.clear()
+    """Drops the mapped files that a worker keeps for a task."""
     _open_files.clear()
 
 
+def coded(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of a batch of texts: each word's number among the batch's distinct words, the hashes of those, and the number of
+    words of each text."""
+    raw = np.frombuffer(b" ".join([t or b"" for t in texts]).lower() + b" ", np.uint8)
+    space = _SPACE[raw]
+    gaps = np.flatnonzero(space)
+    letters = gaps - np.arange(len(gaps))  # before each white-space byte
+    ends = np.diff(letters, prepend=0) > 0
+    offsets = np.concatenate((np.zeros(1, np.int64), letters[ends]))
+    past = np.cumsum(np.fromiter((len(t) + 1 if t else 1 for t in texts), np.int64, len(texts)))
+    n = np.diff(np.cumsum(ends)[np.searchsorted(gaps, past - 1)], prepend=0)
+    words = pa.Array.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(raw[~space])]).dictionary_encode()
+    return words.indices.to_numpy(), _hashes(words.dictionary.to_numpy(zero_copy_only=False)), n
+
+
 def pair_hash(v: np.ndarray, w: np.ndarray) -> np.ndarray:
     x = (v ^ (v >> np.uint64(31))) * _MIX + w
     return (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -71,14 +81,13 @@ def pair_hash(v: np.ndarray, w: np.ndarray) -> np.ndarray:
 
 def tokens(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of a batch of texts: each token's context hash, its hash, and the number of tokens of each text."""
-    words = [t.lower().split() if t else [] for t in texts]
-    n = np.fromiter(map(len, words), np.int64, len(words)) + 1
-    flat = _hashes([w for ws in words for w in ws])
+    codes, hashes, n = coded(texts)
+    n = n + 1
     ends = np.cumsum(n) - 1
     w = np.empty(int(n.sum()), np.uint64)
     here = np.ones(len(w), bool)
     here[ends] = False
-    w[here] = flat
+    w[here] = hashes[codes]
     w[ends] = END
     v = np.empty_like(w)
     v[1:] = w[:-1]
@@ -86,6 +95,14 @@ def tokens(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return v, w, n
 
 
+def by_shard(shard: np.ndarray, shards: int) -> list[np.ndarray]:
+    """Rows of each shard that has any, in their order."""
+    if not len(shard):
+        return []
+    order = np.argsort(shard.astype(np.uint16) if shards <= 1 << 16 else shard, kind="stable")
+    return np.split(order, np.flatnonzero(np.diff(shard[order])) + 1)
+
+
 @dataclass(frozen=True)
 class Dealing:
     """Which shard a pair and a word belong to. ``hot``: first words, sorted, that are dealt in ``parts`` each."""
@@ -122,10 +139,10 @@ def _packed(*arrays: np.ndarray) -> bytes:
     """Arrays as one compressed block; integers as planes of bytes, so that small counts cost little."""
     import zstandard
 
-    out = io.BytesIO()
+    out, squeeze = io.BytesIO(), zstandard.ZstdCompressor(level=1).compress
     for a in arrays:
         octets = np.ascontiguousarray(a).view(np.uint8).reshape(len(a), -1).T if len(a) else np.zeros((a.dtype.itemsize, 0), np.uint8)
-        data = zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(octets).tobytes())
+        data = squeeze(np.ascontiguousarray(octets).ravel())
         out.write(len(data).to_bytes(8, "little") + len(a).to_bytes(8, "little") + a.dtype.str.encode().ljust(4) + data)
     return out.getvalue()
 
@@ -253,9 +270,8 @@ class Scorer:
         """Count, number of words it follows, and context mass of each word of a sorted array."""
         out = np.zeros((3, len(w)))
         shard = self.m.dealing.of_words(w)
-        order = np.argsort(shard, kind="stable")
-        for rows in np.split(order, np.flatnonzero(np.diff(shard[order])) + 1):
-            found = self._arrays("words", int(shard[rows[0]])) if len(rows) else None
+        for rows in by_shard(shard, self.m.dealing.word_shards):
+            found = self._arrays("words", int(shard[rows[0]]))
             if found:
                 keys, *columns = found
                 at = _look_up(keys, w[rows])
@@ -264,12 +280,11 @@ class Scorer:
                     out[i, rows] = c[at]
         return out[0], out[1], out[2]
 
-    def _pairs(self, v: np.ndarray, w: np.ndarray) -> np.ndarray:
-        shard, key, out = self.m.dealing.of_pairs(v, w), pair_hash(v, w), np.zeros(len(v))
-        order = np.lexsort((key, shard))
-        cuts = np.flatnonzero(np.diff(shard[order])) + 1
-        for rows in np.split(order, cuts):
-            found = self._arrays("pairs", int(shard[rows[0]])) if len(rows) else None
+    def _pairs(self, v: np.ndarray, w: np.ndarray, key: np.ndarray) -> np.ndarray:
+        """Count of each pair, in the order of sorted keys."""
+        shard, out = self.m.dealing.of_pairs(v, w), np.zeros(len(v))
+        for rows in by_shard(shard, self.m.dealing.pair_shards):
+            found = self._arrays("pairs", int(shard[rows[0]]))
             if found:
                 keys, counts, large, large_counts = found
                 at = _look_up(keys, key[rows])
@@ -283,22 +298,26 @@ class Scorer:
     def score(self, texts: list[bytes | None]) -> dict[str, np.ndarray]:
         m = self.m
         v, w, n = tokens(texts)
+        # all is looked up and reckoned once for each distinct pair; return_index would have a slower sort
+        key, back = np.unique(pair_hash(v, w), return_inverse=True)
+        one = np.empty(len(key), np.int64)
+        one[back] = np.arange(len(w))  # a token of each pair
+        v, w = v[one], w[one]
         both, inverse = np.unique(np.concatenate((w, v)), return_inverse=True)
-        count, follows, mass = self._words(both)
         wi, vi = inverse[: len(w)], inverse[len(w) :]
+        count, follows, mass = self._words(both)
         unseen = 1.0 / (m.n_words + 1)
         total = max(m.n_pairs, 1)
         rest = m.word_rest / total if m.n_pairs else 1.0
         p1 = (np.maximum(_discounted(follows, m.word_discounts), 0) / total + rest * unseen)[wi]
-        pair, first, back = np.unique(pair_hash(v, w), return_index=True, return_inverse=True)
-        seen = self._pairs(v[first], w[first])[back]
+        seen = self._pairs(v, w, key)
         context = np.where(both == START, float(m.n_texts), count)[vi]
         known = context > 0
         safe = np.where(known, context, 1.0)
         p = np.where(known, (np.maximum(_discounted(seen, m.pair_discounts), 0) + mass[vi] * p1) / safe, p1)
         at = np.cumsum(n) - n
         base = np.log10((count + 0.1) / (m.n_tokens + 0.1 * (m.n_words + 1)))[wi]
-        return {"n_tokens": n, "n_known": np.add.reduceat((count > 0)[wi].astype(np.int64), at), "base_score": np.add.reduceat(base, at), "score": np.add.reduceat(np.log10(p), at)}
+        return {"n_tokens": n, "n_known": np.add.reduceat((count > 0)[wi][back].astype(np.int64), at), "base_score": np.add.reduceat(base[back], at), "score": np.add.reduceat(np.log10(p)[back], at)}
 
 
 def _hot_words(texts: DataFrame, shards: int) -> tuple[np.ndarray, np.ndarray]:
@@ -357,8 +376,9 @@ def train(docs: DataFrame) -> Model:
 
         def out():
             v, w, c = add(held)
-            shard = dealing.of_pairs(v, w)
-            order = np.lexsort((w, v, shard))
+            shard, bits = dealing.of_pairs(v, w), np.uint64(max(shards - 1, 1).bit_length())
+            # by shard, and in it by all of the first word's hash but its last bits
+            order = np.argsort(shard.astype(np.uint64) << (np.uint64(64) - bits) | v >> bits)
             v, w, c, shard = v[order], w[order], c[order], shard[order]
             cuts = [0, *(np.flatnonzero(np.diff(shard)) + 1).tolist(), len(v)]
             rows = []
@@ -405,16 +425,16 @@ def train(docs: DataFrame) -> Model:
         large = c >= 255
         mark = _save(folder, "pairs", shard, k, np.minimum(c, 255).astype(np.uint8), k[large], c[large].astype(np.uint64))
         # of each word: N1, N2, N3+ as a context; its count and the number of words before it
-        (word, ), value = _added([np.concatenate((v, w))], np.concatenate((
-            np.stack((c == 1, c == 2, c > 2, 0 * c, 0 * c), axis=1).astype(np.int64),
-            np.stack((0 * c, 0 * c, 0 * c, c, np.ones_like(c)), axis=1),
-        )))
+        word, inverse = np.unique(np.concatenate((v, w)), return_inverse=True)
+        before, after = inverse[: len(v)], inverse[len(v) :]
+        sums = [np.bincount(before[x], minlength=len(word)) for x in (c == 1, c == 2, c > 2)]
+        # a sum of counts is exact in a double up to 2^53
+        sums += [np.bincount(after, c, len(word)).astype(np.int64), np.bincount(after, minlength=len(word))]
         to = dealing.of_words(word)
         n = [int((c == i).sum()) for i in (1, 2, 3, 4)]
         rows = [(shard, mark, n, len(c), int(c.sum()), int(c[v == START].sum()), None, None)]
-        for s in np.unique(to):
-            mine = to == s
-            rows.append((None, None, None, 0, 0, 0, int(s), _packed(word[mine], *(_narrow(x) for x in value[mine].T))))
+        for mine in by_shard(to, dealing.word_shards):
+            rows.append((None, None, None, 0, 0, 0, int(to[mine[0]]), _packed(word[mine], *(_narrow(x[mine]) for x in sums))))
         kinds = (pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
         yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=[c.split()[0] for c in MERGED.split(", ")])
 
