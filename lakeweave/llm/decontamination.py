@@ -26,17 +26,20 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import small_batches, tidied
-from .kneser_ney import tokens
+from .kneser_ney import coded, pair_hash, tokens
 
 ITEMS = 20_000
 #: Anchors of each quarter of an item.
 ANCHORS = 2
 #: Steps of a short window, and how many steps after the first a key samples.
 SHORT, SAMPLED = 8, 3
+#: Words of candidate stretches looked up at once.
+LOOKED_UP = 1 << 19
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _PAD = np.uint64(0x5851F42D4C957F2D)
 
@@ -90,7 +93,8 @@ def _window_keys(words: np.ndarray, starts: np.ndarray, ends: np.ndarray, repeti
 @dataclass
 class Index:
     """Keys of a block of items. ``entries``: (item, anchor offset) of each key; ``reach``: of each anchor word, the most
-    steps of a window of it; ``sizes``: window sizes of each repetition; ``scanned``: items held exactly to every text."""
+    steps of a window of it; ``sizes``: window sizes of each repetition; ``scanned``: items held exactly to every text;
+    ``words``: hashes of each item's number with each of its words."""
 
     ids: list[int]
     items: list[np.ndarray]
@@ -101,6 +105,7 @@ class Index:
     keys: np.ndarray
     entries: np.ndarray
     scanned: list[int]
+    words: np.ndarray
 
 
 def _anchors(items: list[np.ndarray]) -> np.ndarray:
@@ -114,6 +119,10 @@ def _anchors(items: list[np.ndarray]) -> np.ndarray:
     return np.array(out, np.int64)
 
 
+def _item_words(items: list[np.ndarray]) -> np.ndarray:
+    return np.unique(pair_hash(np.repeat(np.arange(len(items), dtype=np.uint64), [len(i) for i in items]), np.concatenate(items)))
+
+
 def _power(n: np.ndarray) -> np.ndarray:
     """The greatest power of two up to each number (1 at least)."""
     return np.int64(1) << np.maximum(np.floor(np.log2(np.maximum(n, 1) + 0.5)), 0).astype(np.int64)
@@ -197,7 +206,7 @@ def build_index(ids: list[int | None], items: list[np.ndarray], rate: float, rec
     where, limits = _anchors(items), [math.floor(rate * len(i)) for i in items]
     anchor_words = np.array([items[k][a] for k, a in where.tolist()], np.uint64)
     words = np.unique(anchor_words)
-    index = Index(ids, items, limits, words, np.ones(len(words), np.int64), [], np.zeros(0, np.uint64), np.zeros((0, 2), np.int32), [])
+    index = Index(ids, items, limits, words, np.ones(len(words), np.int64), [], np.zeros(0, np.uint64), np.zeros((0, 2), np.int32), [], _item_words(items))
     rng = np.random.default_rng(3)
     while True:
         keys, entries = [index.keys], [index.entries]
@@ -220,8 +229,8 @@ def build_index(ids: list[int | None], items: list[np.ndarray], rate: float, rec
 
 def _candidates(index: Index, words: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Items and the places in ``words`` where they would begin, that share a key, over texts laid end to end; distinct."""
-    at = np.minimum(np.searchsorted(index.anchors, words), len(index.anchors) - 1)
-    starts = np.flatnonzero(index.anchors[at] == words)
+    at = pc.index_in(pa.array(words), value_set=pa.array(index.anchors)).fill_null(-1).to_numpy()
+    starts = np.flatnonzero(at >= 0)
     ends = np.cumsum(sizes)
     stop, reach = ends[np.searchsorted(ends, starts, side="right")], index.reach[at[starts]]
     items, places = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
@@ -238,6 +247,32 @@ def _candidates(index: Index, words: np.ndarray, sizes: np.ndarray) -> tuple[np.
     return both[0], both[1]
 
 
+def _stretches(index: Index, words: np.ndarray, sizes: np.ndarray) -> zip:
+    """(item, text, first word, end word) of the candidates' stretches that hold all but the limit of the item's words; an
+    item with less isn't within the limit."""
+    item, place = _candidates(index, words, sizes)
+    ends = np.cumsum(sizes)
+    length, limit = np.array([len(i) for i in index.items])[item], np.array(index.limits)[item]
+    # a candidate may begin in one text and reach into the next
+    text = np.searchsorted(ends, np.maximum(place, 0), side="right")
+    other = np.minimum(np.searchsorted(ends, np.minimum(place + limit, len(words) - 1), side="right"), len(ends) - 1)
+    rows = np.concatenate((np.arange(len(item)), np.flatnonzero(other != text)))
+    text = np.concatenate((text, other[other != text]))
+    item, place, length, limit = item[rows], place[rows], length[rows], limit[rows]
+    low, high = np.maximum(place - limit, ends[text] - sizes[text]), np.minimum(place + length + limit, ends[text])
+    rows = np.flatnonzero(high > low)
+    item, text, low, high, least = item[rows], text[rows], low[rows], high[rows], (length - limit)[rows]
+    kept, known = np.zeros(len(rows), bool), pa.array(index.words)
+    piece = np.cumsum(high - low) // LOOKED_UP
+    for part in np.split(np.arange(len(rows)), np.flatnonzero(np.diff(piece)) + 1) if len(rows) else []:
+        n = (high - low)[part]
+        first = np.cumsum(n) - n
+        at = np.arange(n.sum()) + np.repeat(low[part] - first, n)
+        held = pc.is_in(pa.array(pair_hash(np.repeat(item[part], n).astype(np.uint64), words[at])), value_set=known)
+        kept[part] = np.add.reduceat(held.to_numpy(zero_copy_only=False), first, dtype=np.int64) >= least[part]
+    return zip(*(x[kept].tolist() for x in (item, text, low, high)), strict=True)
+
+
 def edit_match(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
     """Least edit distance of the item to any stretch of the text, and where the first such stretch ends."""
     places = np.arange(len(text) + 1)
@@ -253,31 +288,20 @@ def edit_match(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
 
 def matches(index: Index, texts: list[bytes | None]) -> list[tuple[int, int, int, int, int]]:
     """(text, item id, distance, first word, end word) of the best stretch of each item that a text holds."""
-    _, w, n = tokens(texts)
-    keep = np.ones(len(w), bool)
-    keep[np.cumsum(n) - 1] = False
-    words, sizes = w[keep], n - 1
+    codes, hashes, sizes = coded(texts)
+    words = hashes[codes]
     if not len(words):
         return []
     ends = np.cumsum(sizes)
     best: dict[tuple[int, int], tuple[int, int, int]] = {}
-    item, place = _candidates(index, words, sizes)
-    found = list(zip(item.tolist(), place.tolist(), strict=True))
-    for item, place in found:
+    for item, text, low, high in _stretches(index, words, sizes):
         first = index.items[item]
-        limit = index.limits[item]
-        text = int(np.searchsorted(ends, max(place, 0), side="right"))
-        for text in {text, min(int(np.searchsorted(ends, min(place + limit, len(words) - 1), side="right")), len(ends) - 1)}:
-            low, high = max(place - limit, int(ends[text] - sizes[text])), min(place + len(first) + limit, int(ends[text]))
-            # a stretch within the limit has all but ``limit`` of the item's words
-            if high <= low or np.isin(words[low:high], first).sum() < len(first) - limit:
-                continue
-            distance, end = edit_match(first, words[low:high])
-            if distance <= limit:
-                _, length = edit_match(first[::-1], words[low : low + end][::-1])
-                start = low + end - length - int(ends[text] - sizes[text])
-                this = (distance, start, low + end - int(ends[text] - sizes[text]))
-                best[text, item] = min(best.get((text, item), this), this)
+        distance, end = edit_match(first, words[low:high])
+        if distance <= index.limits[item]:
+            _, length = edit_match(first[::-1], words[low : low + end][::-1])
+            start = low + end - length - int(ends[text] - sizes[text])
+            this = (distance, start, low + end - int(ends[text] - sizes[text]))
+            best[text, item] = min(best.get((text, item), this), this)
     for text, (stop, size) in enumerate(zip(ends.tolist(), sizes.tolist(), strict=True)):
         for item in index.scanned if size else ():
             distance, end = edit_match(index.items[item], words[stop - size : stop])

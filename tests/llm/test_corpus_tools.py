@@ -435,6 +435,35 @@ def test_items_missed_by_the_index_are_held_exactly(spark):
     assert got == want
 
 
+def test_candidates_are_held_against_their_items_together(monkeypatch):
+    """Stretches are those of the definition, candidate by candidate, but no candidate has a look-up of its own."""
+    rng = random.Random(9)
+    items = [[f"w{rng.randrange(60)}" for _ in range(rng.randrange(6, 30))] for _ in range(12)]
+    texts = [" ".join([f"w{rng.randrange(60)}" for _ in range(rng.randrange(50))] + (items[k % 12][: rng.randrange(30)] if k % 3 else [])).encode() for k in range(150)]
+    index = decontamination.build_index(list(range(12)), [decontamination.tokens([" ".join(i).encode()])[1][:-1] for i in items], 0.3, 0.99)
+    lookups = []
+    plain = np.isin
+    monkeypatch.setattr(np, "isin", lambda *a, **k: lookups.append(1) or plain(*a, **k))
+    found = decontamination.matches(index, texts)
+    monkeypatch.undo()
+    assert len(found) > 20 and not lookups
+
+    _, w, n = decontamination.tokens(texts)
+    words, sizes = np.delete(w, np.cumsum(n) - 1), n - 1
+    ends, want, number = np.cumsum(sizes), set(), 0
+    for item, place in zip(*decontamination._candidates(index, words, sizes), strict=True):
+        limit, length = index.limits[item], len(index.items[item])
+        for text in {int(np.searchsorted(ends, min(max(at, 0), len(words) - 1), side="right")) for at in (place, place + limit)}:
+            low, high = max(place - limit, ends[text] - sizes[text]), min(place + length + limit, ends[text])
+            number += 1
+            if high > low and np.isin(words[low:high], index.items[item]).sum() >= length - limit:
+                want.add((int(item), text, int(low), int(high)))
+    for piece in (50, 1 << 19):
+        monkeypatch.setattr(decontamination, "LOOKED_UP", piece)
+        assert set(decontamination._stretches(index, words, sizes)) == want
+    assert number > 2 * len(want) > 0
+
+
 def test_every_item_is_tried_where_repetitions_do_not_suffice():
     """Short items of few words at a high rate, two repetitions: what the index misses is held exactly, all of it."""
     rng = np.random.default_rng(5)
