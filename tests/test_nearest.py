@@ -40,3 +40,14 @@ def test_vectors_of_unequal_length_are_refused():
 
     with pytest.raises(ValueError, match="components"):
         retrieval._matrix(pa.array([[1.0, 2.0], [1.0]]))
+
+
+def test_hop_metrics_use_all_dimensions(spark, tmp_path):
+    """The first 16 dimensions are equal: the rest alone tells the twelve vectors near the query from those before them."""
+    from lakeweave.plans import registry
+
+    near, far = [1.0] * 64, [1.0] * 16 + [-1.0] * 48
+    rows = [(k, near if k == 0 or k > 15 else far, "b" if 0 < k < 16 else "a") for k in range(28)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label string").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = registry.queries()["graph_hop_metrics"](spark, str(tmp_path)).collect()
+    assert [(r["query_id"], r["recall"], r["hit"], r["mrr"], r["mean_hops"], r["least_hops"]) for r in got] == [(0, 1.0, 1, 1.0, 2.0, 1)]
