@@ -69,3 +69,26 @@ def test_chunks_are_passed_on_in_pieces():
     assert held.size == 3
     assert held.taken(pa.array(["x", "y"])).to_pylist()[0] == {"key": "y", "chunk_index": 0, "content": "ab", "start": 0, "stop": 2, "section": ""}
     assert not held.rows and held.size == 0
+
+
+def test_conflicts_of_all_clocks(spark):
+    """Clocks of one actor and others, zero counts, bounds of bins and of the time limit: as each pair compared."""
+    import itertools
+    import random
+
+    from lakeweave.operators import collaboration
+
+    rng = random.Random(3)
+    clocks = [{"a": 1}, {"a": 2}, {"b": 1}, {"b": 0}, {"c": -1}, {"a": 1, "b": 1}, {"a": 2, "c": 1}, {}]
+    rows = [(i, i % 3, rng.choice((0, 1, 9, 10, 11, 19, 20, 21, 30, 41)) + 50 * (i % 2), rng.choice(clocks)) for i in range(120)]
+    at_most = lambda a, b: all(v <= b.get(k, 0) for k, v in a.items())
+
+    def found(rows):
+        df = spark.createDataFrame([(i, r, START + datetime.timedelta(seconds=s), c) for i, r, s, c in rows], "id long, resource long, at timestamp_ntz, clock map<string, long>")
+        return collaboration.conflicts(df, "resource", "id", "at", 20)
+
+    for some in (rows, [r for r in rows if len(r[3]) == 1]):
+        want = [(a[1], a[0], b[0]) for a, b in itertools.combinations(some, 2) if a[1] == b[1] and abs(a[2] - b[2]) <= 20 and at_most(a[3], b[3]) == at_most(b[3], a[3])]
+        assert sorted(map(tuple, found(some).collect())) == sorted(want)
+    plan = found([r for r in rows if len(r[3]) == 1])._jdf.queryExecution().optimizedPlan().toString()
+    assert "forall" not in plan  # no maps are compared by pair
