@@ -58,7 +58,8 @@ def pdf_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     characters but blanks. Documents are dealt over all cores by number: a Parquet file of few row groups would go to as many
     tasks."""
     cut = lambda xs, n, make: F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.size(xs) / n) - 1, F.lit(0)).cast("int")), lambda k: make(F.slice(xs, k * n + 1, F.lit(n))))
-    dealt = table(spark, sf_dir, "documents").select("doc_id", "text").repartition(4 * spark.sparkContext.defaultParallelism, "doc_id")
+    texts = table(spark, sf_dir, "documents").select("doc_id", "text")
+    dealt = texts.repartition(max(4 * spark.sparkContext.defaultParallelism, texts.rdd.getNumPartitions()), "doc_id")
     docs = dealt.select("doc_id", F.array_remove(F.split(F.coalesce("text", F.lit("")), "[\\x20\\x09-\\x0D]+"), "").alias("words"))
     lines = docs.select("doc_id", cut(F.col("words"), 12, lambda x: F.array_join(x, " ")).alias("lines"))
     page = lambda x: F.transform(x, lambda t, k: F.struct(F.lit(40.0).alias("x"), (800.0 - 14 * k).alias("y"), t.alias("text")))
